@@ -78,12 +78,12 @@ def multi_match_wildcard(spark, folder):
 
 @register(
     "filter_multi_match_literal",
-    "SELECT doc_id FROM documents WHERE contains(text, '_') OR contains(lang, '_')",
+    "SELECT doc_id FROM documents WHERE contains(text, '%%%') OR contains(lang, '%%%')",
 )
 def multi_match_literal(spark, folder):
     df = table(spark, folder, "documents")
     index = log_index("documents", df, None, text=["text", "lang"], wildcards=False)
-    query = bool_filter(must=[text("_")])
+    query = bool_filter(must=[text("%%%")])
     return df.where(query_filter(index, query)).select("doc_id")
 
 

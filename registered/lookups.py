@@ -40,6 +40,13 @@ def hourly(spark, folder):
     return time_index(table(spark, folder, "events"), "ts", "event_id", HOUR)
 
 
+def stored_hourly(spark, folder):
+    """The index is written once; lookups then read entries, not the log."""
+    path = shared_folder(spark, "hourly-index")
+    hourly(spark, folder).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 @register("time_index_hourly", index_sql(HOUR))
 def time_index_hourly(spark, folder):
     return flat(hourly(spark, folder))
@@ -83,7 +90,8 @@ ENTRIES = (
     "FROM asked a ASOF LEFT JOIN entries e ON a.asked >= e.first_ts",
 )
 def time_index_start(spark, folder):
-    found = start_positions(asked(spark, folder), hourly(spark, folder), "asked", HOUR)
+    index = stored_hourly(spark, folder)
+    found = start_positions(asked(spark, folder), index, "asked", HOUR)
     return found.select("event_id", "position")
 
 
@@ -95,5 +103,6 @@ def time_index_start(spark, folder):
     "LEFT JOIN entries s ON s.first_ts = date_trunc('hour', a.asked)",
 )
 def time_index_end(spark, folder):
-    found = end_positions(asked(spark, folder), hourly(spark, folder), "asked", HOUR)
+    index = stored_hourly(spark, folder)
+    found = end_positions(asked(spark, folder), index, "asked", HOUR)
     return found.select("event_id", "position")

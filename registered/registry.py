@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelog import LogIndex, log_index
+from tidelog.functions.times import format_rfc3339_fraction
 from tidelog.sources.shared import shared_folder
 from tidelog.sources.writers import write_json_lines
 
@@ -62,11 +63,10 @@ def event_lines(spark: SparkSession, folder: str) -> str:
     ``datetime`` is RFC3339 text with microseconds.
     """
     df = table(spark, folder, "events")
-    wall = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     path = shared_folder(spark, "event-lines")
     write_json_lines(
         df.select(
-            F.concat(wall, F.lit("Z")).alias("datetime"),
+            format_rfc3339_fraction(F.col("ts"), True, 6).alias("datetime"),
             F.col("event_type").alias("message"),
             "event_id",
             "value",

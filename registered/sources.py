@@ -138,9 +138,8 @@ def incremental_ingest(spark, folder):
     base = shared_folder(spark, "ingest")
     source, target, checkpoint = f"{base}/in", f"{base}/table", f"{base}/state"
     df = table(spark, folder, "events")
-    wall = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
     rows = df.select(
-        F.concat(wall, F.lit("Z")).alias("datetime"),
+        times.format_rfc3339_fraction(F.col("ts"), True, 6).alias("datetime"),
         F.col("event_type").alias("message"),
         "event_id",
         "ts",

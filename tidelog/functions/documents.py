@@ -75,7 +75,7 @@ def parse_documents(df: DataFrame, raw: str, doc: str = "doc") -> DataFrame:
         & F.try_variant_get("_framed", "$[2]", "variant").isNull()
     )
     value = F.when(whole, F.try_variant_get("_framed", "$[0]", "variant"))
-    return df.withColumn(doc, value).drop("_framed")
+    return compute_once(df, **{doc: value}).drop("_framed")
 
 
 def document_time(doc: Column, key: str) -> Column:

@@ -129,12 +129,14 @@ def unix_seconds(ts: Column, ntz: bool) -> Column:
 def unix_micros(ts: Column, ntz: bool) -> Column:
     """Exact epoch microseconds.
 
-    For NTZ this goes through calendar fields (several times the cost of a
-    plain long): call it on aggregated rows, not once per log row.
+    For NTZ this goes through an interval (several times the cost of a plain
+    long): call it on aggregated rows, not once per log row.  ``timestampdiff``
+    would not do, because it reads NTZ values in the session time zone.
     """
     if not ntz:
         return F.unix_micros(ts)
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), ts)
+    since = (ts - F.expr(EPOCH_NTZ)).cast("interval second").cast("decimal(20,6)")
+    return (since * 1_000_000).cast("bigint")
 
 
 def unix_millis(ts: Column, ntz: bool) -> Column:
@@ -161,6 +163,16 @@ def floor_div(value: Column, step: int) -> Column:
     return F.call_function("div", exact, F.lit(step).cast("bigint"))
 
 
+def format_rfc3339_fraction(ts: Column, ntz: bool, digits: int) -> Column:
+    """RFC3339 text in UTC with 1 to 6 digits of fraction."""
+    us = unix_micros(ts, ntz)
+    fraction = F.lpad(F.pmod(us, F.lit(1_000_000)).cast("string"), 6, "0")
+    second = format_rfc3339(floor_div(us, 1_000))
+    return F.concat(
+        second.substr(1, 19), F.lit("."), fraction.substr(1, digits), F.lit("Z")
+    )
+
+
 def format_rfc3339(millis: Column, offset_minutes: int = 0) -> Column:
     """Epoch milliseconds as RFC3339 text without fraction."""
     local = millis * 1_000 + offset_minutes * 60_000_000

@@ -114,21 +114,13 @@ def docvalue_columns(
         if name not in index.df.columns:
             continue
         as_text = entry.get("format") == "date_time" and name == index.time.name
-        value = rfc3339_millis(index) if as_text else F.col(name)
+        value = F.col(name)
+        if as_text:
+            value = times.format_rfc3339_fraction(value, index.time.ntz, 3)
         columns.append(value.alias(name))
     return columns
 
 
-def rfc3339_millis(index: LogIndex) -> Column:
-    """The time column as ``yyyy-MM-ddTHH:mm:ss.SSSZ``, zone-independent."""
-    micros = index.time.micros()
-    millis = F.pmod(times.floor_div(micros, 1_000), F.lit(1_000))
-    second = times.format_rfc3339(times.floor_div(micros, 1_000))
-    return F.concat(
-        second.substr(1, 19), F.lit("."), F.lpad(millis.cast("string"), 3, "0"), F.lit("Z")
-    )
-
-
 def without_fields(df: DataFrame, excludes: Sequence[str]) -> DataFrame:
     """Extension: ``_source.excludes``."""
     return df.drop(*excludes)

@@ -22,25 +22,24 @@ def truncate(ts: Column, step_seconds: int) -> Column:
 
 
 def time_index(df: DataFrame, ts: str, position: str, step_seconds: int) -> DataFrame:
-    """``(bucket, first_ts, position)``: the first row of every step.
+    """``(bucket, first_ts, position)``: where every step starts.
 
-    A group-by, so it needs no order; on a log sorted by time it gives the
-    entries of a sequential walk.  Rows without a time are left out.
+    A group-by of plain minima, so it needs no order and no sort; on a log
+    sorted by time it gives the entries of a sequential walk.  Rows without a
+    time are left out.
     """
-    first = F.min(F.struct(F.col(ts).alias("first_ts"), F.col(position).alias("position")))
-    found = (
-        df.select(truncate(F.col(ts), step_seconds).alias("bucket"), ts, position)
-        .groupBy("bucket")
-        .agg(first.alias("first"))
+    rows = df.select(truncate(F.col(ts), step_seconds).alias("bucket"), ts, position)
+    return rows.groupBy("bucket").agg(
+        F.min(ts).alias("first_ts"), F.min(position).alias("position")
     )
-    return found.select("bucket", "first.first_ts", "first.position")
 
 
 def refresh_time_index(index: DataFrame, tail: DataFrame) -> DataFrame:
     """Add the entries of newly arrived rows; only the tail is read again."""
-    first = F.min(F.struct("first_ts", "position"))
-    merged = index.unionByName(tail).groupBy("bucket").agg(first.alias("first"))
-    return merged.select("bucket", "first.first_ts", "first.position")
+    both = index.unionByName(tail)
+    return both.groupBy("bucket").agg(
+        F.min("first_ts").alias("first_ts"), F.min("position").alias("position")
+    )
 
 
 def _numbered(index: DataFrame, step_seconds: int) -> DataFrame:
@@ -56,31 +55,37 @@ def _with_neighbours(entries: DataFrame) -> DataFrame:
     """Add the previous entry's position and the next entry's step and position.
 
     Entries are ordered within groups of GROUP steps in parallel.  Only the
-    ends of those groups (one row per GROUP steps) are ordered together.
+    ends of those groups are ordered together: with hourly steps that is one
+    row for half a year of log.
     """
     entries = entries.withColumn("group", times.floor_div(F.col("step"), GROUP))
-    this = F.struct("step", "position")
     ends = entries.groupBy("group").agg(
-        F.min(this).alias("head"), F.max(this).alias("tail")
+        F.max("step").alias("tail"),
+        F.max_by("position", "step").alias("tail_position"),
+        F.min("step").alias("head"),
+        F.min_by("position", "step").alias("head_position"),
     )
     across = Window.orderBy("group")
     ends = ends.select(
         "group",
-        F.lag("tail").over(across).alias("before"),
-        F.lead("head").over(across).alias("after"),
+        F.lag("tail_position").over(across).alias("before_position"),
+        F.lead("head").over(across).alias("after_step"),
+        F.lead("head_position").over(across).alias("after_position"),
     )
     inside = Window.partitionBy("group").orderBy("step")
-    near = entries.withColumn("prev", F.lag(this).over(inside)).withColumn(
-        "next", F.lead(this).over(inside)
+    near = entries.select(
+        "*",
+        F.lag("position").over(inside).alias("prev"),
+        F.lead("step").over(inside).alias("next_step"),
+        F.lead("position").over(inside).alias("next"),
     )
-    joined = near.join(ends, "group")
-    return joined.select(
+    return near.join(ends, "group").select(
         "step",
         "first_ts",
         "position",
-        F.coalesce("prev", "before")["position"].alias("prev_position"),
-        F.coalesce("next", "after")["step"].alias("next_step"),
-        F.coalesce("next", "after")["position"].alias("next_position"),
+        F.coalesce("prev", "before_position").alias("prev_position"),
+        F.coalesce("next_step", "after_step").alias("next_step"),
+        F.coalesce("next", "after_position").alias("next_position"),
     )
 
 
