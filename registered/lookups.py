@@ -30,8 +30,8 @@ def index_sql(step_seconds: int, source: str = "events") -> str:
 
 def flat(index):
     return index.select(
-        times.unix_micros(F.col("bucket"), True).alias("bucket_us"),
-        times.unix_micros(F.col("first_ts"), True).alias("first_us"),
+        F.expr(times.unix_micros("bucket", True)).alias("bucket_us"),
+        F.expr(times.unix_micros("first_ts", True)).alias("first_us"),
         "position",
     )
 

@@ -66,7 +66,7 @@ def event_lines(spark: SparkSession, folder: str) -> str:
     path = shared_folder(spark, "event-lines")
     write_json_lines(
         df.select(
-            format_rfc3339_fraction(F.col("ts"), True, 6).alias("datetime"),
+            F.expr(format_rfc3339_fraction("ts", True, 6)).alias("datetime"),
             F.col("event_type").alias("message"),
             "event_id",
             "value",

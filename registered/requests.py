@@ -66,8 +66,15 @@ def multi_search(spark, folder):
 
 @register("multi_search_bucketed", COUNTS)
 def multi_search_bucketed(spark, folder):
+    """The way taken for many requests that still fit a broadcast."""
+    found = matched(spark, folder, way=many.BROADCAST)
+    return many.request_counts(found, requests(spark, folder))
+
+
+@register("multi_search_shuffled", COUNTS)
+def multi_search_shuffled(spark, folder):
     """The way taken when the requests are too many to broadcast."""
-    found = matched(spark, folder, broadcast=False, salts=4)
+    found = matched(spark, folder, way=many.SHUFFLE, salts=4)
     return many.request_counts(found, requests(spark, folder))
 
 

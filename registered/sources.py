@@ -68,8 +68,8 @@ def json_field_presence(spark, folder):
 def time_text_roundtrip(spark, folder):
     """Timestamp to RFC3339 text and back."""
     index = events(spark, folder)
-    millis = times.unix_millis(index.time.col, index.time.ntz)
-    text = index.df.select("event_id", times.format_rfc3339(millis).alias("text"))
+    text = times.format_rfc3339(times.unix_millis("ts", index.time.ntz))
+    text = index.df.select("event_id", F.expr(text).alias("text"))
     back = F.unix_micros(times.parse_rfc3339(F.col("text")))
     return text.select("event_id", "text", back.alias("us"))
 
@@ -125,7 +125,7 @@ def pruned(spark, folder):
     path = shared_folder(spark, "time-table")
     write_time_table(table(spark, folder, "events"), path, "ts")
     rows = pruned_scan(spark, path, "ts", GTE, LTE)
-    return rows.select("event_id", times.unix_micros(F.col("ts"), True).alias("us"))
+    return rows.select("event_id", F.expr(times.unix_micros("ts", True)).alias("us"))
 
 
 @register(
@@ -139,7 +139,7 @@ def incremental_ingest(spark, folder):
     source, target, checkpoint = f"{base}/in", f"{base}/table", f"{base}/state"
     df = table(spark, folder, "events")
     rows = df.select(
-        times.format_rfc3339_fraction(F.col("ts"), True, 6).alias("datetime"),
+        F.expr(times.format_rfc3339_fraction("ts", True, 6)).alias("datetime"),
         F.col("event_type").alias("message"),
         "event_id",
         "ts",

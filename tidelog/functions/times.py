@@ -3,6 +3,10 @@
 A log's time column may be TIMESTAMP (an instant) or TIMESTAMP_NTZ (read here
 as UTC wall time).  ``TimeColumn`` hides the difference, so the operators can
 be written once.
+
+The helpers take and return SQL expression text for ``F.expr``: one parsed
+expression costs the driver one call, where the same tree built from Column
+objects costs a call per node.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:\d{2})$"
 YEAR_ONE_SECONDS = 62_135_596_800
 
 EPOCH_NTZ = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+EPOCH = "TIMESTAMP'1970-01-01 00:00:00+00:00'"
 DAY_SECONDS = 86_400
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
@@ -57,6 +62,11 @@ def utc_offset_minutes(value: str | datetime | None) -> int:
     return value.utcoffset() // timedelta(minutes=1)
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 @dataclass(frozen=True)
 class TimeColumn:
     """The time column of a log: its name and whether it is TIMESTAMP_NTZ."""
@@ -72,16 +82,14 @@ class TimeColumn:
         return cls(name, isinstance(kind, T.TimestampNTZType))
 
     @property
-    def col(self) -> Column:
-        return F.col(self.name)
+    def sql(self) -> str:
+        return quoted(self.name)
 
-    def literal(self, instant: datetime) -> Column:
+    def literal(self, instant: datetime) -> str:
         """A constant of the column's own type, so comparisons push down."""
         utc = instant.astimezone(timezone.utc).replace(tzinfo=None)
         text = utc.isoformat(sep=" ", timespec="microseconds")
-        if self.ntz:
-            return F.expr(f"TIMESTAMP_NTZ'{text}'")
-        return F.expr(f"TIMESTAMP'{text}+00:00'")
+        return f"TIMESTAMP_NTZ'{text}'" if self.ntz else f"TIMESTAMP'{text}+00:00'"
 
     def between(
         self,
@@ -97,93 +105,87 @@ class TimeColumn:
         if gte is None and lte is None:
             return F.lit(True)
         if gte is None and missing_is_first:
-            return self.col.isNull() | (self.col <= self.literal(lte))
-        test = self.col.isNotNull()
+            return F.expr(f"{self.sql} IS NULL OR {self.sql} <= {self.literal(lte)}")
+        tests = [f"{self.sql} IS NOT NULL"]
         if gte is not None:
-            test = test & (self.col >= self.literal(gte))
+            tests.append(f"{self.sql} >= {self.literal(gte)}")
         if lte is not None:
-            test = test & (self.col <= self.literal(lte))
-        return test
+            tests.append(f"{self.sql} <= {self.literal(lte)}")
+        return F.expr(" AND ".join(tests))
 
     def seconds(self) -> Column:
         """Unix seconds, rounded down."""
-        return unix_seconds(self.col, self.ntz)
-
-    def micros(self) -> Column:
-        return unix_micros(self.col, self.ntz)
+        return F.expr(unix_seconds(self.sql, self.ntz))
 
     def utc_date(self) -> Column:
-        return utc_date(self.col, self.ntz)
+        return F.expr(utc_date(self.sql, self.ntz))
+
 
+def floor_div(value: str, step: int) -> str:
+    """Integer division rounding down, in BIGINT (``div`` rounds toward zero)."""
+    return f"(({value} - pmod({value}, {step}L)) div {step}L)"
 
-def unix_seconds(ts: Column, ntz: bool) -> Column:
+
+def unix_seconds(ts: str, ntz: bool) -> str:
     if not ntz:
-        return F.unix_seconds(ts)
+        return f"unix_seconds({ts})"
     # unix_timestamp is zone-free and cheap for NTZ but rounds toward zero,
     # so times before 1970 take the exact, slower way.
-    return F.when(ts >= F.expr(EPOCH_NTZ), F.unix_timestamp(ts)).otherwise(
-        floor_div(unix_micros(ts, True), 1_000_000)
-    )
+    exact = floor_div(unix_micros(ts, True), 1_000_000)
+    return f"CASE WHEN {ts} >= {EPOCH_NTZ} THEN unix_timestamp({ts}) ELSE {exact} END"
 
 
-def unix_micros(ts: Column, ntz: bool) -> Column:
+def unix_micros(ts: str, ntz: bool) -> str:
     """Exact epoch microseconds.
 
     For NTZ this goes through an interval (several times the cost of a plain
-    long): call it on aggregated rows, not once per log row.  ``timestampdiff``
+    long): use it on aggregated rows, not once per log row.  ``timestampdiff``
     would not do, because it reads NTZ values in the session time zone.
     """
     if not ntz:
-        return F.unix_micros(ts)
-    since = (ts - F.expr(EPOCH_NTZ)).cast("interval second").cast("decimal(20,6)")
-    return (since * 1_000_000).cast("bigint")
+        return f"unix_micros({ts})"
+    since = f"CAST({ts} - {EPOCH_NTZ} AS INTERVAL SECOND)"
+    return f"CAST(CAST({since} AS DECIMAL(20,6)) * 1000000 AS BIGINT)"
 
 
-def unix_millis(ts: Column, ntz: bool) -> Column:
-    if not ntz:
-        return F.unix_millis(ts)
-    return floor_div(unix_micros(ts, True), 1_000)
+def unix_millis(ts: str, ntz: bool) -> str:
+    return floor_div(unix_micros(ts, True), 1_000) if ntz else f"unix_millis({ts})"
 
 
-def utc_date(ts: Column, ntz: bool) -> Column:
+def utc_date(ts: str, ntz: bool) -> str:
     if ntz:
-        return F.to_date(ts)
-    days = floor_div(F.unix_seconds(ts), DAY_SECONDS)
-    return F.date_from_unix_date(days.cast("int"))
+        return f"to_date({ts})"
+    days = floor_div(f"unix_seconds({ts})", DAY_SECONDS)
+    return f"date_from_unix_date(CAST({days} AS INT))"
 
 
-def utc_wall_time(us: Column) -> Column:
+def utc_wall_time(us: str) -> str:
     """Epoch microseconds as a TIMESTAMP_NTZ in UTC."""
-    return F.timestamp_add("MICROSECOND", us, F.expr(EPOCH_NTZ))
+    return f"timestampadd(MICROSECOND, {us}, {EPOCH_NTZ})"
 
 
-def floor_div(value: Column, step: int) -> Column:
-    """Integer division rounding down, in BIGINT (``div`` rounds toward zero)."""
-    exact = value - F.pmod(value, F.lit(step).cast("bigint"))
-    return F.call_function("div", exact, F.lit(step).cast("bigint"))
+def convert_zone(source: str, target: str, wall: str) -> str:
+    """A TIMESTAMP_NTZ moved between time zones."""
+    return f"convert_timezone('{source}', '{target}', {wall})"
 
 
-def format_rfc3339_fraction(ts: Column, ntz: bool, digits: int) -> Column:
-    """RFC3339 text in UTC with 1 to 6 digits of fraction."""
-    us = unix_micros(ts, ntz)
-    fraction = F.lpad(F.pmod(us, F.lit(1_000_000)).cast("string"), 6, "0")
-    second = format_rfc3339(floor_div(us, 1_000))
-    return F.concat(
-        second.substr(1, 19), F.lit("."), fraction.substr(1, digits), F.lit("Z")
-    )
-
-
-def format_rfc3339(millis: Column, offset_minutes: int = 0) -> Column:
+def format_rfc3339(millis: str, offset_minutes: int = 0) -> str:
     """Epoch milliseconds as RFC3339 text without fraction."""
-    local = millis * 1_000 + offset_minutes * 60_000_000
-    text = utc_wall_time(local).cast("string")
+    zone = "Z"
     if offset_minutes:
-        sign = "-" if offset_minutes < 0 else "+"
         hours, minutes = divmod(abs(offset_minutes), 60)
-        zone = f"{sign}{hours:02d}:{minutes:02d}"
-    else:
-        zone = "Z"
-    return F.concat(text.substr(1, 10), F.lit("T"), text.substr(12, 8), F.lit(zone))
+        zone = f"{'-' if offset_minutes < 0 else '+'}{hours:02d}:{minutes:02d}"
+    shifted = f"{millis} * 1000 + {offset_minutes * 60_000_000}L"
+    text = f"CAST({utc_wall_time(shifted)} AS STRING)"
+    return f"concat(substr({text}, 1, 10), 'T', substr({text}, 12, 8), '{zone}')"
+
+
+def format_rfc3339_fraction(ts: str, ntz: bool, digits: int) -> str:
+    """RFC3339 text in UTC with 1 to 6 digits of fraction."""
+    us = unix_micros(ts, ntz)
+    second = format_rfc3339(floor_div(us, 1_000))
+    fraction = f"substr(lpad(pmod({us}, 1000000L), 6, '0'), 1, {digits})"
+    return f"concat(substr({second}, 1, 19), '.', {fraction}, 'Z')"
 
 
 def parse_rfc3339(text: Column) -> Column:

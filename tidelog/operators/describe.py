@@ -89,13 +89,13 @@ def index_summary(indexes: list[LogIndex]) -> DataFrame:
 
 
 def _summary(index: LogIndex) -> DataFrame:
-    ts, ntz = index.time.col, index.time.ntz
+    ts, ntz = index.time.name, index.time.ntz
     found = index.df.agg(
         F.count("*").alias("n_rows"), F.min(ts).alias("lo"), F.max(ts).alias("hi")
     )
     return found.select(
         F.lit(index.name).alias("index"),
         "n_rows",
-        times.unix_millis(F.col("lo"), ntz).alias("first_ms"),
-        times.unix_millis(F.col("hi"), ntz).alias("last_ms"),
+        F.expr(times.unix_millis("lo", ntz)).alias("first_ms"),
+        F.expr(times.unix_millis("hi", ntz)).alias("last_ms"),
     )

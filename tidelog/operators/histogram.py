@@ -74,12 +74,14 @@ def anchored(
     return Histogram(name, time, interval, gte, lte, offset_minutes=offset_minutes)
 
 
-def _local(h: Histogram) -> tuple[Column, bool]:
-    """The column to bucket and whether it is NTZ."""
+def _local(h: Histogram) -> tuple[str, bool]:
+    """The time to bucket and whether it is NTZ."""
     if h.zone is None:
-        return h.time.col, h.time.ntz
-    utc = h.time.col if h.time.ntz else times.utc_wall_time(h.time.micros())
-    return F.convert_timezone(F.lit("UTC"), F.lit(h.zone), utc), True
+        return h.time.sql, h.time.ntz
+    utc = h.time.sql
+    if not h.time.ntz:
+        utc = times.utc_wall_time(times.unix_micros(utc, False))
+    return times.convert_zone("UTC", h.zone, utc), True
 
 
 def bucket(h: Histogram) -> Column:
@@ -87,29 +89,26 @@ def bucket(h: Histogram) -> Column:
     ts, ntz = _local(h)
     months = h.interval.months
     if months is not None:
-        return _month_bucket(times.utc_date(ts, ntz), months)
+        return F.expr(_month_bucket(times.utc_date(ts, ntz), months))
+    offset = "0 seconds"
     if h.anchored:
-        shift = times.instant_micros(h.gte) % h.interval.micros
-        offset = f"{shift} microseconds"
-    else:
-        offset = MONDAY_OFFSET if h.interval.unit == "w" else None
+        offset = f"{times.instant_micros(h.gte) % h.interval.micros} microseconds"
+    elif h.interval.unit == "w":
+        offset = MONDAY_OFFSET
     # window() drops rows without a time; they must stay for the total
-    filler = F.expr(times.EPOCH_NTZ) if ntz else F.timestamp_seconds(F.lit(0))
-    start = F.window(
-        F.coalesce(ts, filler), f"{h.interval.seconds} seconds", None, offset
-    )["start"]
-    return F.when(ts.isNotNull(), start)
+    present = f"coalesce({ts}, {times.EPOCH_NTZ if ntz else times.EPOCH})"
+    size = f"{h.interval.seconds} seconds"
+    start = f"window({present}, '{size}', '{size}', '{offset}').start"
+    return F.expr(f"CASE WHEN {ts} IS NOT NULL THEN {start} END")
 
 
-def _month_bucket(day: Column, months: int) -> Column:
+def _month_bucket(day: str, months: int) -> str:
     if months == 1:
-        return F.trunc(day, "month")
+        return f"trunc({day}, 'month')"
     if months == 12:
-        return F.trunc(day, "year")
-    number = F.year(day) * 12 + F.month(day) - 1 - _MONTHS_1970
-    return F.add_months(
-        F.expr("DATE'1970-01-01'"), number - F.pmod(number, F.lit(months))
-    )
+        return f"trunc({day}, 'year')"
+    number = f"(year({day}) * 12 + month({day}) - {_MONTHS_1970 + 1})"
+    return f"add_months(DATE'1970-01-01', {number} - pmod({number}, {months}))"
 
 
 def add_buckets(df: DataFrame, histograms: list[Histogram]) -> DataFrame:
@@ -119,36 +118,36 @@ def add_buckets(df: DataFrame, histograms: list[Histogram]) -> DataFrame:
     return df
 
 
-def bucket_micros(h: Histogram, start: Column, kind: T.DataType) -> Column:
-    """Epoch microseconds of a bucket start."""
+def bucket_millis(h: Histogram, start: str, kind: T.DataType) -> str:
+    """Epoch milliseconds of a bucket start, rounded down."""
     if h.zone is not None:
-        local = start.cast("timestamp_ntz")
-        utc = F.convert_timezone(F.lit(h.zone), F.lit("UTC"), local)
-        return times.unix_micros(utc, True)
+        wall = f"CAST({start} AS TIMESTAMP_NTZ)"
+        return times.unix_millis(times.convert_zone(h.zone, "UTC", wall), True)
     if isinstance(kind, T.DateType):
-        return F.unix_date(start).cast("bigint") * (times.DAY_SECONDS * 1_000_000)
-    return times.unix_micros(start, isinstance(kind, T.TimestampNTZType))
+        return f"unix_date({start}) * {times.DAY_SECONDS * 1_000}L"
+    return times.unix_millis(start, isinstance(kind, T.TimestampNTZType))
 
 
-def is_whole(h: Histogram, start: Column) -> Column:
+def is_whole(h: Histogram, start: str) -> str:
     """The bucket counts: it is known, and inside the anchored range."""
     if not h.anchored:
-        return start.isNotNull()
+        return f"{start} IS NOT NULL"
     first, end = h.time.literal(h.gte), h.time.literal(h.end)
-    return start.isNotNull() & (start >= first) & (start < end)
+    return f"({start} IS NOT NULL AND {start} >= {first} AND {start} < {end})"
 
 
 def finish(df: DataFrame, h: Histogram, start: str, count: str) -> DataFrame:
     """``(agg, key, key_as_string, doc_count)`` from bucket starts and counts."""
-    us = bucket_micros(h, F.col(start), df.schema[start].dataType)
-    keyed = df.where(is_whole(h, F.col(start))).select(
-        times.floor_div(us, 1_000).alias("key"), F.col(count).alias("doc_count")
-    )
-    return keyed.select(
-        F.lit(h.name).alias("agg"),
-        "key",
-        times.format_rfc3339(F.col("key"), h.offset_minutes).alias("key_as_string"),
-        "doc_count",
+    key = bucket_millis(h, start, df.schema[start].dataType)
+    return (
+        df.where(is_whole(h, start))
+        .selectExpr(f"{key} AS key", f"{count} AS doc_count")
+        .select(
+            F.lit(h.name).alias("agg"),
+            "key",
+            F.expr(times.format_rfc3339("key", h.offset_minutes)).alias("key_as_string"),
+            "doc_count",
+        )
     )
 
 
@@ -156,11 +155,10 @@ def date_histogram(df: DataFrame, h: Histogram) -> DataFrame:
     """One histogram, in ascending key order."""
     if h.anchored:
         # the tail is dropped before the aggregation, so it is never read
-        df = df.where(
-            (h.time.col >= h.time.literal(h.gte)) & (h.time.col < h.time.literal(h.end))
-        )
+        first, end = h.time.literal(h.gte), h.time.literal(h.end)
+        df = df.where(f"{h.time.sql} >= {first} AND {h.time.sql} < {end}")
     counts = (
-        df.where(h.time.col.isNotNull())
+        df.where(f"{h.time.sql} IS NOT NULL")
         .select(bucket(h).alias("_bucket0"))
         .groupBy("_bucket0")
         .agg(F.count("*").alias("doc_count"))
@@ -202,26 +200,22 @@ def summarise(df: DataFrame, histograms: list[Histogram]) -> DataFrame:
 
 def _label(grouped: DataFrame, histograms: list[Histogram]) -> DataFrame:
     """Turn grouping-set rows into labelled buckets without another pass."""
-    agg = F.lit(None).cast("string")
-    us = F.lit(None).cast("bigint")
-    keep = F.lit(True)
+    named, keys, kept = [], [], []
     for i, h in enumerate(histograms):
-        start = F.col(f"_bucket{i}")
-        mine = F.col(f"_out{i}") == 0
-        kind = grouped.schema[f"_bucket{i}"].dataType
-        agg = F.when(mine, F.lit(h.name)).otherwise(agg)
-        us = F.when(mine, bucket_micros(h, start, kind)).otherwise(us)
-        keep = F.when(mine, is_whole(h, start)).otherwise(keep)
-    labelled = grouped.where(keep).select(
-        agg.alias("agg"), times.floor_div(us, 1_000).alias("key"), "doc_count"
+        start, mine = f"_bucket{i}", f"WHEN _out{i} = 0 THEN"
+        kind = grouped.schema[start].dataType
+        named.append(f"{mine} {i}")
+        keys.append(f"{mine} {bucket_millis(h, start, kind)}")
+        kept.append(f"{mine} {is_whole(h, start)}")
+    names = F.array(*[F.lit(h.name) for h in histograms])
+    labelled = grouped.where(f"CASE {' '.join(kept)} ELSE true END").select(
+        F.get(names, F.expr(f"CASE {' '.join(named)} END")).alias("agg"),
+        F.expr(f"CASE {' '.join(keys)} END").alias("key"),
+        "doc_count",
     )
     # the histograms of one request share its bounds, hence their offset
-    text = times.format_rfc3339(F.col("key"), histograms[0].offset_minutes)
-    # SUM over no rows at all is NULL, COUNT is 0
-    count = F.coalesce("doc_count", F.lit(0).cast("bigint"))
-    return labelled.select(
-        "agg", "key", text.alias("key_as_string"), count.alias("doc_count")
-    )
+    text = times.format_rfc3339("key", histograms[0].offset_minutes)
+    return labelled.select("agg", "key", F.expr(text).alias("key_as_string"), "doc_count")
 
 
 def docs_count(histogram: DataFrame) -> DataFrame:
@@ -247,7 +241,7 @@ def fill_gaps(histogram: DataFrame, h: Histogram) -> DataFrame:
         starts = histogram.sparkSession.range(
             first, first + h.whole_buckets * step, step
         )
-        series = starts.select(times.floor_div(F.col("id"), 1_000).alias("key"))
+        series = starts.selectExpr(f"{times.floor_div('id', 1_000)} AS key")
     else:
         series = _clock_series(histogram, h)
     counts = histogram.select("key", "doc_count")
@@ -255,24 +249,25 @@ def fill_gaps(histogram: DataFrame, h: Histogram) -> DataFrame:
     return filled.select(
         F.lit(h.name).alias("agg"),
         "key",
-        times.format_rfc3339(F.col("key"), h.offset_minutes).alias("key_as_string"),
+        F.expr(times.format_rfc3339("key", h.offset_minutes)).alias("key_as_string"),
         F.coalesce("doc_count", F.lit(0).cast("bigint")).alias("doc_count"),
     ).orderBy("key")
 
 
 def _clock_series(histogram: DataFrame, h: Histogram) -> DataFrame:
     """Keys of all buckets between the first and the last one, in wall time."""
-    zone = F.lit(h.zone or "UTC")
-    months = h.interval.months
+    zone, months = h.zone or "UTC", h.interval.months
     if months is not None:
-        step = F.make_interval(months=F.lit(months))
+        step = f"make_interval(0, {months})"
     else:
-        step = F.make_dt_interval(secs=F.lit(h.interval.seconds))
+        step = f"make_dt_interval(0, 0, 0, {h.interval.seconds})"
 
-    def wall(key: Column) -> Column:
-        return F.convert_timezone(F.lit("UTC"), zone, times.utc_wall_time(key * 1_000))
+    def wall(key: str) -> str:
+        return times.convert_zone("UTC", zone, times.utc_wall_time(f"{key} * 1000"))
 
-    ends = histogram.agg(wall(F.min("key")).alias("lo"), wall(F.max("key")).alias("hi"))
-    starts = ends.select(F.explode(F.sequence("lo", "hi", step)).alias("start"))
-    utc = F.convert_timezone(zone, F.lit("UTC"), F.col("start"))
-    return starts.select(times.unix_millis(utc, True).alias("key"))
+    ends = histogram.selectExpr(
+        f"{wall('min(key)')} AS lo", f"{wall('max(key)')} AS hi"
+    )
+    starts = ends.selectExpr(f"explode(sequence(lo, hi, {step})) AS start")
+    utc = times.convert_zone(zone, "UTC", "start")
+    return starts.selectExpr(f"{times.unix_millis(utc, True)} AS key")

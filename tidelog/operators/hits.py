@@ -116,7 +116,8 @@ def docvalue_columns(
         as_text = entry.get("format") == "date_time" and name == index.time.name
         value = F.col(name)
         if as_text:
-            value = times.format_rfc3339_fraction(value, index.time.ntz, 3)
+            text = times.format_rfc3339_fraction(index.time.sql, index.time.ntz, 3)
+            value = F.expr(text)
         columns.append(value.alias(name))
     return columns
 

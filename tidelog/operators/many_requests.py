@@ -19,7 +19,9 @@ from tidelog.functions.times import TimeColumn
 WIDTHS = (3_600, 86_400, 2_592_000, 94_608_000)
 _OPEN = len(WIDTHS)
 
-# Requests are broadcast up to both limits and joined by time bucket beyond.
+# How requests meet the log, by their number and total text length.
+PLAIN, BROADCAST, SHUFFLE = "plain", "broadcast", "shuffle"
+PLAIN_ROWS = 1_000
 BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 32 << 20
 
@@ -34,18 +36,18 @@ class LogSide:
     id: str | None = None
 
 
-def fits_broadcast(
-    requests: DataFrame, rows: int = BROADCAST_ROWS, chars: int = BROADCAST_CHARS
-) -> bool:
-    """Measure the requests; looks at no more than ``rows + 1`` of them."""
-    text = F.coalesce(F.length("q"), F.lit(0)) + F.coalesce(F.length("index"), F.lit(0))
+def choose_way(requests: DataFrame) -> str:
+    """Measure the requests; looks at no more than BROADCAST_ROWS + 1 of them."""
+    text = F.expr("coalesce(length(q), 0) + coalesce(length(index), 0)")
     n, size = (
         requests.select(text.alias("text"))
-        .limit(rows + 1)
+        .limit(BROADCAST_ROWS + 1)
         .agg(F.count("*"), F.coalesce(F.sum("text"), F.lit(0)))
         .first()
     )
-    return n <= rows and size <= chars
+    if n > BROADCAST_ROWS or size > BROADCAST_CHARS:
+        return SHUFFLE
+    return PLAIN if n <= PLAIN_ROWS else BROADCAST
 
 
 def _matches(log: LogSide) -> Column:
@@ -62,75 +64,71 @@ def match_requests(
     logs: DataFrame,
     requests: DataFrame,
     log: LogSide = LogSide(),
-    broadcast: bool | None = None,
+    way: str | None = None,
     salts: int = 1,
 ) -> DataFrame:
     """Every log row with the ``id`` of each request it answers.
 
-    Few requests are broadcast: the log is not shuffled.  Otherwise both sides
-    are shuffled by index and time bucket, so a request meets only rows near
-    its range, and a hot bucket can be spread over ``salts`` tasks.
+    A few requests are broadcast and compared by index.  More are broadcast by
+    index and time bucket, so a row meets only requests near its time; the log
+    is not shuffled either way.  Beyond the broadcast limits both sides are
+    shuffled by index and time bucket, and a hot bucket can be spread over
+    ``salts`` tasks.
     """
-    if broadcast is None:
-        broadcast = fits_broadcast(requests)
-    if broadcast:
+    way = way or choose_way(requests)
+    if way == PLAIN:
         joined = logs.alias("log").join(
             F.broadcast(requests).alias("req"),
             (F.col(f"log.{log.index}") == F.col("req.index")) & _matches(log),
         )
     else:
-        joined = _bucketed_join(logs, requests, log, salts)
+        joined = _bucketed_join(logs, requests, log, salts, way == BROADCAST)
     return joined.select(
         F.col("req.id").alias("id"), *[F.col(f"log.`{name}`") for name in logs.columns]
     )
 
 
-def _bucket(seconds: Column, level: int) -> Column:
-    return times.floor_div(seconds, WIDTHS[level])
+def _bucket(seconds: str, level: int) -> str:
+    """Number of the bucket; all of time is one bucket on the open level."""
+    return "0L" if level == _OPEN else times.floor_div(seconds, WIDTHS[level])
+
+
+def _level(lo: str, hi: str) -> str:
+    """The first level whose buckets are at least as long as the request, so
+    that the request covers at most two of them."""
+    cases = " ".join(f"WHEN {hi} - {lo} <= {w} THEN {i}" for i, w in enumerate(WIDTHS))
+    return f"CASE WHEN gte IS NULL OR lte IS NULL THEN {_OPEN} {cases} ELSE {_OPEN} END"
 
 
 def _bucketed_join(
-    logs: DataFrame, requests: DataFrame, log: LogSide, salts: int
+    logs: DataFrame, requests: DataFrame, log: LogSide, salts: int, broadcast: bool
 ) -> DataFrame:
     time = TimeColumn.of(logs, log.time)
-    lo = times.unix_seconds(F.col("gte"), time.ntz)
-    hi = times.unix_seconds(F.col("lte"), time.ntz)
-    # the level whose width is at least the request's length: a request covers
-    # at most two buckets there
-    level = F.lit(_OPEN)
-    for i in reversed(range(_OPEN)):
-        level = F.when(hi - lo <= WIDTHS[i], F.lit(i)).otherwise(level)
-    level = F.when(F.col("gte").isNull() | F.col("lte").isNull(), _OPEN).otherwise(level)
-    buckets = F.array(F.lit(0).cast("bigint"))
-    for i in range(_OPEN):
-        covered = F.sequence(_bucket(lo, i), _bucket(hi, i))
-        buckets = F.when(F.col("_level") == i, covered).otherwise(buckets)
-    spread = F.sequence(F.lit(0), F.lit(salts - 1))
-    # a reversed range matches nothing
-    reversed_range = F.coalesce(F.col("gte") > F.col("lte"), F.lit(False))
+    lo, hi = (f"({times.unix_seconds(bound, time.ntz)})" for bound in ("gte", "lte"))
+    covered = " ".join(
+        f"WHEN {i} THEN sequence({_bucket(lo, i)}, {_bucket(hi, i)})"
+        for i in range(_OPEN)
+    )
     req = (
-        requests.where(~reversed_range)
-        .withColumn("_level", level)
-        .withColumn("_bucket", F.explode(buckets))
-        .withColumn("_salt", F.explode(spread))
+        # a reversed range matches nothing
+        requests.where("NOT coalesce(gte > lte, false)")
+        .withColumn("_level", F.expr(_level(lo, hi)))
+        .withColumn("_bucket", F.expr(f"explode(CASE _level {covered} ELSE array(0L) END)"))
+        .withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
     )
     # at most len(WIDTHS) + 1 values, whatever the number of requests
-    levels = sorted(r[0] for r in req.select("_level").distinct().collect())
-    seconds = time.seconds()
-    slots = [
-        F.struct(
-            F.lit(i).alias("_level"),
-            (_bucket(seconds, i) if i < _OPEN else F.lit(0).cast("bigint")).alias("_bucket"),
-        )
-        for i in levels
-    ]
-    if not slots:
-        slots = [F.struct(F.lit(-1).alias("_level"), F.lit(0).cast("bigint").alias("_bucket"))]
+    levels = sorted(row[0] for row in req.select("_level").distinct().collect())
+    seconds = f"({times.unix_seconds(time.sql, time.ntz)})"
+    slots = ", ".join(
+        f"named_struct('_level', {level}, '_bucket', {_bucket(seconds, level)})"
+        for level in levels or [_OPEN]
+    )
     names = [F.col(f"`{name}`") for name in logs.columns]
     side = logs.withColumn("_salt", _salt(logs, log, salts)).select(
-        *names, "_salt", F.inline(F.array(*slots))
+        *names, "_salt", F.expr(f"inline(array({slots}))")
     )
-    left, right = side.alias("log"), req.alias("req")
+    left = side.alias("log")
+    right = (F.broadcast(req) if broadcast else req).alias("req")
     keys = (F.col(f"log.{log.index}") == F.col("req.index")) & (
         F.col("log._level") == F.col("req._level")
     )
@@ -158,14 +156,14 @@ def request_counts(matched: DataFrame, requests: DataFrame) -> DataFrame:
 def request_histograms(matched: DataFrame, log: LogSide, seconds: int) -> DataFrame:
     """``(id, key, doc_count)``: a clock histogram per request."""
     time = TimeColumn.of(matched, log.time)
-    start = F.window(time.col, f"{seconds} seconds")["start"]
+    start = F.window(time.name, f"{seconds} seconds")["start"]
     counts = (
         matched.select("id", start.alias("start"))
         .groupBy("id", "start")
         .agg(F.count("*").alias("doc_count"))
     )
     return counts.select(
-        "id", times.unix_millis(F.col("start"), time.ntz).alias("key"), "doc_count"
+        "id", F.expr(times.unix_millis("start", time.ntz)).alias("key"), "doc_count"
     )
 
 

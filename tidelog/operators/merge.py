@@ -31,7 +31,7 @@ def merge_histograms(parts: DataFrame | list[DataFrame]) -> DataFrame:
         F.sum("doc_count").cast("bigint").alias("doc_count")
     )
     return merged.select(
-        "agg", "key", format_rfc3339(F.col("key")).alias("key_as_string"), "doc_count"
+        "agg", "key", F.expr(format_rfc3339("key")).alias("key_as_string"), "doc_count"
     ).orderBy("agg", "key")
 
 

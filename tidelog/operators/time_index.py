@@ -44,13 +44,15 @@ def refresh_time_index(index: DataFrame, tail: DataFrame) -> DataFrame:
 
 def _numbered(index: DataFrame, step_seconds: int) -> DataFrame:
     """Entries with their step as a running number."""
-    ntz = TimeColumn.of(index, "bucket").ntz
-    number = times.floor_div(
-        times.unix_seconds(F.col("bucket"), ntz) + times.YEAR_ONE_SECONDS, step_seconds
-    )
+    number = step_number(TimeColumn.of(index, "bucket"), step_seconds)
     return index.select(number.alias("step"), "first_ts", "position")
 
 
+def step_number(time: TimeColumn, step_seconds: int) -> Column:
+    seconds = f"({times.unix_seconds(time.sql, time.ntz)} + {times.YEAR_ONE_SECONDS}L)"
+    return F.expr(times.floor_div(seconds, step_seconds))
+
+
 def _with_neighbours(entries: DataFrame) -> DataFrame:
     """Add the previous entry's position and the next entry's step and position.
 
@@ -58,7 +60,7 @@ def _with_neighbours(entries: DataFrame) -> DataFrame:
     ends of those groups are ordered together: with hourly steps that is one
     row for half a year of log.
     """
-    entries = entries.withColumn("group", times.floor_div(F.col("step"), GROUP))
+    entries = entries.withColumn("group", F.expr(times.floor_div("step", GROUP)))
     ends = entries.groupBy("group").agg(
         F.max("step").alias("tail"),
         F.max_by("position", "step").alias("tail_position"),
@@ -112,8 +114,7 @@ def _lookup(
     requests: DataFrame, index: DataFrame, ts: str, step_seconds: int
 ) -> DataFrame:
     """Requests with the entries around their step."""
-    time = TimeColumn.of(requests, ts)
-    at = times.floor_div(time.seconds() + times.YEAR_ONE_SECONDS, step_seconds)
+    at = step_number(TimeColumn.of(requests, ts), step_seconds)
     return requests.withColumn("_step", at).join(
         _steps(index, step_seconds), F.col("_step") == F.col("step"), "left"
     )
@@ -152,10 +153,8 @@ def end_positions(
     first = _edge(index, F.min_by)
     found = _lookup(requests, index, ts, step_seconds)
     ntz = TimeColumn.of(requests, ts).ntz
-    into_step = F.pmod(
-        times.unix_micros(F.col("first_ts"), ntz) + times.YEAR_ONE_SECONDS * 1_000_000,
-        F.lit(step_seconds * 1_000_000),
-    )
+    since = f"{times.unix_micros('first_ts', ntz)} + {times.YEAR_ONE_SECONDS}000000L"
+    into_step = F.expr(f"pmod({since}, {step_seconds}000000L)")
     position = (
         F.when(asked < first["first_ts"], first["position"])
         .when((F.col("first_ts") > asked) | (into_step == 0), F.col("own"))
