@@ -25,8 +25,6 @@ from tidelog.operators import merge
 from tidelog.operators.predicates import RANGE_KEY, request_bounds, scan_filter
 from tidelog.sources.index import DOCUMENT, LogIndex
 
-_HEALTH = "total int, successful int, skipped int, failed int, timed_out boolean"
-
 
 @dataclass(frozen=True)
 class SearchResult:
@@ -38,11 +36,24 @@ class SearchResult:
 
     hits: DataFrame
     summary: DataFrame
-    health: DataFrame
     names: tuple[str, ...]
     size: int | None
+    sources: int = 1
+    unknown: int = 0
     filtered: DataFrame | None = None
 
+    @property
+    def health(self) -> DataFrame:
+        """One row: sources asked, answered, skipped and failed."""
+        total = self.sources + self.unknown
+        return self.hits.sparkSession.range(1).selectExpr(
+            f"{total} AS total",
+            f"{self.sources} AS successful",
+            "0 AS skipped",
+            f"{self.unknown} AS failed",
+            "false AS timed_out",
+        )
+
     @property
     def aggs(self) -> DataFrame:
         """``(agg, key, key_as_string, doc_count)`` in ascending key order."""
@@ -64,7 +75,6 @@ class SearchResult:
         found = [json.loads(row[0]) for row in hit_documents(self.hits).collect()]
         buckets = self.summary.collect()  # one row per bucket
         health = self.health.first().asDict()
-        timed_out = health.pop("timed_out")
         aggs: dict[str, Any] = {name: {"buckets": []} for name in self.names}
         for row in sorted((r for r in buckets if r.agg is not None), key=lambda r: r.key):
             aggs[row.agg]["buckets"].append(
@@ -78,7 +88,7 @@ class SearchResult:
         scores = [hit.get("_score", 0.0) for hit in found]
         return {
             "took": int((clock.monotonic() - start) * 1000),
-            "timed_out": timed_out,
+            "timed_out": health.pop("timed_out"),
             "_shards": health,
             "hits": {
                 "total": {"value": total, "relation": "eq"},
@@ -158,25 +168,43 @@ def search(
     """Filter, hits, histograms and totals for one source.
 
     ``extensions`` honours request keys that are otherwise accepted without
-    effect: ``should``, ``time_zone``, ``docvalue_fields``, ``_source``.
+    effect: ``should``, ``time_zone``, ``min_doc_count``, ``docvalue_fields``
+    and ``_source``.
     """
     query = request.get("query")
     filtered = index.df.where(scan_filter(index, query, use_should=extensions))
     if persist:
         filtered = filtered.persist(StorageLevel.MEMORY_AND_DISK)
     histograms = request_histograms(index, request, extensions)
+    summary = hist.summarise(filtered, histograms)
+    if extensions:
+        summary = _with_min_counts(summary, histograms, request.get("aggs") or {})
     return SearchResult(
         hits=_hit_rows(index, filtered, request).select(
             *_hit_columns(index, request, extensions)
         ),
-        summary=hist.summarise(filtered, histograms),
-        health=index.df.sparkSession.createDataFrame([(1, 1, 0, 0, False)], _HEALTH),
+        summary=summary,
         names=tuple(request.get("aggs") or {}),
         size=request.get("size"),
         filtered=filtered if persist else None,
     )
 
 
+def _with_min_counts(
+    summary: DataFrame, histograms: list[hist.Histogram], aggs: Mapping[str, Any]
+) -> DataFrame:
+    """Extension: drop buckets below ``min_doc_count``, or add the empty ones."""
+    for h in histograms:
+        least = aggs[h.name]["date_histogram"].get("min_doc_count", 1)
+        mine = F.col("agg").eqNullSafe(F.lit(h.name))
+        if least > 1:
+            summary = summary.where(~mine | (F.col("doc_count") >= least))
+        elif least == 0:
+            filled = hist.fill_gaps(summary.where(mine), h)
+            summary = summary.where(~mine).unionByName(filled)
+    return summary
+
+
 def _hit_rows(
     index: LogIndex, filtered: DataFrame, request: Mapping[str, Any]
 ) -> DataFrame:
@@ -237,15 +265,13 @@ def search_many(
         F.col("_text"),
     ]
     merged = hit_ops.limit_rows(hits, order, size).drop("_number", "_text")
-    spark = sources[0].df.sparkSession
-    failed = [(1, 0, 0, 1, False)] * len(unknown or [])
-    health = [(1, 1, 0, 0, False)] * len(sources) + failed
     return SearchResult(
         hits=merged,
         summary=merge.merge_histograms([part.summary for part in parts]),
-        health=merge.merge_health(spark.createDataFrame(health, _HEALTH)),
         names=parts[0].names,
         size=size,
+        sources=len(sources),
+        unknown=len(unknown or []),
     )
 
 
