@@ -28,6 +28,11 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(packed)))
 
 
+def row_json(*columns: str) -> Column:
+    """Columns as one JSON object; missing values stay, as JSON null."""
+    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+
+
 def key_path(key: str) -> str:
     """Path of a top-level key; dots in the key are part of its name."""
     if "'" not in key:

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.functions.documents import row_json
 from tidelog.functions.intervals import columnar_interval, document_interval
 from tidelog.functions.times import TimeColumn, utc_offset_minutes
 from tidelog.operators import hits as hit_ops
@@ -120,7 +121,7 @@ def totals_of(summary: DataFrame) -> DataFrame:
 
 def hit_documents(hits: DataFrame) -> DataFrame:
     """Hits as JSON text."""
-    return hits.select(F.to_json(F.struct("*")).alias("value"))
+    return hits.select(row_json("*").alias("value"))
 
 
 def request_histograms(

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidelog.functions.documents import row_json
 from tidelog.functions.times import TimeColumn
 
 # Declared field types and the Spark type each one is read as.
@@ -94,7 +95,7 @@ class LogIndex:
         """The whole row as text: the raw line, else the row as JSON."""
         if self.raw is not None:
             return F.col(self.raw)
-        return F.to_json(F.struct(*self.source_columns))
+        return row_json(*self.source_columns)
 
     def source(self) -> Column:
         """The whole row as one value."""

@@ -13,6 +13,7 @@ from tidelog.functions.documents import (
     document_time,
     field_as,
     parse_documents,
+    row_json,
 )
 from tidelog.sources.index import FIELD_TYPES, Field, LogIndex, log_index
 
@@ -79,7 +80,7 @@ def declared_fields(df: DataFrame) -> dict[str, Field]:
 
 def row_documents(df: DataFrame, name: str = "doc_json") -> DataFrame:
     """Every row as one JSON object text."""
-    return df.select(F.to_json(F.struct("*")).alias(name))
+    return df.select(row_json("*").alias(name))
 
 
 def jdbc_options(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.documents import row_json
 from tidelog.functions.times import TimeColumn, parse_instant
 from tidelog.sources.index import LogIndex, log_index
 
@@ -58,4 +59,4 @@ def pruned_scan(spark: SparkSession, path: str, time: str, gte, lte) -> DataFram
 
 def write_json_lines(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One JSON object per row."""
-    df.select(F.to_json(F.struct("*")).alias("value")).write.mode(mode).text(path)
+    df.select(row_json("*").alias("value")).write.mode(mode).text(path)
