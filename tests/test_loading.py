@@ -1,0 +1,99 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tests.conftest import plan_of
+from tidelog import ingest_new_files, pruned_scan, write_time_table
+from tidelog.sources.shared import shared_folder
+
+FIELDS = {"datetime": {"type": "date"}, "message": {"type": "text"}, "n": {"type": "long"}}
+
+
+def write_lines(path, name, rows):
+    os.makedirs(path, exist_ok=True)
+    with open(f"{path}/{name}", "w") as out:
+        out.writelines(json.dumps(row) + "\n" for row in rows)
+
+
+def row(day, n):
+    return {"datetime": f"2024-01-{day:02d}T00:00:00.5Z", "message": "m", "n": n, "extra": [1]}
+
+
+def test_incremental_load(spark, tmp_path):
+    source, target, state = (str(tmp_path / name) for name in ("in", "table", "state"))
+
+    def load():
+        query = ingest_new_files(spark, source, target, state, FIELDS, "datetime", max_files=1)
+        query.awaitTermination()
+        loaded = spark.read.parquet(target)
+        return sorted((str(r.dt), r.n) for r in loaded.select("dt", "n").collect())
+
+    write_lines(source, "a.json", [row(1, 1), row(2, 2), {"message": "no time"}])
+    with open(f"{source}/a.json", "a") as out:
+        out.write("{broken\n")
+    assert load() == [("2024-01-01", 1), ("2024-01-02", 2)]
+    assert load() == [("2024-01-01", 1), ("2024-01-02", 2)]
+    write_lines(source, "b.json", [row(2, 3)])
+    write_lines(source, "c.json", [row(2, 2)])
+    assert load() == [
+        ("2024-01-01", 1),
+        ("2024-01-02", 2),
+        ("2024-01-02", 2),
+        ("2024-01-02", 3),
+    ]
+    assert [(f.name, f.dataType.simpleString()) for f in spark.read.parquet(target).schema] == [
+        ("datetime", "timestamp"),
+        ("message", "string"),
+        ("n", "bigint"),
+        ("dt", "date"),
+    ]
+
+
+@pytest.fixture
+def busy_day(spark):
+    """A third of the rows is one instant of one day."""
+    return spark.range(60_000).select(
+        "id",
+        F.expr(
+            "CASE WHEN id % 3 = 0 THEN TIMESTAMP_NTZ'2024-01-05 06:07:08' ELSE "
+            "timestampadd(MINUTE, CAST(id % 14400 AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') END"
+        ).alias("ts"),
+        F.sha2(F.col("id").cast("string"), 512).alias("text"),
+    )
+
+
+def test_a_hot_day_is_written_by_several_tasks(spark, busy_day, tmp_path):
+    path = str(tmp_path / "table")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "200KB")
+    try:
+        write_time_table(busy_day.repartition(16), path, "ts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = [name for name in os.listdir(f"{path}/dt=2024-01-05") if name.endswith(".parquet")]
+    assert len(files) > 1
+    assert spark.read.parquet(path).count() == 60_000
+    one = spark.read.parquet(f"{path}/dt=2024-01-05/{files[0]}").select("ts").collect()
+    assert one == sorted(one)
+
+
+def test_range_reads_only_its_dates(spark, busy_day, tmp_path):
+    path = str(tmp_path / "table")
+    write_time_table(busy_day, path, "ts")
+    gte, lte = "2024-01-03T12:00:00Z", "2024-01-04T12:00:00Z"
+    rows = pruned_scan(spark, path, "ts", gte, lte)
+    in_range = "ts BETWEEN TIMESTAMP_NTZ'2024-01-03 12:00:00' AND TIMESTAMP_NTZ'2024-01-04 12:00:00'"
+    assert rows.count() == busy_day.where(in_range).count() > 0
+    plan = plan_of(rows)
+    assert "PartitionFilters: [isnotnull(dt" in plan
+    days = {part.split("dt=")[1][:10] for part in rows.inputFiles()}
+    read = rows.select(F.input_file_name().alias("f")).distinct().collect()
+    assert {r.f.split("dt=")[1][:10] for r in read} == {"2024-01-03", "2024-01-04"} <= days
+    assert pruned_scan(spark, path, "ts", None, None).count() == 60_000
+
+
+def test_shared_folder(spark, monkeypatch):
+    base = spark.conf.get("spark.checkpoint.dir")
+    first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
+    assert first != second and first.startswith(base)

@@ -26,7 +26,7 @@ def hit_columns(index: LogIndex, source: Column | None = None) -> list[Column]:
 
 
 def project_hits(index: LogIndex, df: DataFrame, with_uuid: bool = False) -> DataFrame:
-    """Rows as hits; ``with_uuid`` gives a fresh random id on every evaluation."""
+    """Rows as hits; ``with_uuid`` gives random ids, new ones on every call."""
     hits = df.select(*hit_columns(index))
     return hits.withColumn("_id", F.uuid()) if with_uuid else hits
 
