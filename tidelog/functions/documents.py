@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tidelog.functions.times import parse_rfc3339
 
+_END = "end of line"
+
 
 def allow_repeated_keys(spark: SparkSession) -> None:
     """Repeated keys in one document: the last value wins, as in most readers.
@@ -65,18 +67,15 @@ def parse_documents(df: DataFrame, raw: str, doc: str = "doc") -> DataFrame:
     """Add ``doc``: the JSON object in ``raw``, NULL when it is not exactly one.
 
     Spark's parser stops after the first value of a line.  The line is put in
-    an array behind its own length, so that trailing text makes the array
-    malformed or changes its elements.
+    an array before an end mark, so that trailing text makes the array
+    malformed or moves the mark.
     """
     line = F.col(raw)
-    length = F.length(line)
-    framed = F.try_parse_json(
-        F.concat(F.lit("["), line, F.lit(","), length.cast("string"), F.lit("]"))
-    )
+    framed = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_END}"]')))
     df = compute_once(df, _framed=framed)
     whole = (
-        line.rlike(r"^\s*\{")
-        & F.try_variant_get("_framed", "$[1]", "bigint").eqNullSafe(length)
+        F.ltrim(line, F.lit(" \t\r")).startswith("{")
+        & F.try_variant_get("_framed", "$[1]", "string").eqNullSafe(F.lit(_END))
         & F.try_variant_get("_framed", "$[2]", "variant").isNull()
     )
     value = F.when(whole, F.try_variant_get("_framed", "$[0]", "variant"))

@@ -194,9 +194,7 @@ def parse_rfc3339(text: Column) -> Column:
     The pattern keeps out the other forms Spark would accept (bare dates,
     missing offset).  Digits beyond microseconds are cut off.
     """
-    dotted = F.regexp_replace(text, r"[.,](\d{1,6})\d*", r".$1")
-    plain = text.rlike(r"^.{19}(Z|[+-])")
+    dotted = F.when(text.contains(","), F.replace(text, F.lit(","), F.lit(".")))
     return F.when(
-        text.rlike(RFC3339),
-        F.try_to_timestamp(F.when(plain, text).otherwise(dotted)),
+        text.rlike(RFC3339), F.try_to_timestamp(F.coalesce(dotted, text))
     )

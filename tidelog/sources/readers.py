@@ -15,6 +15,7 @@ from tidelog.functions.documents import (
     parse_documents,
     row_json,
 )
+from tidelog.functions.times import parse_rfc3339
 from tidelog.sources.index import FIELD_TYPES, Field, LogIndex, log_index
 
 
@@ -25,7 +26,8 @@ def parse_log_lines(df: DataFrame, raw: str, time_field: str) -> DataFrame:
     is parsed once; filters on the raw text run before the parse.
     """
     df = parse_documents(df, raw)
-    return compute_once(df, ts=document_time(F.col("doc"), time_field))
+    df = compute_once(df, _time=field_as(F.col("doc"), time_field, "string"))
+    return compute_once(df, ts=parse_rfc3339(F.col("_time"))).drop("_time")
 
 
 def read_json_lines(
