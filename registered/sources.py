@@ -21,7 +21,7 @@ from tidelog import apply_schema, log_index, pruned_scan, read_json_lines, write
 from tidelog.functions import times
 from tidelog.functions.documents import field_as, field_value, has_field, parse_documents
 from tidelog.operators.describe import field_indices, field_profile, index_summary
-from tidelog.sources.readers import row_documents
+from tidelog.sources.readers import parse_declared, row_documents
 from tidelog.sources.shared import shared_folder
 from tidelog.sources.writers import write_json_lines
 from tidelog.streaming.ingest import ingest_new_files
@@ -97,6 +97,17 @@ def declared_schema(spark, folder):
     return apply_schema(docs, {"k": {"type": "long"}}, keep=["event_id"])
 
 
+@register(
+    "declared_lines",
+    "SELECT event_id, epoch_us(ts) AS us, event_type AS message FROM events",
+)
+def declared_lines(spark, folder):
+    """JSON lines straight to the declared columns."""
+    lines = spark.read.text(event_lines(spark, folder))
+    typed = parse_declared(lines, "value", LINE_FIELDS)
+    return typed.select("event_id", F.unix_micros("datetime").alias("us"), "message")
+
+
 @register(
     "load_typed_table",
     "SELECT strftime(ts, '%Y-%m-%d') AS day, CAST(count(*) AS BIGINT) AS n_rows, "
@@ -105,9 +116,9 @@ def declared_schema(spark, folder):
 )
 def load_typed_table(spark, folder):
     """JSON lines to a typed table, partitioned by date and ordered by time."""
-    lines = read_json_lines(spark, event_lines(spark, folder), "datetime")
+    lines = spark.read.text(event_lines(spark, folder))
     path = shared_folder(spark, "typed-table")
-    write_time_table(apply_schema(lines, LINE_FIELDS), path, "datetime")
+    write_time_table(parse_declared(lines, "value", LINE_FIELDS), path, "datetime")
     loaded = spark.read.parquet(path)
     return loaded.groupBy(F.col("dt").cast("string").alias("day")).agg(
         F.count("*").alias("n_rows"),

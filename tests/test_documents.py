@@ -11,7 +11,7 @@ from tidelog.functions.documents import (
     parse_documents,
     string_field_equals,
 )
-from tidelog.sources.readers import declared_fields, row_documents
+from tidelog.sources.readers import declared_fields, parse_declared, row_documents
 
 LINES = {
     "normal": '{"datetime":"2024-01-01T00:00:00Z","message":"a b"}',
@@ -122,6 +122,17 @@ def test_declared_schema(lines):
     assert named(typed.where("message = '7'")) == {"number message"}
 
 
+def test_both_ways_to_typed_columns_agree(spark, lines):
+    fields = {"datetime": {"type": "date"}, "message": {"type": "text"}, "n": {"type": "long"}}
+    extra = ['{"n":7}', '{"n":"8"}', '{"n":null}', '{"n":[1]}', '{"n":9007199254740993}']
+    more = spark.createDataFrame([(line,) for line in extra], "raw string")
+    raw = lines.select("raw").unionByName(more)
+    direct = parse_declared(raw, "raw", fields, keep=["raw"])
+    through = apply_schema(parse_documents(raw, "raw"), fields, keep=["raw"])
+    assert direct.schema == through.schema
+    assert sorted(direct.collect(), key=str) == sorted(through.collect(), key=str)
+
+
 def test_rows_become_documents(spark):
     df = spark.sql("SELECT 1 AS a, 'x' AS b, TIMESTAMP_NTZ'2024-01-01 00:00:00' AS t")
     assert json.loads(row_documents(df).first()[0])["b"] == "x"

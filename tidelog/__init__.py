@@ -6,6 +6,7 @@ from tidelog.sources.index import Field, LogIndex, log_index
 from tidelog.sources.readers import (
     apply_schema,
     json_lines_index,
+    parse_declared,
     read_jdbc,
     read_json_lines,
 )
@@ -21,6 +22,7 @@ __all__ = [
     "json_lines_index",
     "log_index",
     "open_index",
+    "parse_declared",
     "pruned_scan",
     "read_jdbc",
     "read_json_lines",

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelog.functions.documents import (
     allow_repeated_keys,
@@ -18,6 +19,9 @@ from tidelog.functions.documents import (
 from tidelog.functions.times import parse_rfc3339
 from tidelog.sources.index import FIELD_TYPES, Field, LogIndex, log_index
 
+# Options that make Spark's JSON reader refuse what is not JSON.
+STRICT_JSON = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def parse_log_lines(df: DataFrame, raw: str, time_field: str) -> DataFrame:
     """Add ``doc`` and ``ts`` to raw lines.
@@ -73,6 +77,36 @@ def apply_schema(
     return df.select(*columns)
 
 
+def parse_declared(
+    df: DataFrame,
+    raw: str,
+    fields: Mapping[str, Field | Mapping],
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Raw lines straight to typed columns: the way for loading.
+
+    Only the declared keys are decoded, in one pass that costs about two
+    thirds of going through a document.  Lines that are not one JSON object
+    give a row of NULLs.  Integers are JSON integers or text holding one.
+    """
+    declared = {name: Field.of(value) for name, value in fields.items()}
+    row = T.StructType([T.StructField(name, T.StringType()) for name in declared])
+    # the empty object behind the line makes trailing text malformed
+    framed = F.concat(F.lit("["), F.col(raw), F.lit(",{}]"))
+    df = compute_once(df, _rows=F.from_json(framed, T.ArrayType(row), STRICT_JSON))
+    one_object = (F.size("_rows") == 2) & F.ltrim(raw, F.lit(" \t\r")).startswith("{")
+    first = F.when(one_object, F.col("_rows")[0])
+    columns = [F.col(name) for name in keep or []]
+    for name, field in declared.items():
+        value = first.getField(name)
+        if field.type == "date":
+            value = parse_rfc3339(value)
+        else:
+            value = value.try_cast(FIELD_TYPES[field.type])
+        columns.append(value.alias(name, metadata=field.metadata))
+    return df.select(*columns)
+
+
 def declared_fields(df: DataFrame) -> dict[str, Field]:
     """The declaration that ``apply_schema`` left in the column metadata."""
     return {

@@ -8,9 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelog.functions.documents import allow_repeated_keys, parse_documents
 from tidelog.sources.index import Field
-from tidelog.sources.readers import apply_schema
+from tidelog.sources.readers import parse_declared
 from tidelog.sources.writers import DATE_PARTITION, with_date
 
 
@@ -21,12 +20,11 @@ def json_lines_stream(
     max_files: int | None = None,
 ) -> DataFrame:
     """New JSON-lines files as typed rows; the schema is the declaration."""
-    allow_repeated_keys(spark)
     reader = spark.readStream.format("text")
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
     lines = reader.load(path).select(F.col("value").alias("raw"))
-    return apply_schema(parse_documents(lines, "raw"), fields)
+    return parse_declared(lines, "raw", fields)
 
 
 def ingest_new_files(
