@@ -135,6 +135,56 @@ def test_a_request_covers_at_most_two_buckets(spark, data):
         assert spans.where(f"{n} > 1").count() == 0
 
 
+def test_a_hot_bucket_is_split_at_run_time(spark, tmp_path):
+    """Copies of one row share every key; the skewed partition is still split."""
+
+    def stored(df, name):
+        # constants of a generated table would be folded into the plan
+        df.write.parquet(str(tmp_path / name))
+        return spark.read.parquet(str(tmp_path / name))
+
+    copies = spark.range(0, 200_000, 1, 16).selectExpr(
+        "CAST(id AS INT) AS row",
+        "'hot' AS _index",
+        "TIMESTAMP_NTZ'2024-01-01 05:00:00' AS ts",
+        "CASE WHEN id % 3 = 0 THEN 'same text' ELSE sha2(CAST(id AS STRING), 256) END AS raw",
+    )
+    others = spark.range(0, 2_000, 1, 4).selectExpr(
+        "CAST(id AS INT) AS row",
+        "'hot' AS _index",
+        "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-02 00:00:00') AS ts",
+        "'same text' AS raw",
+    )
+    requests = spark.range(400).selectExpr(
+        "CAST(id AS INT) AS id",
+        "'hot' AS index",
+        "'same' AS q",
+        "timestampadd(HOUR, CAST(id AS INT) * 5, TIMESTAMP_NTZ'2024-01-01 05:00:00') AS gte",
+        "timestampadd(HOUR, CAST(id AS INT) * 5, TIMESTAMP_NTZ'2024-01-01 05:30:00') AS lte",
+    )
+    logs = stored(copies.unionByName(others), "logs")
+    requests = stored(requests, "requests")
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100KB",
+    }
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        found = many.match_requests(logs, requests, SIDE, way=many.SHUFFLE)
+        counts = many.request_counts(found, requests)
+        total = sum(r.n for r in counts.collect())
+        assert "skew=true" in counts._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key in small:
+            spark.conf.unset(key)
+    hours = {n for n in range(2_000)}
+    later = sum(1 for i in range(400) if i * 5 - 19 in hours)
+    assert total == (200_000 + 2) // 3 + later
+
+
 def test_no_requests(spark, data):
     logs, requests, _ = data
     for way, salts in WAYS:

@@ -119,6 +119,14 @@ def test_result_document_needs_a_size(typed):
         search(typed, {**REQUEST, "size": None}).to_document()
 
 
+def test_result_document_refuses_too_many_buckets(typed, monkeypatch):
+    monkeypatch.setattr("tidelog.plans.search.DOCUMENT_ROWS", 3)
+    with pytest.raises(ValueError, match="too many buckets"):
+        search(typed, REQUEST).to_document()
+    with pytest.raises(ValueError, match="size"):
+        search(typed, {**REQUEST, "size": 4}).to_document()
+
+
 def test_hits_can_be_written(typed, tmp_path):
     search(typed, {**REQUEST, "size": None}).write_hits(str(tmp_path / "out"))
     rows = typed.df.sparkSession.read.text(str(tmp_path / "out")).collect()

@@ -27,6 +27,10 @@ from tidelog.operators.predicates import RANGE_KEY, request_bounds, scan_filter
 from tidelog.sources.index import DOCUMENT, LogIndex
 
 
+# Most hits and most buckets that a result document may hold.
+DOCUMENT_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class SearchResult:
     """``hits`` and ``summary`` are independent jobs over the same filter.
@@ -68,13 +72,16 @@ class SearchResult:
     def to_document(self) -> dict[str, Any]:
         """The result as one nested document; runs both jobs.
 
-        Only for a bounded ``size``; use ``write_hits`` for whole results.
+        Only for results of a bounded size: larger ones stay DataFrames
+        (``hits``, ``aggs``) and are written with ``write_hits``.
         """
-        if self.size is None:
-            raise ValueError("a result document needs a size; see write_hits")
+        if self.size is None or self.size > DOCUMENT_ROWS:
+            raise ValueError(f"a result document needs a size up to {DOCUMENT_ROWS}")
         start = clock.monotonic()
+        buckets = self.summary.limit(DOCUMENT_ROWS + 1).collect()
+        if len(buckets) > DOCUMENT_ROWS:
+            raise ValueError("too many buckets for a result document; use aggs")
         found = [json.loads(row[0]) for row in hit_documents(self.hits).collect()]
-        buckets = self.summary.collect()  # one row per bucket
         health = self.health.first().asDict()
         aggs: dict[str, Any] = {name: {"buckets": []} for name in self.names}
         for row in sorted((r for r in buckets if r.agg is not None), key=lambda r: r.key):
