@@ -76,6 +76,18 @@ def multi_match_wildcard(spark, folder):
     return df.where(query_filter(index, query)).select("doc_id")
 
 
+@register(
+    "filter_multi_match_parts",
+    "SELECT doc_id FROM documents WHERE text LIKE '%the%on_the%ing%' "
+    "OR lang LIKE '%the%on_the%ing%'",
+)
+def multi_match_parts(spark, folder):
+    df = table(spark, folder, "documents")
+    index = log_index("documents", df, None, text=["text", "lang"])
+    query = bool_filter(must=[text("the%on_the%ing")])
+    return df.where(query_filter(index, query)).select("doc_id")
+
+
 @register(
     "filter_multi_match_literal",
     "SELECT doc_id FROM documents WHERE contains(text, '%%%') OR contains(lang, '%%%')",

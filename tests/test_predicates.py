@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidelog import log_index
 from tidelog.operators.predicates import (
     exclude,
+    like_text,
     one_filter,
     query_filter,
     request_bounds,
@@ -272,3 +273,20 @@ def test_random_filters_equal_a_row_at_a_time_reading(columnar, spec):
     assert ids(columnar, test) == expected
     assert ids(columnar, exclude(test)) == [i for i in ALL if i not in expected]
     assert columnar.df.where(test.isNull()).count() == 0
+
+
+TEXTS = st.text(alphabet="ab_%\\.*é\n", max_size=8)
+
+
+@settings(
+    max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+@given(queries=st.lists(TEXTS, min_size=20, max_size=20), texts=st.lists(TEXTS, min_size=5, max_size=30))
+def test_wildcards_equal_like(spark, queries, texts):
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string")
+    pairs = []
+    for query in queries:
+        like = F.col("t").like("%" + query.replace("\\", "\\\\") + "%")
+        pairs += [like_text(F.col("t"), query), F.coalesce(like, F.lit(False))]
+    for row in df.select(*pairs).collect():
+        assert row[0::2] == row[1::2]
