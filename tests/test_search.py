@@ -19,6 +19,7 @@ from tidelog.operators.hits import (
     requested_sort_field,
     time_order,
 )
+from tidelog.plans.dispatch import answer
 from tidelog.sources.composite import with_shard
 from tidelog.sources.readers import jdbc_options
 
@@ -203,6 +204,17 @@ def test_merge_equals_one_search_over_the_union(typed):
     assert whole.totals.first() == merged.totals.first()
 
 
+def test_requests_go_to_their_index(spark, lines, typed):
+    indexes = {"one": typed, "both": [lines, typed]}
+    requests = [("a", "one", REQUEST), ("b", "both", REQUEST), ("c", "gone", REQUEST)]
+    found = answer(spark, indexes, requests)
+    documents = {key: result.to_document() for key, result in found.items()}
+    totals = {key: d["hits"]["total"]["value"] for key, d in documents.items()}
+    assert totals == {"a": 7, "b": 14, "c": 0}
+    assert documents["c"]["_shards"] == {"total": 1, "successful": 0, "skipped": 0, "failed": 1}
+    assert documents["c"]["hits"]["hits"] == [] and documents["c"]["aggregations"] == {}
+
+
 def test_no_sources():
     for call in (lambda: search_many([], REQUEST), lambda: union_sources([])):
         with pytest.raises(ValueError, match="no sources"):
