@@ -64,6 +64,13 @@ def multi_search(spark, folder):
     return many.request_counts(found, requests(spark, folder))
 
 
+@register("multi_search_plain", COUNTS)
+def multi_search_plain(spark, folder):
+    """The way taken for a few requests."""
+    found = matched(spark, folder, way=many.PLAIN)
+    return many.request_counts(found, requests(spark, folder))
+
+
 @register("multi_search_bucketed", COUNTS)
 def multi_search_bucketed(spark, folder):
     """The way taken for many requests that still fit a broadcast."""

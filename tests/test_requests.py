@@ -115,14 +115,64 @@ def test_counts_hits_and_histograms(data, way, salts):
 
 def test_the_way_follows_the_size_of_the_requests(spark, monkeypatch):
     requests = spark.createDataFrame(request_rows(20), REQUEST_SCHEMA)
-    assert many.choose_way(requests) == many.PLAIN
+    profile = many.profile_requests(requests)
+    assert profile.n == 22 and profile.way == many.PLAIN
     monkeypatch.setattr(many, "PLAIN_ROWS", 10)
-    assert many.choose_way(requests) == many.BROADCAST
+    assert profile.way == many.BROADCAST
     monkeypatch.setattr(many, "BROADCAST_ROWS", 15)
-    assert many.choose_way(requests) == many.SHUFFLE
+    assert profile.way == many.SHUFFLE
     monkeypatch.setattr(many, "BROADCAST_ROWS", 100)
     monkeypatch.setattr(many, "BROADCAST_CHARS", 5)
-    assert many.choose_way(requests) == many.SHUFFLE
+    assert profile.way == many.SHUFFLE
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_the_log_is_cut_to_the_range_of_all_requests(spark, in_new_york, kind):
+    zone = "+00:00" if kind == "timestamp" else ""
+    at = lambda text: f"{kind}'2024-01-{text}{zone}'"
+    logs = spark.range(1).selectExpr(
+        f"explode(array({at('01 00:00:00')}, {at('03 04:00:00')}, {at('09 00:00:00')}, "
+        f"CAST(NULL AS {kind}))) AS ts",
+        "'a' AS _index",
+        "'x' AS raw",
+    )
+    bounded = spark.range(2).selectExpr(
+        "id", "'a' AS index", "'x' AS q", f"{at('02 00:00:00')} AS gte", f"{at('08 00:00:00')} AS lte"
+    )
+    profile = many.profile_requests(bounded)
+    assert (profile.gte.isoformat(), profile.lte.isoformat()) == (
+        "2024-01-02T00:00:00+00:00",
+        "2024-01-08T00:00:00+00:00",
+    )
+    side = many.LogSide()
+    assert many._enclosing(logs, side, profile).count() == 1
+    half_open = bounded.selectExpr("id", "index", "q", "nullif(gte, gte) AS gte", "lte")
+    assert many.profile_requests(half_open).gte is None
+    open_ended = half_open.selectExpr("id", "index", "q", "gte", "gte AS lte")
+    for way, salts in WAYS:
+        for requests, n in ((bounded, 2), (half_open, 4), (open_ended, 8)):
+            found = many.match_requests(logs, requests, side, way=way, salts=salts)
+            assert found.count() == n
+
+
+def test_dates_of_a_time_table_are_pruned(spark, tmp_path):
+    from tests.conftest import plan_of
+    from tidelog import write_time_table
+
+    logs = spark.range(240).selectExpr(
+        "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts",
+        "'a' AS _index",
+        "'x' AS raw",
+    )
+    write_time_table(logs, str(tmp_path / "t"), "ts")
+    requests = spark.range(1).selectExpr(
+        "id", "'a' AS index", "CAST(NULL AS STRING) AS q",
+        "TIMESTAMP_NTZ'2024-01-03 12:00:00' AS gte", "TIMESTAMP_NTZ'2024-01-04 11:00:00' AS lte",
+    )
+    side = many.LogSide(partition="dt")
+    found = many.match_requests(spark.read.parquet(str(tmp_path / "t")), requests, side)
+    assert "(dt#" in plan_of(found).split("PartitionFilters: ")[1].split("]")[0]
+    assert found.count() == 24
 
 
 def test_a_request_covers_at_most_two_buckets(spark, data):

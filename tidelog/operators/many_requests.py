@@ -7,6 +7,7 @@ means no condition.  The log side has ``(_index, ts, raw)`` at least.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,33 +22,63 @@ _OPEN = len(WIDTHS)
 
 # How requests meet the log, by their number and total text length.
 PLAIN, BROADCAST, SHUFFLE = "plain", "broadcast", "shuffle"
-PLAIN_ROWS = 1_000
+PLAIN_ROWS = 64
 BROADCAST_ROWS = 100_000
 BROADCAST_CHARS = 32 << 20
 
 
 @dataclass(frozen=True)
 class LogSide:
-    """Which columns of the log a request is matched against."""
+    """Which columns of the log a request is matched against.
+
+    ``partition`` is the DATE column of a time table, if the log is one.
+    """
 
     index: str = "_index"
     time: str = "ts"
     raw: str = "raw"
     id: str | None = None
+    partition: str | None = None
 
 
-def choose_way(requests: DataFrame) -> str:
-    """Measure the requests; looks at no more than BROADCAST_ROWS + 1 of them."""
-    text = F.expr("coalesce(length(q), 0) + coalesce(length(index), 0)")
-    n, size = (
-        requests.select(text.alias("text"))
-        .limit(BROADCAST_ROWS + 1)
-        .agg(F.count("*"), F.coalesce(F.sum("text"), F.lit(0)))
-        .first()
-    )
-    if n > BROADCAST_ROWS or size > BROADCAST_CHARS:
-        return SHUFFLE
-    return PLAIN if n <= PLAIN_ROWS else BROADCAST
+@dataclass(frozen=True)
+class RequestsProfile:
+    """What is measured of the requests, in one aggregation.
+
+    ``gte`` and ``lte`` enclose all requests, None where one of them is open.
+    ``levels`` are the bucket widths in use: at most len(WIDTHS) + 1.
+    """
+
+    n: int
+    chars: int
+    levels: tuple[int, ...]
+    gte: datetime | None
+    lte: datetime | None
+
+    @property
+    def way(self) -> str:
+        if self.n > BROADCAST_ROWS or self.chars > BROADCAST_CHARS:
+            return SHUFFLE
+        return PLAIN if self.n <= PLAIN_ROWS else BROADCAST
+
+
+def profile_requests(requests: DataFrame) -> RequestsProfile:
+    ntz = TimeColumn.of(requests, "gte").ntz
+    lo, hi = _bounds(ntz)
+    row = requests.selectExpr(
+        "count(*) AS n",
+        "coalesce(sum(coalesce(length(q), 0) + coalesce(length(index), 0)), 0) AS chars",
+        f"collect_set({_level(lo, hi)}) AS levels",
+        f"CASE WHEN count(*) = count(gte) THEN {times.unix_micros('min(gte)', ntz)} END AS gte",
+        f"CASE WHEN count(*) = count(lte) THEN {times.unix_micros('max(lte)', ntz)} END AS lte",
+    ).first()
+    gte, lte = (None if us is None else times.micros_instant(us) for us in (row.gte, row.lte))
+    return RequestsProfile(row.n, row.chars, tuple(sorted(row.levels)), gte, lte)
+
+
+def _bounds(ntz: bool) -> tuple[str, str]:
+    """Unix seconds of a request's bounds."""
+    return tuple(f"({times.unix_seconds(bound, ntz)})" for bound in ("gte", "lte"))
 
 
 def _matches(log: LogSide) -> Column:
@@ -73,21 +104,38 @@ def match_requests(
     index and time bucket, so a row meets only requests near its time; the log
     is not shuffled either way.  Beyond the broadcast limits both sides are
     shuffled by index and time bucket, and a hot bucket can be spread over
-    ``salts`` tasks.
+    ``salts`` tasks.  The log is first cut to the range that encloses all
+    requests.
     """
-    way = way or choose_way(requests)
+    profile = profile_requests(requests)
+    way = way or profile.way
+    logs = _enclosing(logs, log, profile)
     if way == PLAIN:
         joined = logs.alias("log").join(
             F.broadcast(requests).alias("req"),
             (F.col(f"log.{log.index}") == F.col("req.index")) & _matches(log),
         )
     else:
-        joined = _bucketed_join(logs, requests, log, salts, way == BROADCAST)
+        levels = profile.levels or (_OPEN,)
+        joined = _bucketed_join(logs, requests, log, levels, salts, way == BROADCAST)
     return joined.select(
         F.col("req.id").alias("id"), *[F.col(f"log.`{name}`") for name in logs.columns]
     )
 
 
+def _enclosing(logs: DataFrame, log: LogSide, profile: RequestsProfile) -> DataFrame:
+    """Log rows that can match at all; pushed to the scan."""
+    time = TimeColumn.of(logs, log.time)
+    logs = logs.where(time.between(profile.gte, profile.lte))
+    if log.partition is not None:
+        day = times.quoted(log.partition)
+        if profile.gte is not None:
+            logs = logs.where(f"{day} >= DATE'{profile.gte.date()}'")
+        if profile.lte is not None:
+            logs = logs.where(f"{day} <= DATE'{profile.lte.date()}'")
+    return logs
+
+
 def _bucket(seconds: str, level: int) -> str:
     """Number of the bucket; all of time is one bucket on the open level."""
     return "0L" if level == _OPEN else times.floor_div(seconds, WIDTHS[level])
@@ -101,10 +149,15 @@ def _level(lo: str, hi: str) -> str:
 
 
 def _bucketed_join(
-    logs: DataFrame, requests: DataFrame, log: LogSide, salts: int, broadcast: bool
+    logs: DataFrame,
+    requests: DataFrame,
+    log: LogSide,
+    levels: tuple[int, ...],
+    salts: int,
+    broadcast: bool,
 ) -> DataFrame:
     time = TimeColumn.of(logs, log.time)
-    lo, hi = (f"({times.unix_seconds(bound, time.ntz)})" for bound in ("gte", "lte"))
+    lo, hi = _bounds(time.ntz)
     covered = " ".join(
         f"WHEN {i} THEN sequence({_bucket(lo, i)}, {_bucket(hi, i)})"
         for i in range(_OPEN)
@@ -116,12 +169,10 @@ def _bucketed_join(
         .withColumn("_bucket", F.expr(f"explode(CASE _level {covered} ELSE array(0L) END)"))
         .withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
     )
-    # at most len(WIDTHS) + 1 values, whatever the number of requests
-    levels = sorted(row[0] for row in req.select("_level").distinct().collect())
     seconds = f"({times.unix_seconds(time.sql, time.ntz)})"
     slots = ", ".join(
         f"named_struct('_level', {level}, '_bucket', {_bucket(seconds, level)})"
-        for level in levels or [_OPEN]
+        for level in levels
     )
     names = [F.col(f"`{name}`") for name in logs.columns]
     side = logs.withColumn("_salt", _salt(logs, log, salts)).select(
