@@ -155,6 +155,13 @@ def test_the_log_is_cut_to_the_range_of_all_requests(spark, in_new_york, kind):
             assert found.count() == n
 
 
+def test_kinds_of_timestamps_do_not_mix(data):
+    logs, requests, _ = data
+    other = logs.withColumn("ts", logs["ts"].cast("timestamp"))
+    with pytest.raises(ValueError, match="same kind"):
+        many.match_requests(other, requests, SIDE)
+
+
 def test_dates_of_a_time_table_are_pruned(spark, tmp_path):
     from tests.conftest import plan_of
     from tidelog import write_time_table

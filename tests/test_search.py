@@ -142,6 +142,12 @@ def test_missing_values_stay_in_written_hits(spark, tmp_path):
     assert json.loads(row.value)["_source"]["m"] is None
 
 
+def test_source_holds_every_column_of_a_typed_table(typed):
+    raw = log_index("x", typed.df, "datetime", raw="message")
+    row = search(raw, {"size": 1}).hits.first()
+    assert set(row._source.asDict()) == {"datetime", "message", "n"}
+
+
 def test_order_of_hits(typed):
     assert messages(search(typed, REQUEST)) == ["m1", "m3", "m2"]
     descending = {**REQUEST, "sort": [{"datetime": {"order": "desc"}}]}

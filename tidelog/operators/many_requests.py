@@ -107,6 +107,8 @@ def match_requests(
     ``salts`` tasks.  The log is first cut to the range that encloses all
     requests.
     """
+    if TimeColumn.of(logs, log.time).ntz != TimeColumn.of(requests, "gte").ntz:
+        raise ValueError("the log and the requests need the same kind of timestamp")
     profile = profile_requests(requests)
     way = way or profile.way
     logs = _enclosing(logs, log, profile)

@@ -88,7 +88,7 @@ class LogIndex:
 
     @property
     def source_columns(self) -> list[str]:
-        hidden = {self.raw, self.doc, self.partition}
+        hidden = {self.doc, self.partition}
         return [name for name in self.df.columns if name not in hidden]
 
     def raw_text(self) -> Column:
