@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from registered.registry import events
 from registered.searches import ERRORS, TWO_HISTOGRAMS
 from tests.conftest import plan_of
-from tidelog import search, time_table_index, write_time_table
+from tidelog import log_index, search, time_table_index, write_time_table
 from tidelog.operators import many_requests as many
 
 
@@ -27,6 +27,18 @@ def test_filters_reach_the_scan(found):
     assert "StringContains(props" in pushed
 
 
+def test_instants_reach_the_scan_in_any_session_zone(spark, folder, in_new_york, tmp_path):
+    df = spark.read.parquet(f"{folder}/events.parquet")
+    zoned = df.selectExpr("event_id", "timestamp_micros(event_id * 1000000) AS t")
+    zoned.write.parquet(str(tmp_path / "zoned"))
+    index = log_index("x", spark.read.parquet(str(tmp_path / "zoned")), "t", id="event_id")
+    bounds = {"gte": "1970-01-01T00:00:10Z", "lte": "1970-01-01T00:00:20Z"}
+    query = {"bool": {"filter": [{"range": {"datetime": bounds}}]}}
+    kept = search(index, {"query": query}).hits
+    assert "PushedFilters: [IsNotNull(t), GreaterThanOrEqual(t," in plan_of(kept)
+    assert kept.count() == 11
+
+
 def test_histograms_read_only_the_columns_they_need(found):
     plan = plan_of(found.summary)
     assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,props:string>" in plan

@@ -20,7 +20,7 @@ from tidelog.operators.hits import (
     time_order,
 )
 from tidelog.plans.dispatch import answer
-from tidelog.sources.composite import with_shard
+from tidelog.sources.composite import combine_alike, with_shard
 from tidelog.sources.readers import jdbc_options
 
 FIELDS = {
@@ -221,6 +221,22 @@ def test_requests_go_to_their_index(spark, lines, typed):
     assert documents["c"]["hits"]["hits"] == [] and documents["c"]["aggregations"] == {}
 
 
+def test_alike_sources_are_combined(lines, typed):
+    other = log_index("typed", typed.df, "datetime", fields=FIELDS)
+    renamed = log_index("other", typed.df, "datetime", fields=FIELDS, id="n")
+    found = combine_alike([typed, lines, typed, other, typed, renamed])
+    assert [(s.name, s.id) for s in found] == [
+        ("typed", "n"),
+        ("example", None),
+        ("typed", None),
+        ("other", "n"),
+    ]
+    assert [s.df.count() for s in found] == [24, 9, 8, 8]
+    many = search_many([typed] * 40, REQUEST)
+    assert many.totals.first().total == 7 * 40
+    assert many.health.first().successful == 40
+
+
 def test_no_sources():
     for call in (lambda: search_many([], REQUEST), lambda: union_sources([])):
         with pytest.raises(ValueError, match="no sources"):

@@ -24,6 +24,7 @@ from tidelog.operators import hits as hit_ops
 from tidelog.operators import histogram as hist
 from tidelog.operators import merge
 from tidelog.operators.predicates import RANGE_KEY, request_bounds, scan_filter
+from tidelog.sources.composite import combine_alike
 from tidelog.sources.index import DOCUMENT, LogIndex
 
 
@@ -253,11 +254,13 @@ def search_many(
 
     Every source filters, aggregates and takes its top rows on its own, by its
     own flavour; only bucket rows and at most ``size`` hits per source meet.
+    Sources that follow the same rules are searched as one union.
     ``unknown`` names requested indexes that do not exist: they count as failed.
     Sources are merged by time, so only the time entries of ``sort`` apply.
     """
     if not sources:
         raise ValueError("no sources")
+    asked, sources = len(sources), combine_alike(sources)
     direction = _time_direction(sources[0], request)
     request = {**request, "sort": [{RANGE_KEY: {"order": direction}}]}
     parts = [search(each, request, extensions=extensions) for each in sources]
@@ -278,7 +281,7 @@ def search_many(
         summary=merge.merge_histograms([part.summary for part in parts]),
         names=parts[0].names,
         size=size,
-        sources=len(sources),
+        sources=asked,
         unknown=len(unknown or []),
     )
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from dataclasses import replace
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,6 +28,22 @@ def union_sources(sources: list[LogIndex]) -> DataFrame:
     return union_all([s.df.withColumn("_index", F.lit(s.name)) for s in sources])
 
 
+def combine_alike(sources: list[LogIndex]) -> list[LogIndex]:
+    """Sources that differ in their rows only, as one source each.
+
+    The parts of one declared index are alike, so a composite of hundreds of
+    parts is planned as one union instead of hundreds of searches.
+    """
+    groups: dict[tuple, list[LogIndex]] = {}
+    for source in sources:
+        rules = replace(source, df=None, fields=tuple(source.fields.items()))
+        groups.setdefault((rules, source.df.schema.json()), []).append(source)
+    return [
+        alike[0].with_df(union_all([each.df for each in alike]))
+        for alike in groups.values()
+    ]
+
+
 def with_shard(df: DataFrame, shard: Column | None = None) -> DataFrame:
     """Add ``_shard``: a given column, else the partition a row is read in."""
     return df.withColumn("_shard", F.spark_partition_id() if shard is None else shard)
