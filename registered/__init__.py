@@ -1,6 +1,15 @@
 """Registered queries, each with the SQL that must give the same rows."""
 
+from registered import (  # noqa: F401
+    extensions,
+    filters,
+    histograms,
+    hits,
+    lookups,
+    requests,
+    searches,
+    sources,
+)
 from registered.registry import ORACLES, QUERIES
-from registered import filters, histograms, hits, sources, lookups, requests, searches, extensions  # noqa: E402,F401,I001
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -109,6 +109,17 @@ def test_empty_index(spark):
     assert ti.end_positions(requests, empty, "at", HOUR).first().position is None
 
 
+def test_columns_of_the_requests_may_have_any_name(spark):
+    rows = sorted_log(6, 50, 900.0)
+    index = ti.time_index(frame(spark, rows), "t", "pos", HOUR)
+    requests = spark.createDataFrame(
+        [(rows[-1][0], 1, 2, 3)], "first_ts timestamp_ntz, step int, own int, after int"
+    )
+    found = ti.start_positions(requests, index, "first_ts", HOUR)
+    assert found.columns == ["first_ts", "step", "own", "after", "position"]
+    assert found.first().position == walk(rows, HOUR)[-1][1]
+
+
 def test_rows_without_a_time_are_left_out(spark):
     rows = [(None, 0), (datetime(2024, 1, 1), 5)]
     index = ti.time_index(frame(spark, rows), "t", "pos", HOUR)

@@ -94,7 +94,7 @@ def _with_neighbours(entries: DataFrame) -> DataFrame:
 def _steps(index: DataFrame, step_seconds: int) -> DataFrame:
     """One row per step from the first entry to the last, gaps included.
 
-    ``before`` and ``after`` are the nearest entries on either side, so that a
+    ``_before`` and ``_after`` are the nearest entries on either side, so that a
     lookup is one equality join: no range join, and one match per request.
     """
     near = _with_neighbours(_numbered(index, step_seconds))
@@ -102,11 +102,11 @@ def _steps(index: DataFrame, step_seconds: int) -> DataFrame:
     filled = near.select("*", F.explode(F.sequence("step", last)).alias("at"))
     own = F.col("at") == F.col("step")
     return filled.select(
-        F.col("at").alias("step"),
-        F.when(own, F.col("first_ts")).alias("first_ts"),
-        F.when(own, F.col("position")).alias("own"),
-        F.when(own, F.col("prev_position")).otherwise(F.col("position")).alias("before"),
-        F.col("next_position").alias("after"),
+        F.col("at").alias("_at"),
+        F.when(own, F.col("first_ts")).alias("_first_ts"),
+        F.when(own, F.col("position")).alias("_own"),
+        F.when(own, F.col("prev_position")).otherwise(F.col("position")).alias("_before"),
+        F.col("next_position").alias("_after"),
     )
 
 
@@ -116,7 +116,7 @@ def _lookup(
     """Requests with the entries around their step."""
     at = step_number(TimeColumn.of(requests, ts), step_seconds)
     return requests.withColumn("_step", at).join(
-        _steps(index, step_seconds), F.col("_step") == F.col("step"), "left"
+        _steps(index, step_seconds), F.col("_step") == F.col("_at"), "left"
     )
 
 
@@ -135,8 +135,8 @@ def start_positions(
     found = _lookup(requests, index, ts, step_seconds)
     position = (
         F.when(asked >= last["first_ts"], last["position"])
-        .when(F.col("first_ts") <= asked, F.col("own"))
-        .otherwise(F.col("before"))
+        .when(F.col("_first_ts") <= asked, F.col("_own"))
+        .otherwise(F.col("_before"))
     )
     return found.select(
         *requests.columns,
@@ -153,11 +153,11 @@ def end_positions(
     first = _edge(index, F.min_by)
     found = _lookup(requests, index, ts, step_seconds)
     ntz = TimeColumn.of(requests, ts).ntz
-    since = f"{times.unix_micros('first_ts', ntz)} + {times.YEAR_ONE_SECONDS}000000L"
+    since = f"{times.unix_micros('_first_ts', ntz)} + {times.YEAR_ONE_SECONDS}000000L"
     into_step = F.expr(f"pmod({since}, {step_seconds}000000L)")
     position = (
         F.when(asked < first["first_ts"], first["position"])
-        .when((F.col("first_ts") > asked) | (into_step == 0), F.col("own"))
-        .otherwise(F.col("after"))
+        .when((F.col("_first_ts") > asked) | (into_step == 0), F.col("_own"))
+        .otherwise(F.col("_after"))
     )
     return found.select(*requests.columns, position.cast("bigint").alias("position"))

@@ -16,7 +16,7 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a shared folder")
         base = tempfile.mkdtemp(prefix="tidelog-")
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
