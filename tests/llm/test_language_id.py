@@ -1,0 +1,68 @@
+"""Language identification: parsing against a plain version, held-out accuracy."""
+
+import random
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tidelog.llm import language_id
+from tidelog.llm.queries import QUERIES
+from tidelog.llm.tables import table
+
+
+def plain_phrases(text, training):
+    """Phrases of one stretch by looking for longest matches with ``in``."""
+    n = at = 0
+    while at < len(text):
+        size = 1
+        while at + size <= len(text) and text[at : at + size] in training:
+            size += 1
+        at += max(1, size - 1)
+        n += 1
+    return n
+
+
+def test_phrases_are_longest_matches():
+    rng = random.Random(2)
+    sample = tuple((name, "".join(rng.choices(letters, k=400))) for name, letters in (("a", "abcd "), ("b", "bcde ")))
+    parser = language_id.CrossParser(sample)
+    normal = [bytes(parser.symbols.of(text)) for _, text in sample]
+    for _ in range(40):
+        text = "".join(rng.choices("abcdefX ", k=rng.randint(1, 200)))
+        symbols = bytes(parser.symbols.of(text))
+        if not symbols:
+            continue
+        column = np.full((language_id.STRETCH, 1), language_id.FILL, np.uint8)
+        column[: len(symbols), 0] = np.frombuffer(symbols, np.uint8)
+        for found, training in zip(parser.phrases(column)[:, 0], normal, strict=True):
+            # a foreign letter is no match for a foreign letter
+            plain = plain_phrases(symbols, training.replace(bytes([language_id.FOREIGN]), b"\xff"))
+            assert found == plain
+
+
+def test_held_out_accuracy(spark):
+    folder = "/root/testdata/sf0.01"
+    lang = {r["doc_id"]: r["lang"] for r in table(spark, folder, "documents").collect()}
+    rows = [r for r in QUERIES["op1_language_id"](spark, folder).collect() if r["held_out"] and lang[r["doc_id"]]]
+    assert len(rows) > 100
+    assert sum(r["lang_pred"] == lang[r["doc_id"]] for r in rows) >= 0.97 * len(rows)
+    assert all(0 <= r["score"] <= 1 for r in rows)
+
+
+def predicted(df, labelled):
+    sample = language_id.training_sample(labelled, F.col("text"), F.col("lang"), F.col("doc_id"))
+    return language_id.predict(df.drop("lang"), sample)
+
+
+def test_odd_texts(docs):
+    train = docs([(1, "the cat and the dog " * 20, "en"), (2, "der hund und die katze " * 20, "de"), (3, "x", None), (4, None, "fr")])
+    texts = [None, "", "123 ...!", "日本語", "THE Cat AND the dog", "und der hund " * 5000, "the cat"]
+    df = docs([*texts, (6, "the cat")]).withColumnRenamed("source", "score")
+    rows = sorted(predicted(df, train).collect(), key=lambda r: r["doc_id"])
+    names = [r["lang_pred"] for r in rows]
+    assert names[:3] == ["und"] * 3 and rows[0]["score"] == 0
+    assert names[3] in ("de", "en") and names[4:] == ["en", "de", "en", "en"]
+    assert {r["lang_pred"] for r in predicted(df, train.limit(0)).collect()} == {"und"}
+    assert predicted(df.limit(0), train).count() == 0
+    one = predicted(docs(["the"]), train.where("lang = 'en'")).first()
+    assert (one["lang_pred"], one["score"]) == ("en", 1.0)

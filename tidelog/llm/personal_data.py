@@ -57,7 +57,7 @@ _SECRET = re.compile(r"(?<![\w/+=-])(?=[\w/+=-]{0,63}[0-9])[A-Za-z0-9_/+=-]{12,6
 _CUE = re.compile(
     r"(?i)(pass(?:word|wd)?|secret|token|api[_-]?key|key|tel|phone|fax|call|mobile|mail|contact|id|ssn|iban|no)\W{0,3}\Z"
 ).search
-_KEYED = re.compile(r"(?i)(?:pass(?:word|wd)?|secret|token|api[_-]?key)\s?[=:]\s?\Z").search
+_KEYED = re.compile(r"(?i)(?:pass(?:word|wd)?|secret|token|api[_-]?key)\s?[=:]\s?[\"']?\Z").search
 _KEY_NAME = re.compile(r"(?i)\A(?:pass(?:word|wd)?|secret|token|api[_-]?key)[=:]").match
 
 Span = tuple[str, int, int]
@@ -218,7 +218,7 @@ class Finder:
 
 
 def fit_finder(
-    df: DataFrame, text: Column, key: Column, sample: int = 3_000, precision: float = 0.99
+    df: DataFrame, text: Column, key: Column, sample: int = 3_000, precision: float = 0.95
 ) -> Finder:
     """Trees and thresholds from about ``sample`` texts that hold a digit or an @."""
     docs = df.select(text.cast("string").alias("text"), F.xxhash64(key, text).alias("hash"))

@@ -111,10 +111,7 @@ def op9_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return digest.withColumnRenamed("all_spans", "spans")
 
 
-def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
-    path = shared_folder(spark, "warc")
-    warc.write_archives(table(spark, folder, "pages"), path)
-    records = warc.read_archives(spark.read.format("binaryFile").load(path))
+def page_rows(records: DataFrame) -> DataFrame:
     return records.where("gap IS NULL").select(
         warc.page_number(F.col("record_id")).alias("page_id"),
         "payload_bytes",
@@ -124,6 +121,12 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    return page_rows(warc.read_archives(spark.read.format("binaryFile").load(path)))
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
