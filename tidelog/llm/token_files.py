@@ -51,30 +51,34 @@ FILES = (
 )
 
 
-def selectors(ids: np.ndarray) -> np.ndarray:
-    """For each position the selector of a word that begins there."""
+def selectors(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each position the selector of a word that begins there, and its ids.
+
+    No word goes beyond its run.
+    """
     n = len(ids)
-    at = np.arange(n)
-    width = np.full(n, PACKED)
+    at = np.arange(n, dtype=np.int32)
+    left = np.minimum(RUN - at % RUN, n - at)
+    width = np.full(n, PACKED, np.int8)
     for s in range(PACKED - 1, -1, -1):
         width[ids < np.uint64(1) << np.uint64(WIDTHS[s])] = s
-    best = np.full(n, ESCAPE)
+    best = np.full(n, ESCAPE, np.int8)
     for s in range(PACKED - 1, -1, -1):
-        wide = np.where(width > s, at, n)
+        wide = np.where(width > s, at, np.int32(n))
         stop = np.minimum.accumulate(wide[::-1])[::-1]
-        best[stop - at >= np.minimum(COUNTS[s], n - at)] = s
-    return best
+        best[stop - at >= np.minimum(np.int32(COUNTS[s]), left)] = s
+    return best, np.minimum(COUNTS[best], left)
 
 
-def encode_run(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words and escaped values of one run."""
-    best = selectors(ids)
-    step, starts, at, n = COUNTS[best].tolist(), [], 0, len(ids)
+def encode_block(ids: np.ndarray) -> bytes:
+    """``ids`` (unsigned 64-bit) as one block."""
+    best, taken = selectors(ids)
+    step, starts, at, n = taken.tolist(), [], 0, len(ids)
     while at < n:
         starts.append(at)
         at += step[at]
     starts = np.array(starts, np.int64)
-    chosen = best[starts]
+    chosen, held = best[starts].astype(np.int64), taken[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     for s in np.unique(chosen):
@@ -82,19 +86,12 @@ def encode_run(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             rows = np.flatnonzero(chosen == s)
             lanes = np.arange(COUNTS[s])
             values = padded[starts[rows, None] + lanes] << (lanes * WIDTHS[s]).astype(np.uint64)
+            values[lanes >= held[rows, None]] = 0  # of the next run
             words[rows] |= np.bitwise_or.reduce(values, axis=1)
-    return words, ids[starts[chosen == ESCAPE]]
-
-
-def encode_block(ids: np.ndarray) -> bytes:
-    """``ids`` (unsigned 64-bit) as one block."""
-    runs = [encode_run(ids[i : i + RUN]) for i in range(0, len(ids), RUN)]
-    sizes = np.array([len(words) for words, _ in runs], np.uint32)
-    words = np.concatenate([w for w, _ in runs] or [np.empty(0, np.uint64)])
-    escaped = np.concatenate([e for _, e in runs] or [np.empty(0, np.uint64)])
-    firsts = (np.cumsum(sizes) - sizes).astype("<u4")
+    escaped = ids[starts[chosen == ESCAPE]]
+    firsts = np.searchsorted(starts, np.arange(0, n, RUN)).astype("<u4")
     body = firsts.tobytes() + words.astype("<u8").tobytes() + escaped.astype("<u8").tobytes()
-    return HEAD.pack(MAGIC, len(ids), len(words), len(escaped), zlib.crc32(body)) + body
+    return HEAD.pack(MAGIC, n, len(words), len(escaped), zlib.crc32(body)) + body
 
 
 def decode_block(block: bytes) -> np.ndarray:
