@@ -351,7 +351,9 @@ def _with_shingles(members: DataFrame, docs: DataFrame, words: int) -> DataFrame
     """Members with their sets, made again from the representatives' texts."""
     wanted = members.withColumnRenamed("doc_id", "own_id").withColumnRenamed("text_hash", "own_hash")
     same = (F.col("text_hash") == F.col("own_hash")) & F.col("doc_id").eqNullSafe(F.col("own_id"))
-    rows = docs.join(stored(wanted, "set-members"), same)
+    # Texts are dealt by their hash for any number of members, so the plan, and
+    # with it the need for disk, is the same at every size.
+    rows = docs.join(stored(wanted, "set-members").hint("merge"), same)
     rows = rows.select("set", "label", "n", "copies", "text")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
