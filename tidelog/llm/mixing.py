@@ -61,20 +61,23 @@ def flattened(cells: DataFrame, column: str, power: float) -> DataFrame:
 def raked(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = 12, together: int = 4) -> DataFrame:
     """``cells`` with ``weight``, which adds up to the targets by each column.
 
-    ``together`` rounds make one job; a stored table of cells ends it.
+    ``together`` rounds make one job; a stored table of cells ends it. Cells are
+    sums, one short row for a combination of categories however many documents it
+    has, so a round needs no shuffle: its sums are taken over one partition.
     """
     total = cells.agg(F.sum("tokens")).first()[0]
     now = cells.withColumn("weight", F.col("tokens") / F.lit(float(total or 1)))
     for column, target in targets.items():
         now = now.join(target.withColumnRenamed("target", f"target_{column}"), column, "left")
-    now = now.fillna(0.0, [f"target_{c}" for c in targets])
+    now = stored(now.fillna(0.0, [f"target_{c}" for c in targets]), "raked-cells")
+    now = now.coalesce(1)
     for done in range(1, rounds + 1):
         for column in targets:
             held = F.sum("weight").over(Window.partitionBy(column))
             scaled = F.col("weight") * F.col(f"target_{column}") / held
             now = now.withColumn("weight", F.when(held > 0, scaled).otherwise(0.0))
         if done % together == 0 or done == rounds:
-            now = stored(now, "raked-cells")
+            now = stored(now, "raked-cells").coalesce(1)
     return now
 
 
