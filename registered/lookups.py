@@ -52,6 +52,23 @@ def time_index_hourly(spark, folder):
     return flat(hourly(spark, folder))
 
 
+UNSORTED = (
+    f"SELECT ((epoch_us(l_shipdate) + {times.YEAR_ONE_SECONDS * 1_000_000}) // {HOUR * 1_000_000} "
+    f"* {HOUR * 1_000_000} - {times.YEAR_ONE_SECONDS * 1_000_000}) AS bucket_us, "
+    "epoch_us(min(l_shipdate)) AS first_us, "
+    "arg_min(l_orderkey * 10 + l_linenumber, {'t': l_shipdate, 'p': l_orderkey * 10 + l_linenumber}) "
+    "AS position FROM lineitem GROUP BY bucket_us"
+)
+
+
+@register("time_index_unsorted", UNSORTED)
+def time_index_unsorted(spark, folder):
+    """Rows that come in no order of time; equal times give the least position."""
+    df = table(spark, folder, "lineitem")
+    rows = df.selectExpr("l_shipdate AS ts", "l_orderkey * 10 + l_linenumber AS position")
+    return flat(time_index(rows, "ts", "position", HOUR))
+
+
 @register("time_index_weekly", index_sql(7 * 86_400))
 def time_index_weekly(spark, folder):
     """Seven days from year one start on Mondays."""

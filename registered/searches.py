@@ -102,6 +102,39 @@ def search_time_table(spark, folder):
     return sections(search(index, request))
 
 
+def time_table_of_events(spark, folder):
+    path = shared_folder(spark, "search-table")
+    write_time_table(table(spark, folder, "events"), path, "ts")
+    return time_table_index(
+        spark, "events", path, "ts", id="event_id", text=["event_type", "props"]
+    )
+
+
+SOME_DAYS = {"range": {"datetime": {"gte": GTE, "lte": LTE}}}
+CLICKS = "(SELECT * FROM events WHERE event_type = 'click')"
+CLICKS_OF_DAYS = (
+    "(SELECT * FROM events WHERE event_type = 'click' AND ts BETWEEN "
+    f"date_trunc('second', {GTE_SQL}) AND {LTE_SQL})"
+)
+
+
+@register("search_time_table_mixed_filter", sections_sql(first_hits(CLICKS, 50), {}, CLICKS))
+def search_time_table_mixed_filter(spark, folder):
+    """Text and range in one object: the text counts, and no date is left out."""
+    both = {"multi_match": {"query": "click"}, **SOME_DAYS}
+    request = {"query": {"bool": {"filter": [both]}}, "size": 50}
+    return sections(search(time_table_of_events(spark, folder), request))
+
+
+@register(
+    "search_time_table_must_range", sections_sql(first_hits(CLICKS_OF_DAYS, 50), {}, CLICKS_OF_DAYS)
+)
+def search_time_table_must_range(spark, folder):
+    """A range under must prunes dates as one under filter does."""
+    query = {"bool": {"must": [SOME_DAYS], "filter": [{"match_phrase": {"event_type": "click"}}]}}
+    return sections(search(time_table_of_events(spark, folder), {"query": query, "size": 50}))
+
+
 IN_RANGE = f"(SELECT * FROM events WHERE ts BETWEEN {GTE_SQL} AND {LTE_SQL} AND event_type = 'click')"
 
 

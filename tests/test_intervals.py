@@ -57,3 +57,11 @@ def test_only_calendar_months_and_years_have_months():
     assert columnar_interval(None, "5M").months == 5
     assert columnar_interval(None, "1w").months is None
     assert document_interval(None, "1M").months is None
+
+
+def test_long_intervals_are_taken_or_refused():
+    assert document_interval("300y", None).seconds == 300 * 31_536_000
+    assert columnar_interval("3000000h", None).count == 3_000_000
+    with pytest.raises(ValueError, match="too long"):
+        document_interval(f"{2**62}d", None)
+    assert document_interval(f"{2**63}d", None) == document_interval(None, None)

@@ -28,13 +28,16 @@ def test_incremental_load(spark, tmp_path):
         query = ingest_new_files(spark, source, target, state, FIELDS, "datetime", max_files=1)
         query.awaitTermination()
         loaded = spark.read.parquet(target)
-        return sorted((str(r.dt), r.n) for r in loaded.select("dt", "n").collect())
+        return sorted((str(r.dt), r.n) for r in loaded.select("dt", "n").collect() if r.dt)
 
     write_lines(source, "a.json", [row(1, 1), row(2, 2), {"message": "no time"}])
     with open(f"{source}/a.json", "a") as out:
         out.write("{broken\n")
     assert load() == [("2024-01-01", 1), ("2024-01-02", 2)]
     assert load() == [("2024-01-01", 1), ("2024-01-02", 2)]
+    untimed = spark.read.parquet(target).where("dt IS NULL AND datetime IS NULL")
+    # the line that is no object is a row of nulls, as in the other load
+    assert sorted((r.message for r in untimed.collect()), key=repr) == sorted(["no time", None], key=repr)
     write_lines(source, "b.json", [row(2, 3)])
     write_lines(source, "c.json", [row(2, 2)])
     assert load() == [

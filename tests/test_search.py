@@ -13,12 +13,14 @@ from tidelog import (
     union_sources,
     write_time_table,
 )
+from tests.conftest import plan_of
 from tidelog.operators import merge
 from tidelog.operators.hits import (
     project_hits,
     requested_sort_field,
     time_order,
 )
+from tidelog.operators.predicates import scan_filter
 from tidelog.plans.dispatch import answer
 from tidelog.sources.composite import combine_alike, with_shard
 from tidelog.sources.readers import jdbc_options
@@ -115,17 +117,75 @@ def test_size_is_exact(lines, typed, size, n):
         assert search(index, {**REQUEST, "size": size}).hits.count() == n
 
 
-def test_result_document_needs_a_size(typed):
-    with pytest.raises(ValueError):
-        search(typed, {**REQUEST, "size": None}).to_document()
-
-
-def test_result_document_refuses_too_many_buckets(typed, monkeypatch):
-    monkeypatch.setattr("tidelog.plans.search.DOCUMENT_ROWS", 3)
-    with pytest.raises(ValueError, match="too many buckets"):
-        search(typed, REQUEST).to_document()
-    with pytest.raises(ValueError, match="size"):
-        search(typed, {**REQUEST, "size": 4}).to_document()
+def test_result_document_of_any_size_is_written(typed, tmp_path):
+    result = search(typed, {**REQUEST, "size": None})
+    assert len(result.to_document()["hits"]["hits"]) == 7
+    result.write_document(str(tmp_path / "out"))
+    rows = typed.df.sparkSession.read.text(str(tmp_path / "out")).collect()
+    parts = {}
+    for row in rows:
+        parts.setdefault(row.part, []).append(json.loads(row.value))
+    assert len(parts["hits"]) == 7 and parts["totals"][0]["total"] == 7
+    assert parts["_shards"][0]["successful"] == 1
+    assert sum(b["doc_count"] for b in parts["aggregations"]) == parts["totals"][0]["bucket_total"]
+
+
+def test_time_table_answers_like_its_plain_table(spark, tmp_path):
+    rows = [(i, f"2024-01-{1 + i % 9:02d} 10:00:00", f"m{i % 4}") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, t string, message string")
+    df = df.selectExpr("id", "to_timestamp_ntz(t) AS ts", "message")
+    df = df.unionByName(spark.sql("SELECT 900L AS id, CAST(NULL AS TIMESTAMP_NTZ) AS ts, 'm1' AS message"))
+    write_time_table(df, str(tmp_path / "t"), "ts")
+    plain = log_index("x", df, "ts", id="id", text=["message"])
+    timed = time_table_index(spark, "x", str(tmp_path / "t"), "ts", id="id", text=["message"])
+    some = {"range": {"datetime": {"gte": "2024-01-03T00:00:00Z", "lte": "2024-01-05T00:00:00Z"}}}
+    for body in (
+        {"filter": [{"multi_match": {"query": "m1"}, **some}]},
+        {"must": [some], "filter": [{"match_phrase": {"message": "m1"}}]},
+        {"must_not": [some]},
+        {"filter": [{"bool": {"filter": [some], "must_not": {"multi_match": {"query": "m1"}}}}]},
+    ):
+        request = {"query": {"bool": body}, "size": 200}
+        wanted, found = (
+            [r._id for r in search(each, request).hits.collect()] for each in (plain, timed)
+        )
+        assert found == wanted and wanted
+    test = scan_filter(timed, {"bool": {"must": [some]}})
+    assert "PartitionFilters: [isnotnull(dt" in plan_of(timed.df.where(test))
+
+
+def test_search_many_sorts_like_search(typed):
+    for sort in ([{"n": {"order": "desc"}}], [{"message": {}}], [{"datetime": {"order": "desc"}}], []):
+        request = {**REQUEST, "sort": sort}
+        assert messages(search_many([typed], request)) == messages(search(typed, request))
+
+
+def test_bucket_text_keeps_the_written_offset(typed, path):
+    index = json_lines_index(typed.df.sparkSession, "raw", path, "datetime", FIELDS)
+    bounds = {"gte": "2024-01-01T02:00:00+02:00", "lte": "2024-01-01T03:00:00+02:00"}
+    request = {**REQUEST, "query": {"bool": {"filter": [{"range": {"datetime": bounds}}]}}}
+    texts = [[r.key_as_string for r in each.aggs.collect()] for each in (search(index, request), search_many([index], request))]
+    assert texts[0] == texts[1] and texts[0][0].endswith("+02:00")
+
+
+def test_dotted_columns(spark):
+    df = spark.sql("SELECT 1L AS `e.id`, TIMESTAMP_NTZ'2024-01-01 00:00:01' AS `e.ts`, 'abc' AS `log.message`")
+    index = log_index("x", df, "e.ts", id="e.id", text=["log.message"])
+    for query in ({"multi_match": {"query": "b"}}, {"match_phrase": {"log.message": "abc"}}):
+        request = {"query": {"bool": {"filter": [query]}}, "size": 5, "sort": [{"log.message": {}}]}
+        assert search(index, request).hits.count() == 1
+
+
+def test_time_zone_is_a_name(typed):
+    histogram = {"field": "datetime", "fixed_interval": "1h", "time_zone": "' || 'UTC"}
+    with pytest.raises(ValueError, match="time zone"):
+        search(typed, {**REQUEST, "aggs": {"h": {"date_histogram": histogram}}}, extensions=True)
+
+
+def test_other_data_sources_are_refused(spark):
+    provider = {"name": "clickhouse", "config": {"dsn": "clickhouse://db:9000/default", "table": "x"}}
+    with pytest.raises(ValueError, match="no reader"):
+        open_index(spark, "x", config(provider))
 
 
 def test_hits_can_be_written(typed, tmp_path):
@@ -152,8 +212,10 @@ def test_order_of_hits(typed):
     assert messages(search(typed, REQUEST)) == ["m1", "m3", "m2"]
     descending = {**REQUEST, "sort": [{"datetime": {"order": "desc"}}]}
     assert messages(search(typed, descending)) == ["m4", "m0", "m6"]
-    by_field = {**REQUEST, "sort": [{"n": {"order": "desc"}}, {"nowhere": {}}]}
+    by_field = {**REQUEST, "sort": [{"n": {"order": "desc"}}, {"nowhere": {"unmapped_type": "long"}}]}
     assert messages(search(typed, by_field)) == ["m7", "m6", "m4"]
+    with pytest.raises(ValueError, match="nowhere"):
+        search(typed, {**REQUEST, "sort": [{"nowhere": {}}]})
     latest = typed.df.orderBy(*time_order(typed, descending=True)).first()
     assert latest.message == "m5"
 

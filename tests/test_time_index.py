@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import plan_of
 from tidelog.operators import time_index as ti
 
 HOUR = 3_600
@@ -131,3 +132,13 @@ def test_instants_are_truncated_in_utc(spark, in_new_york):
     index = ti.time_index(df, "t", "pos", 86_400)
     bucket = index.select(F.unix_seconds("bucket")).first()[0]
     assert bucket == 1_704_240_000
+
+
+def test_first_row_of_a_step_gives_time_and_position(spark):
+    rows = [("2024-01-01 00:05:00", 10), ("2024-01-01 00:50:00", 1), ("2024-01-01 00:05:00", 12)]
+    df = spark.createDataFrame(rows, "t string, position long").selectExpr("to_timestamp(t) AS ts", "position")
+    index = ti.time_index(df, "ts", "position", 3600)
+    assert [r.position for r in index.collect()] == [10]
+    later = ti.time_index(df.where("position = 1"), "ts", "position", 3600)
+    assert [r.position for r in ti.refresh_time_index(later, index).collect()] == [10]
+    assert "SortAggregate" not in plan_of(index)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelog.functions.times import parse_rfc3339
+from tidelog.functions.times import parse_rfc3339, quoted
 
 _END = "end of line"
 
@@ -32,7 +32,8 @@ def compute_once(df: DataFrame, **columns: Column) -> DataFrame:
 
 def row_json(*columns: str) -> Column:
     """Columns as one JSON object; missing values stay, as JSON null."""
-    return F.to_json(F.struct(*columns), {"ignoreNullFields": "false"})
+    named = [c if c == "*" else F.col(quoted(c)) for c in columns]
+    return F.to_json(F.struct(*named), {"ignoreNullFields": "false"})
 
 
 def key_path(key: str) -> str:

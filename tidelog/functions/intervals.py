@@ -22,8 +22,6 @@ COLUMNAR_CALENDAR_UNITS = "smhdwMy"
 DOCUMENT_DEFAULT = (24, "h")
 COLUMNAR_DEFAULT = (1, "h")
 
-_LONGEST_SECONDS = 2**63 // 1_000_000_000  # what nanoseconds in a long can hold
-
 
 @dataclass(frozen=True)
 class Interval:
@@ -54,8 +52,10 @@ def _split(text: str, units: str) -> tuple[int, str] | None:
     if unit not in units or not re.fullmatch(r"\+?[0-9]+", number):
         return None
     count = int(number)
-    if count == 0 or count * UNIT_SECONDS[unit] > _LONGEST_SECONDS:
+    if count == 0 or count >= 2**63:
         return None
+    if count * UNIT_SECONDS[unit] * 1_000_000 >= 2**63:
+        raise ValueError(f"interval too long: {text}")
     return count, unit
 
 

@@ -165,7 +165,10 @@ def utc_wall_time(us: str) -> str:
 
 
 def convert_zone(source: str, target: str, wall: str) -> str:
-    """A TIMESTAMP_NTZ moved between time zones."""
+    """A TIMESTAMP_NTZ moved between time zones; names come from requests."""
+    for zone in (source, target):
+        if not re.fullmatch(r"[A-Za-z0-9_+\-/:]+", zone):
+            raise ValueError(f"no time zone: {zone!r}")
     return f"convert_timezone('{source}', '{target}', {wall})"
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.functions import times
+from tidelog.functions.times import quoted
 from tidelog.operators.predicates import RANGE_KEY
 from tidelog.sources.index import LogIndex
 
@@ -38,21 +39,37 @@ def time_order(index: LogIndex, descending: bool = False) -> list[Column]:
     return [first, index.tiebreak().asc()]
 
 
-def requested_order(
+def sort_entries(
     index: LogIndex, sort: Sequence[Mapping[str, Mapping]] | None
-) -> list[Column]:
-    """A request's ``sort`` list; the default is ascending time."""
-    order = []
+) -> list[tuple[Column | None, bool]]:
+    """(column, descending) of a request's ``sort`` list.
+
+    A name that the index lacks is an error unless its entry has an
+    ``unmapped_type``: then it has no column.
+    """
+    entries = []
     for entry in sort or []:
         for name, how in entry.items():
+            column = None
             if name in (index.time.name, RANGE_KEY):
                 column = index.time.seconds()
             elif name in index.df.columns:
-                column = F.col(name)
-            else:
-                continue
-            descending = (how or {}).get("order", "asc") == "desc"
-            order.append(column.desc() if descending else column.asc())
+                column = F.col(quoted(name))
+            elif not (how or {}).get("unmapped_type"):
+                raise ValueError(f"{index.name!r} has no field {name!r} to sort by")
+            entries.append((column, (how or {}).get("order", "asc") == "desc"))
+    return entries
+
+
+def requested_order(
+    index: LogIndex, sort: Sequence[Mapping[str, Mapping]] | None
+) -> list[Column]:
+    """A request's ``sort`` list; the default is ascending time."""
+    order = [
+        column.desc() if descending else column.asc()
+        for column, descending in sort_entries(index, sort)
+        if column is not None
+    ]
     if not order:
         return time_order(index)
     return [*order, index.tiebreak().asc()]
@@ -72,10 +89,6 @@ def limit_rows(df: DataFrame, order: list[Column], size: int | None) -> DataFram
     return ordered if size is None else ordered.limit(size)
 
 
-# Largest size for which hits are fetched in two steps.
-LATE_ROWS = 10_000
-
-
 def first_rows(
     index: LogIndex,
     df: DataFrame,
@@ -91,16 +104,15 @@ def first_rows(
     that ``df`` has no rows without a time (they have no date to join on).
     """
     two_steps = time_known and index.partition is not None and index.id is not None
-    if not two_steps or size is None or size > LATE_ROWS:
+    if not two_steps or size is None:
         return limit_rows(df, order, size)
-    # at most LATE_ROWS rows of a date and a key: small enough to broadcast
     keys = limit_rows(df, order, size).select(
-        F.col(index.partition).alias("_day"), F.col(index.id).alias("_key")
-    )
-    same = (F.col(index.partition) == F.col("_day")) & F.col(index.id).eqNullSafe(
-        F.col("_key")
+        F.col(quoted(index.partition)).alias("_day"), F.col(quoted(index.id)).alias("_key")
     )
-    found = df.join(F.broadcast(keys), same, "left_semi")
+    same = (F.col(quoted(index.partition)) == F.col("_day")) & F.col(
+        quoted(index.id)
+    ).eqNullSafe(F.col("_key"))
+    found = df.join(keys, same, "left_semi")
     return limit_rows(found, order, size)
 
 
@@ -114,7 +126,7 @@ def docvalue_columns(
         if name not in index.df.columns:
             continue
         as_text = entry.get("format") == "date_time" and name == index.time.name
-        value = F.col(name)
+        value = F.col(quoted(name))
         if as_text:
             text = times.format_rfc3339_fraction(index.time.sql, index.time.ntz, 3)
             value = F.expr(text)

@@ -12,8 +12,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.functions.times import format_rfc3339
-
 HEALTH = ["total", "successful", "skipped", "failed"]
 
 
@@ -28,11 +26,10 @@ def merge_histograms(parts: DataFrame | list[DataFrame]) -> DataFrame:
     """Sum ``doc_count`` per histogram name and key, ascending keys."""
     rows = parts if isinstance(parts, DataFrame) else union_all(parts)
     merged = rows.groupBy("agg", "key").agg(
-        F.sum("doc_count").cast("bigint").alias("doc_count")
+        F.min("key_as_string").alias("key_as_string"),
+        F.sum("doc_count").cast("bigint").alias("doc_count"),
     )
-    return merged.select(
-        "agg", "key", F.expr(format_rfc3339("key")).alias("key_as_string"), "doc_count"
-    ).orderBy("agg", "key")
+    return merged.select("agg", "key", "key_as_string", "doc_count").orderBy("agg", "key")
 
 
 def shard_partials(df: DataFrame, shard: Column | str | None, bucket: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.documents import string_field_equals
-from tidelog.functions.times import parse_instant
+from tidelog.functions.times import parse_instant, quoted
 from tidelog.sources.index import DOCUMENT, LogIndex
 
 # Fixed value: the key under which a request writes its time range.
@@ -68,7 +68,7 @@ def multi_match(index: LogIndex, query: str) -> Column:
     if index.flavour == DOCUMENT:
         return contains_text(index.raw_text(), query)
     test = like_text if index.wildcards else contains_text
-    return any_of([test(F.col(name), query) for name in index.searchable])
+    return any_of([test(F.col(quoted(name)), query) for name in index.searchable])
 
 
 def match_phrase(index: LogIndex, values: Mapping[str, str]) -> Column:
@@ -77,7 +77,7 @@ def match_phrase(index: LogIndex, values: Mapping[str, str]) -> Column:
         return all_of([_phrase_field(index, *item) for item in values.items()])
     return any_of(
         [
-            F.col(name).eqNullSafe(F.lit(values[name]))
+            F.col(quoted(name)).eqNullSafe(F.lit(values[name]))
             for name in index.searchable
             if name in values
         ]
@@ -86,10 +86,10 @@ def match_phrase(index: LogIndex, values: Mapping[str, str]) -> Column:
 
 def _phrase_field(index: LogIndex, name: str, value: str) -> Column:
     if index.doc is not None:
-        return string_field_equals(F.col(index.doc), name, value)
+        return string_field_equals(F.col(quoted(index.doc)), name, value)
     typed = {f.name: f.dataType for f in index.df.schema.fields}
     if isinstance(typed.get(name), T.StringType):
-        return F.col(name).eqNullSafe(F.lit(value))
+        return F.col(quoted(name)).eqNullSafe(F.lit(value))
     return F.lit(False)
 
 
@@ -107,8 +107,19 @@ def time_bounds(index: LogIndex, range_filter: Mapping[str, Any]):
 
 
 def time_range(index: LogIndex, range_filter: Mapping[str, Any]) -> Column:
-    gte, lte = time_bounds(index, range_filter)
-    return index.time.between(gte, lte, missing_is_first=index.flavour == DOCUMENT)
+    """The time test; on a time table it also names the dates that can pass.
+
+    Rows that pass the time test pass that of the date, so both together mean
+    the same as the time test alone, also when negated.
+    """
+    return _between(index, *time_bounds(index, range_filter))
+
+
+def _between(index: LogIndex, gte, lte) -> Column:
+    test = index.time.between(gte, lte, missing_is_first=index.flavour == DOCUMENT)
+    if index.partition is None or (gte is None and lte is None):
+        return test
+    return _partition_range(index, gte, lte) & test
 
 
 def exclude(test: Column) -> Column:
@@ -176,15 +187,28 @@ def scan_filter(
     test = query_filter(index, query, use_should)
     gte, lte = request_bounds(index, query)
     if index.flavour == DOCUMENT and (gte or lte):
-        test = index.time.between(gte, lte, missing_is_first=True) & test
-    if index.partition is not None:
-        test = _partition_range(index, gte, lte) & test
+        test = _between(index, gte, lte) & test
     return test
 
 
+def requires_time(index: LogIndex, query: Mapping[str, Any] | None) -> bool:
+    """Whether ``scan_filter`` passes no row without a time."""
+    if index.flavour == DOCUMENT and request_bounds(index, query)[0] is not None:
+        return True
+    root = (query or {}).get("bool") or {}
+    first = ("bool", "multi_match", "match_phrase", "match_all")
+    return any(
+        each
+        and each.get("range") is not None
+        and not any(each.get(kind) is not None for kind in first)
+        and time_bounds(index, each["range"])[0] is not None
+        for each in [*(root.get("filter") or []), *(root.get("must") or [])]
+    )
+
+
 def _partition_range(index: LogIndex, gte, lte) -> Column:
     """Partitions that can hold a row of the range; unknown dates stay in."""
-    day = F.col(index.partition)
+    day = F.col(quoted(index.partition))
     tests = []
     if gte is not None:
         tests.append(day >= F.lit(gte.date()))

@@ -24,21 +24,33 @@ def truncate(ts: Column, step_seconds: int) -> Column:
 def time_index(df: DataFrame, ts: str, position: str, step_seconds: int) -> DataFrame:
     """``(bucket, first_ts, position)``: where every step starts.
 
-    A group-by of plain minima, so it needs no order and no sort; on a log
-    sorted by time it gives the entries of a sequential walk.  Rows without a
-    time are left out.
+    The position is that of the row with the first time, of rows of equal time
+    the least.  Time and position are compared as one number, so the group-by
+    is a hash aggregate: no order and no sort.  Rows without a time are left
+    out.
     """
     rows = df.select(truncate(F.col(ts), step_seconds).alias("bucket"), ts, position)
     return rows.groupBy("bucket").agg(
-        F.min(ts).alias("first_ts"), F.min(position).alias("position")
+        F.min(ts).alias("first_ts"),
+        F.min_by(position, _order_of(df, ts, position)).alias("position"),
     )
 
 
+def _order_of(df: DataFrame, ts: str, position: str) -> Column:
+    """Time, then position, as one DECIMAL."""
+    time = TimeColumn.of(df, ts)
+    micros = times.unix_micros(time.sql, time.ntz)
+    place = f"CAST({times.quoted(position)} AS DECIMAL(19,0))"
+    high = "CAST(10000000000000000000 AS DECIMAL(20,0))"
+    return F.expr(f"CAST(CAST({micros} AS DECIMAL(18,0)) * {high} + {place} AS DECIMAL(38,0))")
+
+
 def refresh_time_index(index: DataFrame, tail: DataFrame) -> DataFrame:
     """Add the entries of newly arrived rows; only the tail is read again."""
     both = index.unionByName(tail)
     return both.groupBy("bucket").agg(
-        F.min("first_ts").alias("first_ts"), F.min("position").alias("position")
+        F.min("first_ts").alias("first_ts"),
+        F.min_by("position", _order_of(both, "first_ts", "position")).alias("position"),
     )
 
 

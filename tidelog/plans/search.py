@@ -19,19 +19,20 @@ from pyspark.sql import types as T
 
 from tidelog.functions.documents import row_json
 from tidelog.functions.intervals import columnar_interval, document_interval
-from tidelog.functions.times import TimeColumn, utc_offset_minutes
+from tidelog.functions.times import TimeColumn, quoted, utc_offset_minutes
 from tidelog.operators import hits as hit_ops
 from tidelog.operators import histogram as hist
 from tidelog.operators import merge
-from tidelog.operators.predicates import RANGE_KEY, request_bounds, scan_filter
+from tidelog.operators.predicates import (
+    RANGE_KEY,
+    request_bounds,
+    requires_time,
+    scan_filter,
+)
 from tidelog.sources.composite import combine_alike
 from tidelog.sources.index import DOCUMENT, LogIndex
 
 
-# Most hits and most buckets that a result document may hold.
-DOCUMENT_ROWS = 100_000
-
-
 @dataclass(frozen=True)
 class SearchResult:
     """``hits`` and ``summary`` are independent jobs over the same filter.
@@ -73,15 +74,11 @@ class SearchResult:
     def to_document(self) -> dict[str, Any]:
         """The result as one nested document; runs both jobs.
 
-        Only for results of a bounded size: larger ones stay DataFrames
-        (``hits``, ``aggs``) and are written with ``write_hits``.
+        It is made in this process, for results that fit it; those of any
+        size are written with ``write_document``.
         """
-        if self.size is None or self.size > DOCUMENT_ROWS:
-            raise ValueError(f"a result document needs a size up to {DOCUMENT_ROWS}")
         start = clock.monotonic()
-        buckets = self.summary.limit(DOCUMENT_ROWS + 1).collect()
-        if len(buckets) > DOCUMENT_ROWS:
-            raise ValueError("too many buckets for a result document; use aggs")
+        buckets = self.summary.collect()
         found = [json.loads(row[0]) for row in hit_documents(self.hits).collect()]
         health = self.health.first().asDict()
         aggs: dict[str, Any] = {name: {"buckets": []} for name in self.names}
@@ -111,6 +108,24 @@ class SearchResult:
         """Hits as JSON lines, written in parallel."""
         hit_documents(self.hits).write.mode(mode).text(path)
 
+    def document_rows(self) -> DataFrame:
+        """``(part, value)``: hits, buckets, totals and ``_shards`` as JSON text."""
+
+        def part(name: str, rows: DataFrame) -> DataFrame:
+            return rows.select(F.lit(name).alias("part"), row_json(*rows.columns).alias("value"))
+
+        buckets = self.summary.where(F.col("agg").isNotNull())
+        return (
+            part("hits", self.hits)
+            .union(part("aggregations", buckets))
+            .union(part("totals", self.totals))
+            .union(part("_shards", self.health))
+        )
+
+    def write_document(self, path: str, mode: str = "errorifexists") -> None:
+        """The whole result as JSON lines, a folder for each part, in parallel."""
+        self.document_rows().write.mode(mode).partitionBy("part").text(path)
+
     def unpersist(self) -> None:
         if self.filtered is not None:
             self.filtered.unpersist()
@@ -144,7 +159,7 @@ def request_histograms(
         fixed, calendar = spec.get("fixed_interval"), spec.get("calendar_interval")
         if index.flavour == DOCUMENT:
             gte, lte = request_bounds(index, request.get("query"))
-            offset = utc_offset_minutes(_written_gte(request.get("query")))
+            offset = utc_offset_minutes(_written_gte(index, request.get("query")))
             interval = document_interval(fixed, calendar)
             found.append(hist.anchored(name, index.time, interval, gte, lte, offset))
             continue
@@ -160,10 +175,11 @@ def request_histograms(
     return found
 
 
-def _written_gte(query: Mapping[str, Any] | None):
+def _written_gte(index: LogIndex, query: Mapping[str, Any] | None):
     for each in ((query or {}).get("bool") or {}).get("filter") or []:
         if each and each.get("range") is not None:
-            return (each["range"].get(RANGE_KEY) or {}).get("gte")
+            bounds = each["range"].get(RANGE_KEY, each["range"].get(index.time.name))
+            return (bounds or {}).get("gte")
     return None
 
 
@@ -217,13 +233,12 @@ def _with_min_counts(
 def _hit_rows(
     index: LogIndex, filtered: DataFrame, request: Mapping[str, Any]
 ) -> DataFrame:
-    gte, _ = request_bounds(index, request.get("query"))
     return hit_ops.first_rows(
         index,
         filtered,
         hit_ops.requested_order(index, request.get("sort")),
         request.get("size"),
-        time_known=gte is not None,
+        time_known=requires_time(index, request.get("query")),
     )
 
 
@@ -235,7 +250,7 @@ def _hit_columns(
     source = None
     excludes = (request.get("_source") or {}).get("excludes") or []
     if excludes and index.doc is None:
-        source = F.struct(*[c for c in index.source_columns if c not in excludes])
+        source = F.struct(*[F.col(quoted(c)) for c in index.source_columns if c not in excludes])
     columns = hit_ops.hit_columns(index, source)
     values = hit_ops.docvalue_columns(index, request.get("docvalue_fields") or [])
     if values:
@@ -256,26 +271,29 @@ def search_many(
     own flavour; only bucket rows and at most ``size`` hits per source meet.
     Sources that follow the same rules are searched as one union.
     ``unknown`` names requested indexes that do not exist: they count as failed.
-    Sources are merged by time, so only the time entries of ``sort`` apply.
+    The merged rows follow the request's ``sort``, by default ascending time.
     """
     if not sources:
         raise ValueError("no sources")
     asked, sources = len(sources), combine_alike(sources)
-    direction = _time_direction(sources[0], request)
-    request = {**request, "sort": [{RANGE_KEY: {"order": direction}}]}
     parts = [search(each, request, extensions=extensions) for each in sources]
     size = request.get("size")
     hits = merge.union_all(
         [_mergeable_hits(each, request, extensions) for each in sources]
     )
-    second = F.col("sort")[0]
     order = [
-        second.desc() if direction == "desc" else second.asc(),
+        F.col(f"_order{i}").desc() if descending else F.col(f"_order{i}").asc()
+        for i, (_, descending) in enumerate(_merge_entries(sources[0], request))
+    ]
+    if not order:
+        order = [F.col("sort")[0].asc()]
+    order += [
         F.col("_index"),
         F.col("_number"),
         F.col("_text"),
     ]
-    merged = hit_ops.limit_rows(hits, order, size).drop("_number", "_text")
+    merged = hit_ops.limit_rows(hits, order, size)
+    merged = merged.drop(*(c for c in merged.columns if c.startswith("_order")), "_number", "_text")
     return SearchResult(
         hits=merged,
         summary=merge.merge_histograms([part.summary for part in parts]),
@@ -300,15 +318,15 @@ def _mergeable_hits(
         *_hit_columns(index, request, extensions),
         (tie.cast("bigint") if number else F.lit(None).cast("bigint")).alias("_number"),
         (F.lit(None).cast("string") if number else tie.cast("string")).alias("_text"),
+        *(
+            (F.lit(None) if column is None else column).alias(f"_order{i}")
+            for i, (column, _) in enumerate(_merge_entries(index, request))
+        ),
     )
     if index.doc is None:
         hits = hits.withColumn("_source", F.to_variant_object("_source"))
     return hits
 
 
-def _time_direction(index: LogIndex, request: Mapping[str, Any]) -> str:
-    for entry in request.get("sort") or []:
-        for name, how in entry.items():
-            if name in (index.time.name, RANGE_KEY):
-                return (how or {}).get("order", "asc")
-    return "asc"
+def _merge_entries(index: LogIndex, request: Mapping[str, Any]):
+    return hit_ops.sort_entries(index, request.get("sort"))

@@ -88,4 +88,6 @@ def _open_table(spark: SparkSession, settings: Mapping[str, Any]) -> DataFrame:
         raise ValueError("no table")
     if dsn and dsn.startswith("jdbc:"):
         return read_jdbc(spark, dsn, table, **(settings.get("options") or {}))
+    if dsn:
+        raise ValueError(f"no reader for the data source {dsn!r}")
     return read_table(spark, table)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.documents import row_json
-from tidelog.functions.times import TimeColumn
+from tidelog.functions.times import TimeColumn, quoted
 
 # Declared field types and the Spark type each one is read as.
 FIELD_TYPES: dict[str, T.DataType] = {
@@ -94,24 +94,24 @@ class LogIndex:
     def raw_text(self) -> Column:
         """The whole row as text: the raw line, else the row as JSON."""
         if self.raw is not None:
-            return F.col(self.raw)
+            return F.col(quoted(self.raw))
         return row_json(*self.source_columns)
 
     def source(self) -> Column:
         """The whole row as one value."""
         if self.doc is not None:
-            return F.col(self.doc)
-        return F.struct(*self.source_columns)
+            return F.col(quoted(self.doc))
+        return F.struct(*(F.col(quoted(name)) for name in self.source_columns))
 
     def id_column(self) -> Column:
         """A stable id: the key column, else a digest of the row."""
         if self.id is not None:
-            return F.col(self.id).cast("string")
+            return F.col(quoted(self.id)).cast("string")
         return F.sha2(self.raw_text(), 256)
 
     def tiebreak(self) -> Column:
         """Orders rows of one second.  Equal values are equal rows."""
-        return F.col(self.id) if self.id is not None else self.raw_text()
+        return F.col(quoted(self.id)) if self.id is not None else self.raw_text()
 
     def with_df(self, df: DataFrame) -> "LogIndex":
         return replace(self, df=df)

@@ -40,10 +40,11 @@ def ingest_new_files(
 
     The checkpoint remembers the files already loaded and the file sink
     commits each batch as a whole, so a rerun after a failure loads nothing
-    twice.  Rows without a time are left out.  Map-only: no shuffle.
+    twice.  Rows without a time have no date,
+    as in ``write_time_table``.  Map-only: no shuffle.
     """
     rows = json_lines_stream(spark, source, fields, max_files)
-    rows = with_date(rows.where(F.col(time).isNotNull()), time)
+    rows = with_date(rows, time)
     return (
         rows.writeStream.format("parquet")
         .partitionBy(DATE_PARTITION)
