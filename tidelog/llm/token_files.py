@@ -40,6 +40,9 @@ COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
 WIDTHS = np.array([1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60, 0, 0])
 PACKED = 14
 ESCAPE = 15
+# The first id too wide for each selector; the narrowest selector of short ids.
+LIMITS = np.uint64(1) << WIDTHS[:PACKED].astype(np.uint64)
+NARROW = np.searchsorted(LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.int8)
 MAGIC = b"TL8B"
 HEAD = struct.Struct("<4s4I")
 RUN = 1024
@@ -59,9 +62,7 @@ def selectors(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(ids)
     at = np.arange(n, dtype=np.int32)
     left = np.minimum(RUN - at % RUN, n - at)
-    width = np.full(n, PACKED, np.int8)
-    for s in range(PACKED - 1, -1, -1):
-        width[ids < np.uint64(1) << np.uint64(WIDTHS[s])] = s
+    width = np.searchsorted(LIMITS, ids, side="right") if n and ids.max() >> 16 else NARROW[ids]
     best = np.full(n, ESCAPE, np.int8)
     for s in range(PACKED - 1, -1, -1):
         wide = np.where(width > s, at, np.int32(n))
