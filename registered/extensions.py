@@ -16,8 +16,9 @@ from registered.registry import (
     orders,
     register,
     rfc3339,
+    table,
 )
-from tidelog import search
+from tidelog import log_index, search
 from tidelog.functions import times
 from tidelog.functions.intervals import columnar_interval, document_interval
 from tidelog.operators import histogram as hist
@@ -124,6 +125,44 @@ def time_zone(spark, folder):
     return found.aggs.select("key", "doc_count")
 
 
+# Orders with their midnight dates spread over the day, six years of clock changes.
+SPREAD = (
+    "(SELECT ts, ts AT TIME ZONE 'UTC' AT TIME ZONE 'Europe/Kyiv' AS wall FROM ("
+    "SELECT o_orderdate + to_seconds(CAST(o_orderkey % 86400 AS INTEGER)) AS ts FROM orders))"
+)
+ZONED_HOURS = (
+    "SELECT (epoch_us(ts) - epoch_us(wall) % 3600000000) // 1000 AS key, "
+    f"CAST(count(*) AS BIGINT) AS doc_count FROM {SPREAD} GROUP BY key"
+)
+
+
+def spread_orders(spark, folder):
+    at = "timestampadd(SECOND, CAST(o_orderkey % 86400 AS INT), CAST(o_orderdate AS TIMESTAMP_NTZ))"
+    return log_index("orders", table(spark, folder, "orders").selectExpr("o_orderkey", f"{at} AS ts"), "ts")
+
+
+def zoned_hours(spark, folder, least):
+    spec = {"field": "ts", "fixed_interval": "1h", "time_zone": "Europe/Kyiv", "min_doc_count": least}
+    request = {"aggs": {"hour": {"date_histogram": spec}}}
+    found = search(spread_orders(spark, folder), request, extensions=True)
+    return found.aggs.select("key", "doc_count")
+
+
+@register("ext_time_zone_hours", ZONED_HOURS)
+def time_zone_hours(spark, folder):
+    return zoned_hours(spark, folder, 1)
+
+
+@register(
+    "ext_time_zone_gap_fill",
+    f"WITH counts AS ({ZONED_HOURS}) SELECT s.key, coalesce(c.doc_count, 0) AS doc_count FROM ("
+    "SELECT unnest(range((SELECT min(key) FROM counts), (SELECT max(key) FROM counts) + 1, 3600000)) AS key"
+    ") s LEFT JOIN counts c ON c.key = s.key",
+)
+def time_zone_gap_fill(spark, folder):
+    return zoned_hours(spark, folder, 0)
+
+
 @register("ext_source_excludes", "SELECT event_id, user_id, event_type, value FROM events")
 def source_excludes(spark, folder):
     return without_fields(events(spark, folder).df, ["ts", "props"])

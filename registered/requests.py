@@ -53,9 +53,12 @@ def requests(spark, folder):
     )
 
 
-def matched(spark, folder, **how):
-    events = table(spark, folder, "events")
-    return many.match_requests(events, requests(spark, folder), LOG, **how)
+def matched(spark, folder, hint=None):
+    """``hint`` is a join hint that a caller puts on the requests."""
+    asked = requests(spark, folder)
+    if hint is not None:
+        asked = asked.hint(hint)
+    return many.match_requests(table(spark, folder, "events"), asked, LOG)
 
 
 @register("multi_search", COUNTS)
@@ -66,22 +69,22 @@ def multi_search(spark, folder):
 
 @register("multi_search_plain", COUNTS)
 def multi_search_plain(spark, folder):
-    """The way taken for a few requests."""
-    found = matched(spark, folder, way=many.PLAIN)
+    """Requests without a log row still have a count."""
+    found = matched(spark, folder).select("id")
     return many.request_counts(found, requests(spark, folder))
 
 
 @register("multi_search_bucketed", COUNTS)
 def multi_search_bucketed(spark, folder):
-    """The way taken for many requests that still fit a broadcast."""
-    found = matched(spark, folder, way=many.BROADCAST)
+    """As a caller has it that asks for hash tables of shuffled requests."""
+    found = matched(spark, folder, "shuffle_hash")
     return many.request_counts(found, requests(spark, folder))
 
 
 @register("multi_search_shuffled", COUNTS)
 def multi_search_shuffled(spark, folder):
-    """The way taken when the requests are too many to broadcast."""
-    found = matched(spark, folder, way=many.SHUFFLE, salts=4)
+    """As a caller has it that asks for sorted, shuffled requests."""
+    found = matched(spark, folder, "merge")
     return many.request_counts(found, requests(spark, folder))
 
 

@@ -178,3 +178,35 @@ def test_min_doc_count_is_an_extension(rows):
 
 def test_parse_instant_is_exact():
     assert ms(parse_instant("2024-03-01T00:00:00.001Z")) == ms(START) + 1
+
+
+def test_gaps_of_seventy_years_of_seconds_are_listed_in_chunks(spark):
+    times_of = spark.sql(
+        "SELECT explode(array(TIMESTAMP_NTZ'1970-01-01 00:00:00', TIMESTAMP_NTZ'2040-01-01 00:00:00')) AS ts"
+    )
+    ends = times_of.selectExpr("unix_millis(min(CAST(ts AS TIMESTAMP))) AS lo", "unix_millis(max(CAST(ts AS TIMESTAMP))) AS hi")
+    row = hist._instants(ends, 1).agg(F.count("*"), F.max("at")).first()
+    assert tuple(row) == (2_208_988_800 + 1, 2_208_988_800_000)
+
+
+def test_zoned_hours_on_days_of_clock_changes(spark):
+    rows = spark.sql(
+        "SELECT explode(sequence(TIMESTAMP_NTZ'2024-10-26 22:15:00', TIMESTAMP_NTZ'2024-10-27 03:45:00', "
+        "INTERVAL 30 MINUTES)) AS ts"
+    )
+    hour = 3_600_000
+    zoned = lambda interval: hist.Histogram(
+        "h", TimeColumn.of(rows, "ts"), interval, zone="Europe/Kyiv"
+    )
+    h = zoned(columnar_interval("1h", None))
+    found = [(r.key, r.doc_count) for r in hist.date_histogram(rows, h).collect()]
+    first = 1_729_980_000_000  # 2024-10-26T22:00:00Z
+    assert found == [(first + i * hour, 2) for i in range(6)]
+    thin = rows.where("ts < '2024-10-26 22:30:00' OR ts > '2024-10-27 03:30:00'")
+    h = zoned(columnar_interval("1h", None))
+    filled = [(r.key, r.doc_count) for r in hist.fill_gaps(hist.date_histogram(thin, h), h).collect()]
+    assert filled == [(first + i * hour, 1 if i in (0, 5) else 0) for i in range(6)]
+    h = zoned(columnar_interval("2h", None))
+    found = [(r.key, r.doc_count) for r in hist.date_histogram(rows, h).collect()]
+    # 02:00 to 04:00 by the clock is three hours long
+    assert found == [(first - hour, 2), (first + hour, 6), (first + 4 * hour, 4)]

@@ -9,7 +9,6 @@ from registered.registry import events
 from registered.searches import ERRORS, TWO_HISTOGRAMS
 from tests.conftest import plan_of
 from tidelog import log_index, search, time_table_index, write_time_table
-from tidelog.operators import many_requests as many
 
 
 @pytest.fixture(scope="module")
@@ -75,9 +74,8 @@ def test_hits_of_a_time_table_are_fetched_in_two_steps(spark, folder, tmp_path):
 def test_few_requests_do_not_shuffle_the_log(spark, folder):
     from registered.requests import matched
 
-    for way in (many.PLAIN, many.BROADCAST):
-        plan = plan_of(matched(spark, folder, way=way))
-        assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    plan = plan_of(matched(spark, folder))
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
 def test_many_requests_join_by_bucket(spark, folder):
@@ -85,11 +83,11 @@ def test_many_requests_join_by_bucket(spark, folder):
 
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        plan = plan_of(matched(spark, folder, way=many.SHUFFLE, salts=4))
+        plan = plan_of(matched(spark, folder))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan
-    assert re.search(r"hashpartitioning\(event_type#\d+, _level#\d+, _bucket#\d+L, _salt#\d+", plan)
+    assert re.search(r"hashpartitioning\(event_type#\d+, _level#\d+, _bucket#\d+L", plan)
 
 
 def test_rank_limit_is_applied_before_the_shuffle(spark, folder):

@@ -70,25 +70,30 @@ def data(spark):
 
 
 SIDE = many.LogSide(index="_index", time="ts", raw="raw", id="row")
-WAYS = [(many.PLAIN, 1), (many.BROADCAST, 1), (many.SHUFFLE, 1), (many.SHUFFLE, 7)]
+# join hints that a caller may put on the requests
+HINTS = [None, "shuffle_hash", "merge"]
 
 
-@pytest.mark.parametrize(("way", "salts"), WAYS)
+def hinted(requests, hint):
+    return requests if hint is None else requests.hint(hint)
+
+
+@pytest.mark.parametrize("hint", HINTS)
 @pytest.mark.parametrize("threshold", ["10MB", "-1"])
-def test_every_way_finds_the_same_pairs(spark, data, way, salts, threshold):
+def test_every_join_finds_the_same_pairs(spark, data, hint, threshold):
     logs, requests, expected = data
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     try:
-        found = many.match_requests(logs, requests, SIDE, way=way, salts=salts)
+        found = many.match_requests(logs, hinted(requests, hint), SIDE)
         assert Counter((r.id, r.row) for r in found.collect()) == expected
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize(("way", "salts"), WAYS)
-def test_counts_hits_and_histograms(data, way, salts):
+@pytest.mark.parametrize("hint", HINTS)
+def test_counts_hits_and_histograms(data, hint):
     logs, requests, expected = data
-    found = many.match_requests(logs, requests, SIDE, way=way, salts=salts)
+    found = many.match_requests(logs, hinted(requests, hint), SIDE)
     per_request = Counter(i for i, _ in expected.elements())
     counts = {r.id: r.n for r in many.request_counts(found, requests).collect()}
     assert counts == {i: per_request.get(i, 0) for i in range(82)}
@@ -113,19 +118,6 @@ def test_counts_hits_and_histograms(data, way, salts):
     assert {(r.id, r.key): r.doc_count for r in found_days} == dict(days)
 
 
-def test_the_way_follows_the_size_of_the_requests(spark, monkeypatch):
-    requests = spark.createDataFrame(request_rows(20), REQUEST_SCHEMA)
-    profile = many.profile_requests(requests)
-    assert profile.n == 22 and profile.way == many.PLAIN
-    monkeypatch.setattr(many, "PLAIN_ROWS", 10)
-    assert profile.way == many.BROADCAST
-    monkeypatch.setattr(many, "BROADCAST_ROWS", 15)
-    assert profile.way == many.SHUFFLE
-    monkeypatch.setattr(many, "BROADCAST_ROWS", 100)
-    monkeypatch.setattr(many, "BROADCAST_CHARS", 5)
-    assert profile.way == many.SHUFFLE
-
-
 @pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
 def test_the_log_is_cut_to_the_range_of_all_requests(spark, in_new_york, kind):
     zone = "+00:00" if kind == "timestamp" else ""
@@ -149,9 +141,9 @@ def test_the_log_is_cut_to_the_range_of_all_requests(spark, in_new_york, kind):
     half_open = bounded.selectExpr("id", "index", "q", "nullif(gte, gte) AS gte", "lte")
     assert many.profile_requests(half_open).gte is None
     open_ended = half_open.selectExpr("id", "index", "q", "gte", "gte AS lte")
-    for way, salts in WAYS:
+    for hint in HINTS:
         for requests, n in ((bounded, 2), (half_open, 4), (open_ended, 8)):
-            found = many.match_requests(logs, requests, side, way=way, salts=salts)
+            found = many.match_requests(logs, hinted(requests, hint), side)
             assert found.count() == n
 
 
@@ -230,7 +222,7 @@ def test_a_hot_bucket_is_split_at_run_time(spark, tmp_path):
     for key, value in small.items():
         spark.conf.set(key, value)
     try:
-        found = many.match_requests(logs, requests, SIDE, way=many.SHUFFLE)
+        found = many.match_requests(logs, requests, SIDE)
         counts = many.request_counts(found, requests)
         total = sum(r.n for r in counts.collect())
         assert "skew=true" in counts._jdf.queryExecution().executedPlan().toString()
@@ -244,8 +236,8 @@ def test_a_hot_bucket_is_split_at_run_time(spark, tmp_path):
 
 def test_no_requests(spark, data):
     logs, requests, _ = data
-    for way, salts in WAYS:
-        none = many.match_requests(logs, requests.where("false"), SIDE, way=way, salts=salts)
+    for hint in HINTS:
+        none = many.match_requests(logs, hinted(requests.where("false"), hint), SIDE)
         assert none.count() == 0
 
 

@@ -7,7 +7,8 @@ are derived after the aggregation, from one row per bucket.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import math
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,9 @@ MONDAY_OFFSET = "4 days"
 
 _MONTHS_1970 = 1970 * 12
 
+# Steps that one row lists when gaps are filled.
+CHUNK = 65_536
+
 
 @dataclass(frozen=True)
 class Histogram:
@@ -74,20 +78,37 @@ def anchored(
     return Histogram(name, time, interval, gte, lte, offset_minutes=offset_minutes)
 
 
-def _local(h: Histogram) -> tuple[str, bool]:
-    """The time to bucket and whether it is NTZ."""
-    if h.zone is None:
-        return h.time.sql, h.time.ntz
-    utc = h.time.sql
-    if not h.time.ntz:
-        utc = times.utc_wall_time(times.unix_micros(utc, False))
-    return times.convert_zone("UTC", h.zone, utc), True
+def _wall(h: Histogram, us: str) -> str:
+    """The zone's wall time of UTC microseconds."""
+    return times.convert_zone("UTC", h.zone, times.utc_wall_time(us))
+
+
+def _zoned_bucket(h: Histogram) -> str:
+    """UTC start of the row's bucket of wall time.
+
+    The start keeps the row's own offset where the clock did not change since,
+    so the doubled hour of a clock change is two buckets; else it is the
+    instant at which the zone's clock showed it.
+    """
+    size = h.interval.micros
+    offset = 4 * times.DAY_SECONDS * 1_000_000 if h.interval.unit == "w" else 0
+    us = times.unix_micros(h.time.sql, h.time.ntz)
+    wall = times.unix_micros(_wall(h, us), True)
+    into = f"pmod({wall} - {offset}L, {size}L)"
+    own, shown = f"({us} - {into})", times.utc_wall_time(f"({wall} - {into})")
+    moved = times.convert_zone(h.zone, "UTC", shown)
+    same = f"{_wall(h, own)} = {shown}"
+    return f"CASE WHEN {same} THEN {times.utc_wall_time(own)} ELSE {moved} END"
 
 
 def bucket(h: Histogram) -> Column:
     """Start of the row's bucket, NULL where the time is missing."""
-    ts, ntz = _local(h)
+    ts, ntz = h.time.sql, h.time.ntz
     months = h.interval.months
+    if h.zone is not None:
+        if months is None:
+            return F.expr(_zoned_bucket(h))
+        ts, ntz = _wall(h, times.unix_micros(ts, ntz)), True
     if months is not None:
         return F.expr(_month_bucket(times.utc_date(ts, ntz), months))
     offset = "0 seconds"
@@ -120,7 +141,7 @@ def add_buckets(df: DataFrame, histograms: list[Histogram]) -> DataFrame:
 
 def bucket_millis(h: Histogram, start: str, kind: T.DataType) -> str:
     """Epoch milliseconds of a bucket start, rounded down."""
-    if h.zone is not None:
+    if h.zone is not None and h.interval.months is not None:
         wall = f"CAST({start} AS TIMESTAMP_NTZ)"
         return times.unix_millis(times.convert_zone(h.zone, "UTC", wall), True)
     if isinstance(kind, T.DateType):
@@ -245,7 +266,7 @@ def fill_gaps(histogram: DataFrame, h: Histogram) -> DataFrame:
     else:
         series = _clock_series(histogram, h)
     counts = histogram.select("key", "doc_count")
-    filled = series.join(counts, "key", "left")
+    filled = series.join(counts, "key", "full")  # no counted bucket is lost
     return filled.select(
         F.lit(h.name).alias("agg"),
         "key",
@@ -255,19 +276,44 @@ def fill_gaps(histogram: DataFrame, h: Histogram) -> DataFrame:
 
 
 def _clock_series(histogram: DataFrame, h: Histogram) -> DataFrame:
-    """Keys of all buckets between the first and the last one, in wall time."""
-    zone, months = h.zone or "UTC", h.interval.months
-    if months is not None:
-        step = f"make_interval(0, {months})"
-    else:
-        step = f"make_dt_interval(0, 0, 0, {h.interval.seconds})"
-
-    def wall(key: str) -> str:
-        return times.convert_zone("UTC", zone, times.utc_wall_time(f"{key} * 1000"))
-
-    ends = histogram.selectExpr(
-        f"{wall('min(key)')} AS lo", f"{wall('max(key)')} AS hi"
-    )
-    starts = ends.selectExpr(f"explode(sequence(lo, hi, {step})) AS start")
+    """Keys of all buckets between the first and the last one."""
+    ends = histogram.selectExpr("min(key) AS lo", "max(key) AS hi")
+    if h.interval.months is not None:
+        return _month_series(ends, h)
+    size = h.interval.seconds
+    if h.zone is None:
+        return _instants(ends, size).selectExpr("at AS key")
+    # A clock change shortens or lengthens buckets; looking at this many
+    # instants meets each of them.
+    step = size // 4 if size >= 4 * 3_600 else math.gcd(size, 900)
+    looks = _instants(ends, step).selectExpr("lo", "hi", f"{times.utc_wall_time('at * 1000')} AS at")
+    at = replace(h, time=TimeColumn.of(looks, "at"))
+    starts = looks.select("lo", "hi", bucket(at).alias("start"))
+    keys = starts.selectExpr("lo", "hi", f"{bucket_millis(at, 'start', T.TimestampNTZType())} AS key")
+    return keys.where("key BETWEEN lo AND hi").select("key").distinct()
+
+
+def _instants(ends: DataFrame, step_seconds: int) -> DataFrame:
+    """``(lo, hi, at)``: every step from ``lo`` to ``hi``, in milliseconds.
+
+    Chunks of steps are dealt to all tasks before they are listed, so no row
+    holds more than a chunk, whatever the gap.
+    """
+    spark, step = ends.sparkSession, step_seconds * 1_000
+    chunks = ends.selectExpr(
+        "lo", "hi", f"explode(sequence(0L, (hi - lo) div {step}L div {CHUNK}L)) AS chunk"
+    ).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    first = f"(lo + chunk * {CHUNK * step}L)"
+    last = f"least(hi, {first} + {(CHUNK - 1) * step}L)"
+    return chunks.selectExpr("lo", "hi", f"explode(sequence({first}, {last}, {step}L)) AS at")
+
+
+def _month_series(ends: DataFrame, h: Histogram) -> DataFrame:
+    zone = h.zone or "UTC"
+    wall = [
+        times.convert_zone("UTC", zone, times.utc_wall_time(f"{end} * 1000")) for end in ("lo", "hi")
+    ]
+    step = f"make_interval(0, {h.interval.months})"
+    starts = ends.selectExpr(f"explode(sequence({wall[0]}, {wall[1]}, {step})) AS start")
     utc = times.convert_zone(zone, "UTC", "start")
     return starts.selectExpr(f"{times.unix_millis(utc, True)} AS key")

@@ -20,13 +20,6 @@ from tidelog.functions.times import TimeColumn
 WIDTHS = (3_600, 86_400, 2_592_000, 94_608_000)
 _OPEN = len(WIDTHS)
 
-# How requests meet the log, by their number and total text length.
-PLAIN, BROADCAST, SHUFFLE = "plain", "broadcast", "shuffle"
-PLAIN_ROWS = 64
-BROADCAST_ROWS = 100_000
-BROADCAST_CHARS = 32 << 20
-
-
 @dataclass(frozen=True)
 class LogSide:
     """Which columns of the log a request is matched against.
@@ -43,37 +36,27 @@ class LogSide:
 
 @dataclass(frozen=True)
 class RequestsProfile:
-    """What is measured of the requests, in one aggregation.
+    """What is measured of the requests, in one aggregation that ends as one row.
 
     ``gte`` and ``lte`` enclose all requests, None where one of them is open.
     ``levels`` are the bucket widths in use: at most len(WIDTHS) + 1.
     """
 
-    n: int
-    chars: int
     levels: tuple[int, ...]
     gte: datetime | None
     lte: datetime | None
 
-    @property
-    def way(self) -> str:
-        if self.n > BROADCAST_ROWS or self.chars > BROADCAST_CHARS:
-            return SHUFFLE
-        return PLAIN if self.n <= PLAIN_ROWS else BROADCAST
-
 
 def profile_requests(requests: DataFrame) -> RequestsProfile:
     ntz = TimeColumn.of(requests, "gte").ntz
     lo, hi = _bounds(ntz)
     row = requests.selectExpr(
-        "count(*) AS n",
-        "coalesce(sum(coalesce(length(q), 0) + coalesce(length(index), 0)), 0) AS chars",
         f"collect_set({_level(lo, hi)}) AS levels",
         f"CASE WHEN count(*) = count(gte) THEN {times.unix_micros('min(gte)', ntz)} END AS gte",
         f"CASE WHEN count(*) = count(lte) THEN {times.unix_micros('max(lte)', ntz)} END AS lte",
     ).first()
     gte, lte = (None if us is None else times.micros_instant(us) for us in (row.gte, row.lte))
-    return RequestsProfile(row.n, row.chars, tuple(sorted(row.levels)), gte, lte)
+    return RequestsProfile(tuple(sorted(row.levels)), gte, lte)
 
 
 def _bounds(ntz: bool) -> tuple[str, str]:
@@ -81,47 +64,54 @@ def _bounds(ntz: bool) -> tuple[str, str]:
     return tuple(f"({times.unix_seconds(bound, ntz)})" for bound in ("gte", "lte"))
 
 
-def _matches(log: LogSide) -> Column:
-    ts = F.col(f"log.{log.time}")
-    raw = F.col(f"log.{log.raw}")
-    return (
-        (F.col("req.gte").isNull() | (ts >= F.col("req.gte")))
-        & (F.col("req.lte").isNull() | (ts <= F.col("req.lte")))
-        & (F.col("req.q").isNull() | raw.contains(F.col("req.q")))
-    )
-
-
-def match_requests(
-    logs: DataFrame,
-    requests: DataFrame,
-    log: LogSide = LogSide(),
-    way: str | None = None,
-    salts: int = 1,
-) -> DataFrame:
+def match_requests(logs: DataFrame, requests: DataFrame, log: LogSide = LogSide()) -> DataFrame:
     """Every log row with the ``id`` of each request it answers.
 
-    A few requests are broadcast and compared by index.  More are broadcast by
-    index and time bucket, so a row meets only requests near its time; the log
-    is not shuffled either way.  Beyond the broadcast limits both sides are
-    shuffled by index and time bucket, and a hot bucket can be spread over
-    ``salts`` tasks.  The log is first cut to the range that encloses all
-    requests.
+    One plan for any number of requests.  A row meets the distinct texts that
+    are asked of its index near its time, each tested once however many
+    requests share it; rows that hold one then meet its requests by the same
+    bucket and are tested against their bounds.  Both are equality joins
+    without hints: Spark broadcasts a side that it knows to be small, and
+    splits hot buckets of a shuffled one.  The log is first cut to the range
+    that encloses all requests, which takes a job over the requests while the
+    plan is built.
     """
     if TimeColumn.of(logs, log.time).ntz != TimeColumn.of(requests, "gte").ntz:
         raise ValueError("the log and the requests need the same kind of timestamp")
     profile = profile_requests(requests)
-    way = way or profile.way
-    logs = _enclosing(logs, log, profile)
-    if way == PLAIN:
-        joined = logs.alias("log").join(
-            F.broadcast(requests).alias("req"),
-            (F.col(f"log.{log.index}") == F.col("req.index")) & _matches(log),
-        )
-    else:
-        levels = profile.levels or (_OPEN,)
-        joined = _bucketed_join(logs, requests, log, levels, salts, way == BROADCAST)
+    asked = _by_bucket(requests)
+    texts = asked.select(*_KEYS, "_q").distinct()
+    side = _with_buckets(_enclosing(logs, log, profile), log, profile.levels or (_OPEN,))
+    raw = F.col(f"log.{times.quoted(log.raw)}")
+    near = side.alias("log").join(
+        texts.alias("text"),
+        _same_bucket("log", "text", log)
+        & (F.col("text._q").isNull() | raw.contains(F.col("text._q"))),
+    )
+    held = near.select("log.*", F.col("text._q").alias("_q"))
+    ts = F.col(f"log.{times.quoted(log.time)}")
+    joined = held.alias("log").join(
+        asked.alias("req"),
+        _same_bucket("log", "req", log)
+        & F.col("log._q").eqNullSafe(F.col("req._q"))
+        & (F.col("req._gte").isNull() | (ts >= F.col("req._gte")))
+        & (F.col("req._lte").isNull() | (ts <= F.col("req._lte"))),
+    )
     return joined.select(
-        F.col("req.id").alias("id"), *[F.col(f"log.`{name}`") for name in logs.columns]
+        F.col("req._id").alias("id"),
+        *[F.col(f"log.{times.quoted(name)}").alias(name) for name in logs.columns],
+    )
+
+
+_KEYS = ["_request_index", "_level", "_bucket"]
+
+
+def _same_bucket(left: str, right: str, log: LogSide) -> Column:
+    index = F.col(f"{left}.{times.quoted(log.index)}") == F.col(f"{right}._request_index")
+    return (
+        index
+        & (F.col(f"{left}._level") == F.col(f"{right}._level"))
+        & (F.col(f"{left}._bucket") == F.col(f"{right}._bucket"))
     )
 
 
@@ -150,52 +140,39 @@ def _level(lo: str, hi: str) -> str:
     return f"CASE WHEN gte IS NULL OR lte IS NULL THEN {_OPEN} {cases} ELSE {_OPEN} END"
 
 
-def _bucketed_join(
-    logs: DataFrame,
-    requests: DataFrame,
-    log: LogSide,
-    levels: tuple[int, ...],
-    salts: int,
-    broadcast: bool,
-) -> DataFrame:
-    time = TimeColumn.of(logs, log.time)
-    lo, hi = _bounds(time.ntz)
+def _by_bucket(requests: DataFrame) -> DataFrame:
+    """Requests once for each bucket they cover, two at most."""
+    lo, hi = _bounds(TimeColumn.of(requests, "gte").ntz)
     covered = " ".join(
-        f"WHEN {i} THEN sequence({_bucket(lo, i)}, {_bucket(hi, i)})"
-        for i in range(_OPEN)
+        f"WHEN {i} THEN sequence({_bucket(lo, i)}, {_bucket(hi, i)})" for i in range(_OPEN)
     )
-    req = (
+    return (
         # a reversed range matches nothing
         requests.where("NOT coalesce(gte > lte, false)")
         .withColumn("_level", F.expr(_level(lo, hi)))
         .withColumn("_bucket", F.expr(f"explode(CASE _level {covered} ELSE array(0L) END)"))
-        .withColumn("_salt", F.expr(f"explode(sequence(0, {salts - 1}))"))
+        .selectExpr(
+            "id AS _id",
+            "index AS _request_index",
+            "_level",
+            "_bucket",
+            "q AS _q",
+            "gte AS _gte",
+            "lte AS _lte",
+        )
     )
+
+
+def _with_buckets(logs: DataFrame, log: LogSide, levels: tuple[int, ...]) -> DataFrame:
+    """Log rows once for each bucket width in use (five at most)."""
+    time = TimeColumn.of(logs, log.time)
     seconds = f"({times.unix_seconds(time.sql, time.ntz)})"
     slots = ", ".join(
         f"named_struct('_level', {level}, '_bucket', {_bucket(seconds, level)})"
         for level in levels
     )
-    names = [F.col(f"`{name}`") for name in logs.columns]
-    side = logs.withColumn("_salt", _salt(logs, log, salts)).select(
-        *names, "_salt", F.expr(f"inline(array({slots}))")
-    )
-    left = side.alias("log")
-    right = (F.broadcast(req) if broadcast else req).alias("req")
-    keys = (F.col(f"log.{log.index}") == F.col("req.index")) & (
-        F.col("log._level") == F.col("req._level")
-    )
-    keys = keys & (F.col("log._bucket") == F.col("req._bucket"))
-    keys = keys & (F.col("log._salt") == F.col("req._salt"))
-    return left.join(right, keys & _matches(log))
-
-
-def _salt(logs: DataFrame, log: LogSide, salts: int) -> Column:
-    """Spread rows by key and time; the same on every attempt of a task."""
-    if salts == 1:
-        return F.lit(0)
-    parts = [F.col(log.time), F.col(log.id) if log.id else F.col(log.raw)]
-    return F.pmod(F.xxhash64(*parts), F.lit(salts)).cast("int")
+    names = [F.col(times.quoted(name)) for name in logs.columns]
+    return logs.select(*names, F.expr(f"inline(array({slots}))"))
 
 
 def request_counts(matched: DataFrame, requests: DataFrame) -> DataFrame:
@@ -227,7 +204,7 @@ def request_hits(matched: DataFrame, log: LogSide, size: int) -> DataFrame:
     request that matches a third of the log still moves few rows.
     """
     time = TimeColumn.of(matched, log.time)
-    order = [time.seconds(), F.col(log.id or log.raw)]
+    order = [time.seconds(), F.col(times.quoted(log.id or log.raw))]
     ranked = matched.withColumn(
         "rank", F.row_number().over(Window.partitionBy("id").orderBy(*order))
     )

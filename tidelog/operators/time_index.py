@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from tidelog.functions import times
 from tidelog.functions.times import TimeColumn
 
-# Buckets per group when neighbouring entries are looked up.
-GROUP = 4_096
+# Steps per group when neighbouring entries are looked up, and how often groups
+# are grouped again: 8192 ** 3 steps are over 10,000 years of seconds.
+GROUP, DEPTH = 8_192, 3
 
 
 def truncate(ts: Column, step_seconds: int) -> Column:
@@ -65,60 +66,50 @@ def step_number(time: TimeColumn, step_seconds: int) -> Column:
     return F.expr(times.floor_div(seconds, step_seconds))
 
 
-def _with_neighbours(entries: DataFrame) -> DataFrame:
-    """Add the previous entry's position and the next entry's step and position.
+def _around(asked: DataFrame, entries: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """``(step, own, before, after)`` of every asked step: the entry there and
+    the nearest ones on either side.
 
-    Entries are ordered within groups of GROUP steps in parallel.  Only the
-    ends of those groups are ordered together: with hourly steps that is one
-    row for half a year of log.
+    ``asked`` holds distinct steps and ``entries`` one ``(step, entry)`` a step,
+    so a group has at most twice GROUP rows.  What lies outside a group comes
+    from the first and last entries of the others, looked up in the same way:
+    no steps are filled in, and no task orders more than one group.
     """
-    entries = entries.withColumn("group", F.expr(times.floor_div("step", GROUP)))
-    ends = entries.groupBy("group").agg(
-        F.max("step").alias("tail"),
-        F.max_by("position", "step").alias("tail_position"),
-        F.min("step").alias("head"),
-        F.min_by("position", "step").alias("head_position"),
+    nothing = F.lit(None).cast(entries.schema["entry"].dataType)
+    both = asked.select("step", nothing.alias("entry"), F.lit(True).alias("asked"))
+    both = both.union(entries.select("step", "entry", F.lit(False)))
+    both = both.groupBy("step").agg(
+        F.first("entry", ignorenulls=True).alias("own"), F.max("asked").alias("asked")
     )
-    across = Window.orderBy("group")
-    ends = ends.select(
-        "group",
-        F.lag("tail_position").over(across).alias("before_position"),
-        F.lead("head").over(across).alias("after_step"),
-        F.lead("head_position").over(across).alias("after_position"),
-    )
-    inside = Window.partitionBy("group").orderBy("step")
-    near = entries.select(
+    # the ends of all groups of groups are one group at last
+    size = GROUP if depth > 1 else 1 << 62
+    both = both.withColumn("group", F.expr(times.floor_div("step", size)))
+    rows = Window.partitionBy("group")
+    earlier = rows.orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    later = rows.orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.select(
         "*",
-        F.lag("position").over(inside).alias("prev"),
-        F.lead("step").over(inside).alias("next_step"),
-        F.lead("position").over(inside).alias("next"),
+        F.last("own", ignorenulls=True).over(earlier).alias("before"),
+        F.last("own", ignorenulls=True).over(later).alias("after"),
+    ).where("asked")
+    if depth == 1:
+        return near.select("step", "own", "before", "after")
+    group = F.expr(times.floor_div("step", GROUP)).alias("step")
+    ends = entries.groupBy(group).agg(
+        F.struct(
+            F.min_by("entry", "step").alias("head"), F.max_by("entry", "step").alias("tail")
+        ).alias("entry")
     )
-    return near.join(ends, "group").select(
-        "step",
-        "first_ts",
-        "position",
-        F.coalesce("prev", "before_position").alias("prev_position"),
-        F.coalesce("next_step", "after_step").alias("next_step"),
-        F.coalesce("next", "after_position").alias("next_position"),
+    beyond = _around(asked.select(group).distinct(), ends, depth - 1).select(
+        F.col("step").alias("group"),
+        F.col("before.tail").alias("_tail"),
+        F.col("after.head").alias("_head"),
     )
-
-
-def _steps(index: DataFrame, step_seconds: int) -> DataFrame:
-    """One row per step from the first entry to the last, gaps included.
-
-    ``_before`` and ``_after`` are the nearest entries on either side, so that a
-    lookup is one equality join: no range join, and one match per request.
-    """
-    near = _with_neighbours(_numbered(index, step_seconds))
-    last = F.coalesce(F.col("next_step") - 1, F.col("step"))
-    filled = near.select("*", F.explode(F.sequence("step", last)).alias("at"))
-    own = F.col("at") == F.col("step")
-    return filled.select(
-        F.col("at").alias("_at"),
-        F.when(own, F.col("first_ts")).alias("_first_ts"),
-        F.when(own, F.col("position")).alias("_own"),
-        F.when(own, F.col("prev_position")).otherwise(F.col("position")).alias("_before"),
-        F.col("next_position").alias("_after"),
+    return near.join(beyond, "group").select(
+        "step",
+        "own",
+        F.coalesce("before", "_tail").alias("before"),
+        F.coalesce("after", "_head").alias("after"),
     )
 
 
@@ -127,29 +118,28 @@ def _lookup(
 ) -> DataFrame:
     """Requests with the entries around their step."""
     at = step_number(TimeColumn.of(requests, ts), step_seconds)
-    return requests.withColumn("_step", at).join(
-        _steps(index, step_seconds), F.col("_step") == F.col("_at"), "left"
+    requests = requests.withColumn("_step", at)
+    entries = _numbered(index, step_seconds).select(
+        "step", F.struct("first_ts", "position").alias("entry")
     )
-
-
-def _edge(index: DataFrame, choose) -> Column:
-    """The first or last entry as a scalar subquery."""
-    entry = choose(F.struct("first_ts", "position"), F.col("first_ts"))
-    return index.agg(entry.alias("entry")).scalar()
+    asked = requests.where("_step IS NOT NULL").select(F.col("_step").alias("step")).distinct()
+    around = _around(asked, entries).select(
+        F.col("step").alias("_at"),
+        F.col("own.first_ts").alias("_first_ts"),
+        F.col("own.position").alias("_own"),
+        F.col("before.position").alias("_before"),
+        F.col("after.position").alias("_after"),
+    )
+    return requests.join(around, F.col("_step") == F.col("_at"), "left")
 
 
 def start_positions(
     requests: DataFrame, index: DataFrame, ts: str, step_seconds: int
 ) -> DataFrame:
     """Add ``position``: the last entry at or before ``ts``, 0 without one."""
-    asked = F.col(ts)
-    last = _edge(index, F.max_by)
     found = _lookup(requests, index, ts, step_seconds)
-    position = (
-        F.when(asked >= last["first_ts"], last["position"])
-        .when(F.col("_first_ts") <= asked, F.col("_own"))
-        .otherwise(F.col("_before"))
-    )
+    own = F.col("_first_ts") <= F.col(ts)
+    position = F.when(own, F.col("_own")).otherwise(F.col("_before"))
     return found.select(
         *requests.columns,
         F.coalesce(position, F.lit(0)).cast("bigint").alias("position"),
@@ -162,14 +152,10 @@ def end_positions(
     """Add ``position``: the first entry after ``ts`` or exactly at the start
     of its step; NULL without one."""
     asked = F.col(ts)
-    first = _edge(index, F.min_by)
     found = _lookup(requests, index, ts, step_seconds)
     ntz = TimeColumn.of(requests, ts).ntz
     since = f"{times.unix_micros('_first_ts', ntz)} + {times.YEAR_ONE_SECONDS}000000L"
     into_step = F.expr(f"pmod({since}, {step_seconds}000000L)")
-    position = (
-        F.when(asked < first["first_ts"], first["position"])
-        .when((F.col("_first_ts") > asked) | (into_step == 0), F.col("_own"))
-        .otherwise(F.col("_after"))
-    )
+    own = (F.col("_first_ts") > asked) | (into_step == 0)
+    position = F.when(own, F.col("_own")).otherwise(F.col("_after"))
     return found.select(*requests.columns, position.cast("bigint").alias("position"))
