@@ -267,6 +267,33 @@ SPANS = T.ArrayType(
 )
 
 
+# Texts looked at together.
+TOGETHER = 256
+
+
+def _all_spans(finder: Finder, column: pa.Array) -> list[list[tuple]]:
+    """Per text all spans (kind, begin, end, base, score) by begin, then kind as listed."""
+    texts, rows = [], []
+    for i, text in enumerate(column):
+        text = text.as_py()
+        if text and _ANY(text):
+            texts.append(text)
+            rows.append(i)
+    base = [base_spans(text) for text in texts]
+    spans: list[list[tuple]] = [[] for _ in range(len(column))]
+    for i, certain, likely in zip(rows, base, finder.more(texts, base), strict=True):
+        both = [(k, a, b, True, 1.0) for k, a, b in certain]
+        both += [(k, a, b, False, s) for k, a, b, s in likely]
+        spans[i] = sorted(both, key=lambda s: (s[1], KINDS.index(s[0])))
+    return spans
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def find(df: DataFrame, finder: Finder, text_column: str = "text") -> DataFrame:
     """``df`` with ``spans``: all spans by begin, then kind as listed."""
     kept = [c for c in df.columns if c.lower() != "spans"]
@@ -284,23 +311,12 @@ def find(df: DataFrame, finder: Finder, text_column: str = "text") -> DataFrame:
         )
     )
 
+    fields = ("kind", "begin", "end", "base", "score")
+
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans: list[list[dict]] = [[] for _ in range(batch.num_rows)]
-            texts, rows = [], []
-            for i, text in enumerate(batch.column(batch.num_columns - 1)):
-                text = text.as_py()
-                if text and _ANY(text):
-                    texts.append(text)
-                    rows.append(i)
-            base = [base_spans(text) for text in texts]
-            more = finder.more(texts, base)
-            for i, certain, likely in zip(rows, base, more, strict=True):
-                both = [(k, a, b, True, 1.0) for k, a, b in certain]
-                both += [(k, a, b, False, s) for k, a, b, s in likely]
-                both.sort(key=lambda s: (s[1], KINDS.index(s[0])))
-                names = ("kind", "begin", "end", "base", "score")
-                spans[i] = [dict(zip(names, s, strict=True)) for s in both]
+        for batch in _slices(batches):
+            all_spans = _all_spans(finder, batch.column(batch.num_columns - 1))
+            spans = [[dict(zip(fields, s, strict=True)) for s in own] for own in all_spans]
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(spans, arrow)],
                 names=[*kept, "spans"],
@@ -322,19 +338,24 @@ def redact(text: str | None, spans: list[Span]) -> str | None:
 
 
 def redacted(df: DataFrame, finder: Finder, text_column: str = "text") -> DataFrame:
-    """``df`` with its texts redacted; nothing else changes."""
+    """``df`` with its texts redacted; nothing else changes.
+
+    Spans are found and named in one Python worker a task, ``TOGETHER`` texts at a time.
+    """
     place = [c.lower() for c in df.columns].index(text_column.lower())
-    found, names = find(df, finder, text_column), df.columns
+    names = df.columns
 
     def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             columns = [*batch.columns]
-            spans = columns.pop().to_pylist()
+            spans = _all_spans(finder, columns[place])
             texts = [
-                redact(text.as_py(), [(s["kind"], s["begin"], s["end"]) for s in own])
+                redact(text.as_py(), [s[:3] for s in own])
                 for text, own in zip(columns[place], spans, strict=True)
             ]
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return found.mapInArrow(cleaned, df.schema)
+    text = q(text_column).cast("string").alias(names[place])
+    kept = df.select(*(text if i == place else q(c) for i, c in enumerate(names)))
+    return kept.mapInArrow(cleaned, kept.schema)
