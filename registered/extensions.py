@@ -22,7 +22,6 @@ from tidelog import log_index, search
 from tidelog.functions import times
 from tidelog.functions.intervals import columnar_interval, document_interval
 from tidelog.operators import histogram as hist
-from tidelog.operators.hits import without_fields
 from tidelog.operators.predicates import query_filter
 
 
@@ -165,7 +164,9 @@ def time_zone_gap_fill(spark, folder):
 
 @register("ext_source_excludes", "SELECT event_id, user_id, event_type, value FROM events")
 def source_excludes(spark, folder):
-    return without_fields(events(spark, folder).df, ["ts", "props"])
+    request = {"_source": {"excludes": ["ts", "props"]}}
+    hits = search(events(spark, folder), request, extensions=True).hits
+    return hits.select("_source.*")
 
 
 @register(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from registered.registry import register, table
 from tidelog.operators import many_requests as many
+from tidelog.operators import merge
 
 KINDS = ["click", "error", "purchase", "signup", "view", "missing"]
 
@@ -110,6 +111,21 @@ def multi_search_hits(spark, folder):
     return found.select("id", "event_id", "rank")
 
 
+@register(
+    "health_merge",
+    REQUESTS
+    + "SELECT CAST(count(*) AS INTEGER) AS total, CAST(count(*) FILTER (known) AS INTEGER) AS successful, "
+    + "0 AS skipped, CAST(count(*) FILTER (NOT known) AS INTEGER) AS failed, false AS timed_out "
+    + "FROM (SELECT index IN (SELECT event_type FROM events) AS known FROM requests)",
+)
+def health_merge(spark, folder):
+    """The counters of all requests in one row; one of the indexes is unknown."""
+    registry = table(spark, folder, "events").select(F.col("event_type").alias("index"))
+    known = registry.distinct().withColumn("known", F.lit(True))
+    asked = requests(spark, folder).join(known, "index", "left")
+    return merge.merge_health(merge.source_health(asked, F.col("known").isNotNull()))
+
+
 @register(
     "multi_search_unknown_index",
     REQUESTS

@@ -1,5 +1,6 @@
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +55,25 @@ def test_incremental_load(spark, tmp_path):
     ]
 
 
+def test_files_follow_dates_and_a_replay_loads_nothing_twice(spark, tmp_path):
+    source, target, state = (str(tmp_path / name) for name in ("in", "table", "state"))
+    for i in range(16):
+        write_lines(source, f"{i}.json", [row(day, i) for day in range(1, 31)])
+
+    def load():
+        query = ingest_new_files(spark, source, target, state, FIELDS, "datetime")
+        query.awaitTermination()
+        return spark.read.parquet(target).count()
+
+    assert load() == 480
+    days = [f for _, _, files in os.walk(target) for f in files if f.endswith(".parquet")]
+    assert len(days) == 30
+    os.remove(f"{state}/commits/0")  # as if the run had ended before its commit
+    if os.path.exists(f"{state}/commits/.0.crc"):
+        os.remove(f"{state}/commits/.0.crc")
+    assert load() == 480
+
+
 @pytest.fixture
 def busy_day(spark):
     """A third of the rows is one instant of one day."""
@@ -96,7 +116,14 @@ def test_range_reads_only_its_dates(spark, busy_day, tmp_path):
     assert pruned_scan(spark, path, "ts", None, None).count() == 60_000
 
 
-def test_shared_folder(spark, monkeypatch):
+def test_shared_folder(spark):
     base = spark.conf.get("spark.checkpoint.dir")
     first, second = shared_folder(spark, "x"), shared_folder(spark, "x")
     assert first != second and first.startswith(base)
+
+
+def test_shared_folder_without_a_checkpoint_folder():
+    """Then it is in the warehouse, which all of a cluster share."""
+    settings = {"spark.sql.warehouse.dir": "file:/somewhere/warehouse/"}
+    session = SimpleNamespace(conf=settings)
+    assert shared_folder(session, "x").startswith("file:/somewhere/warehouse/tidelog/x-")

@@ -22,6 +22,7 @@ from tidelog.operators.hits import (
 )
 from tidelog.operators.predicates import scan_filter
 from tidelog.plans.dispatch import answer
+from tidelog.plans.search import hit_documents
 from tidelog.sources.composite import combine_alike, with_shard
 from tidelog.sources.readers import jdbc_options
 
@@ -403,3 +404,36 @@ def test_json_index_by_hand(spark, path):
     assert search(index, {"query": phrase}).totals.first().total == 0
     phrase = {"bool": {"must": [{"match_phrase": {"message": "m3"}}]}}
     assert search(index, {"query": phrase}).totals.first().total == 1
+
+
+def test_requests_name_fields_of_documents(spark, tmp_path):
+    rows = [
+        {"@timestamp": "2024-01-01T00:00:01Z", "n": 9, "k": "b"},
+        {"@timestamp": "2024-01-01T00:00:03Z", "n": 10, "k": "a", "x.y": 1},
+        {"@timestamp": "2024-01-01T00:00:02Z", "n": "text"},
+        {"k": "c"},
+    ]
+    (tmp_path / "log").write_text("".join(json.dumps(row) + "\n" for row in rows) + "no json\n")
+    index = json_lines_index(spark, "x", str(tmp_path / "log"), "@timestamp", {"k": {"type": "text"}})
+
+    def found(name, order, query=None):
+        request = {"query": query, "sort": [{name: {"order": order}}]}
+        return [json.loads(r[0])["_source"] for r in hit_documents(search(index, request).hits).collect()]
+
+    assert [r and r.get("n") for r in found("n", "desc")][:3] == ["text", 10, 9]
+    assert [r and r.get("k") for r in found("k", "desc")][:3] == ["c", "b", "a"]
+    assert [r and r.get("n") for r in found("@timestamp", "desc")][:3] == [10, "text", 9]
+    since = {"bool": {"filter": [{"range": {"@timestamp": {"gte": "2024-01-01T00:00:02Z"}}}]}}
+    assert [r["n"] for r in found("@timestamp", "asc", since)] == ["text", 10]
+    request = {
+        "query": since,
+        "_source": {"excludes": ["n", "x.y"]},
+        "docvalue_fields": [{"field": "@timestamp", "format": "date_time"}, {"field": "k"}, {"field": "n"}],
+    }
+    hits = [json.loads(r[0]) for r in hit_documents(search(index, request, extensions=True).hits).collect()]
+    assert hits[1]["_source"] == {"@timestamp": "2024-01-01T00:00:03Z", "k": "a"}
+    assert hits[1]["fields"] == {"@timestamp": "2024-01-01T00:00:03.000Z", "k": "a", "n": 10}
+    # search_many orders alike
+    request = {"sort": [{"n": {"order": "desc"}}], "size": 2}
+    once, many = (r.hits.select("_id").collect() for r in (search(index, request), search_many([index], request)))
+    assert once == many

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,12 @@ def field_as(doc: Column, key: str, kind: str) -> Column:
     return F.try_variant_get(doc, key_path(key), kind)
 
 
+def without_keys(doc: Column, keys: Sequence[str]) -> Column:
+    """The document without these top-level keys."""
+    kept = F.map_filter(doc.cast("map<string,variant>"), lambda key, _: ~key.isin(*keys))
+    return F.to_variant_object(kept)
+
+
 def has_field(doc: Column, key: str) -> Column:
     """True when the key is present, even with a JSON null."""
     return field_value(doc, key).isNotNull()

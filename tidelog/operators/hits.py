@@ -39,23 +39,32 @@ def time_order(index: LogIndex, descending: bool = False) -> list[Column]:
     return [first, index.tiebreak().asc()]
 
 
+def _undeclared_key(index: LogIndex, name: str) -> bool:
+    known = (RANGE_KEY, *index.time_keys, *index.fields, *index.df.columns)
+    return index.doc is not None and name not in known
+
+
 def sort_entries(
     index: LogIndex, sort: Sequence[Mapping[str, Mapping]] | None
 ) -> list[tuple[Column | None, bool]]:
     """(column, descending) of a request's ``sort`` list.
 
     A name that the index lacks is an error unless its entry has an
-    ``unmapped_type``: then it has no column.
+    ``unmapped_type``: then it has no column.  Values of an undeclared key of
+    a document may be of any kind: numbers come in their order, then texts.
     """
     entries = []
     for entry in sort or []:
         for name, how in entry.items():
-            column = None
-            if name in (index.time.name, RANGE_KEY):
+            if name == RANGE_KEY or name in index.time_keys:
                 column = index.time.seconds()
-            elif name in index.df.columns:
-                column = F.col(quoted(name))
-            elif not (how or {}).get("unmapped_type"):
+            else:
+                column = index.field_column(name)
+            if column is not None and _undeclared_key(index, name):
+                number, text = (F.try_variant_get(column, "$", kind) for kind in ("double", "string"))
+                column = F.struct(number.isNull().alias("other"), number.alias("number"), text.alias("text"))
+                column = F.when(text.isNotNull(), column)
+            if column is None and not (how or {}).get("unmapped_type"):
                 raise ValueError(f"{index.name!r} has no field {name!r} to sort by")
             entries.append((column, (how or {}).get("order", "asc") == "desc"))
     return entries
@@ -119,21 +128,20 @@ def first_rows(
 def docvalue_columns(
     index: LogIndex, fields: Sequence[Mapping[str, str]]
 ) -> list[Column]:
-    """Extension: requested extra columns; ``date_time`` formats the time."""
+    """Extension: requested extra columns; ``date_time`` formats the time.
+
+    A name that the index lacks is left out.
+    """
     columns = []
     for entry in fields:
         name = entry["field"]
-        if name not in index.df.columns:
-            continue
-        as_text = entry.get("format") == "date_time" and name == index.time.name
-        value = F.col(quoted(name))
-        if as_text:
+        if name not in index.time_keys:
+            value = index.field_column(name)
+        elif entry.get("format") == "date_time":
             text = times.format_rfc3339_fraction(index.time.sql, index.time.ntz, 3)
             value = F.expr(text)
-        columns.append(value.alias(name))
+        else:
+            value = F.col(quoted(index.time.name))
+        if value is not None:
+            columns.append(value.alias(name))
     return columns
-
-
-def without_fields(df: DataFrame, excludes: Sequence[str]) -> DataFrame:
-    """Extension: ``_source.excludes``."""
-    return df.drop(*excludes)

@@ -58,12 +58,24 @@ def merge_totals(parts: DataFrame | list[DataFrame]) -> DataFrame:
     return rows.agg(*sums, F.max("max_score").alias("max_score"))
 
 
+def source_health(asked: DataFrame, answered: Column) -> DataFrame:
+    """The counters of every asked source, one row each."""
+    one = answered.cast("int")
+    return asked.select(
+        F.lit(1).alias("total"),
+        one.alias("successful"),
+        F.lit(0).alias("skipped"),
+        (1 - one).alias("failed"),
+        F.lit(False).alias("timed_out"),
+    )
+
+
 def merge_health(parts: DataFrame | list[DataFrame]) -> DataFrame:
     """Sum the source counters; timed out when one source was."""
     rows = parts if isinstance(parts, DataFrame) else union_all(parts)
     return rows.agg(
-        *[F.sum(name).cast("int").alias(name) for name in HEALTH],
-        F.max("timed_out").alias("timed_out"),
+        *[F.coalesce(F.sum(name), F.lit(0)).cast("int").alias(name) for name in HEALTH],
+        F.coalesce(F.max("timed_out"), F.lit(False)).alias("timed_out"),
     )
 
 

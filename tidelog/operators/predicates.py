@@ -93,11 +93,17 @@ def _phrase_field(index: LogIndex, name: str, value: str) -> Column:
     return F.lit(False)
 
 
+def written_bounds(index: LogIndex, range_filter: Mapping[str, Any]) -> Mapping[str, Any]:
+    """The bounds as the request has them, under any name of the time column."""
+    names = (RANGE_KEY, *index.time_keys)
+    return next((range_filter[name] for name in names if name in range_filter), None) or {}
+
+
 def time_bounds(index: LogIndex, range_filter: Mapping[str, Any]):
     """``(gte, lte)`` of a range filter, None where open."""
     if index.time is None:
         raise ValueError(f"{index.name!r} has no time column")
-    bounds = range_filter.get(RANGE_KEY, range_filter.get(index.time.name)) or {}
+    bounds = written_bounds(index, range_filter)
     gte, lte = parse_instant(bounds.get("gte")), parse_instant(bounds.get("lte"))
     if index.flavour != DOCUMENT:
         # whole seconds, applied to the constants and never to the column

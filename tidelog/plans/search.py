@@ -17,17 +17,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.documents import row_json
+from tidelog.functions.documents import row_json, without_keys
 from tidelog.functions.intervals import columnar_interval, document_interval
 from tidelog.functions.times import TimeColumn, quoted, utc_offset_minutes
 from tidelog.operators import hits as hit_ops
 from tidelog.operators import histogram as hist
 from tidelog.operators import merge
 from tidelog.operators.predicates import (
-    RANGE_KEY,
     request_bounds,
     requires_time,
     scan_filter,
+    written_bounds,
 )
 from tidelog.sources.composite import combine_alike
 from tidelog.sources.index import DOCUMENT, LogIndex
@@ -52,14 +52,9 @@ class SearchResult:
     @property
     def health(self) -> DataFrame:
         """One row: sources asked, answered, skipped and failed."""
-        total = self.sources + self.unknown
-        return self.hits.sparkSession.range(1).selectExpr(
-            f"{total} AS total",
-            f"{self.sources} AS successful",
-            "0 AS skipped",
-            f"{self.unknown} AS failed",
-            "false AS timed_out",
-        )
+        asked = [(True,)] * self.sources + [(False,)] * self.unknown
+        rows = self.hits.sparkSession.createDataFrame(asked, "answered boolean")
+        return merge.merge_health(merge.source_health(rows, F.col("answered")))
 
     @property
     def aggs(self) -> DataFrame:
@@ -68,8 +63,13 @@ class SearchResult:
 
     @property
     def totals(self) -> DataFrame:
-        """One row: the exact ``total`` and the histograms' ``bucket_total``."""
-        return totals_of(self.summary)
+        """One row: the exact ``total``, the histograms' ``bucket_total`` and the
+        highest score of the hits."""
+        none = F.lit(0).cast("bigint")
+        best = merge.max_score(self.hits).select(
+            none.alias("total"), none.alias("bucket_total"), "max_score"
+        )
+        return merge.merge_totals([totals_of(self.summary), best])
 
     def to_document(self) -> dict[str, Any]:
         """The result as one nested document; runs both jobs.
@@ -132,13 +132,14 @@ class SearchResult:
 
 
 def totals_of(summary: DataFrame) -> DataFrame:
+    """Totals of the counts alone; they have no score."""
     count = F.col("doc_count")
     exact = F.sum(F.when(F.col("agg").isNull(), count))
     buckets = F.sum(F.when(F.col("agg").isNotNull(), count))
     return summary.agg(
         F.coalesce(exact, F.lit(0)).cast("bigint").alias("total"),
         F.coalesce(buckets, F.lit(0)).cast("bigint").alias("bucket_total"),
-        F.lit(0.0).alias("max_score"),
+        F.lit(None).cast("double").alias("max_score"),
     )
 
 
@@ -178,8 +179,7 @@ def request_histograms(
 def _written_gte(index: LogIndex, query: Mapping[str, Any] | None):
     for each in ((query or {}).get("bool") or {}).get("filter") or []:
         if each and each.get("range") is not None:
-            bounds = each["range"].get(RANGE_KEY, each["range"].get(index.time.name))
-            return (bounds or {}).get("gte")
+            return written_bounds(index, each["range"]).get("gte")
     return None
 
 
@@ -249,7 +249,9 @@ def _hit_columns(
         return hit_ops.hit_columns(index)
     source = None
     excludes = (request.get("_source") or {}).get("excludes") or []
-    if excludes and index.doc is None:
+    if excludes and index.doc is not None:
+        source = without_keys(F.col(quoted(index.doc)), excludes)
+    elif excludes:
         source = F.struct(*[F.col(quoted(c)) for c in index.source_columns if c not in excludes])
     columns = hit_ops.hit_columns(index, source)
     values = hit_ops.docvalue_columns(index, request.get("docvalue_fields") or [])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelog.functions.documents import row_json
+from tidelog.functions.documents import document_time, field_as, field_value, row_json
 from tidelog.functions.times import TimeColumn, quoted
 
 # Declared field types and the Spark type each one is read as.
@@ -64,6 +64,8 @@ class LogIndex:
     ``flavour`` selects one of the two sets of search rules (see the README).
     ``partition`` names a DATE column holding the UTC date of the time column,
     as ``write_time_table`` lays tables out; time ranges then prune partitions.
+    ``time_field`` is the name that requests use for the time column where
+    the log calls it otherwise than the DataFrame.
     """
 
     name: str
@@ -76,6 +78,28 @@ class LogIndex:
     flavour: str = COLUMNAR
     wildcards: bool = True
     partition: str | None = None
+    time_field: str | None = None
+
+    @property
+    def time_keys(self) -> tuple[str, ...]:
+        """The names by which a request may call the time column."""
+        names = (self.time_field, self.time and self.time.name)
+        return tuple(name for name in names if name is not None)
+
+    def field_column(self, name: str) -> Column | None:
+        """A field that a request names: of its declared type in a document,
+        a column, or what a document holds under an undeclared key."""
+        if self.doc is not None and name in self.fields:
+            kind = self.fields[name].type
+            if kind == "date":
+                return document_time(F.col(quoted(self.doc)), name)
+            kind = FIELD_TYPES[kind].simpleString()
+            return field_as(F.col(quoted(self.doc)), name, kind)
+        if name in self.df.columns:
+            return F.col(quoted(name))
+        if self.doc is not None:
+            return field_value(F.col(quoted(self.doc)), name)
+        return None
 
     @property
     def searchable(self) -> list[str]:
@@ -130,6 +154,7 @@ def log_index(
     flavour: str | None = None,
     wildcards: bool = True,
     partition: str | None = None,
+    time_field: str | None = None,
 ) -> LogIndex:
     """Describe a log.  A log with a raw line follows the document rules.
 
@@ -153,4 +178,5 @@ def log_index(
         flavour=flavour,
         wildcards=wildcards,
         partition=partition,
+        time_field=time_field,
     )

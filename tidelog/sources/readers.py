@@ -51,7 +51,9 @@ def json_lines_index(
     fields: Mapping[str, Field | Mapping] | None = None,
 ) -> LogIndex:
     df = read_json_lines(spark, path, time_field)
-    return log_index(name, df, "ts", fields=fields, raw="raw", doc="doc")
+    return log_index(
+        name, df, "ts", fields=fields, raw="raw", doc="doc", time_field=time_field
+    )
 
 
 def apply_schema(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,12 +10,10 @@ from pyspark.sql import SparkSession
 def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder: on a cluster
-    the executors would not see each other's files.
+    Where that is unset, it lies under the session's warehouse, which the
+    driver and the executors share too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="tidelog-")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidelog"
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

@@ -40,11 +40,12 @@ def ingest_new_files(
 
     The checkpoint remembers the files already loaded and the file sink
     commits each batch as a whole, so a rerun after a failure loads nothing
-    twice.  Rows without a time have no date,
-    as in ``write_time_table``.  Map-only: no shuffle.
+    twice.  Rows without a time have no date, as in ``write_time_table``.  As
+    there, REBALANCE gathers a batch's rows by date, so the number of files
+    follows the dates and their sizes, not the tasks that read the lines.
     """
     rows = json_lines_stream(spark, source, fields, max_files)
-    rows = with_date(rows, time)
+    rows = with_date(rows, time).hint("rebalance", F.col(DATE_PARTITION))
     return (
         rows.writeStream.format("parquet")
         .partitionBy(DATE_PARTITION)
