@@ -105,3 +105,24 @@ def test_odd_rows(docs):
     clean = {r["doc_id"]: r["text"] for r in pii.redacted(docs(texts), finder).collect()}
     assert clean[0] is None and clean[6] == "[EMAIL]" and clean[5] == "\U0001f600 [EMAIL]"
     assert pii.redact("abcdef", [("ip", 1, 3), ("card", 2, 5)]) == "a[IP]f"
+
+
+def test_rare_kinds_are_learned(docs):
+    rng = random.Random(8)
+    texts = [f"{t} {rng.randint(1, 99)}" for t in taught_texts(4000) if "password" not in t and "@" not in t]
+    rare = [f"some words password={rng.getrandbits(64):016x}a and more" for _ in range(120)]
+    at = ["written to someone at home", "and nothing"]
+    df = docs(texts + rare + at)  # about one text in twenty; ten or so in the drawn ones
+    finder = pii.fit_finder(df, F.col("text"), F.col("doc_id"), sample=200)
+    assert "secret" in finder.models and finder.thresholds["secret"] <= 1
+    keys = pii.find(docs(rare), finder).collect()
+    assert sum("secret" in [s["kind"] for s in r["spans"]] for r in keys) > 100
+    assert "contact" not in finder.models
+
+
+def test_examples_are_drawn_from_the_whole_text():
+    text = " ".join(f"value 10{i:06d}" for i in range(400)) + " write to abc@mail.com"
+    found = pii.examples(text, 5, 20, 6)
+    assert [kind for kind, wanted, _ in found if wanted] == ["contact"] * 2
+    assert sum(kind == "number" for kind, *_ in found) == 20 + 6
+    assert found == pii.examples(text, 5, 20, 6) != pii.examples(text, 6, 20, 6)

@@ -82,15 +82,13 @@ class BoostedTrees:
         return 1 / (1 + np.exp(-raw))
 
 
-def calibrated(scores: np.ndarray, wanted: np.ndarray, precision: float) -> float:
+def calibrated(wanted: np.ndarray, rows: np.ndarray, precision: float) -> float:
     """The least score from which on ``precision`` of the held-out rows are right.
 
-    One wrong row is counted in addition, so few rows can't pass for certainty;
+    Rows, and the wanted of them, are counted by equal steps of the score. One
+    wrong row is counted in addition, so few rows can't pass for certainty;
     infinite if no score will do.
     """
-    order = np.argsort(-scores, kind="stable")
-    right = np.cumsum(wanted[order])
-    enough = right >= precision * (np.arange(len(order)) + 2)
-    ends = np.append(scores[order][1:] < scores[order][:-1], True)[: len(order)]
-    good = np.flatnonzero(enough & ends)
-    return float(scores[order][good[-1]]) if len(good) else float("inf")
+    right, all_rows = np.cumsum(wanted[::-1])[::-1], np.cumsum(rows[::-1])[::-1]
+    good = np.flatnonzero((right >= precision * (all_rows + 1)) & (rows > 0))
+    return float(good[0] / len(rows)) if len(good) else float("inf")

@@ -6,13 +6,20 @@ a written-out "at" (``contact``), runs of digits of any grouping (``number``) an
 keys or passwords (``secret``). Boosted trees score them by format and context;
 where several overlap, the best stays, and none that overlaps a base span.
 
-The trees of each further kind learn from a sample by hash of at most about
-``sample`` texts. Positives are spans that a check vouches for, rewritten as the
-base patterns miss them (a phone number without its country code, an address
-with "(at)", the value after ``password=``); negatives are other candidates. The
-marks that vouch for a span are no features. A third of the texts is held out
-to set the threshold at which ``precision`` is met; a kind without enough
-examples adds nothing.
+The trees of each further kind learn from texts drawn by hash: about ``sample``
+of all, and for each kind about ``vouched`` of those that hold a positive of it,
+however rare they are. A text teaches at most ``each`` positives and ``each``
+negatives of a kind, and ``words`` words as negatives, drawn by its hash.
+Positives are spans that a check vouches for, rewritten as the base patterns miss
+them (a phone number without its country code, an address with "(at)", the value
+after ``password=``); negatives are other candidates. The marks that vouch for a
+span are no features.
+
+A third of the texts, by hash, teaches nothing: all candidates of all these texts
+are scored and counted, and the counts set the threshold at which ``precision`` is
+met in the whole table, so what was drawn needs no weights. A kind adds nothing
+with less than 5 positives on either side, or where no threshold will do: with 0.95
+and one wrong row in addition that takes 19 held-out positives in the table.
 
 Cases: a null or empty text has no spans; offsets are code points, ends
 exclusive; repeated rows are searched each; columns ``spans`` are replaced.
@@ -21,6 +28,7 @@ exclusive; repeated rows are searched each; columns ``spans`` are replaced.
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -28,12 +36,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.boosting import BoostedTrees, calibrated
-from tidelog.llm.tables import q
+from tidelog.llm.tables import q, stored
 
 # Kinds in order, base kinds first.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -48,7 +57,9 @@ _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)").findit
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 
-_ANY = re.compile(r"[0-9@]|[(\[{] ?at ?[)\]}]").search
+# Texts without any of this have no spans; also read by Spark.
+ANY = r"[0-9@]|[(\[{] ?at ?[)\]}]"
+_ANY = re.compile(ANY).search
 _CONTACT = re.compile(
     r"[\w.+-]{1,64} ?(?:@|[(\[{] ?at ?[)\]}]) ?\w[\w-]{0,62}(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?\w[\w-]{0,62}){1,4}"
 ).finditer
@@ -58,6 +69,8 @@ _CUE = re.compile(
     r"(?i)(pass(?:word|wd)?|secret|token|api[_-]?key|key|tel|phone|fax|call|mobile|mail|contact|id|ssn|iban|no)\W{0,3}\Z"
 ).search
 _KEYED = re.compile(r"(?i)(?:pass(?:word|wd)?|secret|token|api[_-]?key)\s?[=:]\s?[\"']?\Z").search
+_ACCESS_KEY = re.compile(r"AKIA[0-9A-Z]{16}").fullmatch
+_WORDS = re.compile(r"[^\W_]{4,}(?: [^\W_]+){0,2}").finditer
 _KEY_NAME = re.compile(r"(?i)\A(?:pass(?:word|wd)?|secret|token|api[_-]?key)[=:]").match
 
 Span = tuple[str, int, int]
@@ -107,11 +120,14 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def candidates(text: str) -> list[Span]:
+def candidates(text: str, kinds: tuple[str, ...] = MORE_KINDS) -> list[Span]:
     """What the wide generators propose; spans may overlap."""
-    found = [("contact", m.start(), m.end()) for m in _CONTACT(text)] if "at" in text or "@" in text else []
-    found += [("number", m.start(), m.end()) for m in _NUMBER(text)]
-    for m in _SECRET(text):
+    found: list[Span] = []
+    if "contact" in kinds and ("at" in text or "@" in text):
+        found += [("contact", m.start(), m.end()) for m in _CONTACT(text)]
+    if "number" in kinds:
+        found += [("number", m.start(), m.end()) for m in _NUMBER(text)]
+    for m in _SECRET(text) if "secret" in kinds else ():
         name = _KEY_NAME(m[0])
         found.append(("secret", m.start() + (name.end() if name else 0), m.end()))
     return found
@@ -154,40 +170,76 @@ def features(text: str, begin: int, end: int, cue: bool | None = None) -> list[f
     ]
 
 
+def _vouched(text: str, kind: str, a: int, b: int) -> bool:
+    """Whether a candidate is a key or the value of one."""
+    return kind == "secret" and bool(_KEYED(text[max(0, a - 24) : a]) or _ACCESS_KEY(text, a, b))
+
+
 def _overlap(span: Span, others: list[Span]) -> bool:
     return any(span[1] < b and a < span[2] for _, a, b in others)
 
 
-def examples(text: str) -> list[tuple[str, bool, list[float]]]:
-    """(kind, wanted, features) that a text teaches."""
-    base = base_spans(text)
-    out = []
+def positives(text: str, base: list[Span]) -> Iterator[tuple[str, str, int, int]]:
+    """(kind, text, begin, end) of the base spans, rewritten as the base patterns miss them."""
     for kind, a, b in base:
-        span = text[a:b]
+        span, told = text[a:b], []
         if kind == "phone":
             rest = re.sub(r"^\+[0-9]{1,3}[ .-]?", "", span)
-            if len(_digits(rest)) >= 7:
-                out.append(("number", True, features(text[:a] + rest + text[b:], a, a + len(rest))))
+            told = [("number", rest)] if len(_digits(rest)) >= 7 else []
         elif kind == "email":
-            for at, dot in (("(at)", "."), (" [at] ", " [dot] ")):
-                told = span.replace("@", at).replace(".", dot)
-                out.append(("contact", True, features(text[:a] + told + text[b:], a, a + len(told))))
+            ways = (("(at)", "."), (" [at] ", " [dot] "))
+            told = [("contact", span.replace("@", at).replace(".", dot)) for at, dot in ways]
         elif kind == "card":
-            told = ".".join(span[i : i + 4] for i in range(0, len(span), 4))
-            out.append(("number", True, features(text[:a] + told + text[b:], a, a + len(told))))
+            told = [("number", ".".join(span[i : i + 4] for i in range(0, len(span), 4)))]
+        for more, new in told:
+            # Features look at a few characters to both sides.
+            before = text[max(0, a - 64) : a]
+            yield more, before + new + text[b : b + 64], len(before), len(before) + len(new)
+
+
+def teaching(text: str) -> list[tuple[str, bool, str, int, int]]:
+    """(kind, wanted, text, begin, end) of all that a text can teach but words."""
+    base = base_spans(text)
+    out = [(kind, True, *rest) for kind, *rest in positives(text, base)]
     for kind, a, b in candidates(text):
-        if _overlap((kind, a, b), base):
-            continue
-        keyed = kind == "secret" and (_KEYED(text[max(0, a - 24) : a]) or re.match(r"AKIA[0-9A-Z]{16}\Z", text[a:b]))
-        out.append((kind, bool(keyed), features(text, a, b, cue=False if keyed else None)))
+        if not _overlap((kind, a, b), base):
+            out.append((kind, _vouched(text, kind, a, b), text, a, b))
+    return out
+
+
+def taught_features(kind: str, wanted: bool, text: str, a: int, b: int) -> list[float]:
+    # What vouches for a secret is hidden.
+    return features(text, a, b, cue=False if wanted and kind == "secret" else None)
+
+
+def examples(text: str, seed: int, each: int, words: int) -> list[tuple[str, bool, list[float]]]:
+    """(kind, wanted, features) that a text teaches, drawn by ``seed`` where there are more."""
+    rng = random.Random(seed)
+    groups: dict[tuple[str, bool], list] = {}
+    for found in teaching(text):
+        groups.setdefault(found[:2], []).append(found)
+    out = []
+    for (kind, wanted), own in groups.items():
+        for found in rng.sample(own, each) if len(own) > each else own:
+            out.append((kind, wanted, taught_features(*found)))
     # Words teach what is nothing personal.
-    words = [m for m in re.finditer(r"[^\W_]{4,}(?: [^\W_]+){0,2}", text)][:: max(1, len(text) // 400)][:6]
-    for m in words:
-        for kind in MORE_KINDS:
-            out.append((kind, False, features(text, m.start(), m.end())))
+    places = [m.span() for m in _WORDS(text)]
+    for a, b in rng.sample(places, words) if len(places) > words else places:
+        out += [(kind, False, features(text, a, b)) for kind in MORE_KINDS]
     return out
 
 
+def vouched_kinds(text: str) -> int:
+    """The kinds that a text holds positives of, as bits."""
+    base = base_spans(text)
+    kinds = {kind for kind, *_ in positives(text, base)}
+    if "secret" not in kinds:
+        own = (s for s in candidates(text, ("secret",)) if _vouched(text, *s))
+        if any(not _overlap(s, base) for s in own):
+            kinds.add("secret")
+    return sum(1 << MORE_KINDS.index(kind) for kind in kinds)
+
+
 @dataclass
 class Finder:
     """Base spans and what the trees of each further kind let pass."""
@@ -217,43 +269,97 @@ class Finder:
         return passed
 
 
+# Steps of a score that are told apart when thresholds are set.
+STEPS = 1 << 14
+
+
 def fit_finder(
-    df: DataFrame, text: Column, key: Column, sample: int = 3_000, precision: float = 0.95
+    df: DataFrame,
+    text: Column,
+    key: Column,
+    sample: int = 3_000,
+    precision: float = 0.95,
+    vouched: int = 1_000,
+    each: int = 20,
+    words: int = 6,
 ) -> Finder:
-    """Trees and thresholds from about ``sample`` texts that hold a digit or an @."""
+    """Trees from drawn texts, thresholds from all candidates of the held-out third."""
     docs = df.select(text.cast("string").alias("text"), F.xxhash64(key, text).alias("hash"))
-    docs = docs.where(F.col("text").rlike("[0-9@]"))
-    n = docs.count()
-    share = F.lit(min(1.0, sample / n) if n else 0.0)
-    drawn = docs.where(F.pmod("hash", F.lit(1 << 30)) / float(1 << 30) < share)
+    docs = docs.where(F.col("text").rlike(ANY))
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = pa.array([vouched_kinds(text.as_py()) for text in batch.column(0)], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(1), kinds], names=["hash", "kinds"])
+
+    teaches = docs.where(F.pmod("hash", F.lit(3)) != 0)
+    marks = stored(teaches.mapInArrow(marked, "hash long, kinds int"), "vouched-kinds")
+    has = [F.col("kinds").bitwiseAND(F.lit(1 << i)) != 0 for i in range(len(MORE_KINDS))]
+    n, *counts = marks.agg(F.count("*"), *(F.count_if(h) for h in has)).first()
+    place = F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) / float(1 << 30)
+    wanted = place < (sample / n if n else 0.0)
+    for h, count in zip(has, counts, strict=True):
+        wanted = wanted | (h & (place < (vouched / count if count else 0.0)))
+    # A few thousand numbers, so texts are only scanned, never dealt.
+    hashes = [r[0] for r in marks.where(wanted).select("hash").distinct().collect()]
+    drawn = teaches.where(F.col("hash").isin(hashes))
 
     def taught(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, hash in zip(batch.column(0), batch.column(1), strict=True):
-                found = examples(text.as_py())[:60]
+            for text, hash in zip(batch.column("text"), batch.column("hash"), strict=True):
+                found = examples(text.as_py(), hash.as_py(), each, words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([hash.as_py()] * len(found), pa.int64()),
                         pa.array([e[0] for e in found], pa.string()),
                         pa.array([e[1] for e in found], pa.bool_()),
                         pa.array([[float(x) for x in e[2]] for e in found], pa.list_(pa.float64())),
                     ],
-                    names=["hash", "kind", "wanted", "features"],
+                    names=["kind", "wanted", "features"],
                 )
 
-    rows = drawn.mapInArrow(taught, "hash long, kind string, wanted boolean, features array<double>")
-    finder = Finder()
-    taken = sorted(rows.collect(), key=lambda r: (r["kind"], r["hash"], r["wanted"], r["features"]))
+    taken = drawn.mapInArrow(taught, "kind string, wanted boolean, features array<double>").toArrow()
+    models: dict[str, BoostedTrees] = {}
     for kind in MORE_KINDS:
-        own = [r for r in taken if r["kind"] == kind]
-        held = np.array([r["hash"] % 3 == 0 for r in own], bool)
-        wanted = np.array([r["wanted"] for r in own], float)
-        if min(wanted[~held].sum(), wanted[held].sum(), (1 - wanted).sum()) < 5:
+        own = taken.filter(pc.equal(taken["kind"], kind)).combine_chunks()
+        right = own["wanted"].to_numpy().astype(float)
+        if min(right.sum(), (1 - right).sum()) < 5:
             continue
-        x = np.array([r["features"] for r in own], float)
-        model = BoostedTrees().fit(x[~held], wanted[~held])
-        finder.models[kind] = model
-        finder.thresholds[kind] = max(0.5, calibrated(model.score(x[held]), wanted[held], precision))
+        x = own["features"].combine_chunks().flatten().to_numpy().reshape(len(right), -1)
+        order = np.lexsort((*x.T, right))  # rows come in any order
+        models[kind] = BoostedTrees().fit(x[order], right[order])
+    return Finder(models, {}) if not models else _with_thresholds(docs, models, precision)
+
+
+def _with_thresholds(docs: DataFrame, models: dict[str, BoostedTrees], precision: float) -> Finder:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            asked: dict[str, list[tuple]] = {}
+            for text in batch.column(0):
+                for found in teaching(text.as_py()):
+                    if found[0] in models:
+                        asked.setdefault(found[0], []).append(found)
+            for kind, own in asked.items():
+                score = models[kind].score(np.array([taught_features(*found) for found in own], float))
+                step = np.minimum((score * STEPS).astype(np.int64), STEPS - 1)
+                right = np.bincount(step, [found[1] for found in own], STEPS).astype(np.int64)
+                total = np.bincount(step, minlength=STEPS)
+                at = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([kind] * len(at), pa.string()), *map(pa.array, (at, right[at], total[at]))],
+                    names=["kind", "step", "wanted", "n"],
+                )
+
+    held = docs.where(F.pmod("hash", F.lit(3)) == 0)
+    counts = held.mapInArrow(scored, "kind string, step long, wanted long, n long")
+    counts = counts.groupBy("kind", "step").agg(F.sum("wanted"), F.sum("n")).collect()
+    finder = Finder()
+    for kind, model in models.items():
+        right, total = np.zeros(STEPS, np.int64), np.zeros(STEPS, np.int64)
+        for _, step, wanted, n in (r for r in counts if r[0] == kind):
+            right[step], total[step] = wanted, n
+        if right.sum() >= 5:
+            finder.models[kind] = model
+            finder.thresholds[kind] = max(0.5, calibrated(right, total, precision))
     return finder
 
 
