@@ -126,3 +126,29 @@ def test_examples_are_drawn_from_the_whole_text():
     assert [kind for kind, wanted, _ in found if wanted] == ["contact"] * 2
     assert sum(kind == "number" for kind, *_ in found) == 20 + 6
     assert found == pii.examples(text, 5, 20, 6) != pii.examples(text, 6, 20, 6)
+
+
+def secrets(text):
+    return {text[a:b] for kind, a, b in pii.candidates(text) if kind == "secret"}
+
+
+def test_secrets_of_any_length_are_proposed():
+    rng = random.Random(3)
+    for n in (12, 64, 65, 128, 5000, 300_000):
+        key = "".join(rng.choices("0123456789abcdef", k=n))
+        assert key in secrets(f"see {key}, ok") and key in secrets(f"token={key}")
+    parts = ["eyJhbGciOiJIUzI1NiJ9", "eyJzdWIi0" * 20, "SflKxw-_9" * 15]
+    assert set(parts) <= secrets(f"auth {'.'.join(parts)} end")
+    assert {"hunter2"} == secrets("Password: hunter2. Then") == secrets("my password = 'hunter2'")
+    assert {"abc"} == secrets("secret:abc") and secrets("token: ") == set() and {"a b;c"} == secrets('api_key="a b;c"')
+    assert secrets("a secretary: none, no passage: here") == set()
+
+
+def test_long_and_short_secrets_are_redacted(docs):
+    rng = random.Random(4)
+    plain = [t for t in taught_texts(1500) if "password" not in t]
+    long = [f"some words token={rng.getrandbits(512):0128x} and more" for _ in range(150)]
+    short = [f"some words password: x{rng.randint(10, 99)}{c}9 and more" for c in "abcdefgh" for _ in range(20)]
+    finder = pii.fit_finder(docs(plain + long + short), F.col("text"), F.col("doc_id"))
+    clean = [r["text"] for r in pii.redacted(docs(long + short), finder).orderBy("doc_id").collect()]
+    assert sum("[SECRET]" in t for t in clean[:150]) > 140 and sum("[SECRET]" in t for t in clean[150:]) > 140

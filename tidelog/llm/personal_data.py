@@ -3,7 +3,8 @@
 Base kinds (email, ip, card, phone) follow fixed patterns and checks and are
 always kept. Wider generators propose overlapping further spans: addresses with
 a written-out "at" (``contact``), runs of digits of any grouping (``number``) and
-keys or passwords (``secret``). Boosted trees score them by format and context;
+keys or passwords (``secret``: runs of 12 or more characters with a digit, however
+long, and any value after a key's name). Boosted trees score them by format and context;
 where several overlap, the best stays, and none that overlaps a base span.
 
 The trees of each further kind learn from texts drawn by hash: about ``sample``
@@ -58,13 +59,19 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]").finditer
 
 # Texts without any of this have no spans; also read by Spark.
-ANY = r"[0-9@]|[(\[{] ?at ?[)\]}]"
+ANY = r"[0-9@]|[(\[{] ?at ?[)\]}]|(?i:pass(?:word|wd)?|secret|token|api[_-]?key)\s?[=:]"
 _ANY = re.compile(ANY).search
 _CONTACT = re.compile(
     r"[\w.+-]{1,64} ?(?:@|[(\[{] ?at ?[)\]}]) ?\w[\w-]{0,62}(?: ?(?:\.|[(\[{] ?dot ?[)\]}]) ?\w[\w-]{0,62}){1,4}"
 ).finditer
 _NUMBER = re.compile(r"(?<![\w+])\(?[0-9](?:[ ().\-/]{0,2}[0-9]){5,18}(?![\w])").finditer
-_SECRET = re.compile(r"(?<![\w/+=-])(?=[\w/+=-]{0,63}[0-9])[A-Za-z0-9_/+=-]{12,64}(?![\w/+=-])").finditer
+# Runs of any length, read once; those without a digit are words.
+_SECRET = re.compile(r"(?<![\w/+=-])[A-Za-z0-9_/+=-]{12,}+(?!\w)").finditer
+_DIGIT = re.compile(r"[0-9]").search
+# What may stand between a key's name and its value, and the value.
+_SET = re.compile(r"\s?[=:]\s?[\"']?").finditer
+_VALUE = re.compile(r"[^\s\"']+").match
+_QUOTED = {c: re.compile(rf"[^{c}\n]+(?={c})").match for c in "\"'"}
 _CUE = re.compile(
     r"(?i)(pass(?:word|wd)?|secret|token|api[_-]?key|key|tel|phone|fax|call|mobile|mail|contact|id|ssn|iban|no)\W{0,3}\Z"
 ).search
@@ -120,6 +127,25 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
+def _key_values(text: str) -> Iterator[tuple[int, int]]:
+    """Any value after a key's name: to white space or a quote, or to the closing quote."""
+    done = 0
+    for m in _SET(text):
+        begin = m.end()
+        if begin < done or not _KEYED(text[max(0, begin - 24) : begin]):
+            continue
+        quoted = _QUOTED.get(text[begin - 1])
+        value = quoted and quoted(text, begin)
+        if value:
+            done = value.end()
+            yield begin, done
+        elif value := _VALUE(text, begin):
+            done = value.end()
+            end = begin + len(value[0].rstrip(".,;:!?)]}>"))
+            if end > begin:
+                yield begin, end
+
+
 def candidates(text: str, kinds: tuple[str, ...] = MORE_KINDS) -> list[Span]:
     """What the wide generators propose; spans may overlap."""
     found: list[Span] = []
@@ -127,9 +153,15 @@ def candidates(text: str, kinds: tuple[str, ...] = MORE_KINDS) -> list[Span]:
         found += [("contact", m.start(), m.end()) for m in _CONTACT(text)]
     if "number" in kinds:
         found += [("number", m.start(), m.end()) for m in _NUMBER(text)]
-    for m in _SECRET(text) if "secret" in kinds else ():
-        name = _KEY_NAME(m[0])
-        found.append(("secret", m.start() + (name.end() if name else 0), m.end()))
+    if "secret" in kinds:
+        places = set()
+        for m in _SECRET(text):
+            name = _KEY_NAME(m[0])
+            begin = m.start() + (name.end() if name else 0)
+            if begin < m.end() and _DIGIT(text, begin, m.end()):
+                places.add((begin, m.end()))
+        places.update(_key_values(text))
+        found += [("secret", a, b) for a, b in sorted(places)]
     return found
 
 
@@ -208,10 +240,14 @@ def teaching(text: str) -> list[tuple[str, bool, str, int, int]]:
 
 
 def taught_features(kind: str, wanted: bool, text: str, a: int, b: int) -> list[float]:
-    # What vouches for a secret is hidden.
+    # What vouches for a secret is hidden, here and when it is asked for.
     return features(text, a, b, cue=False if wanted and kind == "secret" else None)
 
 
+def _asked(text: str, kind: str, a: int, b: int) -> list[float]:
+    return taught_features(kind, _vouched(text, kind, a, b), text, a, b)
+
+
 def examples(text: str, seed: int, each: int, words: int) -> list[tuple[str, bool, list[float]]]:
     """(kind, wanted, features) that a text teaches, drawn by ``seed`` where there are more."""
     rng = random.Random(seed)
@@ -256,7 +292,7 @@ class Finder:
                     asked.setdefault(span[0], []).append((i, span))
         passed: list[list[tuple]] = [[] for _ in texts]
         for kind, spans in asked.items():
-            rows = np.array([features(texts[i], a, b) for i, (_, a, b) in spans], float)
+            rows = np.array([_asked(texts[i], *span) for i, span in spans], float)
             for (i, (_, a, b)), score in zip(spans, self.models[kind].score(rows), strict=True):
                 if score >= self.thresholds[kind]:
                     passed[i].append((kind, a, b, float(score)))
