@@ -1,7 +1,9 @@
 """WARC writing, reading and salvage."""
 
+import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -114,3 +116,51 @@ def test_query_on_pages(spark, folder):
     assert {r["page_id"]: r["payload_digest"] for r in rows} == {
         i: hashlib.sha256(h.encode()).hexdigest() for i, h in html.items()
     }
+
+
+def test_records_of_one_long_member():
+    noise = random.Random(1)
+    parts = [record(i, noise.randbytes(40_000)) for i in range(6)]
+    parts[2] = record(2, b"wrong", digest="0" * 64)
+    one = gzip.compress(b"".join(parts))
+    begin = sum(map(len, parts[:2]))
+    place = f"wrong payload digest, bytes {begin} to {begin + len(parts[2])} of the member"
+    assert read(one) == (list("01345"), [(0, len(one), place)])
+    # cut short by a broken download, and followed by a whole member
+    cut = one[: len(one) // 2]
+    ids, gaps = read(cut)
+    assert ids == list("01") and [g[:2] for g in gaps[-1:]] == [(0, len(cut))] and "without end" in gaps[-1][2]
+    assert read(cut + gzip.compress(record(9)))[0] == list("019")
+    # a wrong byte in the last third
+    broken = bytearray(one)
+    broken[len(one) * 4 // 5] ^= 0x55
+    ids, gaps = read(bytes(broken) + gzip.compress(record(9)))
+    assert ids[:3] == list("013") and ids[-1] == "9" and gaps
+    # a wrong checksum only
+    broken = bytearray(one)
+    broken[-6] ^= 1
+    assert read(bytes(broken))[0] == list("01345")
+
+
+@pytest.mark.parametrize("what", ["Payload", "Block"])
+@pytest.mark.parametrize("name", ["sha1", "sha256", "md5"])
+def test_digests(what, name):
+    data = record(1, b"some text").replace(b"WARC-Payload-Digest: sha256:", b"X-Other: ")
+    of = data.partition(b"\r\n\r\n")[2][:-4] if what == "Block" else b"some text"
+    digest = hashlib.new(name, of).digest()
+    for value in (digest.hex(), base64.b32encode(digest).decode()):
+        line = f"WARC-Type: response\r\nWARC-{what}-Digest: {name}:{value}".encode()
+        good = data.replace(b"WARC-Type: response", line)
+        assert read(good) == (["1"], [])
+        bad = good.replace(b"some text", b"some test")
+        assert read(bad + record(2)) == (["2"], [(0, len(bad), f"wrong {what.lower()} digest")])
+
+
+def test_digest_of_a_chunked_payload():
+    body = b"4\r\nsome\r\n5;x=1\r\n text\r\n0\r\n\r\n"
+    data = record(1, body, digest=hashlib.sha256(b"some text").hexdigest())
+    chunked = data.replace(b"Content-Length: %d\r\n\r\n" % len(body), b"Transfer-Encoding:chunked\r\n\r\n")
+    block = chunked.split(b"\r\n\r\n", 1)[1][:-4]
+    old = data.split(b"\r\n\r\n", 1)[1][:-4]
+    whole = chunked.replace(b"Content-Length: %d\r\n" % len(old), b"Content-Length: %d\r\n" % len(block))
+    assert read(whole) == (["1"], [])

@@ -8,9 +8,11 @@ commit on any store. Ids are URNs; a revisit names its payload's digest and its
 size (``Content-Length`` of its HTTP head).
 
 Reading: an archive is plain or a row of gzip members. Each record is checked
-(version line, head, length, end, payload digest). After a failed check the
-reader searches for the next version line, or the next gzip member, that begins
-a record that passes, logs the bytes between as a gap, and goes on from there.
+(version line, head, length, end, digests of payload and block). After a failed
+check the reader searches for the next version line, or the next gzip member, that
+begins a record that passes, logs the bytes between as a gap, and goes on from
+there. A gzip member may hold many records: those that pass are kept, also those
+before the place where it breaks off, and its gaps name their places within it.
 
 Cases: a null payload is empty; a null page id is an empty id and takes no part
 as a revisited one; rows that repeat the response's id and payload are responses
@@ -20,6 +22,7 @@ table makes an archive without records.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -36,6 +39,10 @@ END = b"\r\n\r\n"
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _GZIP = b"\x1f\x8b\x08"
 _URN = "urn:page:"
+_DIGESTS = {"sha256": "sha256", "sha-256": "sha256", "sha1": "sha1", "sha-1": "sha1", "md5": "md5"}
+_DIGESTS |= {"sha512": "sha512", "sha-512": "sha512"}
+_CHUNKED = re.compile(rb"(?im)^transfer-encoding:[^\r\n]*chunked").search
+_CHUNK_SIZE = re.compile(rb"([0-9A-Fa-f]{1,15})[^\r\n]{0,999}\r\n").match
 # Fixed values of the format.
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -84,6 +91,32 @@ def payload_of(record: Record) -> bytes:
     return record.block
 
 
+def _digests(head: dict[str, str]) -> list[tuple[str, str]]:
+    """(of what, digest) of the digests that can be checked; a revisit's payload isn't there."""
+    names = ("block",) if head.get("warc-type") == "revisit" else ("payload", "block")
+    told = [(name, head.get(f"warc-{name}-digest", "")) for name in names]
+    return [(name, x) for name, x in told if x.partition(":")[0].lower() in _DIGESTS]
+
+
+def _is_digest(told: str, content: bytes) -> bool:
+    """Whether ``algorithm:value`` is the content's, the value being base 16 or 32."""
+    name, _, value = told.partition(":")
+    found = hashlib.new(_DIGESTS[name.lower()], content).digest()
+    return value.lower() == found.hex() or value.upper().rstrip("=") == base64.b32encode(found).decode().rstrip("=")
+
+
+def _unchunked(body: bytes) -> bytes:
+    """A chunked HTTP body's content; some writers take the payload's digest of it."""
+    out, at = [], 0
+    while size := _CHUNK_SIZE(body, at):
+        n = int(size[1], 16)
+        out.append(body[size.end() : size.end() + n])
+        at = size.end() + n + 2
+        if not n:
+            break
+    return b"".join(out)
+
+
 def parse_record(data: bytes, at: int, base: int = 0) -> Record:
     """The record at a place of ``data``, checked; raises ``Damaged``."""
     head, begin = _parse_head(data, at)
@@ -94,10 +127,13 @@ def parse_record(data: bytes, at: int, base: int = 0) -> Record:
     if data[stop : stop + len(END)] != END:
         raise Damaged("record without end")
     record = Record(base + at, base + stop + len(END), head, data[begin:stop])
-    digest = head.get("warc-payload-digest", "")
-    if head.get("warc-type") != "revisit" and digest.startswith("sha256:"):
-        if hashlib.sha256(payload_of(record)).hexdigest() != digest[7:]:
-            raise Damaged("wrong payload digest")
+    for name, told in _digests(head):
+        payload = name == "payload"
+        contents = [payload_of(record)] if payload else [record.block]
+        if payload and record.block is not contents[0] and _CHUNKED(record.block.partition(END)[0]):
+            contents.append(_unchunked(contents[0]))
+        if not any(_is_digest(told, x) for x in contents):
+            raise Damaged(f"wrong {name} digest")
     return record
 
 
@@ -122,44 +158,88 @@ def _plain_records(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(begin, at, reason)
 
 
-def _member(data: bytes, at: int) -> tuple[bytes, int]:
-    """A gzip member's content and its end; raises ``Damaged``."""
-    unpack = zlib.decompressobj(wbits=31)
-    try:
-        content = unpack.decompress(memoryview(data)[at:])
-    except zlib.error as problem:
-        raise Damaged(f"gzip: {problem}") from None
-    if not unpack.eof:
-        raise Damaged("gzip member without end")
-    return content, len(data) - len(unpack.unused_data)
+# Bytes of an archive given to zlib at once.
+CHUNK = 1 << 16
 
 
-def _member_records(data: bytes, at: int) -> tuple[list[Record], int]:
-    content, end = _member(data, at)
-    records = [*_plain_records(content)]
-    if any(isinstance(r, Gap) for r in records):
-        raise Damaged("gzip member without a whole record")
-    return [Record(at, end, r.head, r.block) for r in records], end
+def _member(data: bytes, at: int) -> tuple[bytes, int, str | None]:
+    """A gzip member's content, its end, and why it breaks off, if it does.
+
+    Of a broken member the content is what came out before, and the end is where
+    the unpacking stopped.
+    """
+    unpack, view, out = zlib.decompressobj(wbits=31), memoryview(data), []
+    while at < len(data):
+        step = CHUNK
+        while True:
+            kept = unpack.copy() if step > 1 else None
+            try:
+                out.append(unpack.decompress(view[at : at + step]))
+                break
+            except zlib.error as problem:
+                # What a chunk gives before the broken byte comes out by halves.
+                if kept is None:
+                    return b"".join(out), at, f"gzip: {problem}"
+                unpack, step = kept, step // 2
+        at += min(step, len(data) - at)
+        if unpack.eof:
+            return b"".join(out), at - len(unpack.unused_data), None
+    out.append(unpack.flush())
+    return b"".join(out), at, "gzip member without end"
+
+
+def _in_member(data: bytes, at: int) -> tuple[list[Record | Gap], int, str | None]:
+    """Records and gaps of a member's content, its end, and why it breaks off."""
+    content, end, broken = _member(data, at)
+    found: list[Record | Gap] = []
+    for x in _plain_records(content):
+        if isinstance(x, Record) and broken and end < len(data) and not _digests(x.head):
+            # Wrong bytes may come out before zlib sees it.
+            x = Gap(x.begin, x.end, "no digest in a damaged gzip member")
+        found.append(x)
+    if broken and found and isinstance(found[-1], Gap) and found[-1].end == len(content):
+        found.pop()
+    return found, end, broken
 
 
 def _gzip_records(data: bytes) -> Iterator[Record | Gap]:
-    at = 0
-    while at < len(data):
-        try:
-            records, end = _member_records(data, at)
-            yield from records
-            at = end
+    """Records and gaps with the places of their members.
+
+    Of a member that breaks off, the records before the break are kept, and it
+    reaches to the next member that gives a record.
+    """
+    gap = at = 0
+    reason, held = "no gzip member", []
+
+    def ended(stop: int) -> Iterator[Record | Gap]:
+        for x in held:
+            x.end = stop
+            yield x
+        if not held and gap < stop:
+            yield Gap(gap, stop, reason)
+
+    while (at := data.find(_GZIP, at)) >= 0:
+        found, end, broken = _in_member(data, at)
+        if not any(isinstance(x, Record) for x in found) and (broken or found):
+            if at == gap and not held:
+                reason = broken or found[0].reason
+            at = at + 1 if broken else end
             continue
-        except Damaged as problem:
-            reason = str(problem)
-        begin, at, found = at, at + 1, None
-        while found is None and (at := data.find(_GZIP, at)) >= 0:
-            try:
-                found = _member_records(data, at)
-            except Damaged:
-                at += 1
-        at = at if found else len(data)
-        yield Gap(begin, at, reason)
+        yield from ended(at)
+        placed: list[Record | Gap] = []
+        for x in found:
+            if isinstance(x, Gap):
+                placed.append(Gap(at, end, f"{x.reason}, bytes {x.begin} to {x.end} of the member"))
+            else:
+                placed.append(Record(at, end, x.head, x.block))
+        if broken:
+            last = max(x.end for x in found)
+            held = [*placed, Gap(at, end, f"{broken}, from byte {last} of the member")]
+            gap, at = at, at + 1
+        else:
+            yield from placed
+            held, gap, at, reason = [], end, end, "no gzip member"
+    yield from ended(len(data))
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
