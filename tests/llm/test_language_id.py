@@ -66,3 +66,35 @@ def test_odd_texts(docs):
     assert predicted(df.limit(0), train).count() == 0
     one = predicted(docs(["the"]), train.where("lang = 'en'")).first()
     assert (one["lang_pred"], one["score"]) == ("en", 1.0)
+
+
+def test_large_alphabets_are_told_apart():
+    rng = random.Random(5)
+    common = [chr(0x4E00 + i) for i in range(2000)]
+    first = [rng.choice(common[:1500]) + rng.choice(common) for _ in range(600)]
+    second = [rng.choice(common[:1500]) + rng.choice(common) for _ in range(600)]
+    latin = "".join(rng.choices("abcdefgh ", k=3000))
+
+    def text(pairs, k):
+        return "".join(rng.choices(pairs, k=k))
+
+    sample = (("a", text(first, 4000)), ("b", text(second, 4000)), ("c", latin + "\u0130"))
+    parser = language_id.CrossParser(sample)
+    assert all((parser.symbols.of(t) != language_id.FOREIGN).all() for _, t in sample)
+    for name, pairs in ((0, first), (1, second)):
+        rates = parser.rates([text(pairs, 40) for _ in range(30)])
+        assert (rates.argmin(axis=1) == name).all()
+    # letters nobody learned are a phrase each, in every language
+    unknown = "".join(chr(0xAC00 + i) for i in range(300))
+    assert parser.rates([unknown])[0].tolist() == parser.bits
+
+
+def test_sparse_steps_are_the_dense_ones(monkeypatch):
+    rng = random.Random(6)
+    sample = tuple((x, "".join(rng.choices(letters, k=900))) for x, letters in (("a", "abcdefé "), ("b", "bcdxyz ")))
+    texts = ["".join(rng.choices("abcdefgxyzéß ", k=rng.randint(1, 700))) for _ in range(60)]
+    dense = language_id.CrossParser(sample).rates(texts)
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    sparse = language_id.CrossParser(sample)
+    assert isinstance(sparse.tables[0], language_id.SparseTable)
+    np.testing.assert_array_equal(sparse.rates(texts), dense)

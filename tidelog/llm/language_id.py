@@ -9,20 +9,20 @@ smaller name.
 
 Letters are lower-cased, everything else is one space. Long texts are parsed in
 stretches of ``STRETCH`` letters, all stretches of many documents side by side:
-the automaton with its restarts is one table, so a step is one gather.
+the automaton with its restarts is one table, so a step is one gather. All letters
+of the training text have symbols; with many of them the table is kept sparse.
 
 Training text is a sample by hash of at most ``letters`` characters a language
 from the whole labelled table, in pieces of ``PIECE`` from anywhere in a text.
 
 Cases: a text that is null or has no letter is ``und`` with score 0; so is every
-text if there are no labels. Letters of unknown scripts match nothing. With one
+text if there are no labels. Letters that no training text has match nothing. With one
 language the score is 1. Rows with a null label teach nothing. Repeated rows are
 predicted each.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,6 +39,8 @@ STRETCH = 256
 TOGETHER = 2_000_000
 # Symbols: filling after a stretch's end, white space and the like, foreign letters.
 FILL, SPACE, FOREIGN, KNOWN = 0, 1, 2, 3
+# Symbols up to which a language's steps are one dense table.
+DENSE = 256
 
 Sample = tuple[tuple[str, str], ...]
 
@@ -78,15 +80,19 @@ class Symbols:
     """Characters to small numbers; equal for all languages."""
 
     def __init__(self, texts: list[str]):
-        seen = Counter(c for text in texts for c in text.lower() if c.isalpha())
-        known = sorted(c for c, _ in seen.most_common(256 - KNOWN))
+        known = sorted({c for text in texts for c in text.lower() if c.isalpha()})
+        self.size = KNOWN + len(known)
+        self.kind = np.uint8 if self.size <= 1 << 8 else np.uint16 if self.size <= 1 << 16 else np.int32
         table = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
-        self.table = np.where(table, FOREIGN, SPACE).astype(np.uint8)
+        self.table = np.where(table, FOREIGN, SPACE).astype(self.kind)
         for number, letter in enumerate(known, KNOWN):
             self.table[ord(letter)] = number
             if len(letter.upper()) == 1:
                 self.table[ord(letter.upper())] = number
-        self.size = KNOWN + len(known)
+        # Letters whose lower case is several characters count as the first.
+        for letter in {c for text in texts for c in text if c.isalpha()}:
+            if self.table[ord(letter)] == FOREIGN:
+                self.table[ord(letter)] = self.table[ord(letter.lower()[0])]
 
     def of(self, text: str) -> np.ndarray:
         """Symbols of a text, without doubled spaces; empty if it has no letter."""
@@ -149,6 +155,63 @@ def parsing_table(goto: list[dict[int, int]], size: int) -> np.ndarray:
     return table.ravel()
 
 
+class DenseTable:
+    """All states by all symbols, for small alphabets."""
+
+    def __init__(self, goto: list[dict[int, int]], size: int):
+        self.size, self.table = size, parsing_table(goto, size)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        return self.table.take(state * self.size + symbols)
+
+
+class SparseTable:
+    """The same steps from the transitions alone, for alphabets of any size.
+
+    State and symbol are a key in a table of hashes, filled to a quarter at most;
+    taken slots are passed to the next one.
+    """
+
+    def __init__(self, goto: list[dict[int, int]], size: int):
+        self.size = size
+        self.restart = np.full(size, 2, np.int32)
+        for symbol, state in goto[0].items():
+            self.restart[symbol] = 4 * state + 1
+        keys = np.array([s * size + symbol for s, edges in enumerate(goto) for symbol in edges], np.int64)
+        after = np.array([4 * s for edges in goto for s in edges.values()], np.int32)
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.mask, self.shift = (1 << bits) - 1, np.uint64(64 - bits)
+        self.keys, self.after = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+        left, slots = np.arange(len(keys)), self._slots(keys)
+        while len(left):
+            open_ = np.flatnonzero(self.keys[slots[left]] < 0)
+            taken, first = np.unique(slots[left[open_]], return_index=True)
+            placed = left[open_[first]]
+            self.keys[taken], self.after[taken] = keys[placed], after[placed]
+            left = np.setdiff1d(left, placed, assume_unique=True)
+            # Only where another key lies does a key go on.
+            slots[left] = np.where(self.keys[slots[left]] >= 0, (slots[left] + 1) & self.mask, slots[left])
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def step(self, state: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        keys = state.astype(np.int64) * self.size + symbols
+        out = np.where(state == 0, np.int32(1), self.restart.take(symbols))
+        slots = self._slots(keys)
+        held = self.keys.take(slots)
+        hit = held == keys
+        out[hit] = self.after[slots[hit]]
+        left = np.flatnonzero(~hit & (held >= 0))
+        while len(left):
+            slots[left] = (slots[left] + 1) & self.mask
+            held = self.keys[slots[left]]
+            hit = held == keys[left]
+            out[left[hit]] = self.after[slots[left[hit]]]
+            left = left[~hit & (held >= 0)]
+        return np.where(symbols == FILL, 4 * state, out)
+
+
 class CrossParser:
     """Languages' parsing tables over common symbols."""
 
@@ -159,18 +222,18 @@ class CrossParser:
         for _, text in sample:
             symbols = self.symbols.of(text)
             goto = suffix_automaton(symbols.tolist())
-            self.tables.append(parsing_table(goto, self.symbols.size))
+            kind = DenseTable if self.symbols.size <= DENSE else SparseTable
+            self.tables.append(kind(goto, self.symbols.size))
             self.bits.append(np.log2(max(2, len(symbols))))
 
     def phrases(self, stretches: np.ndarray) -> np.ndarray:
         """Phrases by language and stretch; a column of ``stretches`` is one."""
-        size = self.symbols.size
         out = np.empty((len(self.tables), stretches.shape[1]), np.int64)
         for row, table in enumerate(self.tables):
             state = np.zeros(stretches.shape[1], np.int32)
             count = np.zeros(stretches.shape[1], np.int32)
             for symbols in stretches:
-                found = table.take(state * size + symbols)
+                found = table.step(state, symbols)
                 count += found & 3
                 state = found >> 2
             out[row] = count + (state != 0)
@@ -178,10 +241,10 @@ class CrossParser:
 
     def rates(self, texts: list[str | None]) -> np.ndarray:
         """Bits a letter by text and language; NaN where a text has no letter."""
-        symbols = [self.symbols.of(text) if text else np.empty(0, np.uint8) for text in texts]
+        symbols = [self.symbols.of(text) if text else np.empty(0, self.symbols.kind) for text in texts]
         lengths = np.array([len(s) for s in symbols], np.int64)
         n = -(-lengths // STRETCH)
-        flat = np.full(n.sum() * STRETCH, FILL, np.uint8)
+        flat = np.full(n.sum() * STRETCH, FILL, self.symbols.kind)
         at = (np.cumsum(n) - n) * STRETCH
         for begin, found in zip(at.tolist(), symbols, strict=True):
             flat[begin : begin + len(found)] = found
