@@ -15,6 +15,7 @@ from tidelog.llm import (
     neighbours,
     packing,
     personal_data,
+    sentence_pieces,
     token_counts,
     token_files,
     top_k,
@@ -26,6 +27,7 @@ from tidelog.sources.shared import shared_folder
 Query = Callable[[SparkSession, str], DataFrame]
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def learns(key) -> F.Column:
@@ -127,6 +129,17 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return page_rows(warc.read_archives(spark.read.format("binaryFile").load(path)))
 
 
+def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    ids = sentence_pieces.encode(table(spark, folder, "documents"), model=PIECES)
+    sha256 = lambda text: F.sha2(text.cast("binary"), 256)
+    return sentence_pieces.decode(ids, model=PIECES).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha256(F.col("text")).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_language_id": op1_language_id,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -138,6 +151,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
     "op10_warc": op10_warc,
+    "op13_sentence_pieces": op13_sentence_pieces,
 }
 
 _PRODUCTS = """
