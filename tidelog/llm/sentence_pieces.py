@@ -33,12 +33,13 @@ from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
 from tidelog.llm.tables import q
-from tidelog.llm.words import WordTable, chunks, gathered, sums
+from tidelog.llm.words import WordTable, chunks, gathered, runs, sums
 
 # Fixed value: how a model writes a space.
 MARK = "▁"
 NONE = np.int32(2**31 - 1)
 ROUNDS = 64
+CHUNK_IDS = 250_000  # decoded at once
 _BITS = 21  # of a symbol: an id, or behind all ids a character of its own
 _WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 
@@ -92,15 +93,39 @@ class Pieces:
                     keys.append(left << _BITS | right)
                     rank.append(ranks[-self.model.get_score(i)])
                     joined.append(i)
-        order = np.argsort(np.array(keys, np.int64))
-        self.keys = np.array(keys, np.int64)[order]
-        self.ranks = np.array(rank, np.int32)[order]
-        self.joined = np.array(joined, np.int32)[order]
+        self._place(np.array(keys, np.int64), np.array(rank, np.int32), np.array(joined, np.int32))
+
+    def _place(self, keys: np.ndarray, ranks: np.ndarray, joined: np.ndarray) -> None:
+        """Pairs in an open table of at least eight slots a pair."""
+        bits = max(4, int(8 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys = np.full(1 << bits, -1, np.int64)
+        self.ranks, self.joined = np.full(1 << bits, NONE), np.zeros(1 << bits, np.int32)
+        left, at = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[at] < 0)
+            slot, first = np.unique(at[free], return_index=True)
+            mine = free[first]
+            for table, values in ((self.keys, keys), (self.ranks, ranks), (self.joined, joined)):
+                table[slot] = values[left[mine]]
+            rest = np.ones(len(left), bool)
+            rest[mine] = False
+            left, at = left[rest], (at[rest] + 1) & self.mask
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        spread = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (spread >> self.shift).astype(np.int64)
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE without one) and piece of pairs of symbols."""
         key = left.astype(np.int64) << _BITS | right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        at = self._slot(key)
+        held = self.keys[at]
+        other = np.flatnonzero((held != key) & (held >= 0))
+        while len(other):  # taken by another pair: one slot on
+            at[other] = (at[other] + 1) & self.mask
+            held = self.keys[at[other]]
+            other = other[(held != key[other]) & (held >= 0)]
         return np.where(self.keys[at] == key, self.ranks[at], NONE), self.joined[at]
 
     def _neighbours(self, symbol: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -148,11 +173,12 @@ class Pieces:
         left = left[several]
         if not len(left):
             return left
-        place = np.cumsum(kept) - 1
+        at = (np.cumsum(kept) - 1)[left]
         after, where = new[kept], word[kept]
-        rank, _ = self._neighbours(after, where)
-        at = place[left]
-        early = (rank[at] <= low[left]) | ((at > 0) & (where[at - 1] == word[left]) & (rank[at - 1] <= low[left]))
+        early = np.zeros(len(left), bool)
+        for a, b in ((at, np.minimum(at + 1, len(after) - 1)), (np.maximum(at - 1, 0), at)):
+            rank, _ = self.look(after[a], after[b])
+            early |= (a != b) & (where[a] == where[b]) & (rank <= low[left])
         # the next join's left symbol stands beside this one for a while
         beside = np.minimum(left + 2, len(symbol) - 1)
         for_now, _ = self.look(joined[left], symbol[beside])
@@ -182,10 +208,9 @@ class Pieces:
                 before[after[at]] = i
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n:
-                    key = held[a] << _BITS | held[b]
-                    k = int(np.searchsorted(self.keys, key))
-                    if k < len(self.keys) and self.keys[k] == key:
-                        heapq.heappush(agenda, (int(self.ranks[k]), a, held[a], held[b], int(self.joined[k])))
+                    (rank,), (piece,) = self.look(np.array([held[a]]), np.array([held[b]]))
+                    if rank < NONE:
+                        heapq.heappush(agenda, (int(rank), a, held[a], held[b], int(piece)))
         left = np.array([s for s in held if s is not None], np.int32)
         return np.full(len(left), word, np.int64), left
 
@@ -250,9 +275,9 @@ def encode(df: DataFrame, *, model: str, id_column: str = "doc_id", text_column:
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            for part in chunks(texts):
-                ids, counts = table.encode(texts[part])
+            for part in chunks(batch.column(1)):
+                texts = batch.column(1).slice(part.start, part.stop - part.start).to_pylist()
+                ids, counts = table.encode([text or "" for text in texts])
                 offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 keys = batch.column(0).slice(part.start, part.stop - part.start)
@@ -272,10 +297,12 @@ def decode(df: DataFrame, *, model: str, ids_column: str = "ids", text_column: s
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pieces(model)
         for batch in batches:
-            lists = batch.column(at)
-            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            ids = lists.flatten().to_numpy(zero_copy_only=False)
-            texts = pa.array(table.decode(ids, counts), pa.string(), mask=np.asarray(lists.is_null()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=schema.names)
+            for part in runs(batch.column(at).value_lengths().fill_null(0).to_pylist(), CHUNK_IDS):
+                rows = batch.slice(part.start, part.stop - part.start)
+                lists = rows.column(at)
+                counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                texts = pa.array(table.decode(ids, counts), pa.string(), mask=np.asarray(lists.is_null()))
+                yield pa.RecordBatch.from_arrays([*rows.columns, texts], names=schema.names)
 
     return rest.mapInArrow(decoded, schema)

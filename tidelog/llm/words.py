@@ -11,22 +11,29 @@ from collections.abc import Callable, Iterator, Sequence
 from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-# Characters that are worked on at once, and words that a table keeps.
-CHUNK_CHARS = 2_000_000
-KEPT_WORDS = 400_000
+# Bytes of text that are worked on at once, and words that a table keeps.
+CHUNK_BYTES = 500_000
+KEPT_WORDS = 200_000
 
 
-def chunks(texts: Sequence[str], limit: int = CHUNK_CHARS) -> Iterator[slice]:
-    """Runs of texts of about ``limit`` characters; a longer text is one alone."""
+def runs(sizes: Sequence[int], limit: int) -> Iterator[slice]:
+    """Runs of rows whose sizes add up to about ``limit``; a larger row is one alone."""
     begin, held = 0, 0
-    for at, text in enumerate(texts):
-        if held and held + len(text) > limit:
+    for at, size in enumerate(sizes):
+        if at > begin and held + size > limit:
             yield slice(begin, at)
             begin, held = at, 0
-        held += len(text)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+        held += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
+
+
+def chunks(texts: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Runs of a text column of about ``limit`` bytes."""
+    return runs(pc.binary_length(texts).fill_null(0).to_pylist(), limit)
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
