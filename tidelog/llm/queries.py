@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidelog.llm import (
     jaccard_join,
     language_id,
+    lexical_search,
     mixing,
     neighbours,
     packing,
@@ -129,6 +130,10 @@ def op10_warc(spark: SparkSession, folder: str) -> DataFrame:
     return page_rows(warc.read_archives(spark.read.format("binaryFile").load(path)))
 
 
+def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     ids = sentence_pieces.encode(table(spark, folder, "documents"), model=PIECES)
     sha256 = lambda text: F.sha2(text.cast("binary"), 256)
@@ -151,6 +156,7 @@ QUERIES: dict[str, Query] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_personal_data": op9_personal_data,
     "op10_warc": op10_warc,
+    "op11_lexical_search": op11_lexical_search,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 
@@ -169,6 +175,11 @@ WITH taken AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= {k}
 """
 
+_TERMS = (
+    "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+    r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+)
+
 ORACLES: dict[str, str] = {
     "op2_nearest_neighbours": _PRODUCTS.format(
         vector="CAST(embedding AS DOUBLE[])",
@@ -193,4 +204,28 @@ ORACLES: dict[str, str] = {
                CASE WHEN first <> page_id THEN first END AS refers_to
         FROM p LEFT JOIN f USING (d)
     """,
+    "op11_lexical_search": r"""
+        WITH words AS (
+            SELECT row_number() OVER () AS row_id, doc_id, {documents} AS terms FROM documents
+        ), d AS (SELECT row_id, doc_id, terms, len(terms) AS n FROM words WHERE len(terms) > 0),
+        whole AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM d),
+        tf AS (
+            SELECT row_id, term, count(*) AS tf FROM (SELECT row_id, unnest(terms) AS term FROM d) GROUP BY row_id, term
+        ), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+        w AS (
+            SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * df + 1))) AS BIGINT) AS w FROM df, whole
+        ), m AS (SELECT row_id, doc_id, 100 - 75 + ((75 * n * big_n) // big_l) AS m FROM d, whole),
+        asked AS (SELECT item_id, unnest({items}) AS term FROM benchmark),
+        wanted AS (SELECT item_id, term, count(*) AS times FROM asked GROUP BY item_id, term),
+        scored AS (
+            SELECT item_id, row_id, doc_id,
+                   CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM wanted JOIN tf USING (term) JOIN w USING (term) JOIN m USING (row_id)
+            GROUP BY item_id, row_id, doc_id
+        ), ranked AS (
+            SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+            FROM scored WHERE score > 0
+        )
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """.format(documents=_TERMS, items=_TERMS),
 }
