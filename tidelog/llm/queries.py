@@ -17,6 +17,7 @@ from tidelog.llm import (
     packing,
     personal_data,
     sentence_pieces,
+    token_alignment,
     token_counts,
     token_files,
     top_k,
@@ -134,6 +135,14 @@ def op11_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
     return lexical_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_alignment.align(
+        table(spark, folder, "documents"), byte_vocabulary=VOCABULARY, piece_model=PIECES
+    )
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    return found.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     ids = sentence_pieces.encode(table(spark, folder, "documents"), model=PIECES)
     sha256 = lambda text: F.sha2(text.cast("binary"), 256)
@@ -157,6 +166,7 @@ QUERIES: dict[str, Query] = {
     "op9_personal_data": op9_personal_data,
     "op10_warc": op10_warc,
     "op11_lexical_search": op11_lexical_search,
+    "op12_token_alignment": op12_token_alignment,
     "op13_sentence_pieces": op13_sentence_pieces,
 }
 

@@ -14,9 +14,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Bytes of text that are worked on at once, and words that a table keeps.
+# Bytes of text that are worked on at once; words, and characters of words, beyond
+# which a table begins anew.
 CHUNK_BYTES = 500_000
 KEPT_WORDS = 200_000
+KEPT_CHARS = 8_000_000
 
 
 def runs(sizes: Sequence[int], limit: int) -> Iterator[slice]:
@@ -62,21 +64,26 @@ class WordTable:
 
     def __init__(self, make: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], kept: int = KEPT_WORDS):
         self.make, self.kept = make, kept
+        self.on_clear: Callable[[], None] | None = None
         self._clear()
 
     def _clear(self) -> None:
-        self.numbers = _Numbers()
+        self.numbers, self.chars = _Numbers(), 0
         self.flat = np.zeros(0, np.int32)
         self.lengths = self.starts = np.zeros(0, np.int64)
 
     def look_up(self, words: list[str]) -> np.ndarray:
         """The numbers of words; they hold until the next call."""
-        if len(self.numbers) > self.kept:
+        if len(self.numbers) > self.kept or self.chars > KEPT_CHARS:
             self._clear()
+            if self.on_clear is not None:
+                self.on_clear()
         known = len(self.numbers)
         found = np.fromiter(map(self.numbers.__getitem__, words), np.int64, len(words))
         if len(self.numbers) > known:
-            flat, lengths = self.make(list(islice(self.numbers, known, None)))
+            new = list(islice(self.numbers, known, None))
+            self.chars += sum(map(len, new))
+            flat, lengths = self.make(new)
             begins = len(self.flat) + np.cumsum(lengths) - lengths
             self.flat = np.concatenate([self.flat, flat])
             self.lengths = np.concatenate([self.lengths, lengths])
