@@ -242,11 +242,10 @@ def _search_block(docs: DataFrame, rows: list, kind: T.DataType, k: int, id_colu
     ordered = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("first"))
     best = best.withColumn("place", F.row_number().over(ordered)).where(F.col("place") <= k)
     best = stored(best.drop("first", "place"), "best-classes")
-    # of a class only the k smallest ids can be wanted
-    members = marked.join(best.select(*same).distinct(), same, "left_semi")
-    members = members.withColumn(
-        "place", F.row_number().over(Window.partitionBy(*same).orderBy(F.asc_nulls_last("doc_id")))
-    ).where(F.col("place") <= k)
+    # Of a class only the k smallest ids can be wanted. Tasks drop the others
+    # before the shuffle, so a class of a third of all rows is a few rows a task.
+    smallest = Window.partitionBy(*same).orderBy(F.asc_nulls_last("doc_id"))
+    members = marked.withColumn("place", F.row_number().over(smallest)).where(F.col("place") <= k)
     hits = best.join(members.select(*same, "doc_id"), same)
     ranked = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
     hits = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
