@@ -3,15 +3,16 @@
 Both vocabularies encode the text after one space. Byte offsets at which a token
 of each ends cut the text into groups, and the two tokens that end there are
 linked. How often a pair of ids is linked in all documents is counted by a
-minimal perfect hash: the distinct pairs are hashed in shards, each task counts
-into a dense vector indexed by the hash, and the vectors are summed in a tree. A
-second pass aligns the documents again and looks the counts up; the hash is
-checked against the stored pair, so no foreign pair can be counted.
+minimal perfect hash: a first pass tallies the pairs of each task, the distinct
+ones are hashed in shards, tallies become dense vectors indexed by the hash, and
+the vectors are summed in a tree. A second pass aligns the documents again and
+looks the counts up; the hash is checked against the stored pair, so no foreign
+pair can be counted.
 
 Neither tokenizer has a token over a single space between two characters that
 are no white space, so words are aligned alone and equal words once for each
 table of words. Other texts are aligned whole. Alignment is cheap beside that,
-which is why it is made anew in each pass instead of kept.
+which is why it is made anew in the second pass instead of kept.
 
 A pair of ids is one of at most |A| x |B| (1.6 billion here), however large the
 corpus. What a task holds is bounded by ``resident_pairs``: where there are more
@@ -35,16 +36,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
-from tokenizers import Tokenizer
 
 from tidelog.llm.perfect_hash import PerfectHash, build, lot
 from tidelog.llm.sentence_pieces import MARK
 from tidelog.llm.tables import groups_for, q, stored
-from tidelog.llm.tokens import byte_letters
+from tidelog.llm.tokens import BatchEncoder
 from tidelog.llm.words import WordTable, chunks, gathered, sums
 
 SHARD_PAIRS = 50_000
 RESIDENT_PAIRS = 4_000_000
+TALLY = 500_000
 CHUNK = 8_192  # counts in one row of a vector
 FAN = 64  # vectors that a step of the tree sums
 _SHIFT = 32
@@ -68,15 +69,8 @@ class Aligner:
     """Aligns words (each after one space) by a byte-level and a piece vocabulary."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a = Tokenizer.from_file(byte_path)
-        self.a.encode_special_tokens = True
-        letters = {letter: byte for byte, letter in byte_letters().items()}
-        names = self.a.get_vocab(with_added_tokens=True)
-        raw = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            known = all(c in letters for c in name)
-            raw[i] = bytes(letters[c] for c in name) if known else name.encode()
-        self.a_bytes = Vocabulary(raw)
+        self.a = BatchEncoder(byte_path, plain=True)
+        self.a_bytes = Vocabulary(self.a.raw)
         self.b = model = SentencePieceProcessor(model_file=piece_path)
         raw = []
         for i in range(model.get_piece_size()):
@@ -90,12 +84,28 @@ class Aligner:
         self.written = [t + mark for mark in (",", "|", ";", "") for t in text]
         self.most = len(text)
 
+    def byte_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The byte-level ids of words after a space, and their words."""
+        alone = np.fromiter((_UNSURE(w) is not None for w in words), bool, len(words))
+        cut = [f" {w}".split("\n") for w, one in zip(words, alone, strict=True) if not one]
+        ids, counts = self.a.spaced([f"\n{p}" if i else p for parts in cut for i, p in enumerate(parts)])
+        counts = sums(counts, np.fromiter(map(len, cut), np.int64, len(cut)))
+        word = np.repeat(np.flatnonzero(~alone), counts)
+        if alone.any():
+            more, n = self.a.whole([f" {w}" for w, one in zip(words, alone, strict=True) if one])
+            ids, word = np.concatenate([ids, more]), np.concatenate([word, np.repeat(np.flatnonzero(alone), n)])
+            order = np.argsort(word, kind="stable")
+            ids, word = ids[order], word[order]
+        return ids.astype(np.int64), word
+
     def align(self, words: list[str]) -> dict[str, np.ndarray]:
         """Of all words, one after the other: ``a`` and ``b`` ids with their
         words, the tokens that end groups, and which words are sound."""
-        found = self.a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)
-        a, a_word = _flat([e.ids for e in found])
-        b, b_word = _flat(self.b.encode(words, num_threads=1))
+        a, a_word = self.byte_ids(words)
+        found = self.b.encode(words, num_threads=1)
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        b = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
+        b_word = np.repeat(np.arange(len(found)), counts)
         texts = [f" {w}".encode() for w in words]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         wanted = np.frombuffer(b"".join(texts), np.uint8)
@@ -137,12 +147,6 @@ class Aligner:
         return ["".join(text[i:j]) for i, j in zip([0, *stops], stops)]
 
 
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    ids = np.fromiter(chain.from_iterable(lists), np.int64, int(counts.sum()))
-    return ids, np.repeat(np.arange(len(lists)), counts)
-
-
 def words_of(text: str | None) -> list[str]:
     """A text's words; one that can't be cut for sure is a word as a whole."""
     if not text:
@@ -196,22 +200,50 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch,
         yield rows, rows.column(column).to_pylist()
 
 
-def distinct_pairs(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """(pair, lot): every pair that is linked anywhere in (doc_id, text)."""
+def _tallied(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    pairs, times = (np.concatenate(x) for x in zip(*parts, strict=True))
+    known, at = np.unique(pairs, return_inverse=True)
+    return known, np.bincount(at, times, len(known)).astype(np.int64)
+
+
+def tallies(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """(pairs, times): the pairs linked in each task's share of (doc_id, text),
+    and how often, in rows of at most about ``TALLY`` pairs."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, told = WordPairs(aligner(*paths)), np.zeros(0, np.int64)
+        words = WordPairs(aligner(*paths))
+        held, waiting = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for _, texts in _texts(batch, 1):
-                numbers = np.unique(words.of_texts(texts)[0])
+                numbers, times = np.unique(words.of_texts(texts)[0], return_counts=True)
                 table = words.table
-                pairs = gathered(table.flat, table.starts[numbers], table.lengths[numbers])
-                # a pair is told again only after many others
-                pairs = np.setdiff1d(pairs, told)
-                told = np.union1d(told if len(told) < RESIDENT_PAIRS // 4 else told[:0], pairs)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(lot(pairs))], names=["pair", "lot"])
+                lengths = table.lengths[numbers]
+                held.append((gathered(table.flat, table.starts[numbers], lengths), np.repeat(times, lengths)))
+                waiting += len(held[-1][0])
+                if waiting > TALLY:
+                    held, waiting = [_tallied(held)], 0
+                    if len(held[0][0]) > TALLY:
+                        yield _row(*held.pop())
+                        held.append((np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        yield _row(*_tallied(held))
+
+    def _row(pairs: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"pairs": pa.array([pairs]), "times": pa.array([times])}, schema=schema)
+
+    schema = pa.schema([("pairs", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
+    return docs.mapInArrow(found, "pairs array<long>, times array<long>")
 
-    return docs.mapInArrow(found, "pair long, lot int").dropDuplicates(["pair", "lot"])
+
+def distinct_pairs(tallied: DataFrame) -> DataFrame:
+    """(pair, lot) of all tallies; ``lot`` deals pairs to shards."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lots = lot(batch.column(0).to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lots)], names=["pair", "lot"])
+
+    pairs = tallied.select(F.explode("pairs").alias("pair")).distinct()
+    return pairs.mapInArrow(dealt, "pair long, lot int")
 
 
 def hashed_shards(pairs: DataFrame, shards: int) -> DataFrame:
@@ -250,20 +282,15 @@ def tree_sum(vectors: DataFrame, parts: int) -> DataFrame:
     return vectors.select("chunk", "counts")
 
 
-def counted(docs: DataFrame, paths: tuple[str, str], hashed, parts: int) -> DataFrame:
+def counted(tallied: DataFrame, hashed, parts: int) -> DataFrame:
     """(chunk, counts) of the pairs of a slice; ``hashed`` is broadcast."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(len(hashed.value.keys), np.int64)
-        words = WordPairs(aligner(*paths), hashed.value.numbers)
         for batch in batches:
-            for _, texts in _texts(batch, 1):
-                numbers, times = np.unique(words.of_texts(texts)[0], return_counts=True)
-                table = words.table
-                lengths = table.lengths[numbers]
-                at = gathered(table.flat, table.starts[numbers], lengths)
-                times = np.repeat(times, lengths)
-                np.add.at(counts, at[at >= 0], times[at >= 0])
+            pairs, times = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (0, 1))
+            at = hashed.value.numbers(pairs)
+            np.add.at(counts, at[at >= 0], times[at >= 0])
         part = TaskContext.get().partitionId()
         for chunk in range(-(-len(counts) // CHUNK)):
             piece = counts[chunk * CHUNK : (chunk + 1) * CHUNK]
@@ -274,7 +301,7 @@ def counted(docs: DataFrame, paths: tuple[str, str], hashed, parts: int) -> Data
                     names=["part", "chunk", "counts"],
                 )
 
-    return tree_sum(docs.mapInArrow(found, "part int, chunk int, counts binary"), parts)
+    return tree_sum(tallied.mapInArrow(found, "part int, chunk int, counts binary"), parts)
 
 
 def looked_up(docs: DataFrame, paths: tuple[str, str], tables, last: bool) -> DataFrame:
@@ -349,17 +376,18 @@ def align(
     paths = (byte_vocabulary, piece_model)
     spark = df.sparkSession
     docs = df.select(q(id_column).cast("long").alias("doc_id"), q(text_column).cast("string").alias("text"))
-    pairs = stored(distinct_pairs(docs, paths), "pairs")
+    tallied = stored(tallies(docs, paths), "pair-tallies")
+    pairs = stored(distinct_pairs(tallied), "pairs")
     shards = min(65_536, groups_for(pairs.count(), SHARD_PAIRS))
     hashes = stored(hashed_shards(pairs, shards), "pair-hashes")
-    parts = docs.rdd.getNumPartitions()
+    parts = tallied.rdd.getNumPartitions()
     slices = _slices(hashes, resident_pairs)
     best = np.zeros(SentencePieceProcessor(model_file=piece_model).get_piece_size(), np.int64)
     vectors = []
     for begin, end in slices:
         hashed = _hash_of(hashes, begin, end, shards)
         sent = spark.sparkContext.broadcast(hashed)
-        vectors.append(stored(counted(docs, paths, sent, parts), "pair-counts"))
+        vectors.append(stored(counted(tallied, sent, parts), "pair-counts"))
         sent.unpersist()
         np.maximum.at(best, hashed.keys & 0xFFFFFFFF, _counts_of(vectors[-1], len(hashed.keys)))
     out = docs.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
