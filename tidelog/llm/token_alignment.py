@@ -46,6 +46,7 @@ from tidelog.llm.words import WordTable, chunks, gathered, sums
 SHARD_PAIRS = 50_000
 RESIDENT_PAIRS = 4_000_000
 TALLY = 500_000
+TABLE_WORDS = 500_000
 CHUNK = 8_192  # counts in one row of a vector
 FAN = 64  # vectors that a step of the tree sums
 _SHIFT = 32
@@ -85,14 +86,14 @@ class Aligner:
         self.most = len(text)
 
     def byte_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The byte-level ids of words after a space, and their words."""
-        alone = np.fromiter((_UNSURE(w) is not None for w in words), bool, len(words))
-        cut = [f" {w}".split("\n") for w, one in zip(words, alone, strict=True) if not one]
+        """The byte-level ids of words and of their space, and their words."""
+        alone = np.fromiter((w[0] == " " for w in words), bool, len(words))
+        cut = [f" {w}".split("\n") for w in words if w[0] != " "]
         ids, counts = self.a.spaced([f"\n{p}" if i else p for parts in cut for i, p in enumerate(parts)])
         counts = sums(counts, np.fromiter(map(len, cut), np.int64, len(cut)))
         word = np.repeat(np.flatnonzero(~alone), counts)
         if alone.any():
-            more, n = self.a.whole([f" {w}" for w, one in zip(words, alone, strict=True) if one])
+            more, n = self.a.whole([w for w in words if w[0] == " "])
             ids, word = np.concatenate([ids, more]), np.concatenate([word, np.repeat(np.flatnonzero(alone), n)])
             order = np.argsort(word, kind="stable")
             ids, word = ids[order], word[order]
@@ -102,11 +103,11 @@ class Aligner:
         """Of all words, one after the other: ``a`` and ``b`` ids with their
         words, the tokens that end groups, and which words are sound."""
         a, a_word = self.byte_ids(words)
-        found = self.b.encode(words, num_threads=1)
+        found = self.b.encode([w.removeprefix(" ") for w in words], num_threads=1)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         b = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
         b_word = np.repeat(np.arange(len(found)), counts)
-        texts = [f" {w}".encode() for w in words]
+        texts = [(w if w[0] == " " else f" {w}").encode() for w in words]
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         wanted = np.frombuffer(b"".join(texts), np.uint8)
         sound = np.ones(len(words), bool)
@@ -148,10 +149,11 @@ class Aligner:
 
 
 def words_of(text: str | None) -> list[str]:
-    """A text's words; one that can't be cut for sure is a word as a whole."""
+    """A text's words without their space; one that can't be cut for sure is a
+    word as a whole, with its space."""
     if not text:
         return []
-    return [text] if _UNSURE(text) else text.split(" ")
+    return [f" {text}"] if _UNSURE(text) else text.split(" ")
 
 
 class WordPairs:
@@ -159,7 +161,7 @@ class WordPairs:
 
     def __init__(self, aligner: Aligner, of=None, written: bool = False):
         self.aligner, self.of, self.written = aligner, of, written
-        self.table = WordTable(self.make)
+        self.table = WordTable(self.make, TABLE_WORDS)
         self.table.on_clear = self.clear
         self.clear()
 

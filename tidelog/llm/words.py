@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 # which a table begins anew.
 CHUNK_BYTES = 500_000
 KEPT_WORDS = 200_000
-KEPT_CHARS = 8_000_000
+KEPT_CHARS = 16_000_000
 
 
 def runs(sizes: Sequence[int], limit: int) -> Iterator[slice]:
