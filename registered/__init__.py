@@ -9,6 +9,7 @@ from registered import (  # noqa: F401
     lookups,
     requests,
     searches,
+    skipping,
     sources,
 )
 from registered.registry import ORACLES, QUERIES

@@ -1,0 +1,127 @@
+"""Which files of a raw log a search reads."""
+
+import json
+import os
+import time
+
+import pytest
+
+from tidelog import FileIndex, indexed_lines, search
+from tidelog.operators.predicates import request_bounds
+from tidelog.plans.search import narrowed
+
+
+def line(day, hour, text, **more):
+    return json.dumps({"t": f"2024-03-{day:02d}T{hour:02d}:00:00Z", "m": text, **more}, ensure_ascii=False)
+
+
+def write(folder, name, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(f"{folder}/{name}", "w", encoding="utf-8") as out:
+        out.writelines(each + "\n" for each in lines)
+
+
+@pytest.fixture
+def month(tmp_path):
+    """Thirty files of a day each, the first hours of a day and its last."""
+    for day in range(1, 31):
+        lines = [line(day, hour, f"début n{day:02d} of {hour}") for hour in (1, 2, 23)]
+        write(tmp_path / "in dir", f"day {day:02d}+.json", lines)
+    return tmp_path
+
+
+def index_of(spark, month, step=3_600):
+    files = FileIndex(str(month / "in dir"), str(month / "index"), "t", step)
+    return indexed_lines(spark, "log", files)
+
+
+def asked(gte=None, lte=None, *texts, must_not=()):
+    bounds = {k: v for k, v in (("gte", gte), ("lte", lte)) if v}
+    each = [{"range": {"datetime": bounds}}] if bounds else []
+    return {
+        "bool": {
+            "filter": each,
+            "must": [{"multi_match": {"query": t}} for t in texts],
+            "must_not": [{"multi_match": {"query": t}} for t in must_not],
+        }
+    }
+
+
+def files_read(index, query):
+    return sorted(os.path.basename(f) for f in narrowed(index, query).df.inputFiles())
+
+
+def texts(index, query):
+    hits = search(index, {"query": query}).hits
+    return sorted(json.loads(v)["m"] for v in [r[0] for r in hits.selectExpr("to_json(_source)").collect()])
+
+
+def test_a_day_reads_one_file_of_thirty(spark, month):
+    index = index_of(spark, month)
+    day = asked("2024-03-07T00:00:00Z", "2024-03-07T23:59:59Z")
+    assert files_read(index, day) == ["day%2007+.json"]
+    assert texts(index, day) == ["début n07 of 1", "début n07 of 2", "début n07 of 23"]
+    # between two steps of a file nothing can match
+    assert files_read(index, asked("2024-03-07T05:00:00Z", "2024-03-07T20:00:00Z")) == []
+    assert texts(index, asked("2024-03-07T05:00:00Z", "2024-03-07T20:00:00Z")) == []
+    assert len(files_read(index, asked("2024-03-29T00:00:00Z"))) == 2
+    assert len(files_read(index, asked())) == 30
+
+
+def test_texts_skip_files_without_their_trigrams(spark, month):
+    index = index_of(spark, month)
+    assert files_read(index, asked(None, None, "début n11")) == ["day%2011+.json"]
+    assert texts(index, asked(None, None, "début n11 of 2")) == ["début n11 of 2", "début n11 of 23"]
+    assert files_read(index, asked(None, None, "nowhere to be found")) == []
+    # what must not occur, or is too short, leaves nothing out
+    assert len(files_read(index, asked(must_not=["début n11"]))) == 30
+    assert len(files_read(index, asked(None, None, "n1"))) == 30
+    assert len(texts(index, asked(None, None, "n1"))) == 30
+
+
+def test_new_and_changed_files_are_read_before_they_are_indexed(spark, month):
+    index = index_of(spark, month)
+    folder = month / "in dir"
+    day = asked("2024-03-07T00:00:00Z", "2024-03-07T23:59:59Z", "late")
+    write(folder, "new.json", [line(7, 4, "late one")])
+    time.sleep(0.05)
+    write(folder, "day 08+.json", [line(7, 5, "late two"), line(8, 1, "x")])
+    os.remove(folder / "day 30+.json")
+    assert files_read(index, day) == ["day%2008+.json", "new.json"]
+    assert texts(index, day) == ["late one", "late two"]
+    assert index.files.refresh(spark) == 2
+    assert index.files.refresh(spark) == 0
+    assert files_read(index, asked("2024-03-08T00:00:00Z", "2024-03-08T23:00:00Z")) == ["day%2008+.json"]
+    found = index.files.summary(spark).first()
+    assert (found.n_files, found.n_lines, found.n_untimed) == (30, 28 * 3 + 3, 0)
+
+
+def test_lines_without_a_time_come_first(spark, month):
+    write(month / "in dir", "odd.json", ["{broken début", '{"m": "no time début"}', "", '{"t": 7, "m": "x"}'])
+    index = index_of(spark, month)
+    assert "odd.json" in files_read(index, asked(None, "2024-03-02T00:00:00Z"))
+    assert "odd.json" not in files_read(index, asked("2024-03-01T00:00:00Z", "2024-03-02T00:00:00Z"))
+    plain = search(index.with_df(index.df), {"query": asked(None, "2024-03-02T00:00:00Z", "début")})
+    assert plain.hits.count() == 3 + 2
+
+
+def test_empty_file_and_any_session_zone(spark, month, in_new_york):
+    write(month / "in dir", "empty.json", [])
+    index = index_of(spark, month)
+    day = asked("2024-03-10T01:00:00Z", "2024-03-10T02:00:00Z")
+    assert files_read(index, day) == ["day%2010+.json"]
+    assert request_bounds(index, day)[0] is not None
+    assert len(texts(index, day)) == 2
+
+
+def test_pruned_answers_equal_those_of_all_lines(spark, month):
+    index = index_of(spark, month)
+    from dataclasses import replace
+
+    whole = replace(index, files=None)
+    for query in (
+        asked("2024-03-05T02:00:00Z", "2024-03-09T01:00:00Z", "n0", must_not=["of 23"]),
+        asked(None, "2024-03-03T02:00:00Z"),
+        asked("2024-03-28T23:00:00Z", None, "23"),
+    ):
+        assert texts(index, query) == texts(whole, query)

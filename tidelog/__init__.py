@@ -2,6 +2,7 @@
 
 from tidelog.plans.search import SearchResult, search, search_many
 from tidelog.sources.composite import open_index, union_sources
+from tidelog.sources.file_index import FileIndex, indexed_lines
 from tidelog.sources.index import Field, LogIndex, log_index
 from tidelog.sources.readers import (
     apply_schema,
@@ -15,9 +16,11 @@ from tidelog.streaming.ingest import ingest_new_files
 
 __all__ = [
     "Field",
+    "FileIndex",
     "LogIndex",
     "SearchResult",
     "apply_schema",
+    "indexed_lines",
     "ingest_new_files",
     "json_lines_index",
     "log_index",

@@ -77,8 +77,10 @@ def parse_documents(df: DataFrame, raw: str, doc: str = "doc") -> DataFrame:
 
     Spark's parser stops after the first value of a line.  The line is put in
     an array before an end mark, so that trailing text makes the array
-    malformed or moves the mark.
+    malformed or moves the mark.  Of a key that occurs twice the last value
+    counts, in any session.
     """
+    allow_repeated_keys(df.sparkSession)
     line = F.col(raw)
     framed = F.try_parse_json(F.concat(F.lit("["), line, F.lit(f',"{_END}"]')))
     df = compute_once(df, _framed=framed)

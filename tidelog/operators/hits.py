@@ -12,15 +12,18 @@ from tidelog.functions.times import quoted
 from tidelog.operators.predicates import RANGE_KEY
 from tidelog.sources.index import LogIndex
 
+# Scores are not computed: every hit has this one.
+SCORE = 0.0
+
 HIT_COLUMNS = ["_index", "_id", "_score", "_source", "sort"]
 
 
 def hit_columns(index: LogIndex, source: Column | None = None) -> list[Column]:
-    """The columns of a hit.  Scores are not computed, so they are 0."""
+    """The columns of a hit."""
     return [
         F.lit(index.name).alias("_index"),
         index.id_column().alias("_id"),
-        F.lit(0.0).alias("_score"),
+        F.lit(SCORE).alias("_score"),
         (index.source() if source is None else source).alias("_source"),
         F.array(index.time.seconds()).alias("sort"),
     ]

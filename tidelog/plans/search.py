@@ -9,7 +9,7 @@ from __future__ import annotations
 import json
 import time as clock
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Any
 
 from pyspark import StorageLevel
@@ -23,6 +23,7 @@ from tidelog.functions.times import TimeColumn, quoted, utc_offset_minutes
 from tidelog.operators import hits as hit_ops
 from tidelog.operators import histogram as hist
 from tidelog.operators import merge
+from tidelog.operators.hits import SCORE
 from tidelog.operators.predicates import (
     request_bounds,
     requires_time,
@@ -30,6 +31,7 @@ from tidelog.operators.predicates import (
     written_bounds,
 )
 from tidelog.sources.composite import combine_alike
+from tidelog.sources.file_index import required_texts
 from tidelog.sources.index import DOCUMENT, LogIndex
 
 
@@ -64,12 +66,8 @@ class SearchResult:
     @property
     def totals(self) -> DataFrame:
         """One row: the exact ``total``, the histograms' ``bucket_total`` and the
-        highest score of the hits."""
-        none = F.lit(0).cast("bigint")
-        best = merge.max_score(self.hits).select(
-            none.alias("total"), none.alias("bucket_total"), "max_score"
-        )
-        return merge.merge_totals([totals_of(self.summary), best])
+        highest score, which needs no look at the hits as all have the same."""
+        return totals_of(self.summary).withColumn("max_score", F.lit(SCORE))
 
     def to_document(self) -> dict[str, Any]:
         """The result as one nested document; runs both jobs.
@@ -197,6 +195,7 @@ def search(
     and ``_source``.
     """
     query = request.get("query")
+    index = narrowed(index, query)
     filtered = index.df.where(scan_filter(index, query, use_should=extensions))
     if persist:
         filtered = filtered.persist(StorageLevel.MEMORY_AND_DISK)
@@ -215,6 +214,15 @@ def search(
     )
 
 
+def narrowed(index: LogIndex, query: Mapping[str, Any] | None) -> LogIndex:
+    """An index of raw files cut to the files that can hold an answer."""
+    if index.files is None:
+        return index
+    spark = index.df.sparkSession
+    paths = index.files.matching(spark, *request_bounds(index, query), required_texts(query))
+    return index.with_df(index.files.lines(spark, paths))
+
+
 def _with_min_counts(
     summary: DataFrame, histograms: list[hist.Histogram], aggs: Mapping[str, Any]
 ) -> DataFrame:
@@ -277,7 +285,9 @@ def search_many(
     """
     if not sources:
         raise ValueError("no sources")
-    asked, sources = len(sources), combine_alike(sources)
+    asked, query = len(sources), request.get("query")
+    # what is narrowed once needs no file index any more, and combines
+    sources = combine_alike([replace(narrowed(each, query), files=None) for each in sources])
     parts = [search(each, request, extensions=extensions) for each in sources]
     size = request.get("size")
     hits = merge.union_all(

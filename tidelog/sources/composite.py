@@ -9,7 +9,9 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidelog.functions.intervals import document_interval
 from tidelog.operators.merge import union_all
+from tidelog.sources.file_index import FileIndex, indexed_lines
 from tidelog.sources.index import Field, LogIndex, log_index
 from tidelog.sources.readers import json_lines_index, read_jdbc, read_table
 
@@ -68,7 +70,10 @@ def _open(spark, name, provider, fields, time) -> list[LogIndex]:
         path = settings.get("logfile") or settings.get("logFile")
         if not path:
             raise ValueError("no log file")
-        return [json_lines_index(spark, name, path, time, fields)]
+        if settings.get("index") is None:
+            return [json_lines_index(spark, name, path, time, fields)]
+        files = _file_index(path, settings["index"], time)
+        return [indexed_lines(spark, name, files, fields)]
     if kind == TABLE_PROVIDER:
         df = _open_table(spark, settings)
         return [log_index(name, df, time, fields=fields)]
@@ -82,6 +87,15 @@ def _open(spark, name, provider, fields, time) -> list[LogIndex]:
     raise ValueError(f"unsupported provider {kind!r}")
 
 
+def _file_index(path: str, settings: Mapping[str, Any], time: str) -> FileIndex:
+    """The file index that a declaration asks for: its ``path`` and ``resolution``."""
+    if not settings.get("path"):
+        raise ValueError("an index of files needs a path")
+    resolution = settings.get("resolution")
+    step = 3_600 if resolution is None else document_interval(resolution, None).seconds
+    return FileIndex(path, settings["path"], time, step)
+
+
 def _open_table(spark: SparkSession, settings: Mapping[str, Any]) -> DataFrame:
     dsn, table = settings.get("dsn"), settings.get("table")
     if not table:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,7 +66,8 @@ class LogIndex:
     ``partition`` names a DATE column holding the UTC date of the time column,
     as ``write_time_table`` lays tables out; time ranges then prune partitions.
     ``time_field`` is the name that requests use for the time column where
-    the log calls it otherwise than the DataFrame.
+    the log calls it otherwise than the DataFrame.  ``files`` is the file index
+    of a raw log: a search of it reads only files that can match.
     """
 
     name: str
@@ -79,6 +81,7 @@ class LogIndex:
     wildcards: bool = True
     partition: str | None = None
     time_field: str | None = None
+    files: Any = None
 
     @property
     def time_keys(self) -> tuple[str, ...]:
@@ -155,6 +158,7 @@ def log_index(
     wildcards: bool = True,
     partition: str | None = None,
     time_field: str | None = None,
+    files: Any = None,
 ) -> LogIndex:
     """Describe a log.  A log with a raw line follows the document rules.
 
@@ -179,4 +183,5 @@ def log_index(
         wildcards=wildcards,
         partition=partition,
         time_field=time_field,
+        files=files,
     )
