@@ -1,6 +1,7 @@
 """Registered queries, each with the SQL that must give the same rows."""
 
 from registered import (  # noqa: F401
+    counted,
     documents,
     extensions,
     filters,

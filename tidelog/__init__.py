@@ -1,5 +1,7 @@
 """Log search and log analytics on Spark DataFrames."""
 
+from tidelog.operators.partials import PartialCounts, refresh_partials
+from tidelog.plans.counted import search_counted
 from tidelog.plans.search import SearchResult, search, search_many
 from tidelog.sources.composite import open_index, union_sources
 from tidelog.sources.file_index import FileIndex, indexed_lines
@@ -18,6 +20,7 @@ __all__ = [
     "Field",
     "FileIndex",
     "LogIndex",
+    "PartialCounts",
     "SearchResult",
     "apply_schema",
     "indexed_lines",
@@ -29,7 +32,9 @@ __all__ = [
     "pruned_scan",
     "read_jdbc",
     "read_json_lines",
+    "refresh_partials",
     "search",
+    "search_counted",
     "search_many",
     "time_table_index",
     "union_sources",

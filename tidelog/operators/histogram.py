@@ -187,33 +187,35 @@ def date_histogram(df: DataFrame, h: Histogram) -> DataFrame:
     return finish(counts, h, "_bucket0", "doc_count").orderBy("key")
 
 
-def summarise(df: DataFrame, histograms: list[Histogram]) -> DataFrame:
+def summarise(df: DataFrame, histograms: list[Histogram], weight: str | None = None) -> DataFrame:
     """All histograms and the row count in one pass over ``df``.
 
     Rows are ``(agg, key, key_as_string, doc_count)``; the row count has a
-    NULL ``agg``.
+    NULL ``agg``.  ``weight`` names a column that says how many rows of a log
+    one of ``df`` stands for.
     """
+    counted = F.count("*")
+    if weight is not None:
+        counted = F.coalesce(F.sum(weight), F.lit(0)).cast("bigint")
     if not histograms:
-        return df.agg(F.count("*").alias("doc_count")).select(
+        return df.agg(counted.alias("doc_count")).select(
             F.lit(None).cast("string").alias("agg"),
             F.lit(None).cast("bigint").alias("key"),
             F.lit(None).cast("string").alias("key_as_string"),
             "doc_count",
         )
     names = [f"_bucket{i}" for i in range(len(histograms))]
-    rows = add_buckets(df, histograms).select(*names)
+    rows = add_buckets(df, histograms).select(*names, *([] if weight is None else [weight]))
     if len({h.shape() for h in histograms}) == 1:
         # Buckets of one column nest or interleave, so there are few distinct
         # combinations: count those first, then roll the small result up.
-        weight = F.sum("_rows").cast("bigint")
-        rows = rows.groupBy(*names).agg(F.count("*").alias("_rows"))
-    else:
-        # Unrelated columns: combinations could multiply, so each histogram is
-        # its own grouping set.
-        weight = F.count("*")
+        rows = rows.groupBy(*names).agg(counted.alias("_rows"))
+        counted = F.coalesce(F.sum("_rows"), F.lit(0)).cast("bigint")
+    # Combinations of unrelated columns could multiply, so there each histogram is
+    # only its own grouping set.
     sets = [[F.col(name)] for name in names] + [[]]
     grouped = rows.groupingSets(sets, *[F.col(name) for name in names]).agg(
-        weight.alias("doc_count"),
+        counted.alias("doc_count"),
         *[F.grouping(name).alias(f"_out{i}") for i, name in enumerate(names)],
     )
     return _label(grouped, histograms)

@@ -118,10 +118,10 @@ def time_range(index: LogIndex, range_filter: Mapping[str, Any]) -> Column:
     Rows that pass the time test pass that of the date, so both together mean
     the same as the time test alone, also when negated.
     """
-    return _between(index, *time_bounds(index, range_filter))
+    return time_test(index, *time_bounds(index, range_filter))
 
 
-def _between(index: LogIndex, gte, lte) -> Column:
+def time_test(index: LogIndex, gte, lte) -> Column:
     test = index.time.between(gte, lte, missing_is_first=index.flavour == DOCUMENT)
     if index.partition is None or (gte is None and lte is None):
         return test
@@ -193,7 +193,7 @@ def scan_filter(
     test = query_filter(index, query, use_should)
     gte, lte = request_bounds(index, query)
     if index.flavour == DOCUMENT and (gte or lte):
-        test = _between(index, gte, lte) & test
+        test = time_test(index, gte, lte) & test
     return test
 
 
