@@ -8,6 +8,7 @@ from registered import (  # noqa: F401
     histograms,
     hits,
     lookups,
+    observed,
     requests,
     searches,
     skipping,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered.registry import register, table
+from tidelog.functions.documents import row_json
 from tidelog.operators import many_requests as many
 from tidelog.operators import merge
 
@@ -89,6 +90,46 @@ def multi_search_shuffled(spark, folder):
     return many.request_counts(found, requests(spark, folder))
 
 
+KEY_REQUESTS = f"""
+WITH requests AS (
+    SELECT s_suppkey AS id, ({KINDS})[s_nationkey % 6 + 1] AS index,
+           CASE WHEN s_suppkey % 9 = 0 THEN ',"' ELSE '"event_id":' || s_suppkey || ',' END AS q,
+           CASE WHEN s_nationkey % 7 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(CAST(s_nationkey // 3 AS INTEGER)) END AS gte
+    FROM supplier),
+lines AS (SELECT *, '{{"event_id":' || event_id || ',"user_id":' || user_id || '}}' AS line FROM events)
+SELECT r.id, CAST(count(l.event_id) AS BIGINT) AS n FROM requests r LEFT JOIN lines l
+ON l.event_type = r.index AND (r.gte IS NULL OR l.ts >= r.gte) AND contains(l.line, r.q) GROUP BY r.id
+"""
+
+
+def key_requests(spark, folder):
+    """A text of its own for nearly every supplier, and the lines they search."""
+    nation = F.col("s_nationkey")
+    day = F.timestamp_add("DAY", F.expr("CAST(s_nationkey div 3 AS int)"), F.expr("TIMESTAMP_NTZ'2024-01-01 00:00:00'"))
+    own = F.concat(F.lit('"event_id":'), F.col("s_suppkey").cast("string"), F.lit(","))
+    asked = table(spark, folder, "supplier").select(
+        F.col("s_suppkey").alias("id"),
+        F.array(*[F.lit(kind) for kind in KINDS])[nation % 6].alias("index"),
+        F.when(F.col("s_suppkey") % 9 == 0, ',"').otherwise(own).alias("q"),
+        F.when(nation % 7 != 0, day).alias("gte"),
+        F.expr("CAST(NULL AS TIMESTAMP_NTZ)").alias("lte"),
+    )
+    lines = table(spark, folder, "events").select(
+        "event_id", "event_type", "ts", row_json("event_id", "user_id").alias("line")
+    )
+    return lines, asked
+
+
+KEY_LOG = many.LogSide(index="event_type", time="ts", raw="line", id="event_id")
+
+
+@register("multi_search_ngram", KEY_REQUESTS)
+def multi_search_ngram(spark, folder):
+    """Texts made from every supplier key; lines meet those they share a trigram with."""
+    lines, asked = key_requests(spark, folder)
+    return many.request_counts(many.match_requests(lines, asked, KEY_LOG, by_trigrams=True), asked)
+
+
 @register(
     "multi_search_histogram",
     REQUESTS

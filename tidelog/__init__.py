@@ -2,6 +2,7 @@
 
 from tidelog.operators.partials import PartialCounts, refresh_partials
 from tidelog.plans.counted import search_counted
+from tidelog.plans.observed import search_observed
 from tidelog.plans.search import SearchResult, search, search_many
 from tidelog.sources.composite import open_index, union_sources
 from tidelog.sources.file_index import FileIndex, indexed_lines
@@ -15,6 +16,7 @@ from tidelog.sources.readers import (
 )
 from tidelog.sources.writers import pruned_scan, time_table_index, write_time_table
 from tidelog.streaming.ingest import ingest_new_files
+from tidelog.streaming.matches import match_new_files, read_matches
 
 __all__ = [
     "Field",
@@ -27,15 +29,18 @@ __all__ = [
     "ingest_new_files",
     "json_lines_index",
     "log_index",
+    "match_new_files",
     "open_index",
     "parse_declared",
     "pruned_scan",
     "read_jdbc",
     "read_json_lines",
+    "read_matches",
     "refresh_partials",
     "search",
     "search_counted",
     "search_many",
+    "search_observed",
     "time_table_index",
     "union_sources",
     "write_time_table",

@@ -64,7 +64,9 @@ def _bounds(ntz: bool) -> tuple[str, str]:
     return tuple(f"({times.unix_seconds(bound, ntz)})" for bound in ("gte", "lte"))
 
 
-def match_requests(logs: DataFrame, requests: DataFrame, log: LogSide = LogSide()) -> DataFrame:
+def match_requests(
+    logs: DataFrame, requests: DataFrame, log: LogSide = LogSide(), by_trigrams: bool = False
+) -> DataFrame:
     """Every log row with the ``id`` of each request it answers.
 
     One plan for any number of requests.  A row meets the distinct texts that
@@ -75,6 +77,9 @@ def match_requests(logs: DataFrame, requests: DataFrame, log: LogSide = LogSide(
     splits hot buckets of a shuffled one.  The log is first cut to the range
     that encloses all requests, which takes a job over the requests while the
     plan is built.
+
+    ``by_trigrams`` is for very many texts: a row is then tested against those
+    texts only whose rarest trigram it holds (see ``trigram_candidates``).
     """
     if TimeColumn.of(logs, log.time).ntz != TimeColumn.of(requests, "gte").ntz:
         raise ValueError("the log and the requests need the same kind of timestamp")
@@ -82,13 +87,9 @@ def match_requests(logs: DataFrame, requests: DataFrame, log: LogSide = LogSide(
     asked = _by_bucket(requests)
     texts = asked.select(*_KEYS, "_q").distinct()
     side = _with_buckets(_enclosing(logs, log, profile), log, profile.levels or (_OPEN,))
-    raw = F.col(f"log.{times.quoted(log.raw)}")
-    near = side.alias("log").join(
-        texts.alias("text"),
-        _same_bucket("log", "text", log)
-        & (F.col("text._q").isNull() | raw.contains(F.col("text._q"))),
-    )
-    held = near.select("log.*", F.col("text._q").alias("_q"))
+    candidates = trigram_candidates if by_trigrams else bucket_candidates
+    raw = F.col(times.quoted(log.raw))
+    held = candidates(side, texts, log).where(F.col("_q").isNull() | raw.contains(F.col("_q")))
     ts = F.col(f"log.{times.quoted(log.time)}")
     joined = held.alias("log").join(
         asked.alias("req"),
@@ -105,6 +106,74 @@ def match_requests(logs: DataFrame, requests: DataFrame, log: LogSide = LogSide(
 
 _KEYS = ["_request_index", "_level", "_bucket"]
 
+# Slots of the set by which trigrams that no text has are dropped.
+SLOTS = 1 << 16
+
+
+def bucket_candidates(side: DataFrame, texts: DataFrame, log: LogSide) -> DataFrame:
+    """Rows with each distinct text ``_q`` that is asked near their time."""
+    near = side.alias("log").join(texts.alias("text"), _same_bucket("log", "text", log))
+    return near.select("log.*", F.col("text._q").alias("_q"))
+
+
+def trigrams(text: Column) -> Column:
+    """The distinct runs of three letters of a text."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
+
+
+def _slot(trigram: Column) -> Column:
+    return F.pmod(F.xxhash64(trigram), F.lit(SLOTS)).cast("int")
+
+
+def rarest_trigrams(texts: DataFrame, side: DataFrame, log: LogSide, share: float = 0.01) -> DataFrame:
+    """``(_q, _gram)``: of each text the trigram that fewest rows, then fewest
+    texts have. Rows are a sample of ``share``: it steers speed, not results."""
+    distinct = texts.select("_q").distinct()
+    grams = distinct.select("_q", F.explode(trigrams(F.col("_q"))).alias("_gram"))
+    asked = grams.groupBy("_gram").agg(F.count("*").alias("_texts"))
+    rows = side.select(F.col(times.quoted(log.raw)).alias("_raw")).sample(share, seed=1)
+    seen = rows.select(F.explode(trigrams(F.col("_raw"))).alias("_gram")).groupBy("_gram").count()
+    rated = asked.join(seen, "_gram", "left").select(
+        "_gram", F.struct(F.coalesce("count", F.lit(0)).alias("rows"), "_texts", "_gram").alias("_rate")
+    )
+    return grams.join(rated, "_gram").groupBy("_q").agg(F.min("_rate").alias("_rate")).select(
+        "_q", F.col("_rate._gram").alias("_gram")
+    )
+
+
+def trigram_candidates(side: DataFrame, texts: DataFrame, log: LogSide) -> DataFrame:
+    """As ``bucket_candidates``, less the texts whose rarest trigram a row lacks.
+
+    An inverted index from trigrams to texts, joined on index, time bucket and
+    trigram. Before rows are listed by their trigrams, those are dropped that no
+    text goes by, up to hash collisions: a set of ``SLOTS`` bits, whatever the
+    number of texts, which a job over the texts makes while the plan is built.
+    """
+    short = F.col("_q").isNull() | (F.length("_q") < 3)
+    long = texts.where(~short)
+    kept = rarest_trigrams(long, side, log)
+    words = kept.select(_slot(F.col("_gram")).alias("slot")).groupBy(F.expr("slot div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, pmod(slot, 64))")).alias("bits")
+    )
+    bits = [0] * (SLOTS // 64)
+    for row in words.collect():
+        bits[row.word] = row.bits
+    if not any(bits):
+        return bucket_candidates(side, texts.where(short), log)
+    held = F.expr(f"array({', '.join(f'{b}L' if b > -(1 << 63) else 'bigint(-9223372036854775808)' for b in bits)})")
+    wanted = F.filter(
+        trigrams(F.col(times.quoted(log.raw))),
+        lambda g: F.getbit(F.element_at(held, F.shiftright(_slot(g), 6) + 1), F.pmod(_slot(g), F.lit(64))) == 1,
+    )
+    posted = long.join(kept, "_q")
+    rows = side.select("*", F.explode(wanted).alias("_row_gram"))
+    near = rows.alias("log").join(
+        posted.alias("text"), _same_bucket("log", "text", log) & (F.col("log._row_gram") == F.col("text._gram"))
+    )
+    found = near.select("log.*", F.col("text._q").alias("_q")).drop("_row_gram")
+    return found.unionByName(bucket_candidates(side, texts.where(short), log))
+
+
 
 def _same_bucket(left: str, right: str, log: LogSide) -> Column:
     index = F.col(f"{left}.{times.quoted(log.index)}") == F.col(f"{right}._request_index")

@@ -289,34 +289,34 @@ def search_many(
     # what is narrowed once needs no file index any more, and combines
     sources = combine_alike([replace(narrowed(each, query), files=None) for each in sources])
     parts = [search(each, request, extensions=extensions) for each in sources]
-    size = request.get("size")
-    hits = merge.union_all(
-        [_mergeable_hits(each, request, extensions) for each in sources]
+    hits = merged_hits(
+        [mergeable_hits(each, request, extensions) for each in sources], sources[0], request
     )
-    order = [
-        F.col(f"_order{i}").desc() if descending else F.col(f"_order{i}").asc()
-        for i, (_, descending) in enumerate(_merge_entries(sources[0], request))
-    ]
-    if not order:
-        order = [F.col("sort")[0].asc()]
-    order += [
-        F.col("_index"),
-        F.col("_number"),
-        F.col("_text"),
-    ]
-    merged = hit_ops.limit_rows(hits, order, size)
-    merged = merged.drop(*(c for c in merged.columns if c.startswith("_order")), "_number", "_text")
     return SearchResult(
-        hits=merged,
+        hits=hits,
         summary=merge.merge_histograms([part.summary for part in parts]),
         names=parts[0].names,
-        size=size,
+        size=request.get("size"),
         sources=asked,
         unknown=len(unknown or []),
     )
 
 
-def _mergeable_hits(
+def merged_hits(parts: list[DataFrame], like: LogIndex, request: Mapping[str, Any]) -> DataFrame:
+    """The first ``size`` of the sources' ``mergeable_hits``; ``like`` is one of them."""
+    hits = merge.union_all(parts)
+    order = [
+        F.col(f"_order{i}").desc() if descending else F.col(f"_order{i}").asc()
+        for i, (_, descending) in enumerate(_merge_entries(like, request))
+    ]
+    if not order:
+        order = [F.col("sort")[0].asc()]
+    order += [F.col("_index"), F.col("_number"), F.col("_text")]
+    merged = hit_ops.limit_rows(hits, order, request.get("size"))
+    return merged.drop(*(c for c in merged.columns if c.startswith("_order")), "_number", "_text")
+
+
+def mergeable_hits(
     index: LogIndex, request: Mapping[str, Any], extensions: bool
 ) -> DataFrame:
     """A source's top rows with ``_source`` as VARIANT and the typed tie-break,
