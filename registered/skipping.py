@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from registered.filters import bool_filter, in_range, phrase, text
-from registered.registry import GTE, LTE, ORACLES, register, seconds, table
+from registered.registry import GTE, GTE_SQL, LTE, LTE_SQL, ORACLES, event_lines, register, seconds, table
 from registered.searches import sections
-from tidelog import FileIndex, open_index, search
+from tidelog import FileIndex, document_table_index, open_index, read_json_lines, search, write_document_table
 from tidelog.functions.documents import row_json
 from tidelog.functions.times import format_rfc3339_fraction
 from tidelog.sources.shared import shared_folder
@@ -103,3 +103,25 @@ def raw_files_summary(spark, folder):
         F.unix_micros("first_ts").alias("first_us"),
         F.unix_micros("last_ts").alias("last_us"),
     )
+
+
+@register(
+    "json_phrase_shredded",
+    f"SELECT event_id, {seconds('ts')} AS sort FROM events WHERE event_type = 'signup' "
+    f"AND ts BETWEEN {GTE_SQL} AND {LTE_SQL} ORDER BY value DESC, event_id LIMIT 30",
+)
+def json_phrase_shredded(spark, folder):
+    """A phrase and an order on keys of stored documents, which are columns there."""
+    path = shared_folder(spark, "documents")
+    write_document_table(read_json_lines(spark, event_lines(spark, folder), "datetime"), path)
+    fields = {"message": {"type": "text"}, "event_id": {"type": "long"}}
+    index = document_table_index(spark, "lines", path, "datetime", fields)
+    request = {
+        "query": bool_filter(filter=[in_range(GTE, LTE)], must=[phrase(message="signup")]),
+        "size": 30,
+        "sort": [{"value": {"order": "desc"}}, {"event_id": {"order": "asc"}}],
+    }
+    return search(index, request).hits.select(
+        F.try_variant_get("_source", "$.event_id", "bigint").alias("event_id"),
+        F.col("sort")[0].alias("sort"),
+    )

@@ -3,10 +3,14 @@
 import json
 import os
 import time
+from dataclasses import replace
 
+import pyarrow.parquet as pq
 import pytest
 
-from tidelog import FileIndex, indexed_lines, search
+from tests.conftest import plan_of
+from tidelog import FileIndex, document_table_index, indexed_lines, json_lines_index
+from tidelog import read_json_lines, search, write_document_table
 from tidelog.operators.predicates import request_bounds
 from tidelog.plans.search import narrowed
 
@@ -116,8 +120,6 @@ def test_empty_file_and_any_session_zone(spark, month, in_new_york):
 
 def test_pruned_answers_equal_those_of_all_lines(spark, month):
     index = index_of(spark, month)
-    from dataclasses import replace
-
     whole = replace(index, files=None)
     for query in (
         asked("2024-03-05T02:00:00Z", "2024-03-09T01:00:00Z", "n0", must_not=["of 23"]),
@@ -125,3 +127,33 @@ def test_pruned_answers_equal_those_of_all_lines(spark, month):
         asked("2024-03-28T23:00:00Z", None, "23"),
     ):
         assert texts(index, query) == texts(whole, query)
+
+
+def test_stored_documents_are_read_by_key(spark, tmp_path):
+    lines = [line(1 + n % 28, n % 24, f"t{n % 5}", n=n, pad=os.urandom(300).hex()) for n in range(2_000)]
+    write(tmp_path / "in", "a.json", [*lines, "{broken", '{"m": 5}'])
+    write_document_table(read_json_lines(spark, str(tmp_path / "in"), "t"), str(tmp_path / "docs"))
+    index = document_table_index(spark, "log", str(tmp_path / "docs"), "t")
+    whole = json_lines_index(spark, "log", str(tmp_path / "in"), "t")
+    query = {"bool": {"must": [{"match_phrase": {"m": "t3"}}]}}
+    aggs = {"d": {"date_histogram": {"fixed_interval": "1d"}}}
+    ranged = {"bool": {**query["bool"], "filter": [{"range": {"datetime": {"gte": "2024-03-02T00:00:00Z", "lte": "2024-03-09T00:00:00Z"}}}]}}
+    for request in ({"query": query, "size": 9}, {"query": ranged, "aggs": aggs}):
+        found, want = (search(each, request) for each in (index, whole))
+        assert sorted(map(repr, found.summary.collect())) == sorted(map(repr, want.summary.collect()))
+        ids = [sorted(r._id for r in each.hits.collect()) for each in (found, want)]
+        assert len(ids[0]) == len(ids[1])
+    plan = plan_of(search(index, {"query": ranged, "aggs": aggs}).summary)
+    (schema,) = {p for p in plan.split("\n") if p.startswith("ReadSchema")}
+    assert "raw" not in schema and "doc:struct<" in schema
+
+    sizes = {}
+    for file in (tmp_path / "docs").rglob("*.parquet"):
+        found = pq.read_metadata(file)
+        for group in range(found.num_row_groups):
+            for i in range(found.num_columns):
+                column = found.row_group(group).column(i)
+                path = column.path_in_schema
+                sizes[path] = sizes.get(path, 0) + column.total_compressed_size
+    key = sum(n for path, n in sizes.items() if path.startswith("doc.typed_value.m."))
+    assert 0 < 10 * key < sum(sizes.values())

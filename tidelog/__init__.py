@@ -14,7 +14,13 @@ from tidelog.sources.readers import (
     read_jdbc,
     read_json_lines,
 )
-from tidelog.sources.writers import pruned_scan, time_table_index, write_time_table
+from tidelog.sources.writers import (
+    document_table_index,
+    pruned_scan,
+    time_table_index,
+    write_document_table,
+    write_time_table,
+)
 from tidelog.streaming.ingest import ingest_new_files
 from tidelog.streaming.matches import match_new_files, read_matches
 
@@ -25,6 +31,7 @@ __all__ = [
     "PartialCounts",
     "SearchResult",
     "apply_schema",
+    "document_table_index",
     "indexed_lines",
     "ingest_new_files",
     "json_lines_index",
@@ -43,5 +50,6 @@ __all__ = [
     "search_observed",
     "time_table_index",
     "union_sources",
+    "write_document_table",
     "write_time_table",
 ]

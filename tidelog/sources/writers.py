@@ -45,6 +45,25 @@ def time_table_index(
     return log_index(name, df, time, partition=DATE_PARTITION, **described)
 
 
+def write_document_table(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Parsed lines (``raw``, ``doc``, ``ts``) as a time table of documents.
+
+    Spark shreds the documents: keys that occur often, with one type, become
+    Parquet columns of their own, so a search reads the keys that it names.
+    """
+    write_time_table(df.select("raw", "doc", "ts"), path, "ts", mode)
+
+
+def document_table_index(
+    spark: SparkSession, name: str, path: str, time_field: str, fields=None
+) -> LogIndex:
+    """A table of documents, searched by the document rules."""
+    df = spark.read.parquet(path)
+    return log_index(
+        name, df, "ts", fields=fields, raw="raw", doc="doc", time_field=time_field, partition=DATE_PARTITION
+    )
+
+
 def pruned_scan(spark: SparkSession, path: str, time: str, gte, lte) -> DataFrame:
     """Rows of a time table in an inclusive range, skipping other dates."""
     gte, lte = parse_instant(gte), parse_instant(lte)
