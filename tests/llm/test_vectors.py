@@ -107,3 +107,42 @@ def test_tree_skips_most_of_clustered_rows():
         order = np.lexsort((np.arange(4000), -products))[:5]
         assert [i for _, i in best] == order.tolist()
     assert sum(measured) < 10 * 4000 * 0.7
+
+
+def test_codes_rule_out_most_rows_at_high_recall(spark):
+    """On vectors without clusters, where blocks rule out nothing."""
+    df = table(spark, "/root/testdata/sf0.1", "embeddings")
+    options = {"id_column": "vec_id", "vector_column": "embedding", "seed": 7, "width": 2.0, "first": 4}
+    options |= {"block_rows": 512, "group_queries": 64, "sample": 1024, "most_centres": 16}
+    near = neighbours.found_near(df, F.expr("vec_id % 20 = 0"), 20, **options)
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    exact = brute(rows, lambda i: i % 20 == 0, 20)
+    best = found(neighbours.best_ranked(near, 20))
+    hits = sum(len({j for j, _ in best[q]} & {j for j, _ in exact[q]}) for q in exact)
+    assert hits >= 0.95 * 20 * len(exact)
+    assert near.agg(F.sum("measured")).first()[0] <= 0.4 * len(exact) * len(rows)
+
+
+def test_blocks_rule_out_far_clusters(spark):
+    rng = np.random.default_rng(2)
+    centres = rng.standard_normal((8, 32)) * 10
+    rows = [(i, [float(x) for x in centres[i % 8] + rng.normal(0, 0.1, 32)]) for i in range(1_600)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    options = {"id_column": "vec_id", "vector_column": "embedding", "seed": 7, "width": 2.0, "first": 1}
+    options |= {"block_rows": 100, "group_queries": 50, "sample": 800, "most_centres": 16}
+    near = neighbours.found_near(df, F.expr("vec_id % 20 = 0"), 5, **options)
+    exact = brute(rows, lambda i: i % 20 == 0, 5)
+    best = found(neighbours.best_ranked(near, 5))
+    hits = sum(len({j for j, _ in best[q]} & {j for j, _ in exact[q]}) for q in exact)
+    assert hits >= 0.95 * 5 * len(exact)
+    assert near.agg(F.sum("measured")).first()[0] <= 0.1 * len(exact) * len(rows)
+
+
+def test_estimates_lie_within_their_bounds():
+    rng = np.random.default_rng(5)
+    rows, queries = rng.standard_normal((3_000, 48)), rng.standard_normal((20, 48))
+    centre = rows.mean(axis=0)
+    codes = neighbours.Codes(*neighbours.encode(rows - centre, 7), centre, 7)
+    close, miss = codes.estimate(queries, 2.0)
+    off = np.abs(close - queries @ rows.T) > miss
+    assert 0.01 < off.mean() < 0.08

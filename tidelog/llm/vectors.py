@@ -60,6 +60,7 @@ def dealt(column: str, groups: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(groups)).cast("int")
 
 
-def every(groups: int) -> Column:
-    """One row for each of ``groups`` blocks of the other side."""
-    return F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+def every(groups: int | str) -> Column:
+    """One row for each of ``groups`` (a number or a column's name) of the other side."""
+    last = F.lit(groups - 1) if isinstance(groups, int) else F.col(groups) - 1
+    return F.explode(F.sequence(F.lit(0), last))
