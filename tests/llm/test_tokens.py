@@ -203,3 +203,17 @@ def test_token_files_of_repeated_and_no_documents(spark, docs):
         found = token_files.read_token_files(spark, path).collect()
         order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
         assert sorted(map(repr, map(tuple, found))) == sorted(map(repr, wanted_files(order)))
+
+
+def test_packing_keeps_large_ids_beside_null_ones(docs):
+    ids = [None, 2**53 + 1, 2**53 + 3, -(2**62) - 1, None]
+    df = docs([(i, "a b") for i in ids])
+    found = packing.pack(df, vocabulary=VOCABULARY, shard_docs=100).collect()
+    assert sorted((r.doc_id for r in found), key=repr) == sorted(ids, key=repr)
+    assert {r.offset for r in found} == {0, 3, 6, 9, 12}
+
+
+def test_packing_deals_repeated_rows_to_all_shards(docs):
+    df = docs([(7, "a b")] * 400)
+    found = packing.pack(df, vocabulary=VOCABULARY, shard_docs=100).collect()
+    assert len(found) == 400 and len({r.sequence_id >> 32 for r in found}) == 4

@@ -6,10 +6,11 @@ window whose remaining room is the tightest that still holds them. A segment
 tree over the amounts of room (0 to the window) finds that room in a few steps.
 
 Tokens never leave the task that makes them: only lengths and checksums are
-dealt, by a hash of the document, to shards of about ``shard_docs`` documents
+dealt, by a hash of the document and its row, to shards of about ``shard_docs`` documents
 that are packed alone. A shard leaves at most a few windows less than full.
 
-Cases: a null or empty text is its end id alone; repeated rows are packed as
+Cases: a null or empty text is its end id alone; null ids stay null and other ids
+exact; repeated rows are packed as
 often as they occur; an empty table gives no rows; other columns are ignored.
 """
 
@@ -19,8 +20,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -126,12 +127,16 @@ def document_pieces(
     ).mapInArrow(cut, "doc_id long, doc_tokens long, sums array<long>")
 
 
-def pack_shard(shard: int, docs: pd.DataFrame, window: int) -> pd.DataFrame:
-    """The pieces of one shard's documents with their places in its sequences."""
-    docs = docs.sort_values(["doc_id", "doc_tokens"], kind="stable", na_position="first")
-    tokens = docs["doc_tokens"].to_numpy(np.int64)
+def pack_shard(shard: int, docs: pa.Table, window: int) -> pa.Table:
+    """The pieces of one shard's documents with their places in its sequences.
+
+    Ids stay Arrow integers: beside a null one they would become floats in pandas.
+    """
+    keys = [("doc_id", "ascending"), ("doc_tokens", "ascending")]
+    docs = docs.combine_chunks().take(pc.sort_indices(docs, sort_keys=keys, null_placement="at_start"))
+    tokens = docs.column("doc_tokens").to_numpy()
     n = -(-tokens // window)
-    doc = np.repeat(np.arange(len(docs)), n)
+    doc = np.repeat(np.arange(len(tokens)), n)
     start = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)) * window
     length = np.minimum(tokens[doc] - start, window)
     order = np.argsort(-length, kind="stable")
@@ -140,20 +145,17 @@ def pack_shard(shard: int, docs: pd.DataFrame, window: int) -> pd.DataFrame:
     sequence[order], offset[order] = windows, offsets
     used = np.bincount(sequence, weights=length).astype(np.int64)
     padding = np.where(used & (used - 1) == 0, 0, window - used)
-    ids = docs["doc_id"].reset_index(drop=True)
-    return pd.DataFrame(
-        {
-            "doc_id": ids.iloc[doc].reset_index(drop=True).astype("Int64"),
-            "start": start,
-            "length": length,
-            "ids_crc32": np.concatenate(docs["sums"].tolist()).astype(np.int64),
-            "doc_tokens": tokens[doc],
-            "sequence_id": (shard << 32) + sequence,
-            "offset": offset,
-            "sequence_tokens": used[sequence],
-            "sequence_padding": padding[sequence],
-        }
-    )
+    sums = docs.column("sums").combine_chunks().flatten()
+    columns = [
+        docs.column("doc_id").take(pa.array(doc)).combine_chunks(),
+        *(pa.array(x, pa.int64()) for x in (start, length)),
+        sums,
+        *(
+            pa.array(x, pa.int64())
+            for x in (tokens[doc], (shard << 32) + sequence, offset, used[sequence], padding[sequence])
+        ),
+    ]
+    return pa.table(columns, names=PIECES.names)
 
 
 def pack(
@@ -170,8 +172,10 @@ def pack(
     shards = groups_for(df.count(), shard_docs)
     pieces = document_pieces(df, id_column, text_column, vocabulary, end_id, window)
 
-    def packed(key: tuple, docs: pd.DataFrame) -> pd.DataFrame:
-        return pack_shard(int(key[0]), docs, window)
+    def packed(key: tuple, docs: pa.Table) -> pa.Table:
+        return pack_shard(key[0].as_py(), docs, window)
 
-    shard = F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums"), F.lit(shards))
-    return pieces.withColumn("shard", shard).groupBy("shard").applyInPandas(packed, PIECES)
+    # the row's number spreads rows that repeat all else
+    number = F.monotonically_increasing_id()
+    shard = F.pmod(F.xxhash64("doc_id", "doc_tokens", "sums", number), F.lit(shards))
+    return pieces.withColumn("shard", shard).groupBy("shard").applyInArrow(packed, PIECES)
