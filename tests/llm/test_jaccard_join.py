@@ -136,3 +136,18 @@ def test_components(spark, shape):
         "none": {},
     }[shape]
     assert found == wanted
+
+
+def test_a_row_is_judged_by_its_text(docs):
+    rows = [(0, "x y z"), (1, "x y z"), (1, "quite other text here now"), (None, "X  y z"), (None, "p q r"), (None, "p q r")]
+    df = docs(rows).withColumnsRenamed({"lang": "_key_", "source": "doc_key", "n_chars": "text_hash"})
+    kept = jaccard_join.without_near_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == sorted(
+        [(0, "x y z"), (1, "quite other text here now"), (None, "p q r")], key=repr
+    )
+
+
+def test_runs_follow_from_recall():
+    assert [jaccard_join.runs_for(0.8, depth, 0.99) for depth in (1, 3, 5)] == [3, 6, 8]
+    assert jaccard_join.runs_for(0.8, 5, 0.999) > 8 and jaccard_join.runs_for(1.0, 5, 0.99) == 1

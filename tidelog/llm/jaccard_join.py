@@ -9,9 +9,9 @@ tokens of the paths. A run starts with all sets in one bucket; a bucket chooses
 one of its token places, and a second with chance ``1/similarity - 1``, so a pair
 at the similarity keeps on average one common path; the values there name the
 buckets below. A bucket of at most ``bucket`` sets is compared by brute force,
-a larger one splits again, up to ``depth`` times. ``runs`` repeats this; a pair
-at similarity 0.8 meets in one run with a chance of about 0.6 or more, so eight
-runs miss fewer than one in a thousand. A bucket that paths can't split (near
+a larger one splits again, up to ``depth`` times. Runs are repeated until a pair at
+the similarity meets with a chance of ``recall`` even where all its buckets split
+that often (see ``runs_for``). A bucket that paths can't split (near
 copies share them all) is compared in pairs of blocks, each its own task.
 
 Nothing is emitted per pair: a bucket gives a spanning forest of the pairs whose
@@ -28,6 +28,7 @@ its smallest id; other columns pass by; an empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelog.llm.components import components
-from tidelog.llm.tables import q, stored
+from tidelog.llm.tables import fresh, q, stored
 
 SIZE = 64
 _MASK = (1 << 64) - 1
@@ -271,24 +272,47 @@ def _exact_links(similarity: float) -> Callable[[list], tuple | None]:
     return links
 
 
-def near_duplicates(
+def runs_for(similarity: float, depth: int, recall: float) -> int:
+    """Runs by which a pair at the similarity meets with a chance of ``recall``.
+
+    A bucket splits by one token, by a second with chance ``1/similarity - 1``, and
+    a pair shares a token with the chance of its similarity: a branching process,
+    whose chance to have died out after ``depth`` splits is that of one miss. Runs
+    share signatures, so misses are not quite independent; the runs for half the
+    chance to miss are taken, which measured recall bears out (see the README).
+    """
+    second, lost = 1 / similarity - 1, 0.0
+    for _ in range(depth):
+        below = 1 - similarity + similarity * lost
+        lost = (1 - second) * below + second * below**2
+    return 1 if lost <= 0 else max(1, math.ceil(math.log((1 - recall) / 2) / math.log(lost)))
+
+
+def near_duplicates(df: DataFrame, **options) -> DataFrame:
+    """Per document: doc_id, class_id, n_links (documents similar to it), n_copies.
+
+    ``class_id`` is the smallest id of the documents that links connect; copies
+    count as links. Options are those of ``classified``.
+    """
+    return classified(df, **options).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def classified(
     df: DataFrame,
     *,
     id_column: str = "doc_id",
     text_column: str = "text",
     words: int = 5,
     similarity: float = 0.8,
-    runs: int = 8,
+    recall: float = 0.99,
     bucket: int = 128,
     depth: int = 5,
     likely: float = 0.6,
     block: int = 1024,
 ) -> DataFrame:
-    """Per document: doc_id, class_id, n_links (documents similar to it), n_copies.
-
-    ``class_id`` is the smallest id of the documents that links connect; copies
-    count as links.
-    """
+    """As ``near_duplicates``, with text_hash and ``class``, a number of the class
+    (null for texts without words)."""
+    runs = runs_for(similarity, depth, recall)
     texts = df.select(q(id_column).cast("long").alias("doc_id"), q(text_column).cast("string").alias("text"))
     docs = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     records = stored(_sets(docs, words), "shingle-sets")
@@ -337,10 +361,12 @@ def near_duplicates(
     )
     classes = stored(classes, "set-labels")
     named = classes.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    classes = classes.join(named, "label").select("set", "class_id", "copies", "links")
-    found = records.select("doc_id", "set").join(classes, "set", "left")
+    classes = classes.join(named, "label").select("set", "label", "class_id", "copies", "links")
+    found = records.select("doc_id", "text_hash", "set").join(classes, "set", "left")
     return found.select(
         "doc_id",
+        "text_hash",
+        F.col("label").alias("class"),
         F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("copies") - 1, F.lit(0))).alias("n_links"),
         F.coalesce("copies", F.lit(1)).alias("n_copies"),
@@ -369,18 +395,29 @@ def _with_shingles(members: DataFrame, docs: DataFrame, words: int) -> DataFrame
 
 
 def without_near_duplicates(df: DataFrame, **options) -> DataFrame:
-    """``df`` with one document of each class, that of its smallest id.
+    """``df`` with one document of each class: that of its smallest id, of equal
+    ids that of the smallest hash of its text.
 
-    All rows of an id go if one of them does; of rows that repeat id and text one
-    stays; rows of a null id stay.
+    Rows are told apart by id and text, so another text under the id of a copy
+    stays, and a class of null ids is one document too. Of rows that repeat id
+    and text one stays; but texts without words are no copies of each other, and
+    those of a null id all stay. Columns of any name pass by.
     """
     names = (options.get("id_column", "doc_id"), options.get("text_column", "text"))
-    key: Column = q(names[0]).cast("long")
-    found = near_duplicates(df, **options)
-    gone = found.where("doc_id <> class_id").select(F.col("doc_id").alias("_key_")).distinct()
-    left = df.join(stored(gone, "near-duplicates"), key == F.col("_key_"), "left_anti")
-    twice = df.groupBy(key.alias("_key_")).count().where("count > 1 AND _key_ IS NOT NULL")
-    twice = stored(twice.select("_key_"), "repeated-ids")
-    once = left.join(twice, key == F.col("_key_"), "left_anti")
-    again = left.join(twice, key == F.col("_key_"), "left_semi")
-    return once.unionByName(again.dropDuplicates([*names]))
+    found = stored(classified(df, **options).select("doc_id", "text_hash", "class"), "document-classes")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    chosen = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("chosen"))
+    told = found.join(chosen, "class").where(~row.eqNullSafe(F.col("chosen")))
+    key, text_hash = fresh(df, "doc_key", "text_hash")
+    marked = df.withColumns({key: q(names[0]).cast("long"), text_hash: F.xxhash64(q(names[1]).cast("string"))})
+
+    pair = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
+    same = F.col(key).eqNullSafe(F.col("gone_id")) & (F.col(text_hash) == F.col("gone_hash"))
+    gone = stored(told.select(*pair).distinct(), "near-duplicates")
+    left = marked.join(gone, same, "left_anti")
+    twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("class").alias("class"))
+    twice = twice.where("n > 1 AND (doc_id IS NOT NULL OR class IS NOT NULL)")
+    twice = stored(twice.select(*pair), "repeated-rows")
+    once = left.join(twice, same, "left_anti")
+    again = left.join(twice, same, "left_semi").dropDuplicates([key, text_hash])
+    return once.unionByName(again).drop(key, text_hash)
