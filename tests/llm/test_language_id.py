@@ -98,3 +98,9 @@ def test_sparse_steps_are_the_dense_ones(monkeypatch):
     sparse = language_id.CrossParser(sample)
     assert isinstance(sparse.tables[0], language_id.SparseTable)
     np.testing.assert_array_equal(sparse.rates(texts), dense)
+
+
+def test_clashing_text_column(spark):
+    df = spark.createDataFrame([(1, "the", "en", "x")], "doc_id long, text string, lang string, _text_ string")
+    sample = language_id.training_sample(df, F.col("text"), F.col("lang"), F.col("doc_id"))
+    assert language_id.predict(df, sample).columns == [*df.columns, "lang_pred", "score", "bits"]

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -152,3 +153,30 @@ def test_long_and_short_secrets_are_redacted(docs):
     finder = pii.fit_finder(docs(plain + long + short), F.col("text"), F.col("doc_id"))
     clean = [r["text"] for r in pii.redacted(docs(long + short), finder).orderBy("doc_id").collect()]
     assert sum("[SECRET]" in t for t in clean[:150]) > 140 and sum("[SECRET]" in t for t in clean[150:]) > 140
+
+
+def test_many_spans_in_one_text_take_little_time():
+    text = " ".join(f"u{i}@example.org, +1 555 {i % 900 + 100} 0{i % 1000:03d}" for i in range(100_000))
+    base = pii.base_spans(text)
+    begin = time.monotonic()
+    pii.teaching(text)
+    held = pii.Covered(base)
+    assert all(held.meets(a, b) for _, a, b in base[::1000])
+    assert not held.meets(base[0][2], base[0][2] + 1)
+    assert time.monotonic() - begin < 60
+
+
+def test_covered_equals_looking_at_all():
+    draw = random.Random(2)
+    spans = [("k", a, a + draw.randint(1, 9)) for a in (draw.randint(0, 300) for _ in range(40))]
+    held = pii.Covered(spans)
+    for _ in range(2_000):
+        a = draw.randint(0, 310)
+        b = a + draw.randint(1, 12)
+        assert held.meets(a, b) == any(a < e and s < b for _, s, e in spans)
+
+
+def test_clashing_text_column(spark):
+    df = spark.createDataFrame([(1, "a@b.org", "x", "y")], "doc_id long, text string, _text_ string, _text string")
+    found = pii.find(df, pii.Finder())
+    assert found.columns == [*df.columns, "spans"] and len(found.first().spans) == 1

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelog.llm.tables import q
+from tidelog.llm.tables import fresh, q
 
 UNDETERMINED = "und"
 PIECE = 2_000
@@ -286,8 +286,9 @@ def predict(df: DataFrame, sample: Sample, text: str = "text") -> DataFrame:
     """
     replaced = {"lang_pred", "score", "bits"}
     kept = [c for c in df.columns if c.lower() not in replaced]
-    narrow = df.select(*(q(c) for c in kept), q(text).cast("string").alias("_text_"))
-    schema = narrow.drop("_text_").schema.add("lang_pred", "string")
+    (own,) = fresh(df, "text")
+    narrow = df.select(*(q(c) for c in kept), q(text).cast("string").alias(own))
+    schema = df.select(*(q(c) for c in kept)).schema.add("lang_pred", "string")
     schema = schema.add("score", "double").add("bits", "double")
 
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -31,6 +31,7 @@ from __future__ import annotations
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.llm.boosting import BoostedTrees, calibrated
-from tidelog.llm.tables import q, stored
+from tidelog.llm.tables import fresh, q, stored
 
 # Kinds in order, base kinds first.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -207,8 +208,28 @@ def _vouched(text: str, kind: str, a: int, b: int) -> bool:
     return kind == "secret" and bool(_KEYED(text[max(0, a - 24) : a]) or _ACCESS_KEY(text, a, b))
 
 
-def _overlap(span: Span, others: list[Span]) -> bool:
-    return any(span[1] < b and a < span[2] for _, a, b in others)
+class Covered:
+    """The stretches of a text that spans cover, apart and in order."""
+
+    def __init__(self, spans: list[Span] = ()):
+        self.begins: list[int] = []
+        self.ends: list[int] = []
+        for _, a, b in sorted(spans, key=lambda s: s[1]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], b)
+            else:
+                self.begins.append(a)
+                self.ends.append(b)
+
+    def meets(self, a: int, b: int) -> bool:
+        at = bisect_right(self.ends, a)
+        return at < len(self.begins) and self.begins[at] < b
+
+    def add(self, a: int, b: int) -> None:
+        """A span that meets none."""
+        at = bisect_right(self.ends, a)
+        self.begins.insert(at, a)
+        self.ends.insert(at, b)
 
 
 def positives(text: str, base: list[Span]) -> Iterator[tuple[str, str, int, int]]:
@@ -232,9 +253,10 @@ def positives(text: str, base: list[Span]) -> Iterator[tuple[str, str, int, int]
 def teaching(text: str) -> list[tuple[str, bool, str, int, int]]:
     """(kind, wanted, text, begin, end) of all that a text can teach but words."""
     base = base_spans(text)
+    held = Covered(base)
     out = [(kind, True, *rest) for kind, *rest in positives(text, base)]
     for kind, a, b in candidates(text):
-        if not _overlap((kind, a, b), base):
+        if not held.meets(a, b):
             out.append((kind, _vouched(text, kind, a, b), text, a, b))
     return out
 
@@ -271,7 +293,8 @@ def vouched_kinds(text: str) -> int:
     kinds = {kind for kind, *_ in positives(text, base)}
     if "secret" not in kinds:
         own = (s for s in candidates(text, ("secret",)) if _vouched(text, *s))
-        if any(not _overlap(s, base) for s in own):
+        held = Covered(base)
+        if any(not held.meets(a, b) for _, a, b in own):
             kinds.add("secret")
     return sum(1 << MORE_KINDS.index(kind) for kind in kinds)
 
@@ -287,8 +310,9 @@ class Finder:
         """Per text the further spans (kind, begin, end, score)."""
         asked: dict[str, list[tuple[int, Span]]] = {}
         for i, text in enumerate(texts):
+            held = Covered(base[i])
             for span in candidates(text):
-                if span[0] in self.models and not _overlap(span, base[i]):
+                if span[0] in self.models and not held.meets(*span[1:]):
                     asked.setdefault(span[0], []).append((i, span))
         passed: list[list[tuple]] = [[] for _ in texts]
         for kind, spans in asked.items():
@@ -297,9 +321,10 @@ class Finder:
                 if score >= self.thresholds[kind]:
                     passed[i].append((kind, a, b, float(score)))
         for i, spans in enumerate(passed):
-            kept: list[tuple] = []
+            kept, held = [], Covered()
             for span in sorted(spans, key=lambda s: (-s[3], s[1], s[2])):
-                if not _overlap(span[:3], [s[:3] for s in kept]):
+                if not held.meets(*span[1:3]):
+                    held.add(*span[1:3])
                     kept.append(span)
             passed[i] = kept
         return passed
@@ -439,8 +464,9 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find(df: DataFrame, finder: Finder, text_column: str = "text") -> DataFrame:
     """``df`` with ``spans``: all spans by begin, then kind as listed."""
     kept = [c for c in df.columns if c.lower() != "spans"]
-    narrow = df.select(*(q(c) for c in kept), q(text_column).cast("string").alias("_text_"))
-    schema = narrow.drop("_text_").schema.add("spans", SPANS)
+    (own,) = fresh(df, "text")
+    narrow = df.select(*(q(c) for c in kept), q(text_column).cast("string").alias(own))
+    schema = df.select(*(q(c) for c in kept)).schema.add("spans", SPANS)
     arrow = pa.list_(
         pa.struct(
             [
