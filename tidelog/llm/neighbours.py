@@ -162,7 +162,7 @@ def _scored(rows: pa.Table, centres: np.ndarray, asked: pa.Table, seed: int):
 
 
 def search_block(rows: pa.Table, asked: pa.Table, centres: np.ndarray, k: int, seed: int, width: float) -> pa.Table:
-    """The k best of a block for each query; of those only that reach its bound.
+    """The k best of a block for each query, of those that reach its bound.
 
     Without a bound the rows of the highest estimates are measured.
     """
@@ -179,12 +179,16 @@ def search_block(rows: pa.Table, asked: pa.Table, centres: np.ndarray, k: int, s
             i = np.repeat(np.arange(len(close)), n)
             taken = np.isfinite(close[i, j])
             i, j = i[taken], j[taken]
+            least = np.full(len(close), -np.inf)
         else:
             # a hair below the bound, so that rounding loses no tie
             least = bound[part] - 1e-9 * (1 + np.abs(bound[part]))
-            i, j = np.nonzero((close + miss >= np.where(np.isnan(least), -np.inf, least)[:, None]) & np.isfinite(close))
+            least = np.where(np.isnan(least), -np.inf, least)
+            i, j = np.nonzero((close + miss >= least[:, None]) & np.isfinite(close))
         seen += len(i)
         score = paired_products(wanted[part], vectors, i, j)
+        reached = score >= least[i]
+        i, j, score = i[reached], j[reached], score[reached]
         order = np.lexsort((ids[j], -score, i))
         i, j, score = i[order], j[order], score[order]
         top = np.arange(len(i)) - np.searchsorted(i, i) < k
