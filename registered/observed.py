@@ -51,9 +51,14 @@ def health_observed(spark, folder):
     result = search_observed(spark, sources, request)
     counts = ["n_rows", "n_malformed", "n_untimed"]
     each = result.source_health.select("name", "successful", "failed", *counts)
-    found = result.totals.select(F.lit("all").alias("name"), F.col("total").alias("n_rows"))
-    health = result.health.select(F.lit("all").alias("name"), "successful", "failed")
-    return each.unionByName(health.join(found, "name"), allowMissingColumns=True)
+    found = result.totals.selectExpr("0 AS successful", "0 AS failed", "total AS n_rows")
+    health = result.health.selectExpr("successful", "failed", "NULL AS n_rows")
+    whole = health.unionByName(found).agg(
+        F.sum("successful").cast("int").alias("successful"),
+        F.sum("failed").cast("int").alias("failed"),
+        F.sum("n_rows").alias("n_rows"),
+    )
+    return each.unionByName(whole.withColumn("name", F.lit("all")), allowMissingColumns=True)
 
 
 STREAMED = f"""
