@@ -408,16 +408,21 @@ def without_near_duplicates(df: DataFrame, **options) -> DataFrame:
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     chosen = found.where("class IS NOT NULL").groupBy("class").agg(F.min(row).alias("chosen"))
     told = found.join(chosen, "class").where(~row.eqNullSafe(F.col("chosen")))
-    key, text_hash = fresh(df, "doc_key", "text_hash")
-    marked = df.withColumns({key: q(names[0]).cast("long"), text_hash: F.xxhash64(q(names[1]).cast("string"))})
-
-    pair = [F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")]
-    same = F.col(key).eqNullSafe(F.col("gone_id")) & (F.col(text_hash) == F.col("gone_hash"))
-    gone = stored(told.select(*pair).distinct(), "near-duplicates")
-    left = marked.join(gone, same, "left_anti")
     twice = found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n"), F.max("class").alias("class"))
     twice = twice.where("n > 1 AND (doc_id IS NOT NULL OR class IS NOT NULL)")
-    twice = stored(twice.select(*pair), "repeated-rows")
-    once = left.join(twice, same, "left_anti")
-    again = left.join(twice, same, "left_semi").dropDuplicates([key, text_hash])
-    return once.unionByName(again).drop(key, text_hash)
+    fates = told.select("doc_id", "text_hash", F.lit(True).alias("gone")).distinct()
+    fates = fates.unionByName(twice.select("doc_id", "text_hash", F.lit(False).alias("gone")))
+    fates = fates.groupBy("doc_id", "text_hash").agg(F.max("gone").alias("gone"))
+    own = fresh(df, "doc_key", "no_key", "text_hash")
+
+    def keys(doc_id: Column, text_hash: Column) -> dict[str, Column]:
+        return dict(zip(own, (F.coalesce(doc_id, F.lit(0)), doc_id.isNull(), text_hash), strict=True))
+
+    marked = df.withColumns(keys(q(names[0]).cast("long"), F.xxhash64(q(names[1]).cast("string"))))
+    fates = stored(
+        fates.withColumns(keys(F.col("doc_id"), F.col("text_hash"))).select(*own, "gone"), "document-fates"
+    )
+    # Both joins meet the documents in one exchange of their texts, at every size.
+    once = marked.join(fates.hint("merge"), own, "left_anti")
+    again = marked.join(fates.where("NOT gone").hint("merge"), own, "left_semi").dropDuplicates(own)
+    return once.unionByName(again).drop(*own)
