@@ -36,6 +36,24 @@ def should(spark, folder):
     return kept.select("event_id")
 
 
+@register(
+    "ext_range_any_field",
+    "SELECT event_id FROM events WHERE value >= 20 AND value < 60 AND event_type > 'error' "
+    f"AND ts > {GTE_SQL} AND ts <= {LTE_SQL}",
+)
+def range_any_field(spark, folder):
+    """Ranges of a number, a text and the time, with strict bounds."""
+    index = events(spark, folder)
+    query = bool_filter(
+        filter=[
+            {"range": {"value": {"gte": 20, "lt": 60}}},
+            {"range": {"event_type": {"gt": "error"}}},
+            {"range": {"datetime": {"gt": GTE, "lte": LTE}}},
+        ]
+    )
+    return index.df.where(query_filter(index, query, use_should=True)).select("event_id")
+
+
 RARE_SQL = "events WHERE event_type = 'error' AND contains(props, '77')"
 
 

@@ -266,7 +266,7 @@ def merge_sources(spark, folder):
     interval = columnar_interval("1d", None)
     return merge.merge_histograms(
         [
-            hist.date_histogram(s.df, hist.Histogram("day", s.time, interval))
+            hist.bucket_counts(s.df, hist.Histogram("day", s.time, interval))
             for s in three_sources(spark, folder)
         ]
     )

@@ -93,3 +93,8 @@ def test_many_requests_join_by_bucket(spark, folder):
 def test_rank_limit_is_applied_before_the_shuffle(spark, folder):
     plan = plan_of(entry.queries()["multi_search_hits"](spark, folder))
     assert plan.count("WindowGroupLimit") >= 2
+
+
+def test_merged_parts_are_sorted_once(spark, folder):
+    plan = plan_of(entry.QUERIES["hist_merge_sources"](spark, folder))
+    assert len(re.findall(r"rangepartitioning", plan)) == 1

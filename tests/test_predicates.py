@@ -144,6 +144,26 @@ def test_range_of_another_field_is_no_condition(columnar):
     assert ids(columnar, one_filter(columnar, spec)) == ALL
 
 
+def test_ranges_of_any_field_are_an_extension(columnar):
+    def found(spec):
+        test = one_filter(columnar, {"range": spec}, extensions=True)
+        kept = ids(columnar, test)
+        assert ids(columnar, exclude(test)) == [i for i in ALL if i not in kept]
+        return kept
+
+    codes = {r[0]: r[4] for r in ROWS}
+    assert found({"code": {"gte": 8}}) == [i for i in ALL if codes[i] is not None and codes[i] >= 8]
+    assert found({"code": {"gt": 7, "lt": 9}}) == [i for i in ALL if codes[i] == 8]
+    assert found({"ts": {"gt": "2024-01-01T00:00:01Z"}}) == [4, 6]
+    assert found({"datetime": {"gte": "2024-01-01T00:00:01Z", "lt": "2024-01-01T00:00:02Z"}, "code": {"lt": 100}}) == [
+        i for i in (3,) if codes[i] is not None
+    ]
+    assert found({"level": {"lte": "info"}}) == [i for i in ALL if ROWS[i - 1][3] and ROWS[i - 1][3] <= "info"]
+    for wrong in ({"nowhere": {"gte": 1}}, {"code": {"above": 1}}):
+        with pytest.raises(ValueError):
+            one_filter(columnar, {"range": wrong}, extensions=True)
+
+
 def test_range_by_the_time_columns_own_name(columnar):
     spec = {"range": {"ts": {"gte": "2024-01-01T00:00:02Z"}}}
     assert ids(columnar, one_filter(columnar, spec)) == [4, 6]

@@ -174,6 +174,11 @@ def finish(df: DataFrame, h: Histogram, start: str, count: str) -> DataFrame:
 
 def date_histogram(df: DataFrame, h: Histogram) -> DataFrame:
     """One histogram, in ascending key order."""
+    return bucket_counts(df, h).orderBy("key")
+
+
+def bucket_counts(df: DataFrame, h: Histogram) -> DataFrame:
+    """``date_histogram`` in no order, for parts that are merged."""
     if h.anchored:
         # the tail is dropped before the aggregation, so it is never read
         first, end = h.time.literal(h.gte), h.time.literal(h.end)
@@ -184,7 +189,7 @@ def date_histogram(df: DataFrame, h: Histogram) -> DataFrame:
         .groupBy("_bucket0")
         .agg(F.count("*").alias("doc_count"))
     )
-    return finish(counts, h, "_bucket0", "doc_count").orderBy("key")
+    return finish(counts, h, "_bucket0", "doc_count")
 
 
 def summarise(df: DataFrame, histograms: list[Histogram], weight: str | None = None) -> DataFrame:

@@ -24,12 +24,17 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def merge_histograms(parts: DataFrame | list[DataFrame]) -> DataFrame:
     """Sum ``doc_count`` per histogram name and key, ascending keys."""
+    return summed(parts).orderBy("agg", "key")
+
+
+def summed(parts: DataFrame | list[DataFrame]) -> DataFrame:
+    """``merge_histograms`` in no order, for what is ordered or merged later."""
     rows = parts if isinstance(parts, DataFrame) else union_all(parts)
     merged = rows.groupBy("agg", "key").agg(
         F.min("key_as_string").alias("key_as_string"),
         F.sum("doc_count").cast("bigint").alias("doc_count"),
     )
-    return merged.select("agg", "key", "key_as_string", "doc_count").orderBy("agg", "key")
+    return merged.select("agg", "key", "key_as_string", "doc_count")
 
 
 def shard_partials(df: DataFrame, shard: Column | str | None, bucket: str) -> DataFrame:

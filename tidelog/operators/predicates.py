@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from operator import and_, or_
+from operator import and_, ge, gt, le, lt, or_
 from typing import Any
 
 from pyspark.sql import Column
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidelog.functions.documents import string_field_equals
-from tidelog.functions.times import parse_instant, quoted
+from tidelog.functions.times import TimeColumn, parse_instant, quoted
 from tidelog.sources.index import DOCUMENT, LogIndex
 
 # Fixed value: the key under which a request writes its time range.
@@ -121,6 +121,48 @@ def time_range(index: LogIndex, range_filter: Mapping[str, Any]) -> Column:
     return time_test(index, *time_bounds(index, range_filter))
 
 
+# Fixed value: the bounds of a range and what they ask.
+BOUNDS = {"gte": ge, "gt": gt, "lte": le, "lt": lt}
+
+
+def any_range(index: LogIndex, range_filter: Mapping[str, Any]) -> Column:
+    """Extension: ranges of the time and of other fields, with all four bounds.
+
+    ``gte`` and ``lte`` of the time mean what they mean without the extension;
+    other tests are false where the value is missing. An unknown field or bound
+    is an error.
+    """
+    tests = []
+    for name, bounds in range_filter.items():
+        is_time = name == RANGE_KEY or name in index.time_keys
+        time = index.time if is_time else _time_field(index, name)
+        column = index.field_column(name) if time is None else F.expr(time.sql)
+        if column is None or (index.doc is not None and not is_time and name not in index.fields):
+            raise ValueError(f"{index.name!r} has no field {name!r} of a known type")
+        unknown = set(bounds) - set(BOUNDS) - {"format", "time_zone"}
+        if unknown:
+            raise ValueError(f"unknown bounds of {name!r}: {sorted(unknown)}")
+        asked = {key: bounds[key] for key in BOUNDS if bounds.get(key) is not None}
+        if is_time:
+            tests.append(time_range(index, range_filter))
+            asked = {key: value for key, value in asked.items() if key in ("gt", "lt")}
+        if time is not None:
+            asked = {key: F.expr(time.literal(parse_instant(value))) for key, value in asked.items()}
+        for key, value in asked.items():
+            tests.append(column.isNotNull() & BOUNDS[key](column, F.lit(value)))
+    return all_of(tests)
+
+
+def _time_field(index: LogIndex, name: str) -> TimeColumn | None:
+    """A column of instants, whose bounds are read as those of the time are."""
+    kinds = {f.name: f.dataType for f in index.df.schema.fields}
+    if isinstance(kinds.get(name), (T.TimestampType, T.TimestampNTZType)):
+        return TimeColumn.of(index.df, name)
+    if index.doc is not None and name in index.fields and index.fields[name].type == "date":
+        raise ValueError(f"ranges of {name!r}, a date inside documents, are not supported")
+    return None
+
+
 def time_test(index: LogIndex, gte, lte) -> Column:
     test = index.time.between(gte, lte, missing_is_first=index.flavour == DOCUMENT)
     if index.partition is None or (gte is None and lte is None):
@@ -132,11 +174,14 @@ def exclude(test: Column) -> Column:
     return ~test
 
 
-def one_filter(index: LogIndex, spec: Mapping[str, Any] | None) -> Column:
-    """One filter object; when it holds several kinds the first listed wins."""
+def one_filter(index: LogIndex, spec: Mapping[str, Any] | None, extensions: bool = False) -> Column:
+    """One filter object; when it holds several kinds the first listed wins.
+
+    ``extensions`` honours ranges of other fields than the time (``any_range``).
+    """
     spec = spec or {}
     if spec.get("bool") is not None:
-        return nested_bool(index, spec["bool"])
+        return nested_bool(index, spec["bool"], extensions)
     if spec.get("multi_match") is not None:
         return multi_match(index, spec["multi_match"].get("query", ""))
     if spec.get("match_phrase") is not None:
@@ -144,36 +189,37 @@ def one_filter(index: LogIndex, spec: Mapping[str, Any] | None) -> Column:
     if spec.get("match_all") is not None:
         return match_all()
     if spec.get("range") is not None:
-        return time_range(index, spec["range"])
+        return (any_range if extensions else time_range)(index, spec["range"])
     return match_all()
 
 
-def nested_bool(index: LogIndex, spec: Mapping[str, Any]) -> Column:
+def nested_bool(index: LogIndex, spec: Mapping[str, Any], extensions: bool = False) -> Column:
     """Inner bool: a ``filter`` list and a ``must_not`` object (or list)."""
     unwanted = spec.get("must_not")
     if isinstance(unwanted, Mapping):
         unwanted = [unwanted]
     return all_of(
-        [one_filter(index, each) for each in spec.get("filter") or []]
-        + [exclude(one_filter(index, each)) for each in unwanted or []]
+        [one_filter(index, each, extensions) for each in spec.get("filter") or []]
+        + [exclude(one_filter(index, each, extensions)) for each in unwanted or []]
     )
 
 
 def query_filter(
     index: LogIndex, query: Mapping[str, Any] | None, use_should: bool = False
 ) -> Column:
-    """The predicate of a whole query; ``use_should`` is an extension."""
+    """The predicate of a whole query; ``use_should`` honours the extensions:
+    ``should``, and ranges of any field."""
     if query is None:
         return match_all()
     root = query.get("bool")
     if root is None:
         raise ValueError("unsupported query type")
     required = [*(root.get("filter") or []), *(root.get("must") or [])]
-    tests = [one_filter(index, each) for each in required]
-    tests += [exclude(one_filter(index, each)) for each in root.get("must_not") or []]
+    tests = [one_filter(index, each, use_should) for each in required]
+    tests += [exclude(one_filter(index, each, use_should)) for each in root.get("must_not") or []]
     should = root.get("should") or []
     if use_should and should and not required:
-        tests.append(any_of([one_filter(index, each) for each in should]))
+        tests.append(any_of([one_filter(index, each, use_should) for each in should]))
     return all_of(tests)
 
 

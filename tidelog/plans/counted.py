@@ -108,7 +108,7 @@ class _Counted:
 
     def summary(self, histograms: list[hist.Histogram]):
         parts = [hist.summarise(self.steps, histograms, COUNT), hist.summarise(self.edges, histograms)]
-        return merge.merge_histograms(parts)
+        return merge.summed(parts)
 
     def last_date(self, size: int, descending: bool) -> date | None:
         """The date by which at least ``size`` rows were met, in order of time."""

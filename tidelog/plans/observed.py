@@ -111,7 +111,7 @@ def search_observed(
         raise last or ValueError("no sources")
     return ObservedResult(
         hits=merged_hits([a.hits for a in answers], answers[0].index, request),
-        summary=merge.merge_histograms([a.summary for a in answers]),
+        summary=merge.summed([a.summary for a in answers]),
         names=tuple(request.get("aggs") or {}),
         size=request.get("size"),
         sources=len(answers),

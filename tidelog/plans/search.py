@@ -294,7 +294,7 @@ def search_many(
     )
     return SearchResult(
         hits=hits,
-        summary=merge.merge_histograms([part.summary for part in parts]),
+        summary=merge.summed([part.summary for part in parts]),
         names=parts[0].names,
         size=request.get("size"),
         sources=asked,
