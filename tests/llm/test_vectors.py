@@ -146,3 +146,33 @@ def test_estimates_lie_within_their_bounds():
     close, miss = codes.estimate(queries, 2.0)
     off = np.abs(close - queries @ rows.T) > miss
     assert 0.01 < off.mean() < 0.08
+
+
+def test_check_finds_what_signs_miss(spark):
+    """With no width, signs alone miss many neighbours, and some blocks are small."""
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(24) * (1 + i % 3)]) for i in range(900)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    query = F.expr("vec_id % 20 = 0")
+    for options in ({"width": 0.0}, {"first": 1, "block_rows": 9}, {}):
+        near = found(neighbours.nearest(df, query, k=12, **options))
+        assert near == brute(rows, lambda i: i % 20 == 0, 12)
+
+
+def test_no_product_is_above_its_highest():
+    rng = np.random.default_rng(6)
+    rows, queries = rng.standard_normal((2_000, 48)), rng.standard_normal((20, 48))
+    for scale in (1e-30, 1.0, 1e30):
+        centre = rows.mean(axis=0) * scale
+        steps = neighbours.fine_steps(rows * scale - centre, 7)
+        lengths = np.sqrt(((rows * scale - centre) ** 2).sum(axis=1))
+        most = neighbours.highest(queries * scale, *steps, lengths, centre, 7)
+        over = (most - queries @ rows.T * scale**2) / scale**2
+        assert over.min() >= 0 and over.max() < 1
+
+
+@pytest.mark.parametrize("sf", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
+def test_registered_search_is_exact(spark, sf):
+    rows = [(r["vec_id"], r["embedding"]) for r in table(spark, sf, "embeddings").collect()]
+    near = found(QUERIES["op2_nearest_neighbours"](spark, sf))
+    assert near == brute(rows, lambda i: i % 20 == 0, 20)

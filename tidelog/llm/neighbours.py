@@ -1,4 +1,4 @@
-"""Approximate nearest neighbours with randomly rotated one-bit codes.
+"""Nearest neighbours with randomly rotated one-bit codes, and an exact check.
 
 Rows are gathered in blocks around centroids, which a bounded sample gives. What
 is left of a vector after its centroid is rotated by a fixed random orthogonal
@@ -15,12 +15,15 @@ products with it and measures the ``FIRST`` times k rows of the highest estimate
 in each; the k-th product measured is its bound. Then it visits the blocks that can hold a
 larger one (centroid product plus query length times radius, which is never too
 small) and measures the rows whose estimate reaches the bound within their
-error. Scores are exact products of the original vectors in double precision;
-only which rows are measured rests on the codes.
+error. Scores are exact products of the original vectors in double precision.
 
-``width`` sets recall: an error beyond 2 befalls about one in 44 of the true
-neighbours whose product is just that of the bound, and hardly any of those with
-larger ones. Shares measured and recall are in the README.
+``width`` sets how many neighbours the signs find: an error beyond 2 befalls about
+one in 44 of those whose product is just that of the bound, and hardly any of
+those with larger ones. An exact check finds the others: a row also keeps the
+rotated components in whole steps of ``LEVELS`` to its largest, and how far these
+lie from the vector. By Cauchy and Schwarz a product is at most that of the steps
+plus query length times this distance, so a row below the bound even then can be
+left out for sure, and all others are measured. Shares measured are in the README.
 
 Cases: see ``valid_vectors``; fewer than k other rows give fewer results; ties go
 to smaller ids; a row never finds its own id; queries that repeat a whole row are
@@ -43,6 +46,7 @@ from tidelog.llm.vectors import best_ranked, every, matrix, paired_products, val
 
 BITS = 6  # of a component of a query
 FIRST = 8  # rows, as multiples of k, that give a query its bound in a block
+LEVELS = 127  # steps to the largest component of a row
 
 
 @lru_cache(maxsize=4)
@@ -69,6 +73,28 @@ def words_of_bits(bits: np.ndarray) -> np.ndarray:
     return np.pad(packed, ((0, 0), (0, -packed.shape[1] % 8))).view(np.uint64)
 
 
+def fine_steps(vectors: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rotated components in whole steps, the step, and the length of what is left."""
+    rotated = vectors @ rotation(vectors.shape[1], seed)
+    step = np.maximum(np.abs(rotated).max(axis=1) / LEVELS, 1e-300)
+    levels = np.rint(rotated / step[:, None]).astype(np.int8)
+    return levels, step, np.sqrt(((rotated - levels * step[:, None]) ** 2).sum(axis=1))
+
+
+def highest(
+    queries: np.ndarray, levels: np.ndarray, step: np.ndarray, left: np.ndarray, lengths: np.ndarray, centre: np.ndarray, seed: int
+) -> np.ndarray:
+    """What products (query by row) can be at most; not a number where that is unknown."""
+    dimensions = queries.shape[1]
+    size = np.sqrt((queries**2).sum(axis=1))
+    with np.errstate(all="ignore"):
+        turned = ((queries / size[:, None]) @ rotation(dimensions, seed)).astype(np.float32)
+        close = turned @ levels.astype(np.float32).T * step
+        # both roundings: of single precision in the steps' product, of double in the rest
+        left = left + np.finfo(np.float32).eps * (dimensions + 8) * lengths + 1e-9 * np.sqrt((centre**2).sum())
+        return size[:, None] * (close + left) + (queries @ centre)[:, None]
+
+
 @dataclass
 class Codes:
     """The codes of a block's rows, relative to its centroid."""
@@ -130,7 +156,9 @@ def code_index(rows: DataFrame, centres: np.ndarray, block_rows: int, seed: int
         for batch in batches:
             vectors = matrix(batch.column(1))
             own = nearest_centre(vectors, centres) if len(vectors) else np.zeros(0, np.int64)
-            signs, lengths, align = encode(vectors - centres[own], seed) if len(vectors) else (own[:, None], own, own)
+            rest = vectors - centres[own]
+            signs, lengths, align = encode(rest, seed) if len(vectors) else (own[:, None], own, own)
+            levels, step, left = fine_steps(rest, seed) if len(vectors) else (own[:, None], own, own)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -139,34 +167,54 @@ def code_index(rows: DataFrame, centres: np.ndarray, block_rows: int, seed: int
                     pa.array([s.tobytes() for s in signs], pa.binary()),
                     pa.array(lengths, pa.float64()),
                     pa.array(align, pa.float64()),
+                    pa.array([x.tobytes() for x in levels], pa.binary()),
+                    pa.array(step, pa.float64()),
+                    pa.array(left, pa.float64()),
                 ],
-                names=["vec_id", "v", "centre", "code", "length", "align"],
+                names=["vec_id", "v", "centre", "code", "length", "align", "levels", "step", "left"],
             )
 
     kind = "vec_id long, v array<double>, centre int, code binary, length double, align double"
+    kind += ", levels binary, step double, left double"
     index = stored(rows.mapInArrow(coded, kind), "codes")
     parts = index.groupBy("centre").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
     row = F.monotonically_increasing_id()  # spreads rows that repeat all else
     part = F.pmod(F.xxhash64("vec_id", row), F.col("parts")).cast("int")
     block = F.struct("centre", part.alias("part")).alias("block")
-    return index.join(parts, "centre").select("vec_id", "v", block, "code", "length", "align")
+    kept = ("code", "length", "align", "levels", "step", "left")
+    return index.join(parts, "centre").select("vec_id", "v", block, *kept)
 
 
 def _scored(rows: pa.Table, centres: np.ndarray, asked: pa.Table, seed: int):
-    """A block's ids, vectors and codes, and the queries' columns."""
+    """A block's ids, vectors, codes and steps, and the queries' columns."""
     centre = rows.column("block")[0].as_py()["centre"]
     signs = np.frombuffer(b"".join(rows.column("code").to_pylist()), np.uint64).reshape(rows.num_rows, -1)
     lengths, align = (rows.column(c).to_numpy() for c in ("length", "align"))
     codes = Codes(signs, lengths, align, centres[centre], seed)
-    return rows.column("vec_id").to_numpy(), matrix(rows.column("v")), codes, matrix(asked.column("v"))
+    levels = np.frombuffer(b"".join(rows.column("levels").to_pylist()), np.int8).reshape(rows.num_rows, -1)
+    steps = (levels, rows.column("step").to_numpy(), rows.column("left").to_numpy(), lengths, centres[centre], seed)
+    return rows.column("vec_id").to_numpy(), matrix(rows.column("v")), codes, steps, matrix(asked.column("v"))
 
 
-def search_block(rows: pa.Table, asked: pa.Table, centres: np.ndarray, k: int, seed: int, width: float) -> pa.Table:
+def kth_best(i: np.ndarray, score: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The k-th best score of each of ``n`` queries, infinitely low for fewer."""
+    order = np.lexsort((-score, i))
+    i, score = i[order], score[order]
+    last = np.arange(len(i)) - np.searchsorted(i, i) == k - 1
+    out = np.full(n, -np.inf)
+    out[i[last]] = score[last]
+    return out
+
+
+def search_block(
+    rows: pa.Table, asked: pa.Table, centres: np.ndarray, k: int, seed: int, width: float, sure: bool
+) -> pa.Table:
     """The k best of a block for each query, of those that reach its bound.
 
-    Without a bound the rows of the highest estimates are measured.
+    Without a bound the rows of the highest estimates are measured. If ``sure``,
+    all rows that these leave out are checked, so none of the k best is missed.
     """
-    ids, vectors, codes, wanted = _scored(rows, centres, asked, seed)
+    ids, vectors, codes, steps, wanted = _scored(rows, centres, asked, seed)
     own, bound = asked.column("query_id").to_numpy(), asked.column("bound").to_numpy(zero_copy_only=False)
     found, seen = [], 0
     for at in range(0, len(own), 256):
@@ -185,8 +233,16 @@ def search_block(rows: pa.Table, asked: pa.Table, centres: np.ndarray, k: int, s
             least = bound[part] - 1e-9 * (1 + np.abs(bound[part]))
             least = np.where(np.isnan(least), -np.inf, least)
             i, j = np.nonzero((close + miss >= least[:, None]) & np.isfinite(close))
-        seen += len(i)
         score = paired_products(wanted[part], vectors, i, j)
+        if sure:
+            kth = kth_best(i, score, len(close), k)
+            least = np.maximum(least, kth - 1e-9 * (1 + np.abs(kth)))
+            more = ~(highest(wanted[part], *steps) < least[:, None]) & (own[part, None] != ids)
+            more[i, j] = False
+            others = np.nonzero(more)
+            score = np.concatenate([score, paired_products(wanted[part], vectors, *others)])
+            i, j = (np.concatenate(x) for x in zip((i, j), others, strict=True))
+        seen += len(i)
         reached = score >= least[i]
         i, j, score = i[reached], j[reached], score[reached]
         order = np.lexsort((ids[j], -score, i))
@@ -228,7 +284,8 @@ def _visited(queries: DataFrame, centres: np.ndarray, blocks: DataFrame, first:
                 j = np.argpartition(-product, n - 1, axis=1)[:, :n].ravel()
                 i = np.repeat(np.arange(len(v)), n)
             else:
-                most = product + np.sqrt((v**2).sum(axis=1))[:, None] * reach
+                rounded = 1e-9 * np.sqrt((centres[there] ** 2).sum(axis=1))
+                most = product + np.sqrt((v**2).sum(axis=1))[:, None] * (reach + rounded)
                 bound = batch.column(3).to_numpy(zero_copy_only=False)
                 least = np.where(np.isnan(bound), -np.inf, bound - 1e-9 * (1 + np.abs(bound)))
                 i, j = np.nonzero(most >= least[:, None])
@@ -243,7 +300,9 @@ def _visited(queries: DataFrame, centres: np.ndarray, blocks: DataFrame, first:
     return visits.join(places, "centre").drop("centre")
 
 
-def _search(index: DataFrame, visits: DataFrame, centres: np.ndarray, k: int, seed: int, width: float, group: int) -> DataFrame:
+def _search(
+    index: DataFrame, visits: DataFrame, centres: np.ndarray, k: int, seed: int, width: float, group: int, sure: bool
+) -> DataFrame:
     """What queries find in the blocks they visit, in groups of about ``group``."""
     visits = stored(visits, "visits")
     parts = visits.groupBy("block").agg(F.ceil(F.count("*") / group).cast("int").alias("parts"))
@@ -255,7 +314,7 @@ def _search(index: DataFrame, visits: DataFrame, centres: np.ndarray, k: int, se
     def searched(rows: pa.Table, asked: pa.Table) -> pa.Table:
         if not rows.num_rows or not asked.num_rows:
             return empty
-        return search_block(rows.combine_chunks(), asked.combine_chunks(), centres, k, seed, width)
+        return search_block(rows.combine_chunks(), asked.combine_chunks(), centres, k, seed, width, sure)
 
     empty = pa.schema(
         [("query_id", pa.int64()), ("query_hash", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64()), ("measured", pa.int64())]
@@ -305,9 +364,9 @@ def found_near(df, is_query, k, id_column, vector_column, seed, width, first, bl
         F.lit(None).cast("double").alias("bound"),
     )
     queries = stored(queries.dropDuplicates(["query_id", "query_hash"]), "queries")
-    near = _search(index, _visited(queries, centres, blocks, first), centres, k, seed, width, group_queries)
+    near = _search(index, _visited(queries, centres, blocks, first), centres, k, seed, width, group_queries, False)
     order = Window.partitionBy("query_id", "query_hash").orderBy(F.desc("score"))
     kth = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k)
     kth = stored(kth.select("query_id", "query_hash", F.col("score").alias("bound")), "bounds")
     queries = queries.drop("bound").join(kth, ["query_id", "query_hash"], "left")
-    return _search(index, _visited(queries, centres, blocks, None), centres, k, seed, width, group_queries)
+    return _search(index, _visited(queries, centres, blocks, None), centres, k, seed, width, group_queries, True)
