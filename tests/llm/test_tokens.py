@@ -217,3 +217,34 @@ def test_packing_deals_repeated_rows_to_all_shards(docs):
     df = docs([(7, "a b")] * 400)
     found = packing.pack(df, vocabulary=VOCABULARY, shard_docs=100).collect()
     assert len(found) == 400 and len({r.sequence_id >> 32 for r in found}) == 4
+
+
+def test_pieces_in_use_outlive_a_full_table():
+    encode, calls = Encoder(VOCABULARY, kept=60), []
+    model = encode.model
+    encode.model = lambda written: calls.append(written) or model(written)
+    for i in range(40):
+        text = " ".join(["x", "often", "often,", *(f"w{chr(97 + i % 26)}{chr(97 + j)}" for j in range(10))])
+        assert encode.ids(text) == plain(text).tobytes()
+        assert len(encode) + len(encode.earlier) <= 2 * (60 + 13)
+    assert sum("often" in written for written in calls) == 1
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from([0, 1, 3, 200, 40_000, 1 << 30, (1 << 60) - 1, 1 << 63]), max_size=2_100))
+def test_words_of_blocks_take_most_ids(ids):
+    ids = np.array(ids, np.uint64)
+    best, taken = token_files.selectors(ids)
+    at, starts = 0, []
+    while at < len(ids):
+        left = min(len(ids), at - at % token_files.RUN + token_files.RUN) - at
+        for count, width in zip(token_files.COUNTS[:-2].tolist(), token_files.WIDTHS.tolist()):
+            if all(int(x) >> width == 0 for x in ids[at : at + min(count, left)]):
+                break
+        else:
+            count = 1
+        assert taken[at] == min(count, left)
+        starts.append(at)
+        at += int(taken[at])
+    assert token_files.word_starts(taken).tolist() == starts
+    assert (token_files.decode_block(token_files.encode_block(ids)) == ids).all()

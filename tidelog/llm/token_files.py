@@ -63,32 +63,56 @@ def selectors(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.arange(n, dtype=np.int32)
     left = np.minimum(RUN - at % RUN, n - at)
     width = np.searchsorted(LIMITS, ids, side="right") if n and ids.max() >> 16 else NARROW[ids]
-    best = np.full(n, ESCAPE, np.int8)
+    # runs one below the other, each with room behind it that any selector holds
+    widest = np.zeros((-(-n // RUN), RUN + COUNTS[0]), np.int8)
+    full = n // RUN
+    widest[:full, :RUN] = width[: full * RUN].reshape(full, RUN)
+    widest[full:, : n - full * RUN] = width[full * RUN :]
+    best = np.full((len(widest), RUN), ESCAPE, np.int8)
+    held = 1
     for s in range(PACKED - 1, -1, -1):
-        wide = np.where(width > s, at, np.int32(n))
-        stop = np.minimum.accumulate(wide[::-1])[::-1]
-        best[stop - at >= np.minimum(np.int32(COUNTS[s]), left)] = s
+        # the widest of the next ids, from that of fewer, of which two overlap
+        while held < COUNTS[s]:
+            step = min(held, int(COUNTS[s]) - held)
+            np.maximum(widest[:, :-step], widest[:, step:], out=widest[:, :-step])
+            held += step
+        best[widest[:, :RUN] <= s] = s
+    best = best.reshape(-1)[:n]
     return best, np.minimum(COUNTS[best], left)
 
 
+def word_starts(taken: np.ndarray) -> np.ndarray:
+    """Where words begin, from the ids that a word takes at each place: all runs
+    step side by side, and stay at their end."""
+    n = len(taken)
+    step = np.append(taken, 0).astype(np.int64)
+    at = np.arange(0, n, RUN)
+    ends = np.minimum(at + RUN, n)
+    begins = np.zeros(n + 1, bool)
+    while len(at):
+        begins[at] = True
+        at = at + step[at]
+        if (at == ends).any():
+            at, ends = at[at < ends], ends[at < ends]
+    return np.flatnonzero(begins[:n])
+
+
 def encode_block(ids: np.ndarray) -> bytes:
     """``ids`` (unsigned 64-bit) as one block."""
     best, taken = selectors(ids)
-    step, starts, at, n = taken.tolist(), [], 0, len(ids)
-    while at < n:
-        starts.append(at)
-        at += step[at]
-    starts = np.array(starts, np.int64)
+    n, starts = len(ids), word_starts(taken)
     chosen, held = best[starts].astype(np.int64), taken[starts]
     words = chosen.astype(np.uint64) << np.uint64(60)
     padded = np.concatenate([ids, np.zeros(60, np.uint64)])
     for s in np.unique(chosen):
         if s < PACKED:
             rows = np.flatnonzero(chosen == s)
-            lanes = np.arange(COUNTS[s])
-            values = padded[starts[rows, None] + lanes] << (lanes * WIDTHS[s]).astype(np.uint64)
-            values[lanes >= held[rows, None]] = 0  # of the next run
-            words[rows] |= np.bitwise_or.reduce(values, axis=1)
+            at, here, word = starts[rows], held[rows], words[rows]
+            for lane in range(COUNTS[s]):
+                value = padded[at + lane] << np.uint64(lane * WIDTHS[s])
+                value[here <= lane] = 0  # of the next run
+                word |= value
+            words[rows] = word
     escaped = ids[starts[chosen == ESCAPE]]
     firsts = np.searchsorted(starts, np.arange(0, n, RUN)).astype("<u4")
     body = firsts.tobytes() + words.astype("<u8").tobytes() + escaped.astype("<u8").tobytes()

@@ -4,7 +4,8 @@ A byte-level vocabulary cuts a text by a fixed pattern before it merges, and
 each cut part is merged by itself. A single space between two characters that
 are no white space always begins a new part, a single line break always stands
 alone, so the ids of a text are those of its space-delimited pieces, joined.
-Pieces recur, so each is encoded once per process and kept in a bounded table.
+Pieces recur, so those met are kept: in a bounded table, and in the one before it
+when it is full, so pieces in use outlive it.
 Texts in which this doesn't hold (white space in a row or at an end, an added
 token) are encoded whole.
 """
@@ -28,8 +29,12 @@ from tidelog.llm.words import WordTable, chunks, gathered, runs, sums
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _UNSURE = re.compile(r"\s(?:\s|\Z)").search
-_WORD = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)", re.ASCII).fullmatch
+_LETTERS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]+").fullmatch
+# No apostrophe, which may begin a part of its own.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_SPACES = ("  ", " \n", "\n ", "\n\n")
 _KEPT_CHARS = 64
+_KEPT_TAILS = 10_000
 # Letters behind a space, then marks (no apostrophe, which may begin a part of its
 # own): each is merged alone. Other words have any form.
 _PARTS = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?=[ \n]|\Z)|([ \n][^ \n]*)", re.ASCII).findall
@@ -42,15 +47,29 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(_KEPT_CHARS)]
+
+
 def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+    return _PACK[len(ids)](*ids) if len(ids) < len(_PACK) else struct.pack(f"<{len(ids)}I", *ids)
+
+
+def unsure(text: str) -> bool:
+    """Whether white space lies at an end of a text or in a row."""
+    if text[0].isspace():
+        return True
+    # printable lines have no white space but spaces
+    if not all(map(str.isprintable, text.split("\n"))):
+        return _UNSURE(text) is not None
+    return text[-1] in " \n" or any(pair in text for pair in _SPACES)
 
 
 class Encoder(dict):
     """Ids as little-endian unsigned 32-bit integers; the dict keeps pieces."""
 
-    def __init__(self, path: str, kept: int = 500_000):
+    def __init__(self, path: str, kept: int = 400_000):
         super().__init__()
+        self.earlier: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         spec = json.loads(self.tokenizer.to_str())
         before = spec.get("pre_tokenizer") or {}
@@ -66,6 +85,8 @@ class Encoder(dict):
         self.model = self.tokenizer.model.tokenize
         letters = byte_letters()
         self.letters = str.maketrans({chr(b): c for b, c in letters.items()})
+        self.space = letters[32]
+        self.tails: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         (found,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
@@ -76,19 +97,33 @@ class Encoder(dict):
         written = text.encode().decode("latin-1").translate(self.letters)
         return _packed([token.id for token in self.model(written)])
 
+    def tail(self, marks: str) -> bytes:
+        """Ids of marks behind a word; few forms recur, so they are kept too."""
+        ids = self.tails.get(marks)
+        if ids is None:
+            ids = self.part(marks)
+            if len(self.tails) < _KEPT_TAILS:
+                self.tails[marks] = ids
+        return ids
+
     def __missing__(self, piece: str) -> bytes:
         """Ids of a piece after its space; a piece that begins with a line break has none."""
-        found = _WORD(piece)
-        if not found:
-            ids = self.whole(piece if piece[:1] == "\n" else f" {piece}")
+        ids = self.earlier.get(piece)
+        if ids is not None:
+            self[piece] = ids
+            return ids
+        word = piece.rstrip(_MARKS)
+        ascii_word = word.isascii() and word.isalpha()
+        if ascii_word and word == piece:
+            ids = _packed([token.id for token in self.model(self.space + word)])
+        elif ascii_word or _LETTERS(word):
+            ids = self.part(f" {word}") if word == piece else self[word] + self.tail(piece[len(word) :])
+        elif word[:1] == "\n" and _LETTERS(word[1:]):
+            ids = self.tail("\n") + self.part(word[1:])
+            if word != piece:
+                ids += self.tail(piece[len(word) :])
         else:
-            line, word, tail = found.groups()
-            if line:
-                ids = self.part("\n") + self.part(word)
-            else:
-                ids = self[word] if tail else self.part(f" {word}")
-            if tail:
-                ids += self.part(tail)
+            ids = self.whole(piece if piece[:1] == "\n" else f" {piece}")
         if len(piece) <= _KEPT_CHARS:
             self[piece] = ids
         return ids
@@ -99,11 +134,11 @@ class Encoder(dict):
         if (
             not self.by_piece
             or any(token in text for token in self.added)
-            or text[0].isspace()
-            or _UNSURE(text)
+            or unsure(text)
         ):
             return self.whole(text)
         if len(self) > self.kept:
+            self.earlier = self.copy()
             self.clear()
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
@@ -160,8 +195,7 @@ class BatchEncoder:
         """Words without their space; a leading space marks one that has none."""
         if not text:
             return []
-        unsure = not self.by_piece or text[0].isspace() or _UNSURE(text)
-        if unsure or any(token in text for token in self.added):
+        if not self.by_piece or unsure(text) or any(token in text for token in self.added):
             return [f" {text}"]
         words = text.replace("\n", " \n").split(" ")
         words[0] = f" {words[0]}"
