@@ -163,3 +163,18 @@ def test_query_equals_plain(spark):
     ]
     found = op12_token_alignment(spark, SMALL).select(*COLUMNS[:-1], "groups_sha256")
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_byte_level_ids_of_words():
+    """As of the library, with special tokens as text; plain words take no call of it."""
+    aligner = token_alignment.Aligner(VOCABULARY, PIECES)
+    whole, asked = aligner.a.whole, []
+    aligner.a.whole = lambda text: asked.append(text) or whole(text)
+    plain = ["word", "word,", "éÉa!", "one\ntwo,\nthree", "word\nword", "x..."]
+    odd = ["it's", "3rd", "<|endoftext|>", "a\t7", "日本\nかな", " a  b \n c ", "''", "x" * 300 + "1"]
+    for words in (plain, odd, plain + odd):
+        ids, word = aligner.byte_ids(words)
+        assert bool(asked) == (words is not plain)
+        for i, w in enumerate(words):
+            wanted = aligner.a.tokenizer.encode(w if w[0] == " " else f" {w}", add_special_tokens=False).ids
+            assert ids[word == i].tolist() == wanted

@@ -25,7 +25,6 @@ rows like others; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,19 +39,19 @@ from sentencepiece import SentencePieceProcessor
 from tidelog.llm.perfect_hash import PerfectHash, build, lot
 from tidelog.llm.sentence_pieces import MARK
 from tidelog.llm.tables import groups_for, q, stored
-from tidelog.llm.tokens import BatchEncoder
+from tidelog.llm.tokens import Encoder, unsure
 from tidelog.llm.words import WordTable, chunks, gathered, sums
 
 SHARD_PAIRS = 50_000
 RESIDENT_PAIRS = 4_000_000
 TALLY = 500_000
-TABLE_WORDS = 500_000
+TABLE_WORDS = 1_000_000
+WORDS_OF_A = 200_000  # that the byte-level encoder keeps for itself, twice
+CHUNK_BYTES = 2_000_000  # of text that is worked on at once
 CHUNK = 8_192  # counts in one row of a vector
 FAN = 64  # vectors that a step of the tree sums
 _SHIFT = 32
 
-_UNSURE = re.compile(r"\A\s|\s(?:\s|\Z)").search
-
 
 class Vocabulary:
     """Ids and the bytes of each."""
@@ -70,8 +69,8 @@ class Aligner:
     """Aligns words (each after one space) by a byte-level and a piece vocabulary."""
 
     def __init__(self, byte_path: str, piece_path: str):
-        self.a = BatchEncoder(byte_path, plain=True)
-        self.a_bytes = Vocabulary(self.a.raw)
+        self.a = Encoder(byte_path, WORDS_OF_A, plain=True)
+        self.a_bytes = Vocabulary(self.a.token_bytes())
         self.b = model = SentencePieceProcessor(model_file=piece_path)
         raw = []
         for i in range(model.get_piece_size()):
@@ -85,31 +84,37 @@ class Aligner:
         self.written = [t + mark for mark in (",", "|", ";", "") for t in text]
         self.most = len(text)
 
+    def _odd_ids(self, word: str) -> bytes:
+        """Ids of a word that has its space, or line breaks."""
+        if word[0] == " ":
+            return self.a.whole(word)
+        first, *rest = word.split("\n")
+        return self.a[first] + b"".join([self.a[f"\n{part}"] for part in rest])
+
     def byte_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The byte-level ids of words and of their space, and their words."""
-        alone = np.fromiter((w[0] == " " for w in words), bool, len(words))
-        cut = [f" {w}".split("\n") for w in words if w[0] != " "]
-        ids, counts = self.a.spaced([f"\n{p}" if i else p for parts in cut for i, p in enumerate(parts)])
-        counts = sums(counts, np.fromiter(map(len, cut), np.int64, len(cut)))
-        word = np.repeat(np.flatnonzero(~alone), counts)
-        if alone.any():
-            more, n = self.a.whole([w for w in words if w[0] == " "])
-            ids, word = np.concatenate([ids, more]), np.concatenate([word, np.repeat(np.flatnonzero(alone), n)])
-            order = np.argsort(word, kind="stable")
-            ids, word = ids[order], word[order]
-        return ids.astype(np.int64), word
+        self.a.make_room()
+        kept, odd = self.a.__getitem__, self._odd_ids
+        found = [odd(w) if w[0] == " " or "\n" in w else kept(w) for w in words]
+        counts = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        return np.frombuffer(b"".join(found), "<u4").astype(np.int64), np.repeat(np.arange(len(words)), counts)
 
     def align(self, words: list[str]) -> dict[str, np.ndarray]:
         """Of all words, one after the other: ``a`` and ``b`` ids with their
         words, the tokens that end groups, and which words are sound."""
         a, a_word = self.byte_ids(words)
-        found = self.b.encode([w.removeprefix(" ") for w in words], num_threads=1)
+        spaced = any(w[0] == " " for w in words)
+        found = self.b.encode([w.removeprefix(" ") for w in words] if spaced else words, num_threads=1)
         counts = np.fromiter(map(len, found), np.int64, len(found))
         b = np.fromiter(chain.from_iterable(found), np.int64, int(counts.sum()))
         b_word = np.repeat(np.arange(len(found)), counts)
-        texts = [(w if w[0] == " " else f" {w}").encode() for w in words]
-        size = np.fromiter(map(len, texts), np.int64, len(texts))
-        wanted = np.frombuffer(b"".join(texts), np.uint8)
+        if spaced:
+            texts = [(w if w[0] == " " else f" {w}").encode() for w in words]
+            size = np.fromiter(map(len, texts), np.int64, len(texts))
+            wanted = np.frombuffer(b"".join(texts), np.uint8)
+        else:  # the only spaces are those before words
+            wanted = np.frombuffer(f" {' '.join(words)}".encode(), np.uint8)
+            size = np.diff(np.append(np.flatnonzero(wanted == 32), len(wanted)))
         sound = np.ones(len(words), bool)
         for ids, word, table in ((a, a_word, self.a_bytes), (b, b_word, self.b_bytes)):
             have = np.bincount(word, table.lengths[ids], len(words)).astype(np.int64)
@@ -153,7 +158,7 @@ def words_of(text: str | None) -> list[str]:
     word as a whole, with its space."""
     if not text:
         return []
-    return [f" {text}"] if _UNSURE(text) else text.split(" ")
+    return [f" {text}"] if unsure(text) else text.split(" ")
 
 
 class WordPairs:
@@ -197,7 +202,7 @@ def aligner(byte_path: str, piece_path: str) -> Aligner:
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list]]:
-    for part in chunks(batch.column(column)):
+    for part in chunks(batch.column(column), CHUNK_BYTES):
         rows = batch.slice(part.start, part.stop - part.start)
         yield rows, rows.column(column).to_pylist()
 
@@ -339,8 +344,8 @@ def looked_up(docs: DataFrame, paths: tuple[str, str], tables, last: bool) -> Da
                         [rows.column(0), rows.column(1), *map(pa.array, scored.values())], names=names
                     )
                     continue
-                at = iter(number.tolist())
-                groups = [";".join([words.texts[next(at)] for _ in range(k)]) for k in n.tolist()]
+                written, stops = list(map(words.texts.__getitem__, number.tolist())), np.cumsum(n).tolist()
+                groups = [";".join(written[i:j]) for i, j in zip([0, *stops], stops)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         rows.column(0),

@@ -16,15 +16,10 @@ import json
 import os
 import re
 import struct
-from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
-import numpy as np
 from tokenizers import Tokenizer
 
-from tidelog.llm.words import WordTable, chunks, gathered, runs, sums
-
 # Spark's tasks use the cores; threads of the library only wait for each other.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -35,9 +30,6 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACES = ("  ", " \n", "\n ", "\n\n")
 _KEPT_CHARS = 64
 _KEPT_TAILS = 10_000
-# Letters behind a space, then marks (no apostrophe, which may begin a part of its
-# own): each is merged alone. Other words have any form.
-_PARTS = re.compile(r"( [A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)(?=[ \n]|\Z)|([ \n][^ \n]*)", re.ASCII).findall
 
 
 def byte_letters() -> dict[int, str]:
@@ -65,9 +57,12 @@ def unsure(text: str) -> bool:
 
 
 class Encoder(dict):
-    """Ids as little-endian unsigned 32-bit integers; the dict keeps pieces."""
+    """Ids as little-endian unsigned 32-bit integers; the dict keeps pieces.
+
+    With ``plain`` the strings of special tokens are text like other text.
+    """
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 400_000, plain: bool = False):
         super().__init__()
         self.earlier: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
@@ -80,7 +75,8 @@ class Encoder(dict):
             and not spec.get("normalizer")
             and spec["model"]["type"] == "BPE"
         )
-        self.added = [t["content"] for t in spec.get("added_tokens", [])]
+        self.tokenizer.encode_special_tokens = plain
+        self.added = [] if plain else [t["content"] for t in spec.get("added_tokens", [])]
         self.kept = kept
         self.model = self.tokenizer.model.tokenize
         letters = byte_letters()
@@ -128,6 +124,22 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
+    def make_room(self) -> None:
+        """Begins a new table when this one is full."""
+        if len(self) > self.kept:
+            self.earlier = self.copy()
+            self.clear()
+
+    def token_bytes(self) -> list[bytes]:
+        """The bytes of each id."""
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        letters = {letter: byte for byte, letter in byte_letters().items()}
+        raw = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            known = all(c in letters for c in name)
+            raw[i] = bytes(letters[c] for c in name) if known else name.encode()
+        return raw
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
@@ -137,9 +149,7 @@ class Encoder(dict):
             or unsure(text)
         ):
             return self.whole(text)
-        if len(self) > self.kept:
-            self.earlier = self.copy()
-            self.clear()
+        self.make_room()
         first, *rest = text.replace("\n", " \n").split(" ")
         return self.whole(first) + b"".join(map(self.__getitem__, rest))
 
@@ -148,110 +158,3 @@ class Encoder(dict):
 def encoder(path: str) -> Encoder:
     """One for each path and Python worker."""
     return Encoder(path)
-
-
-class BatchEncoder:
-    """Ids of many texts at once: their words are numbered, new words are
-    encoded in bulk, and all ids are gathered from a table.
-
-    A word is what follows a space, or a line break and what follows it. Texts
-    that can't be cut for sure are words as a whole. With ``plain`` the strings
-    of special tokens are text like other text.
-    """
-
-    JOINED = 20_000  # characters of words that are encoded as one text
-
-    def __init__(self, path: str, plain: bool = False):
-        rules = Encoder(path)
-        self.tokenizer, self.by_piece, self.model = rules.tokenizer, rules.by_piece, rules.model
-        self.tokenizer.encode_special_tokens = plain
-        self.added = [] if plain else rules.added
-        self.letters = rules.letters
-        names = self.tokenizer.get_vocab(with_added_tokens=True)
-        letters = {letter: byte for byte, letter in byte_letters().items()}
-        self.raw = [b""] * (max(names.values()) + 1)
-        for name, i in names.items():
-            known = all(c in letters for c in name)
-            self.raw[i] = bytes(letters[c] for c in name) if known else name.encode()
-        self.lengths = np.array([len(b) for b in self.raw], np.int64)
-        self.table, self.parts = WordTable(self._of_words), WordTable(self._of_parts)
-
-    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of texts by the library alone, and how many each has."""
-        return _flat([e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
-
-    def joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, each with its space or line break, and how many each has."""
-        blocks = list(runs(list(map(len, words)), self.JOINED))
-        ids, _ = self.whole(["".join(words[b]) for b in blocks])
-        size = np.fromiter((len(word.encode()) for word in words), np.int64, len(words))
-        wanted, have = np.cumsum(size), np.cumsum(self.lengths[ids])
-        at = np.searchsorted(have, wanted)
-        if len(at) and (at[-1] >= len(have) or (have[at] != wanted).any()):
-            return self.whole(words)  # not cut there after all
-        return ids, np.diff(at, prepend=-1)
-
-    def words(self, text: str | None) -> list[str]:
-        """Words without their space; a leading space marks one that has none."""
-        if not text:
-            return []
-        if not self.by_piece or unsure(text) or any(token in text for token in self.added):
-            return [f" {text}"]
-        words = text.replace("\n", " \n").split(" ")
-        words[0] = f" {words[0]}"
-        return words
-
-    def _of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        alone = [w[0] == " " for w in words]
-        return _merged(alone, self.whole([w[1:] for w in words if w[0] == " "]), self.spaced(
-            [w if w[0] == "\n" else f" {w}" for w in words if w[0] != " "]
-        ))
-
-    def spaced(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """As ``joined``, but words of letters and marks go to the model itself."""
-        cut = _PARTS("".join(words))
-        plain = [head != "" for head, _, _ in cut]
-        ids, counts = self.parts.values([part for head, tail, _ in cut if head for part in (head, tail) if part])
-        tails = np.fromiter((1 + (tail != "") for head, tail, _ in cut if head), np.int64)
-        return _merged(plain, (ids, sums(counts, tails)), self.joined([other for _, _, other in cut if other]))
-
-    def _of_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        written = "\n".join(parts).encode().decode("latin-1").translate(self.letters)
-        model = self.model
-        return _flat([[token.id for token in model(part)] for part in written.split(self.letters[10])])
-
-    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, joined, and how many each has."""
-        words = [self.words(text) for text in texts]
-        ids, lengths = self.table.values([w for each in words for w in each])
-        return ids, sums(lengths, np.fromiter(map(len, words), np.int64, len(words)))
-
-
-def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter(map(len, lists), np.int64, len(lists))
-    return np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum())), counts
-
-
-def _merged(first: list[bool], *sides: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Values of words told in two lists, in the order of the words; ``first``
-    says which words are in the first list."""
-    is_first = np.array(first, bool)
-    place = np.argsort(np.concatenate([np.flatnonzero(is_first), np.flatnonzero(~is_first)]), kind="stable")
-    flat, counts = (np.concatenate(x) for x in zip(*sides, strict=True))
-    starts = (np.cumsum(counts) - counts)[place]
-    return gathered(flat, starts, counts[place]), counts[place]
-
-
-@lru_cache(maxsize=2)
-def batch_encoder(path: str) -> BatchEncoder:
-    """One for each path and Python worker."""
-    return BatchEncoder(path)
-
-
-def encoded_texts(encode: BatchEncoder, batch, column: int, end: int) -> Iterator[tuple]:
-    """Chunks of a batch: their rows, ids with an end id behind each text, and
-    how many each text has."""
-    for part in chunks(batch.column(column)):
-        rows = batch.slice(part.start, part.stop - part.start)
-        ids, counts = encode.encode(rows.column(column).to_pylist())
-        yield rows, np.insert(ids, np.cumsum(counts), end).astype("<u4"), counts + 1
