@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -12,6 +13,7 @@ from tokenizers import Tokenizer
 from tidelog.llm import packing, token_counts, token_files
 from tidelog.llm.queries import QUERIES, VOCABULARY
 from tidelog.llm.tables import table
+from tidelog.llm.token_columns import ColumnEncoder
 from tidelog.llm.tokens import Encoder
 from tidelog.sources.shared import shared_folder
 
@@ -248,3 +250,64 @@ def test_words_of_blocks_take_most_ids(ids):
         at += int(taken[at])
     assert token_files.word_starts(taken).tolist() == starts
     assert (token_files.decode_block(token_files.encode_block(ids)) == ids).all()
+
+
+COLUMNS = ColumnEncoder(VOCABULARY, kept=50)
+# Words, marks and white space that are cut in their own ways.
+FORMS = [
+    *"abZß é1\n.,'-\t_|²ª٣ʰ’»\x00\x1c\x85\u3000", " ", " ", " ", " ",
+    "'s", "###", "...", "word", "Éa", "日本", "<|endoftext|>",
+]
+
+
+def columns_ids(encode, texts):
+    return [bytes(ids) for ids in encode.ids(pa.array(texts, pa.string()))]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.none() | st.lists(st.sampled_from(FORMS), max_size=25).map("".join), max_size=8))
+def test_ids_of_columns_of_any_texts(texts):
+    assert columns_ids(COLUMNS, texts) == [plain(text).tobytes() for text in texts]
+
+
+def test_ids_of_columns_of_odd_texts(monkeypatch):
+    odd = [*ODD_TEXTS, "x" * 70 + " y", "Straße größer,\nÉté. x|y ñ|"]
+    assert columns_ids(COLUMNS, odd) == [plain(text).tobytes() for text in odd]
+    assert columns_ids(COLUMNS, []) == []
+    monkeypatch.setattr("tidelog.llm.token_columns.CHUNK_BYTES", 10)
+    assert columns_ids(COLUMNS, odd[3:] + odd) == [plain(text).tobytes() for text in odd[3:] + odd]
+    assert columns_ids(COLUMNS, pa.array(["cut off", *odd, "cut off"])[1:-1]) == columns_ids(COLUMNS, odd)
+
+
+def counted(library, calls):
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            calls.extend(texts)
+            return library.encode_batch_fast(texts, **options)
+
+    return Counted()
+
+
+def test_new_words_of_a_column_are_encoded_together():
+    encode, calls = ColumnEncoder(VOCABULARY, kept=300), []
+    encode.parts, encode.one.tokenizer = (counted(x, calls) for x in (encode.parts, encode.one.tokenizer))
+    encode.one.model = None  # no calls for single words
+    letters = [chr(97 + i) for i in range(26)]
+    words = [f"w{a}{b}" for a in letters[:10] for b in letters]
+    texts = [" ".join([w, "often", "often", f"{w}{i}"]) for i, w in enumerate(words)]
+    assert columns_ids(encode, texts) == [plain(text).tobytes() for text in texts]
+    assert len(calls) == 2
+    for i in range(20):  # each with new words, more than the table holds
+        texts = [f"new{letters[i]}{w} often" for w in words]
+        assert columns_ids(encode, texts) == [plain(text).tobytes() for text in texts]
+        assert len(encode.words) == len(encode.of_words) <= 300
+    assert sum("often" in text for text in calls) == 1
+
+
+def test_columns_with_added_tokens_that_hold_a_space(tmp_path):
+    library = Tokenizer.from_file(VOCABULARY)
+    library.add_special_tokens(["9 8"])
+    library.save(str(tmp_path / "more.json"))
+    texts = ["a9", "8b", "x9 8y", "c a9\n8b"]
+    wanted = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert columns_ids(ColumnEncoder(str(tmp_path / "more.json")), texts) == wanted

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelog.llm.tables import q
-from tidelog.llm.tokens import encoder
+from tidelog.llm.token_columns import column_encoder
 
 # Ids in a word and bits of each, by selector; 15 is an escape.
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1, 1, 1])
@@ -224,11 +224,11 @@ def write_token_files(
         )
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(vocabulary).ids
+        encode = column_encoder(vocabulary).ids
         blocks = Blocks(TaskContext.get().partitionId())
         for batch in batches:
-            for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
-                for row in blocks.add(doc_id.as_py(), encode(text.as_py()) + end):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
+                for row in blocks.add(doc_id, b"".join((ids, end))):
                     yield rows([row])
         if blocks.ids:
             yield rows([blocks.row()])
