@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers, trainers
 
 from tidelog.llm import packing, token_counts, token_files
 from tidelog.llm.queries import QUERIES, VOCABULARY
@@ -311,3 +311,17 @@ def test_columns_with_added_tokens_that_hold_a_space(tmp_path):
     texts = ["a9", "8b", "x9 8y", "c a9\n8b"]
     wanted = [np.array(x.ids, "<u4").tobytes() for x in library.encode_batch(texts, add_special_tokens=False)]
     assert columns_ids(ColumnEncoder(str(tmp_path / "more.json")), texts) == wanted
+
+
+@pytest.mark.parametrize("learned", ["abc", "ab ab abc", "ab\nab abc"])
+@pytest.mark.parametrize("prefix", [False, True])
+def test_columns_of_vocabularies_without_some_bytes(tmp_path, learned, prefix):
+    library = Tokenizer(models.BPE())
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=prefix)
+    library.train_from_iterator([learned], trainers.BpeTrainer(vocab_size=30, show_progress=False))
+    library.save(str(tmp_path / "small.json"))
+    texts = ["ab abc\nab", "b", "abd a, b\n.c", "d d", None, "a  b"]
+    found = [library.encode(text or "").ids for text in texts]
+    assert columns_ids(ColumnEncoder(str(tmp_path / "small.json")), texts) == [
+        np.array(ids, "<u4").tobytes() for ids in found
+    ]

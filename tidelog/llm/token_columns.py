@@ -29,7 +29,7 @@ _UNSURE = rf"\A{_BLANK}|{_BLANK}(?:{_BLANK}|\z)"
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _BEFORE_MARKS = r"[0-9A-Za-zÀ-ÖØ-öø-ɏ]\z"
 _LETTERS = r"\A\n?[A-Za-zÀ-ÖØ-öø-ɏ]+\z"
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 4_000_000
 KEPT_BYTES = 64
 FEW = 20
 _AT_ONCE = 10_000
@@ -50,12 +50,15 @@ def _column(flat: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.Array:
 class ColumnEncoder:
     """Ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, kept: int = 400_000):
+    def __init__(self, path: str, kept: int = 250_000):
         self.one, self.kept = Encoder(path), kept
         # words that are cut and written in the vocabulary's letters, a mark between them
         self.parts = Tokenizer(self.one.tokenizer.model)
         self.parts.pre_tokenizer = CharDelimiterSplit("|")
         self.line = "\n".translate(self.one.letters)
+        # a line break is one id, also where small vocabularies lack some bytes
+        line = self.one.whole("\n")
+        self.by_pieces = self.one.by_piece and len(line) == 4 and line == self.one.part("\n")
         self.begins = np.array([raw[:1] in (b" ", b"\n") for raw in self.one.token_bytes()])
         self.words, self.of_words = pa.array([], _TEXT), pa.array([], _IDS)
 
@@ -66,7 +69,7 @@ class ColumnEncoder:
 
     def _chunk(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
         sure = pc.and_not(
-            pc.and_(pc.greater(pc.binary_length(texts), 0), self.one.by_piece),
+            pc.and_(pc.greater(pc.binary_length(texts), 0), self.by_pieces),
             pc.match_substring_regex(texts, _UNSURE),
         )
         for token in self.one.added:
@@ -88,9 +91,10 @@ class ColumnEncoder:
         line, nothing = pa.scalar("\n", _TEXT), pa.scalar("", _TEXT)
         lines = pc.binary_join_element_wise(line, pc.replace_substring(texts, "\n", " \n"), nothing)
         pieces = pc.split_pattern(lines, " ")
-        numbered = pieces.flatten().dictionary_encode()
+        ends, numbered = pieces.offsets.to_numpy(), pieces.flatten().dictionary_encode()
+        del lines, pieces, texts
         ids = self._pieces(numbered.dictionary).take(numbered.indices)
-        return memoryview(ids.buffers()[2] or b""), _offsets(ids)[pieces.offsets.to_numpy()]
+        return memoryview(ids.buffers()[2] or b""), _offsets(ids)[ends]
 
     def _pieces(self, pieces: pa.Array) -> pa.Array:
         """Ids of different pieces, those of marks behind a letter or digit apart."""
