@@ -148,7 +148,7 @@ def multi_search_histogram(spark, folder):
     + "FROM matched) WHERE rank <= 5",
 )
 def multi_search_hits(spark, folder):
-    found = many.request_hits(matched(spark, folder), LOG, 5)
+    found = many.first_hits(table(spark, folder, "events"), requests(spark, folder), LOG, 5)
     return found.select("id", "event_id", "rank")
 
 

@@ -241,6 +241,77 @@ def test_no_requests(spark, data):
         assert none.count() == 0
 
 
+def shared_requests():
+    """Few conditions of many requests; ids that repeat or are missing."""
+    late = START + timedelta(days=40)
+    asked = [
+        ("hot", None, None, None),
+        ("hot", "row 1", None, late),
+        ("hot", "same", START, START + timedelta(days=1)),
+        ("cold", "", late, None),
+        ("cold", None, START, late),
+        ("cold", None, late, START),
+        ("unknown", None, None, None),
+        (None, "row", None, None),
+    ]
+    rows = [(10 * n + i, *row) for n, row in enumerate(asked) for i in range(4)]
+    return rows + [(0, *asked[0]), (0, *asked[4]), (10, *asked[0]), (None, *asked[0]), (None, *asked[3])]
+
+
+def most_rows(df):
+    """Of all steps of a plan that ran, the most rows that one made."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            rows = node.metrics().get("numOutputRows")
+            most = max(most, rows.get().value() if rows.isDefined() else 0)
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
+
+
+@pytest.fixture(scope="module")
+def one_request(spark, tmp_path_factory):
+    """300 suppliers that ask the same of 300 events, all of which match."""
+    path = tmp_path_factory.mktemp("one")
+    spark.range(300).selectExpr("id AS s_suppkey", "0 AS s_nationkey").write.parquet(f"{path}/supplier.parquet")
+    spark.range(300).selectExpr(
+        "id AS event_id", "timestampadd(HOUR, CAST(id AS INT), TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts",
+        "'click' AS event_type", "id / 2 AS value", "'{}' AS props",
+    ).write.parquet(f"{path}/events.parquet")
+    return str(path)
+
+
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_first_hits_of_shared_conditions(spark, data, threshold):
+    logs, _, _ = data
+    requests = spark.createDataFrame(shared_requests(), REQUEST_SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        pairs = many.request_hits(many.match_requests(logs, requests, SIDE), SIDE, 3)
+        hits = many.first_hits(logs, requests, SIDE, 3)
+        assert hits.columns == pairs.columns
+        told = Counter(tuple(r) for r in hits.collect())
+        assert told == Counter(tuple(r) for r in pairs.collect())
+        assert sum(told.values()) > 60 and any(row[0] is None for row in told)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_hits_do_not_list_every_pair(spark, one_request):
+    import __spark_entry__ as entry
+
+    hits = entry.queries()["multi_search_hits"](spark, one_request)
+    assert most_rows(hits) < 5_000
+    assert Counter(r.event_id for r in hits.collect()) == {i: 300 for i in range(5)}
+
+
 def test_unknown_indexes_fail(spark):
     requests = spark.createDataFrame(request_rows(5)[:5], REQUEST_SCHEMA)
     registry = spark.createDataFrame([("hot",), ("cold",), ("hot",)], "index string")

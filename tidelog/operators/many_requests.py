@@ -83,7 +83,42 @@ def match_requests(
     """
     if TimeColumn.of(logs, log.time).ntz != TimeColumn.of(requests, "gte").ntz:
         raise ValueError("the log and the requests need the same kind of timestamp")
-    profile = profile_requests(requests)
+    return _matched(logs, requests, profile_requests(requests), log, by_trigrams)
+
+
+def match_conditions(
+    logs: DataFrame, requests: DataFrame, log: LogSide = LogSide(), by_trigrams: bool = False
+) -> DataFrame:
+    """As ``match_requests``, once for all requests that ask the same: the ``id``
+    is what they ask (see ``condition``).
+
+    Rows follow the conditions, however many requests share them. What is made
+    of them goes to the requests by ``per_request``.
+    """
+    if TimeColumn.of(logs, log.time).ntz != TimeColumn.of(requests, "gte").ntz:
+        raise ValueError("the log and the requests need the same kind of timestamp")
+    asked = requests.select(*_ASKED).distinct().withColumn("id", condition())
+    return _matched(logs, asked, profile_requests(requests), log, by_trigrams)
+
+
+_ASKED = ["index", "q", "gte", "lte"]
+
+
+def condition() -> Column:
+    """What a request asks, as one value; fields may be NULL and are then equal."""
+    return F.struct(*_ASKED)
+
+
+def per_request(found: DataFrame, requests: DataFrame) -> DataFrame:
+    """Rows whose ``id`` is a condition, for each request that asks it."""
+    asked = requests.select("id", condition().alias("_asked"))
+    each = found.withColumnRenamed("id", "_asked").join(asked, "_asked")
+    return each.select("id", *[F.col(times.quoted(name)) for name in found.columns if name != "id"])
+
+
+def _matched(
+    logs: DataFrame, requests: DataFrame, profile: RequestsProfile, log: LogSide, by_trigrams: bool
+) -> DataFrame:
     asked = _by_bucket(requests)
     texts = asked.select(*_KEYS, "_q").distinct()
     side = _with_buckets(_enclosing(logs, log, profile), log, profile.levels or (_OPEN,))
@@ -266,6 +301,18 @@ def request_histograms(matched: DataFrame, log: LogSide, seconds: int) -> DataFr
     )
 
 
+def first_hits(
+    logs: DataFrame, requests: DataFrame, log: LogSide, size: int, by_trigrams: bool = False
+) -> DataFrame:
+    """``request_hits`` of all requests, without the pairs of rows and requests.
+
+    The first rows of each condition are found once, then told to its requests.
+    Requests that share an ``id`` are ranked together, as in ``request_hits``.
+    """
+    first = request_hits(match_conditions(logs, requests, log, by_trigrams), log, size)
+    return request_hits(per_request(first.drop("rank"), requests), log, size)
+
+
 def request_hits(matched: DataFrame, log: LogSide, size: int) -> DataFrame:
     """The first ``size`` rows of each request, by second and then key.
 
