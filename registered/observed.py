@@ -8,7 +8,7 @@ from registered.filters import bool_filter, phrase
 from registered.registry import event_lines, register, table
 from registered.requests import KINDS
 from registered.sources import LINE_FIELDS
-from tidelog import json_lines_index, match_new_files, read_matches, search_observed
+from tidelog import json_lines_index, match_new_files, match_totals, search_observed
 from tidelog.functions.documents import row_json
 from tidelog.functions.times import format_rfc3339_fraction
 from tidelog.operators import many_requests as many
@@ -97,5 +97,4 @@ def stream_matches(spark, folder):
         if arrival is not None:
             write_json_lines(rows.where(arrival), source, "append")
         match_new_files(spark, source, asked, target, state, LINE_FIELDS, log).awaitTermination()
-    found = read_matches(spark, target)
-    return found.groupBy("id").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+    return match_totals(spark, target, "event_id").withColumnRenamed("sum_event_id", "ids")

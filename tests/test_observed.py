@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+from collections import Counter
 
 import pytest
 from pyspark.errors import PySparkException
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from registered.documents import result_document
 from registered.requests import KEY_LOG, key_requests
 from tests.conftest import plan_of
-from tidelog import FileIndex, indexed_lines, json_lines_index, log_index, match_new_files, read_matches
+from tidelog import FileIndex, indexed_lines, json_lines_index, log_index, match_new_files, match_totals, read_matches
 from tidelog import parse_declared, search_many, search_observed
 from tidelog.operators import many_requests as many
 
@@ -112,6 +113,55 @@ def test_stream_tells_each_match_once(spark, tmp_path):
     assert sorted((r.id, r.n) for r in whole.collect()) == want
 
 
+def test_stream_stores_a_line_once_for_requests_that_ask_the_same(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "found", "state"))
+    rows = [(i, "a", None, None, None) for i in range(200)] + [(i, "b", '"n": 1', None, None) for i in range(150, 170)]
+    rows += [(7, "a", None, None, None), (None, "a", None, None, None), (None, "b", "nothing", None, None)]
+    asked, log = requests_of(spark, rows), many.LogSide(index="kind", time="t", raw="raw")
+    for name, numbers in (("one", range(10, 30)), ("two", range(30, 50))):
+        write(source, name, [line(n, kind) for n in numbers for kind in "ab"])
+        match_new_files(spark, source, asked, target, state, FIELDS, log).awaitTermination()
+    # 40 + 10 lines, and in each of two folders the 202 requests of one condition, the 20 of another once
+    assert spark.read.option("mergeSchema", "true").parquet(f"{target}/batch=*").count() == 50 + 2 * 202 + 20
+
+    lines = spark.read.text(source).select(F.col("value").alias("raw"))
+    whole = many.match_requests(parse_declared(lines, "raw", FIELDS, keep=["raw"]), asked, log)
+    want = Counter((r.id, r.kind, r.n, r.raw) for r in whole.collect())
+    found = read_matches(spark, target)
+    assert found.columns == [*whole.columns, "batch"]
+    assert Counter((r.id, r.kind, r.n, r.raw) for r in found.collect()) == want
+    totals = whole.groupBy("id").agg(F.count("*").alias("n"), F.sum("n").alias("sum_n"))
+    assert Counter(map(tuple, match_totals(spark, target, "n").collect())) == Counter(map(tuple, totals.collect()))
+
+
+def test_matches_stored_as_pairs_are_still_read(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "found", "state"))
+    asked, log = requests_of(spark, [(i, "a", None, None, None) for i in range(3)]), many.LogSide(index="kind", time="t")
+    write(tmp_path / "before", "zero", [line(5), line(6)])
+    lines = spark.read.text(str(tmp_path / "before")).select(F.col("value").alias("raw"))
+    pairs = many.match_requests(parse_declared(lines, "raw", FIELDS, keep=["raw"]), asked, log)
+    pairs.write.parquet(f"{target}/batch=7")
+    want = [(i, n) for i in range(3) for n in (5, 6)]
+    assert sorted((r.id, r.n) for r in read_matches(spark, target).collect()) == want
+    assert sorted(map(tuple, match_totals(spark, target, "n").collect())) == [(i, 2, 11) for i in range(3)]
+    write(source, "one", [line(9), line(8, "b")])
+    match_new_files(spark, source, asked, target, state, FIELDS, log).awaitTermination()
+    assert sorted((r.id, r.n) for r in read_matches(spark, target).collect()) == sorted(want + [(i, 9) for i in range(3)])
+    assert sorted(map(tuple, match_totals(spark, target, "n").collect())) == [(i, 3, 20) for i in range(3)]
+
+
+def test_a_batch_whose_requests_are_not_written_tells_nothing_yet(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "found", "state"))
+    asked, log = requests_of(spark, [(1, "a", None, None, None)]), many.LogSide(index="kind", time="t")
+    write(source, "one", [line(1)])
+    match_new_files(spark, source, asked, target, state, FIELDS, log).awaitTermination()
+    stored = spark.read.option("mergeSchema", "true").parquet(f"{target}/batch=0")
+    half = str(tmp_path / "half")
+    stored.where("_part = 'line'").write.parquet(f"{half}/batch=0")
+    assert read_matches(spark, target).count() == 1
+    assert read_matches(spark, half).count() == match_totals(spark, half, "n").count() == 0
+
+
 def test_trigrams_cut_the_rows_tested(spark, folder):
     lines, asked = key_requests(spark, folder)
     profile = many.profile_requests(asked)

@@ -22,7 +22,7 @@ from tidelog.sources.writers import (
     write_time_table,
 )
 from tidelog.streaming.ingest import ingest_new_files
-from tidelog.streaming.matches import match_new_files, read_matches
+from tidelog.streaming.matches import match_new_files, match_totals, read_matches
 
 __all__ = [
     "Field",
@@ -37,6 +37,7 @@ __all__ = [
     "json_lines_index",
     "log_index",
     "match_new_files",
+    "match_totals",
     "open_index",
     "parse_declared",
     "pruned_scan",
