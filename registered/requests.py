@@ -63,6 +63,14 @@ def matched(spark, folder, hint=None):
     return many.match_requests(table(spark, folder, "events"), asked, LOG)
 
 
+def counted(spark, folder, hint=None):
+    """As ``matched``, counted by request."""
+    asked = requests(spark, folder)
+    if hint is not None:
+        asked = asked.hint(hint)
+    return many.count_requests(table(spark, folder, "events"), asked, LOG)
+
+
 @register("multi_search", COUNTS)
 def multi_search(spark, folder):
     found = matched(spark, folder)
@@ -72,8 +80,7 @@ def multi_search(spark, folder):
 @register("multi_search_plain", COUNTS)
 def multi_search_plain(spark, folder):
     """Requests without a log row still have a count."""
-    found = matched(spark, folder).select("id")
-    return many.request_counts(found, requests(spark, folder))
+    return counted(spark, folder)
 
 
 @register("multi_search_bucketed", COUNTS)

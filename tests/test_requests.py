@@ -312,6 +312,31 @@ def test_hits_do_not_list_every_pair(spark, one_request):
     assert Counter(r.event_id for r in hits.collect()) == {i: 300 for i in range(5)}
 
 
+@pytest.mark.parametrize("hint", HINTS)
+@pytest.mark.parametrize("threshold", ["10MB", "-1"])
+def test_counts_of_shared_conditions(spark, data, hint, threshold):
+    logs, _, _ = data
+    requests = spark.createDataFrame(shared_requests(), REQUEST_SCHEMA)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    try:
+        pairs = many.request_counts(many.match_requests(logs, requests, SIDE), requests)
+        counts = many.count_requests(logs, hinted(requests, hint), SIDE)
+        told = Counter(tuple(r) for r in counts.collect())
+        assert told == Counter(tuple(r) for r in pairs.collect())
+        assert sum(told.values()) == len(shared_requests()) and told[(None, 0)] == 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["multi_search_plain"])
+def test_counts_do_not_list_every_pair(spark, one_request, name):
+    import __spark_entry__ as entry
+
+    counts = entry.queries()[name](spark, one_request)
+    assert most_rows(counts) < 5_000
+    assert {r.id: r.n for r in counts.collect()} == {i: 300 for i in range(300)}
+
+
 def test_unknown_indexes_fail(spark):
     requests = spark.createDataFrame(request_rows(5)[:5], REQUEST_SCHEMA)
     registry = spark.createDataFrame([("hot",), ("cold",), ("hot",)], "index string")

@@ -279,9 +279,21 @@ def _with_buckets(logs: DataFrame, log: LogSide, levels: tuple[int, ...]) -> Dat
     return logs.select(*names, F.expr(f"inline(array({slots}))"))
 
 
+def count_requests(
+    logs: DataFrame, requests: DataFrame, log: LogSide = LogSide(), by_trigrams: bool = False
+) -> DataFrame:
+    """``request_counts`` of all requests, without the pairs of rows and requests:
+    rows are counted by condition, requests of one ``id`` are added up."""
+    counts = match_conditions(logs, requests, log, by_trigrams).groupBy("id").agg(F.count("*").alias("n"))
+    return _of_all(requests, per_request(counts, requests).groupBy("id").agg(F.sum("n").alias("n")))
+
+
 def request_counts(matched: DataFrame, requests: DataFrame) -> DataFrame:
     """``(id, n)`` for every request, 0 where nothing matched."""
-    counts = matched.groupBy("id").agg(F.count("*").alias("n"))
+    return _of_all(requests, matched.groupBy("id").agg(F.count("*").alias("n")))
+
+
+def _of_all(requests: DataFrame, counts: DataFrame) -> DataFrame:
     return requests.select("id").join(counts, "id", "left").select(
         "id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
     )
