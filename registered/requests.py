@@ -55,16 +55,12 @@ def requests(spark, folder):
     )
 
 
-def matched(spark, folder, hint=None):
-    """``hint`` is a join hint that a caller puts on the requests."""
-    asked = requests(spark, folder)
-    if hint is not None:
-        asked = asked.hint(hint)
-    return many.match_requests(table(spark, folder, "events"), asked, LOG)
+def matched(spark, folder):
+    return many.match_requests(table(spark, folder, "events"), requests(spark, folder), LOG)
 
 
 def counted(spark, folder, hint=None):
-    """As ``matched``, counted by request."""
+    """``hint`` is a join hint that a caller puts on the requests."""
     asked = requests(spark, folder)
     if hint is not None:
         asked = asked.hint(hint)
@@ -73,8 +69,7 @@ def counted(spark, folder, hint=None):
 
 @register("multi_search", COUNTS)
 def multi_search(spark, folder):
-    found = matched(spark, folder)
-    return many.request_counts(found, requests(spark, folder))
+    return counted(spark, folder)
 
 
 @register("multi_search_plain", COUNTS)
@@ -86,15 +81,13 @@ def multi_search_plain(spark, folder):
 @register("multi_search_bucketed", COUNTS)
 def multi_search_bucketed(spark, folder):
     """As a caller has it that asks for hash tables of shuffled requests."""
-    found = matched(spark, folder, "shuffle_hash")
-    return many.request_counts(found, requests(spark, folder))
+    return counted(spark, folder, "shuffle_hash")
 
 
 @register("multi_search_shuffled", COUNTS)
 def multi_search_shuffled(spark, folder):
     """As a caller has it that asks for sorted, shuffled requests."""
-    found = matched(spark, folder, "merge")
-    return many.request_counts(found, requests(spark, folder))
+    return counted(spark, folder, "merge")
 
 
 KEY_REQUESTS = f"""

@@ -328,7 +328,7 @@ def test_counts_of_shared_conditions(spark, data, hint, threshold):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
-@pytest.mark.parametrize("name", ["multi_search_plain"])
+@pytest.mark.parametrize("name", [f"multi_search{x}" for x in ("", "_plain", "_bucketed", "_shuffled")])
 def test_counts_do_not_list_every_pair(spark, one_request, name):
     import __spark_entry__ as entry
 
