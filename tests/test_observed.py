@@ -150,6 +150,15 @@ def test_matches_stored_as_pairs_are_still_read(spark, tmp_path):
     assert sorted(map(tuple, match_totals(spark, target, "n").collect())) == [(i, 3, 20) for i in range(3)]
 
 
+def test_requests_without_any_text_or_end(spark, tmp_path):
+    source, target, state = (str(tmp_path / x) for x in ("in", "found", "state"))
+    asked = spark.range(3).selectExpr("id", "'a' AS index", "NULL AS q", "timestamp_seconds(id) AS gte", "NULL AS lte")
+    write(source, "one", [line(1), line(2, "b")])
+    log = many.LogSide(index="kind", time="t")
+    match_new_files(spark, source, asked, target, state, FIELDS, log).awaitTermination()
+    assert sorted((r.id, r.n) for r in read_matches(spark, target).collect()) == [(0, 1), (1, 1), (2, 1)]
+
+
 def test_a_batch_whose_requests_are_not_written_tells_nothing_yet(spark, tmp_path):
     source, target, state = (str(tmp_path / x) for x in ("in", "found", "state"))
     asked, log = requests_of(spark, [(1, "a", None, None, None)]), many.LogSide(index="kind", time="t")

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tidelog.functions.times import quoted
@@ -46,9 +47,14 @@ def match_new_files(
     lines = reader.load(source).select(F.col("value").alias("raw"))
     typed = parse_declared(lines, "raw", fields, keep=["raw"])
 
+    conditions = f"{target}/_conditions"
+    requests = _typed(requests)
+
     def matched(rows: DataFrame, number: int) -> None:
         path = f"{target}/{BATCH}={number}"
-        found = match_conditions(rows, requests, log).withColumnRenamed("id", _ASKED)
+        # stored, so that Spark knows their size and lines needn't be shuffled to meet few
+        requests.select("index", "q", "gte", "lte").distinct().write.mode("overwrite").parquet(conditions)
+        found = match_conditions(rows, spark.read.parquet(conditions), log).withColumnRenamed("id", _ASKED)
         untold = F.lit(None).cast(requests.schema["id"].dataType)
         found.withColumns({"id": untold, _PART: F.lit(_LINE)}).write.mode("overwrite").parquet(path)
         met = spark.read.parquet(path).select(_ASKED).distinct()
@@ -63,6 +69,13 @@ def match_new_files(
     )
 
 
+def _typed(requests: DataFrame) -> DataFrame:
+    """Columns without a type, NULL throughout, can't be stored and read as such."""
+    kinds = {"index": T.StringType(), "q": T.StringType(), "lte": requests.schema["gte"].dataType}
+    void = {name: F.col(name).cast(kind) for name, kind in kinds.items() if requests.schema[name].dataType == T.NullType()}
+    return requests.withColumns(void)
+
+
 def read_matches(spark: SparkSession, target: str) -> DataFrame:
     """All matches so far, with the number of their batch."""
     lines, asking, pairs = _stored(spark, target)
